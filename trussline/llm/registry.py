@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP4_SQL, op4_line_dedup
 from .mixing import op10_mix_sources
+from .simhash import op5_simhash_dedup
 from .token_counts import op8_token_counts
+from .url_filter import OP2_SQL, op2_url_filter
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_token_counts, op10_mix_sources)}
+    return {f.__name__: f for f in (op2_url_filter, op4_line_dedup, op5_simhash_dedup, op8_token_counts, op10_mix_sources)}
 
 
 def oracles() -> dict:
-    return {}
+    return {"op2_url_filter": OP2_SQL, "op4_line_dedup": OP4_SQL}
