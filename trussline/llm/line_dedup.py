@@ -8,7 +8,6 @@ next level. A hash is in one run only, with its owner; every other document lose
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -116,8 +115,8 @@ def _kept(min_chars: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """doc_id, n_lines, n_dropped, text: one row a row of `docs`, in any order.
+def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_dropped, text and the `keep` columns: one row a row of `docs`, in any order.
 
     Keys of at least `min_chars` code points found in two documents or more lose all their lines but in the document of
     the smallest id; the other lines stay, joined by newlines. Null or empty texts are one empty line (a text that loses
@@ -125,9 +124,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     count as the last. Extra columns are ignored; an empty table gives an empty result."""
     drops = dropped_keys(docs, min_chars, batches, fanout)
     lists = drops.groupBy("doc").agg(F.collect_list(F.concat(_le(F.col("h1")), _le(F.col("h2")))).alias("gone"))
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = wanted.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).join(lists, "doc", "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(_kept(min_chars), "doc_id long, n_lines long, n_dropped long, text string")
+    named = {f"k{i}": c for i, c in enumerate(keep)}
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(k) for k, c in named.items()))
+    joined = wanted.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).join(lists, "doc", "left").select("doc_id", "text", "gone", *named)
+    schema = ", ".join(["doc_id long, n_lines long, n_dropped long, text string", *(f"{k} {wanted.schema[k].dataType.simpleString()}" for k in named)])
+    return joined.mapInArrow(_kept(min_chars), schema).withColumnsRenamed(named)
 
 
 def _le(c):
