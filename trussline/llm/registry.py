@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from .ann import op1_nearest_vectors
 from .decontaminate import op7_decontaminate
 from .language_id import op3_language_id
 from .line_dedup import OP4_SQL, op4_line_dedup
@@ -15,7 +16,7 @@ from .url_filter import OP2_SQL, op2_url_filter
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_url_filter, op3_language_id, op4_line_dedup, op5_simhash_dedup, op6_toxicity, op7_decontaminate, op8_token_counts, op10_mix_sources)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_nearest_vectors, op2_url_filter, op3_language_id, op4_line_dedup, op5_simhash_dedup, op6_toxicity, op7_decontaminate, op8_token_counts, op10_mix_sources)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict:
