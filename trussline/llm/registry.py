@@ -10,13 +10,14 @@ from .language_id import op3_language_id
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .mixing import op10_mix_sources
 from .simhash import op5_simhash_dedup
+from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op8_token_counts
 from .toxicity import op6_toxicity
 from .url_filter import OP2_SQL, op2_url_filter
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_nearest_vectors, op2_url_filter, op3_language_id, op4_line_dedup, op5_simhash_dedup, op6_toxicity, op7_decontaminate, op8_token_counts, op10_mix_sources)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_nearest_vectors, op2_url_filter, op3_language_id, op4_line_dedup, op5_simhash_dedup, op6_toxicity, op7_decontaminate, op8_token_counts, op9_suffix_dedup, op10_mix_sources)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict:
