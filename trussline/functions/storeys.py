@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 from .text import first_case, found, holds
 
-# Numerals of floor titles.
-NUMERALS = (("零", 0), ("一", 1), ("二", 2), ("三", 3), ("四", 4), ("五", 5), ("六", 6), ("七", 7), ("八", 8), ("九", 9), ("十", 10))
+# Numerals of floor titles, each at its value.
+NUMERALS = "零一二三四五六七八九十"
 FLOOR = r"([一二三四五六七八九十\d]+)"
 
 
+def _digit(c: Column) -> Column:
+    """Value of one numeral; null for anything else."""
+    return F.when((F.char_length(c) == 1) & F.contains(F.lit(NUMERALS), c), F.instr(F.lit(NUMERALS), c) - 1)
+
+
 def chinese_floor(token: Column) -> Column:
     """Number of a floor numeral up to 99 (十二 is 12); null if it is none."""
-    digit = F.create_map(*(F.lit(x) for pair in NUMERALS for x in pair))
-    left, right = F.substring_index(token, "十", 1), F.substring(token, F.instr(token, "十") + 1, F.lit(1 << 20))
-    tens = F.when(left == "", F.lit(1)).otherwise(F.coalesce(F.try_element_at(digit, left), F.lit(0)))
-    whole = tens * 10 + F.coalesce(F.try_element_at(digit, right), F.lit(0))
-    return F.when(F.contains(token, F.lit("十")), whole).otherwise(F.try_element_at(digit, token))
+    at = F.instr(token, "十")
+    left, right = F.substring(token, F.lit(1), at - 1), F.substring(token, at + 1, F.char_length(token))
+    tens = F.when(at == 1, F.lit(1)).otherwise(F.coalesce(_digit(left), F.lit(0)))
+    return F.when(at > 0, tens * 10 + F.coalesce(_digit(right), F.lit(0))).otherwise(_digit(token))
 
 
 def _number(token: Column) -> Column:
@@ -29,14 +33,13 @@ def storey_key(text: Column) -> Column:
     """RF, B<n> or <n>F named by a text; null if it names none. The first rule that gives a storey decides."""
     t = F.trim(text)
     low = F.lower(t)
-    below, minus, floor = (found(t, p + FLOOR + r"\s*层") for p in (r"地下\s*", r"负\s*", ""))
+    below = found(t, r"(?:地下|负)\s*" + FLOOR + r"\s*层")
     return F.coalesce(
         F.when(holds(low, ("roof", "rf")) | F.contains(t, F.lit("屋面")), F.lit("RF")),
-        F.concat(F.lit("B"), found(low, r"(?:b|地下)\s*([1-9]\d*)").cast("decimal(38)").cast("string")),
+        F.concat(F.lit("B"), found(low, r"(?:b|地下)\s*([1-9]\d*)")),
         F.concat(F.lit("B"), _number(below)),
-        F.concat(F.lit("B"), _number(minus)),
-        F.concat(found(t, r"([1-9]\d*)\s*[fF](?![a-z])").cast("decimal(38)").cast("string"), F.lit("F")),
-        F.concat(_number(floor), F.lit("F")),
+        F.concat(found(t, r"([1-9]\d*)\s*[fF](?![a-z])"), F.lit("F")),
+        F.concat(_number(found(t, FLOOR + r"\s*层")), F.lit("F")),
         F.when(F.contains(t, F.lit("首层")), F.lit("1F")),
     )
 

@@ -110,7 +110,7 @@ def annotation_hits(texts: DataFrame) -> DataFrame:
 def bind_annotations(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     """Candidates with the notes of their type and the confidence that these add."""
     bound = candidates.join(annotation_hits(texts), ["bundle_id", "component_type"], "left")
-    return bound.withColumn("annotation_confidence", F.least(F.lit(1.0), F.size("annotation_notes") * 0.1))
+    return bound.withColumn("annotation_confidence", F.when(F.col("annotation_notes").isNotNull(), F.least(F.lit(1.0), F.size("annotation_notes") * 0.1)))
 
 
 def merge_components(entities: DataFrame, bound: DataFrame) -> DataFrame:

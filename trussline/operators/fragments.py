@@ -22,8 +22,9 @@ def fragment_list(entities: DataFrame, candidates: DataFrame) -> DataFrame:
     named = dedupe_first(named, ["bundle_id", "asset_name", "name", "storey_key"], "cand_seq")
     rows = assets.join(named.select("bundle_id", "asset_name", F.col("name").alias("title"), "storey_key", "source", "bbox"), ["bundle_id", "asset_name"], "left")
     rows = rows.withColumns({"storey_key": F.coalesce("storey_key", storeys.storey_key(F.col("asset_name")), F.lit("1F")), "source": F.coalesce("source", F.lit("asset_fallback")), "title": F.coalesce("title", "asset_name")})
-    order = Window.partitionBy("bundle_id", "asset_name").orderBy(storeys.storey_order(F.col("storey_key")), "title")
-    rows = rows.withColumn("frag_seq", F.row_number().over(order))
+    # The sort key is a column of its own, so the sort's code stays small.
+    order = Window.partitionBy("bundle_id", "asset_name").orderBy("_order", "title")
+    rows = rows.withColumn("_order", storeys.storey_order(F.col("storey_key"))).withColumn("frag_seq", F.row_number().over(order))
     return rows.select(
         "bundle_id", "asset_name", "frag_seq", F.format_string("%s::fragment::%s::%02d", "asset_name", "storey_key", "frag_seq").alias("fragment_id"), F.col("title").alias("fragment_title"), storeys.fragment_role(F.col("title")).alias("fragment_role"), "storey_key", "source", "bbox"
     )
@@ -46,15 +47,15 @@ def gap_clusters(fragments: DataFrame, entities: DataFrame) -> DataFrame:
     asset = ["bundle_id", "asset_name"]
     plans = fragments.where("fragment_role = 'plan'").withColumn("mid", geometry.box_middle(F.col("bbox")))
     spread = lambda c: F.max(f"mid.{c}") - F.min(f"mid.{c}")
-    ready = plans.groupBy(*asset).agg(F.count("*").alias("k"), F.count("bbox").alias("boxed"), (spread("x") >= spread("y")).alias("by_x")).where("k > 1 and boxed = k").drop("boxed")
-    along = lambda p: F.when(F.col("by_x"), F.col(f"{p}.x")).otherwise(F.col(f"{p}.y"))
+    ready = plans.groupBy(*asset).agg(F.count("*").alias("_k"), F.count("bbox").alias("boxed"), (spread("x") >= spread("y")).alias("_by_x")).where("_k > 1 and boxed = _k").drop("boxed")
+    along = lambda p: F.when(F.col("_by_x"), F.col(f"{p}.x")).otherwise(F.col(f"{p}.y"))
     titled = plans.join(ready, asset).withColumn("place", F.row_number().over(Window.partitionBy(*asset).orderBy(along("mid"), "frag_seq")))
     items = entities.where(F.col("category").isin(*GEOMETRY)).withColumns({"at": geometry.rounded_point(geometry.anchor(F.col("points"), F.col("bbox"))), "own": geometry.entity_box(F.col("points"), F.col("bbox"))}).where("at is not null and own is not null")
     by_asset = Window.partitionBy(*asset)
     line = by_asset.orderBy("v", "entity_seq")
-    items = items.join(ready, asset).withColumn("v", along("at")).withColumn("n", F.count("*").over(by_asset)).where("n >= k")
+    items = items.join(ready, asset).withColumn("v", along("at")).withColumn("n", F.count("*").over(by_asset)).where("n >= _k")
     items = items.withColumn("i", F.row_number().over(line)).withColumn("gap", F.lead("v").over(line) - F.col("v"))
-    cut = F.row_number().over(by_asset.orderBy(F.desc_nulls_last("gap"), F.desc("i"))) < F.col("k")
+    cut = F.row_number().over(by_asset.orderBy(F.desc_nulls_last("gap"), F.desc("i"))) < F.col("_k")
     items = items.withColumn("cut", cut.cast("int")).withColumn("place", F.coalesce(F.sum("cut").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
     groups = items.groupBy(*asset, "place").agg(*(f(f"own.{c}").alias(c) for f, c in ((F.min, "min_x"), (F.min, "min_y"), (F.max, "max_x"), (F.max, "max_y"))))
     pad = lambda a, b: F.greatest(F.greatest(F.col(b) - F.col(a), F.lit(1.0)) * PADDING, F.lit(LEAST_PADDING))
