@@ -100,9 +100,16 @@ def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
 
 
+def vendor_length(value: Column, scale: Column, least: float, default: Column) -> Column:
+    """A vendor's length in metres, at least `least`; the default where it is no number. (greatest() skips nulls, so the
+    null has to be told apart first.)"""
+    v = value.try_cast("double")
+    return F.when(v.isNotNull(), F.greatest(v * scale, F.lit(least))).otherwise(default)
+
+
 def wall_axis(category: Column, points: Column, bbox: Column, vendor_width: Column, scale: Column) -> Column:
     """start, end, thickness_m of a wall: the ends of a line, else the long axis of its box; null without either."""
-    thick = F.coalesce(F.greatest(vendor_width.try_cast("double") * scale, F.lit(0.08)), F.lit(0.2))
+    thick = vendor_length(vendor_width, scale, 0.08, F.lit(0.2))
     w, d = bbox["max_x"] - bbox["min_x"], bbox["max_y"] - bbox["min_y"]
     mx, my = (bbox["min_x"] + bbox["max_x"]) / 2, (bbox["min_y"] + bbox["max_y"]) / 2
     lying = w >= d

@@ -72,7 +72,7 @@ def wall_geometry(walls: DataFrame, height: Column, scale: float = 0.001) -> Dat
     """Placement and size of walls (points, bbox, vendor_width, origin_x, origin_y): a line's length and direction, a box's
     sides, or one metre at the origin without geometry."""
     s = F.lit(scale)
-    thick = F.coalesce(F.greatest(F.col("vendor_width").try_cast("double") * s, F.lit(0.08)), F.lit(0.2))
+    thick = geometry.vendor_length(F.col("vendor_width"), s, 0.08, F.lit(0.2))
     a, b, box = F.get("points", 0), F.element_at("points", -1), F.col("bbox")
     line = (F.col("category") == "wall_line") & (F.size("points") >= 2)
     here = lambda x, y, w, d, r: F.struct(geometry.round3(x).alias("local_x_m"), geometry.round3(y).alias("local_y_m"), geometry.round3(w).alias("width_m"), geometry.round3(d).alias("depth_m"), geometry.round3(r).alias("rotation_deg"))
@@ -127,9 +127,8 @@ def opening_geometry(hosted: DataFrame, scale: float = 0.001) -> DataFrame:
     a depth of the wall's thickness and 0.02 m at least; without a wall where they are."""
     s = F.lit(scale)
     usual = lambda k: F.when(F.col("category") == "door_block", F.lit(OPENING_SIZES["door_block"][k])).otherwise(F.lit(OPENING_SIZES["window_block"][k]))
-    vendor = lambda c, least: F.greatest(F.col(c).try_cast("double") * s, F.lit(least))
-    width = F.coalesce(vendor("vendor_width", 0.3), F.greatest(F.coalesce(F.col("span") * s, F.lit(0.0)), usual(0)))
-    height = F.coalesce(vendor("vendor_height", 0.5), usual(2))
+    width = geometry.vendor_length(F.col("vendor_width"), s, 0.3, F.greatest(F.coalesce(F.col("span") * s, F.lit(0.0)), usual(0)))
+    height = geometry.vendor_length(F.col("vendor_height"), s, 0.5, usual(2))
     at = lambda f, p, o: geometry.round3(geometry.local(F.coalesce(f, p), F.col(o), s))
     return hosted.withColumns(
         {
