@@ -43,18 +43,23 @@ def _sequence_hash(parts: np.ndarray, size: int) -> np.ndarray:
     return _mix(out)
 
 
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
 def _bit_sums(words: list[bytes]) -> np.ndarray:
-    """Running sums [positions + 1, 64] of the bits of the word pairs' hashes (of the word alone for a single word)."""
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    pairs = _sequence_hash(h, min(2, len(h)))
+    """Running sums [pairs + 1, 64] of the bits of the hashes of neighbouring words."""
+    pairs = _sequence_hash(_word_hashes(words), 2)
     bits = np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
 
 
-def _fingerprints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    n = max(1, size - 1)
-    counts = sums[starts + n] - sums[starts]
-    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
+def _fingerprints(words: list[bytes], sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Bits set in over half of the word pairs of each window; of a single word its own hash."""
+    if size == 1:
+        return _mix(_word_hashes([words[s] for s in starts]))
+    counts = sums[starts + size - 1] - sums[starts]
+    return np.packbits(counts * 2 > size - 1, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 class Index:
@@ -70,7 +75,7 @@ class Index:
         for k, (_, ws) in enumerate(texts):
             numbers = np.fromiter(map(self.words.__getitem__, ws), np.uint64, len(ws))
             self.shingles.append(Counter(_sequence_hash(numbers, min(SHINGLE, len(ws))).tolist()))
-            fp = int(_fingerprints(_bit_sums(ws), np.array([0]), len(ws))[0])
+            fp = int(_fingerprints(ws, _bit_sums(ws), np.array([0]), len(ws))[0])
             self.prints.append(fp)
             for block, value in self.blocks(fp):
                 width = self.edges[block + 1] - self.edges[block]
@@ -127,7 +132,7 @@ def passages(index: Index, text: str | None, memory: dict) -> dict[int, tuple[fl
             if sums is None:
                 sums = _bit_sums(words)
             m = size - index.by_size[size] + 1
-            for start, fp in zip(starts.tolist(), _fingerprints(sums, starts, size).tolist(), strict=True):
+            for start, fp in zip(starts.tolist(), _fingerprints(words, sums, starts, size).tolist(), strict=True):
                 own = hashes[start : start + m]
                 key = (size, fp, own.tobytes())
                 if key not in memory:
@@ -141,7 +146,7 @@ def passages(index: Index, text: str | None, memory: dict) -> dict[int, tuple[fl
                 for k, similarity in memory[key]:
                     if k not in best or (similarity, -base - start) > (best[k][0], -best[k][1]):
                         best[k] = (similarity, base + start, size)
-        base += len(words) - overlap
+        base += len(words) - min(len(words), overlap)
     return best
 
 
