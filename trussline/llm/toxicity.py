@@ -1,7 +1,8 @@
 """Toxicity: maximum-scoring segments of token log-odds, calibrated as extreme values.
 
 A token's score is its log-odds between toxic and other documents with a Dirichlet prior from both (informative, so rare
-tokens shrink to 0), less a drift that makes clean text score below zero on average. A linear-time scan finds every
+tokens shrink to 0), less a drift that makes clean text score below zero on average. Tokens too rare to tell take the
+log-odds of their first bytes, so unseen forms of a word count. A linear-time scan finds every
 maximal scoring segment of a text. For scores under the clean background, lambda solves sum p exp(lambda s) = 1, and a
 segment of score S in n tokens has the excess lambda S - ln(K n) over its extreme-value expectation; the excesses of the
 significant segments add up, and a logistic map fitted on the training documents turns the sum into a probability.
@@ -24,6 +25,8 @@ from .simhash import word_chunks
 
 #: Bound of the training sample: labelled documents of either label. Bound of the vocabulary that is broadcast.
 DOCS_PER_LABEL, VOCABULARY = 8_000, 50_000
+#: Bytes of a token that stand for it where the token itself is too rare; STEM marks them in the tables.
+STEM_BYTES, STEM = 5, b"\0"
 #: Weight of the prior, drift of a token, bounds of a token's score, least log-odds z that a token needs to count.
 PRIOR, DRIFT, LEAST, MOST, LEAST_Z = 500.0, 0.7, -3.0, 6.0, 2.0
 EDGES = re.compile(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
@@ -31,7 +34,7 @@ EDGES = re.compile(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
 
 @dataclass
 class Model:
-    scores: dict[bytes, float]  # of the tokens that differ; any other has -DRIFT
+    scores: dict[bytes, float]  # of the tokens and stems that differ; any other has -DRIFT
     rate: float  # lambda
     log_k: float
     slope: float = 1.0
@@ -74,7 +77,10 @@ def passages(m: Model, text: str | None) -> tuple[int, list[tuple[int, int, floa
     n, at, run = 0, [], []
     get = m.scores.get
     for words in tokens(text):
-        for i, s in enumerate(map(get, words)):
+        for i, w in enumerate(words):
+            s = get(w)
+            if s is None:
+                s = get(STEM + w[:STEM_BYTES])
             if s is not None:
                 at.append(n + i)
                 run.append(s)
@@ -115,7 +121,9 @@ def fit(labelled: DataFrame) -> Model:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for words in tokens(text):
                     # Documents, not occurrences: a word repeated in one document is one piece of evidence.
-                    seen[toxic].update(set(words))
+                    own = set(words)
+                    seen[toxic].update(own)
+                    seen[toxic].update({STEM + w[:STEM_BYTES] for w in own if len(w) > STEM_BYTES})
             for toxic, c in enumerate(seen):
                 yield pa.record_batch([pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64()), pa.array([toxic] * len(c), pa.int32())], names=["token", "n", "toxic"])
 
