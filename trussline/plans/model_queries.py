@@ -11,7 +11,7 @@ from ..operators import components, intents, model, rules, validation
 from ..sources import dxf, registry
 from ..sources.tables import table
 from ..streaming import feeds
-from .drawing_queries import _components, _entities
+from .drawing_queries import _entities
 from .views import view
 
 
