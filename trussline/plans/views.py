@@ -36,7 +36,7 @@ FROM {event_rows}""",
 SELECT user_id % 20 AS bundle_id, 'asset_' || CAST(user_id AS STRING) AS asset_name, f AS frag_seq, CAST(f AS STRING) || 'F plan' AS fragment_title, CAST(f AS STRING) || 'F' AS storey_key,
   'asset_' || CAST(user_id AS STRING) || '::fragment::' || CAST(f AS STRING) || 'F::0' || CAST(f AS STRING) AS fragment_id,
   CAST((f - 1) * 5000 AS DOUBLE) AS min_x, CAST(0 AS DOUBLE) AS min_y, CAST((f - 1) * 5000 + 3500 AS DOUBLE) AS max_x, CAST(4000 AS DOUBLE) AS max_y
-FROM (SELECT DISTINCT user_id FROM {events}) u CROSS JOIN (SELECT 1 AS f UNION ALL SELECT 2 UNION ALL SELECT 3) n""",
+FROM (SELECT DISTINCT user_id, 1 AS f FROM {events} UNION ALL SELECT DISTINCT user_id, 2 FROM {events} UNION ALL SELECT DISTINCT user_id, 3 FROM {events}) u""",
     # Assets with units, origins and flags.
     "v_assets": """
 SELECT user_id % 20 AS bundle_id, 'asset_' || CAST(user_id AS STRING) AS asset_name, user_id AS asset_seq,
