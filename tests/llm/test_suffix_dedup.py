@@ -48,7 +48,7 @@ def test_equals_brute_force(spark):
     check(spark, rows_of(1))
 
 
-def test_hot_grams_go_by_window_hashes(spark, monkeypatch):
+def test_hot_grams_are_searched_by_halving(spark, monkeypatch):
     monkeypatch.setattr(S, "MOST_REGIONS", 3)
     check(spark, rows_of(2, 40))
 

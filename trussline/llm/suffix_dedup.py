@@ -24,7 +24,7 @@ from .common import table, written
 LENGTH, GRAM, SHALLOW = 200, 60, 16
 #: Bytes hashed at once (a power of two), and the bits that hold a place among them.
 CHUNK, PLACE = 1 << 20, np.uint64((1 << 20) - 1)
-#: Differing regions of one gram that one task compares; grams with more go by hashes of their windows.
+#: Differing regions of one gram that one task compares; grams with more are searched by halving, level by level.
 MOST_REGIONS = 1024
 
 _RNG = np.random.default_rng(200)
@@ -267,13 +267,49 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch(marks(group))
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Rows of the search among hot grams: a region and a range of anchor offsets [o1, o2] of its windows.
+SPAN = "th long, nb long, lo long, at long, region binary, o1 long, o2 long"
+
+
+def _span_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the region's own part of the range [u1, u2] and hashes (128 bits) of the core, the bytes that all windows of
+    the range share, and of the whole, the bytes that they cover."""
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            lo, text = row[4], row[6]
-            h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[k : k + LENGTH]) for k in range(len(text) - LENGTH + 1)), np.int64).reshape(-1, 2)
-            n = len(h)
-            yield pa.record_batch([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array([row[2]] * n, pa.int64()), pa.array([row[3]] * n, pa.int64()), pa.array(np.arange(lo, lo + n))], names=["h1", "h2", "th", "nb", "start"])
+        rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+        out = []
+        for _, _, lo, at, text, o1, o2 in rows:
+            a = at - lo
+            u1, u2 = max(o1, a - (len(text) - LENGTH)), min(o2, a)
+            core = xxhash.xxh3_128_digest(text[a - o1 : a - o2 + LENGTH] if a >= o1 else b"")
+            out.append((u1, u2, core, xxhash.xxh3_128_digest(text[max(0, a - u2) : a - u1 + LENGTH])))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 4
+        yield pa.record_batch([*b.columns, pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], names=[*b.schema.names, "u1", "u2", "core", "whole"])
+
+
+def _hot_marks(hot: DataFrame) -> DataFrame:
+    """Marks of the regions of grams with very many regions, by halving the range of offsets: a range whose core no other
+    region has holds no repeat, one that another region covers with the same bytes repeats as a whole, and only the
+    others are split. A region has few of these at any level (those at the edge of a repeat), no group is gathered in one
+    place, and every level is an aggregate with a join that can be split."""
+    marks, state = [], hot.select("th", "nb", "lo", "at", "region", F.lit(0).cast("long").alias("o1"), F.lit(LENGTH - GRAM).cast("long").alias("o2"))
+    while True:
+        middle = F.floor((F.col("o1") + F.col("o2")) / 2).cast("long")
+        halves = F.array(F.struct(F.col("o1").alias("o1"), middle.alias("o2")), F.struct((middle + 1).alias("o1"), F.col("o2").alias("o2")))
+        state = state.withColumn("_h", F.explode(F.when(F.col("o1") < F.col("o2"), halves).otherwise(F.slice(halves, 1, 1)))).select("th", "nb", "lo", "at", "region", "_h.o1", "_h.o2")
+        spans = written(state.mapInArrow(_span_hashes, SPAN + ", u1 long, u2 long, core binary, whole binary").where("u1 <= u2"), "spans")
+        # One class a distinct whole, with one of its regions, which stays as a partner for those that are still open.
+        one = F.min(F.struct("th", "nb", "lo", "at", "region")).alias("one")
+        classes = written(spans.groupBy("o1", "o2", "core", "u1", "u2", "whole").agg(F.count("*").alias("n"), one), "span-classes")
+        twice = classes.where("n > 1").select("o1", "o2", "core", "u1", "u2", "whole")
+        marks.append(spans.join(twice, twice.columns, "left_semi").select("th", "nb", (F.col("at") - F.col("u2")).alias("lo"), (F.col("at") - F.col("u1")).alias("hi")))
+        cores = written(classes.groupBy("o1", "o2", "core").agg(F.count("*").alias("wholes"), F.min("n").alias("fewest")).where("wholes > 1 and fewest = 1 and o1 < o2").select("o1", "o2", "core"), "open-cores")
+        state = written(classes.join(cores, ["o1", "o2", "core"], "left_semi").select("one.*", "o1", "o2"), "open-spans")
+        if state.isEmpty():
+            break
+    out = marks[0]
+    for m in marks[1:]:
+        out = out.unionByName(m)
+    return out
 
 
 def _cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,24 +325,26 @@ def repeats(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     found = written(texts.where(F.col("nb") >= LENGTH).mapInArrow(_find, "th long, nb long, lo long, hi long, at long, key long, rid long"), "regions")
     keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("least"), F.max("rid").alias("most")).where("n > 1")
-    shared = written(found.join(keys.select("key", (F.col("least") != F.col("most")).alias("mixed")), "key"), "shared-regions")
+    # Written first: a join of two plain shuffles can be split where a gram is hot, one with an aggregate on a side cannot.
+    keys = written(keys.select("key", (F.col("least") != F.col("most")).alias("mixed")), "shared-grams")
+    shared = written(found.join(keys, "key"), "shared-regions")
     whole = shared.where("not mixed").select("th", "nb", "lo", "hi")
     # Grams with differing regions: those that occur twice repeat as a whole, the others are compared.
     one = F.min(F.struct("th", "nb", "lo", "hi", "at"))
     classes = written(shared.where("mixed").groupBy("key", "rid").agg(F.count("*").alias("n"), one.alias("first")), "region-classes")
     twice = classes.where("n > 1").select("key", "rid")
     whole = whole.unionByName(shared.where("mixed").join(twice, ["key", "rid"], "left_semi").select("th", "nb", "lo", "hi"))
-    open_keys = classes.groupBy("key").agg(F.count("*").alias("regions"), F.min("n").alias("fewest")).where("fewest = 1").select("key", "regions")
+    open_keys = written(classes.groupBy("key").agg(F.count("*").alias("regions"), F.min("n").alias("fewest")).where("fewest = 1").select("key", "regions"), "open-grams")
     wanted = classes.join(open_keys, "key").select("key", "rid", "first.*", "regions")
     lists = wanted.groupBy("th", "nb").agg(F.collect_list(F.struct("key", "rid", "lo", "hi", "at")).alias("wanted"))
     cut_out = written(texts.join(lists, ["th", "nb"]).select("th", "nb", "text", "wanted").mapInArrow(_cut_regions, "key long, rid long, th long, nb long, lo long, at long, region binary"), "region-texts")
     hot = open_keys.where(F.col("regions") > MOST_REGIONS).select("key")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     compared = cut_out.join(hot, "key", "left_anti").repartition(parts, "key").sortWithinPartitions("key", "rid").mapInArrow(_compare, MARK)
-    windows = cut_out.join(hot, "key", "left_semi").dropDuplicates(["key", "rid"]).mapInArrow(_window_hashes, "h1 long, h2 long, th long, nb long, start long")
-    again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    by_hash = windows.join(again, ["h1", "h2"], "left_semi").select("th", "nb", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    return whole.unionByName(compared).unionByName(by_hash).distinct()
+    marks = whole.unionByName(compared)
+    if not hot.isEmpty():
+        marks = marks.unionByName(_hot_marks(cut_out.join(hot, "key", "left_semi").dropDuplicates(["key", "rid"])))
+    return marks.distinct()
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
