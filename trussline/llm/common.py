@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: `[\x20\x09-\x0D]`, the white space that the contracts name; the same set as Python's bytes.split().
@@ -45,6 +45,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hashed_sample(rows: DataFrame, label: str, k: int, seed: int = 0) -> DataFrame:
+    """doc_id, label of the k rows of every label that hash lowest. Rows far above a label's k-th lowest hash, as its count
+    tells it, are dropped where they are, so what meets in one task is a few times k, not the label's share of the table."""
+    span = 1 << 31
+    ids = rows.select("doc_id", label).withColumn("_h", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(span)))
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    near = ids.join(counts, label).where(F.col("_h") * F.col("_n").cast("double") < 4.0 * k * span).drop("_n")
+    order = Window.partitionBy(label).orderBy("_h", "doc_id")
+    return near.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).select("doc_id", label)
+
+
 def crc_mod(doc_id: Column | str, k: int) -> Column:
     """crc32 of the id as text, modulo k."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % k

@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, hashed_sample, table
 
 HIDDEN, PAD = 8, 256
 #: Bounds of the training sample: documents of a language, windows of a document, bytes of a window.
@@ -158,8 +158,7 @@ def pooled(m: Model, texts: list[bytes]) -> np.ndarray:
 def training_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows and labels of at most DOCS_PER_LANG labelled documents a language, spread over whole texts; bounded, so
     they fit the driver whatever the size of the table. `docs` has doc_id, text, lang."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
-    chosen = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS_PER_LANG).select("doc_id").distinct()
+    chosen = hashed_sample(docs.where("lang is not null and doc_id is not null"), "lang", DOCS_PER_LANG, SEED).select("doc_id").distinct()
 
     def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -17,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, hashed_sample, table
 from .simhash import word_chunks
 
 #: Bound of the training sample: labelled documents of either label. Bound of the vocabulary that is broadcast.
@@ -106,8 +106,7 @@ def _probability(m: Model, x: float) -> float:
 
 def sampled(labelled: DataFrame) -> DataFrame:
     """text, toxic of at most DOCS_PER_LABEL documents of either label, by hashed id; labelled: doc_id, text, toxic."""
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.where("toxic in (0, 1)").select("doc_id", "toxic").withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS_PER_LABEL).select("doc_id").distinct()
+    chosen = hashed_sample(labelled.where("toxic in (0, 1)"), "toxic", DOCS_PER_LABEL).select("doc_id").distinct()
     return labelled.where("toxic in (0, 1)").join(F.broadcast(chosen), "doc_id", "left_semi").select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
 
 
