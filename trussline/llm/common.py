@@ -8,8 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: `[\x20\x09-\x0D]`, the white space that the contracts name; the same set as Python's bytes.split().
-BLANKS = " \t\n\x0b\x0c\r"
+#: Runs of anything but the white space that the contracts name, which is also that of Python's bytes.split().
 WORD = r"[^\x20\x09-\x0D]+"
 
 
