@@ -27,8 +27,9 @@ from .simhash import word_chunks
 DOCS_PER_LABEL, VOCABULARY = 8_000, 50_000
 #: Bytes of a token that stand for it where the token itself is too rare; STEM marks them in the tables.
 STEM_BYTES, STEM = 5, b"\0"
-#: Weight of the prior, drift of a token, bounds of a token's score, least log-odds z that a token needs to count.
-PRIOR, DRIFT, LEAST, MOST, LEAST_Z = 500.0, 0.7, -3.0, 6.0, 2.0
+#: Weight of the prior and its least count of a token (without it a token that one label never has is too uncertain to
+#: count), drift of a token, bounds of a token's score, least log-odds z that a token needs to count.
+PRIOR, LEAST_PRIOR, DRIFT, LEAST, MOST, LEAST_Z = 5000.0, 0.5, 1.2, -3.0, 6.0, 2.3
 EDGES = re.compile(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
 
 
@@ -134,7 +135,7 @@ def fit(labelled: DataFrame) -> Model:
         known = rows.agg(F.avg("toxic")).first()[0]
         base = float(np.clip(0.0 if known is None else known, 1e-3, 1 - 1e-3))
         return Model({}, 1.0, 0.0, 0.0, float(np.log(base / (1 - base))), base)
-    prior = PRIOR * (F.col("y0") + F.col("y1")) / (n0 + n1)
+    prior = LEAST_PRIOR + PRIOR * (F.col("y0") + F.col("y1")) / (n0 + n1)
     odds = lambda y, n: F.log((y + prior) / (n + PRIOR - y - prior))
     delta = odds(F.col("y1"), n1) - odds(F.col("y0"), n0)
     z = delta / F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior))
