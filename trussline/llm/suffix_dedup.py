@@ -321,9 +321,10 @@ def _cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(texts: DataFrame) -> DataFrame:
-    """th, nb, lo, hi: ranges of the starts of windows that occur elsewhere; `texts` has th, nb and text (binary)."""
+    """th, nb, lo, hi: ranges of the starts of windows that occur elsewhere; `texts` has th, nb, text (binary) and pick, a
+    number that tells the copies of a text apart as far as possible."""
     spark = texts.sparkSession
-    found = written(texts.where(F.col("nb") >= LENGTH).mapInArrow(_find, "th long, nb long, lo long, hi long, at long, key long, rid long"), "regions")
+    found = written(texts.where(F.col("nb") >= LENGTH).select("th", "nb", "text").mapInArrow(_find, "th long, nb long, lo long, hi long, at long, key long, rid long"), "regions")
     keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("least"), F.max("rid").alias("most")).where("n > 1")
     # Written first: a join of two plain shuffles can be split where a gram is hot, one with an aggregate on a side cannot.
     keys = written(keys.select("key", (F.col("least") != F.col("most")).alias("mixed")), "shared-grams")
@@ -337,7 +338,9 @@ def repeats(texts: DataFrame) -> DataFrame:
     open_keys = written(classes.groupBy("key").agg(F.count("*").alias("regions"), F.min("n").alias("fewest")).where("fewest = 1").select("key", "regions"), "open-grams")
     wanted = classes.join(open_keys, "key").select("key", "rid", "first.*", "regions")
     lists = wanted.groupBy("th", "nb").agg(F.collect_list(F.struct("key", "rid", "lo", "hi", "at")).alias("wanted"))
-    cut_out = written(texts.join(lists, ["th", "nb"]).select("th", "nb", "text", "wanted").mapInArrow(_cut_regions, "key long, rid long, th long, nb long, lo long, at long, region binary"), "region-texts")
+    # Of the copies of a text only one is cut: the least id.
+    lists = lists.join(texts.groupBy("th", "nb").agg(F.min("pick").alias("pick")), ["th", "nb"])
+    cut_out = written(texts.join(lists, ["th", "nb", "pick"]).select("th", "nb", "text", "wanted").mapInArrow(_cut_regions, "key long, rid long, th long, nb long, lo long, at long, region binary"), "region-texts")
     hot = open_keys.where(F.col("regions") > MOST_REGIONS).select("key")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     compared = cut_out.join(hot, "key", "left_anti").repartition(parts, "key").sortWithinPartitions("key", "rid").mapInArrow(_compare, MARK)
@@ -376,7 +379,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     columns are allowed; an empty table gives an empty result."""
     text = F.col("text").cast("string").cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("nb"))
-    marks = repeats(rows.select("th", "nb", "text")).groupBy("th", "nb").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    marks = repeats(rows.select("th", "nb", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("pick"))).groupBy("th", "nb").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
     joined = rows.join(marks, ["th", "nb"], "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string, kept binary")
 
