@@ -74,3 +74,22 @@ def test_perturbations_come_in_order_of_their_cost():
 @pytest.mark.parametrize("n", [40, 100])
 def test_short_lists_of_perturbations_repeat(n):
     assert len(ann._perturbations(np.array([0.5]), n)) == n
+
+
+def test_few_candidates_are_all_found_however_far(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=24)
+    rows = [(i, [float(a) for a in (x if i % 20 == 0 else -x * (i + 1)) + rng.normal(size=24) / 10]) for i in range(21)]
+    got, want = found(spark, rows), exact(rows, 20)
+    assert {q: [j for j, _ in v] for q, v in got.items()} == {q: [j for j, _ in v] for q, v in want.items()}
+
+
+def test_all_rows_are_compared_where_probes_do_not_suffice(spark, monkeypatch):
+    monkeypatch.setattr(ann, "FEWEST", 1)
+    monkeypatch.setattr(ann, "MOST", 1)
+    monkeypatch.setattr(ann, "ROWS_PER_BIN", 90)
+    monkeypatch.setattr(ann, "QUERIES_PER_BLOCK", 5)
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(a) for a in rng.normal(size=32)]) for i in range(400)]
+    got, want = found(spark, rows), exact(rows, 20)
+    assert {q: [j for j, _ in v] for q, v in got.items()} == {q: [j for j, _ in v] for q, v in want.items()}

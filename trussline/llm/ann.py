@@ -137,8 +137,18 @@ def _rank(k: int):
     return run
 
 
-def _calibrated(classes: DataFrame, queries: DataFrame, hasher: Hasher, k: int) -> int:
-    """Probes that find RECALL of the true neighbours of SAMPLE queries; what is collected is bounded by SAMPLE * k."""
+def _exact(classes: DataFrame, queries: DataFrame, n: int, n_queries: int, k: int) -> DataFrame:
+    """query, cid, score: the k best of all n classes for every query, without the index."""
+    bins, blocks = max(1, -(-n // ROWS_PER_BIN)), max(1, -(-n_queries // QUERIES_PER_BLOCK))
+    each, bucket = F.sequence(F.lit(0), F.lit(blocks - 1)), F.lit(0).cast("long")
+    rows = classes.select(F.pmod(F.xxhash64("cid"), F.lit(bins)).cast("int").alias("bin"), F.explode(each).alias("block"), bucket.alias("bucket"), "cid", "vec")
+    asks = queries.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"), "query", F.array(bucket).alias("buckets"), "vec")
+    return rows.groupBy("bin", "block").cogroup(asks.groupBy("bin", "block")).applyInPandas(_rank(k), "query long, cid long, score double")
+
+
+def _calibrated(classes: DataFrame, queries: DataFrame, hasher: Hasher, k: int) -> int | None:
+    """Probes that find RECALL of the true neighbours of SAMPLE queries, None if MOST do not; what is collected is bounded
+    by SAMPLE * k."""
     sample = queries.orderBy(F.xxhash64("query"), "query").limit(SAMPLE).toPandas()
     own, q = sample["query"].to_numpy(), _matrix(sample["vec"])
     shared = classes.sparkSession.sparkContext.broadcast((own, q))
@@ -159,12 +169,12 @@ def _calibrated(classes: DataFrame, queries: DataFrame, hasher: Hasher, k: int)
         return FEWEST
     targets, i = hasher.rows(_matrix(found["vec"])), found["i"].to_numpy()
     n = FEWEST
-    while n < MOST:
+    while n <= MOST:
         p = hasher.probes(q, n)
         if np.mean([any((p[t, j] == targets[t, r]).any() for t in range(TABLES)) for r, j in enumerate(i)]) >= RECALL:
-            break
+            return n
         n *= 2
-    return n
+    return None
 
 
 def usable(vec: Column) -> Column:
@@ -180,7 +190,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     not the commonest length take no part; a query's candidates are all rows of other ids. Equal vectors are one entry
     of the index that holds its k + 1 smallest ids, which is all that can be among a query's k nearest. Buckets over
     ROWS_PER_BIN rows are split and queries meet them in blocks, so nothing is dropped and no task holds a whole bucket.
-    Repeated rows count once; an empty table or no query gives no rows."""
+    A query that finds fewer rows than k and its candidates allow is compared with all classes, and so is every query
+    where MOST probes do not find RECALL. Repeated rows count once; an empty table or no query gives no rows."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"), is_query.alias("asks")).where(usable(F.col("vec")) & F.col("vec_id").isNotNull()).distinct()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -198,7 +209,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         return empty
     norm = classes.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     hasher = Hasher.drawn(dimensions, norm)
+
+    def lists(found: DataFrame, asking: DataFrame) -> DataFrame:
+        merged = found.groupBy("query", "cid").agg(F.max("score").alias("score"))
+        merged = merged.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cid"))).where(F.col("n") <= k + 1)
+        near = merged.join(classes.select("cid", "members"), "cid").select("query", "score", F.explode("members").alias("vec_id"))
+        # A class of queries gets one list of k + 1 rows, and each query leaves itself out.
+        near = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1).drop("n")
+        own = asking.select("query_id", "query").join(near, "query").where("vec_id <> query_id")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return own.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
     probes = _calibrated(classes, queries, hasher, k)
+    if probes is None:
+        return lists(_exact(classes, queries, n, n_queries, k + 1), asking)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -227,14 +251,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     visits = visits.select(to_bin, code, "query").groupBy("bin", "query").agg(F.collect_set("bucket").alias("buckets")).join(queries, "query")
     visits = visits.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
     found = dealt.groupBy("bin", "block").cogroup(visits.groupBy("bin", "block")).applyInPandas(_rank(k + 1), "query long, cid long, score double")
-    merged = found.groupBy("query", "cid").agg(F.max("score").alias("score"))
-    merged = merged.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cid"))).where(F.col("n") <= k + 1)
-    near = merged.join(classes.select("cid", "members"), "cid").select("query", "score", F.explode("members").alias("vec_id"))
-    # A class of queries gets one list of k + 1 rows, and each query leaves itself out.
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1).drop("n")
-    own = asking.select("query_id", "query").join(near, "query").where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return own.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = cut(lists(found, asking))
+    # Candidates of a query: all rows but those of its own id.
+    had = near.groupBy("query_id").agg(F.count("*").alias("had"))
+    same = rows.join(asking.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi").groupBy(F.col("vec_id").alias("query_id")).agg(F.count("*").alias("same"))
+    few = same.join(had, "query_id", "left").where(F.coalesce("had", F.lit(0)) < F.least(F.lit(k), F.lit(rows.count()) - F.col("same"))).select("query_id")
+    short = cut(asking.join(few, "query_id", "left_semi"))
+    left = short.select("query", "vec").dropDuplicates(["query"])
+    n_left = left.count()
+    if not n_left:
+        return near
+    return near.join(short.select("query_id"), "query_id", "left_anti").select(near.columns).unionByName(lists(_exact(classes, left, n, n_left, k + 1), short))
 
 
 def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
