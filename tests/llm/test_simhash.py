@@ -66,3 +66,10 @@ def test_long_texts_are_hashed_in_chunks(monkeypatch):
     whole = S.shingle_hashes(text, 3)
     monkeypatch.setattr(S, "CHUNK", 700)
     assert (S.shingle_hashes(text, 3) == whole).all()
+
+
+def test_short_sequences_over_several_chunks(monkeypatch):
+    texts = [" " * 40 + "one two", "a" * 30 + " " + "b" * 30, "c" + " " * 40, " " * 40, "d" * 20 + "\n" * 40 + "e f g"]
+    whole = [S.shingle_hashes(t, 3).tolist() for t in texts]
+    monkeypatch.setattr(S, "CHUNK", 8)
+    assert [S.shingle_hashes(t, 3).tolist() for t in texts] == whole

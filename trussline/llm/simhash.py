@@ -45,11 +45,11 @@ def word_chunks(text: bytes, keep: int) -> Iterator[list[bytes]]:
 def shingle_hashes(text: str, size: int) -> np.ndarray:
     """XXH64 (seed 42) of every shingle of `size` words, repeats included; of the whole sequence if it is shorter."""
     digest = partial(xxhash.xxh64_intdigest, seed=SEED)
-    parts, seen = [], 0
+    parts, seen, whole = [], 0, []
     for words in word_chunks(text.encode("utf-8", "replace").lower(), size - 1):
         seen += len(words)
         grams = list(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
-        if not parts and not grams:
+        if not any(map(len, parts)) and not grams:
             whole = words
         parts.append(np.fromiter(map(digest, grams), np.uint64, len(grams)))
     out = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
