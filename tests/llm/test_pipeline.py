@@ -36,3 +36,17 @@ def test_stages_and_run(spark, tmp_path):
 def test_registered_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries() if n.startswith("op"))
     assert numbers == list(range(1, 11)) and "pipeline" in queries() and oracles().keys() <= queries().keys()
+
+
+def test_language_without_labels_drops_only_texts_without_a_letter(spark):
+    rows = [(1, "plain words of a clean text", None), (2, "12 34 !", None), (3, None, None), (4, "more of them", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [1, 4]
+
+
+def test_language_fills_what_is_not_labelled(spark):
+    rng = random.Random(8)
+    made = [(i, " ".join(rng.choice(["the cat", "went home", "with"] if i % 2 else ["der Hund", "lief heim", "mit"]) for _ in range(30))) for i in range(80)]
+    docs = spark.createDataFrame([(i, t, None if i < 10 else ["de", "en"][i % 2]) for i, t in made], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert got == {i: ["de", "en"][i % 2] for i, _ in made}

@@ -192,7 +192,7 @@ def identify(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...] = ()) -
     rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.when(F.col("text").cast("string").rlike(r"\p{L}"), F.col("text").cast("string")).alias("text"))
     named = {f"k{i}": c for i, c in enumerate(keep)}
     if not langs:
-        return rows.withColumnsRenamed(named).drop("text").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return rows.drop("text").withColumnsRenamed(named).withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(train(windows, labels, langs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
