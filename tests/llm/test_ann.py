@@ -1,5 +1,5 @@
 import numpy as np
-import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from trussline.llm import ann
@@ -47,7 +47,7 @@ def test_recall_and_order(spark):
 
 
 def test_one_common_vector_fills_its_queries(spark, monkeypatch):
-    monkeypatch.setattr(ann, "ROWS_PER_BIN", 40)
+    monkeypatch.setattr(ann, "BIN_BYTES", 1)  # bins of 256 rows
     monkeypatch.setattr(ann, "QUERIES_PER_BLOCK", 5)
     rng = np.random.default_rng(2)
     rows = [(i, [1.0, 2.0, 0.0, 1.0]) for i in range(300)] + [(i, [float(a) for a in rng.normal(size=4)]) for i in range(300, 700)]
@@ -64,16 +64,64 @@ def test_odd_rows(spark):
     assert found(spark, [(1, [1.0])]) == {} and found(spark, []) == {}
 
 
-def test_perturbations_come_in_order_of_their_cost():
-    x = np.array([0.1, 0.45, 0.8])
-    sets = ann._perturbations(x, 15)
-    cost = [sum(((1 - a) if d > 0 else a) ** 2 for a, d in zip(x, s) if d) for s in sets]
-    assert cost == sorted(cost) and len({tuple(s) for s in sets}) == 15
-
-
-@pytest.mark.parametrize("n", [40, 100])
-def test_short_lists_of_perturbations_repeat(n):
-    assert len(ann._perturbations(np.array([0.5]), n)) == n
+def test_perturbations_come_in_order_of_their_expected_cost():
+    m, n = 3, 15
+    rng = np.random.default_rng(3)
+    inside = rng.random((4000, m))
+    borders = np.sort(np.concatenate([inside, 1 - inside], axis=1), axis=1) ** 2
+    cost = borders.mean(axis=0) @ ann.perturbations(m, n).T.astype(float)
+    assert (np.diff(cost) > -0.01).all() and len(np.unique(ann.perturbations(m, n), axis=0)) == n
+    # Both sides of a cell are never crossed at once, and there are 3 ** m sets in all.
+    sets = ann.perturbations(m, 1000)
+    assert len(sets) == 3**m and not (sets[:, :m] * sets[:, ::-1][:, :m]).any()
+
+
+def test_visits_are_neighbouring_cells():
+    h = ann.Hasher.drawn(5, 1.0, 4, 0.7)
+    q = np.random.default_rng(4).normal(size=(6, 5))
+    cells = np.floor(h._cells(np.c_[q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros(6)]))
+    steps = np.array(np.meshgrid(*[[-1, 0, 1]] * 4)).reshape(4, -1).T
+    want = h._codes((cells[:, :, None] + steps).reshape(ann.TABLES, -1, 4)).view(np.int64).reshape(ann.TABLES, 6, -1)
+    got = h.visits(q, 81)
+    assert (np.sort(got, axis=2) == np.sort(want, axis=2)).all() and (got[..., 0] == h._codes(cells).view(np.int64)).all()
+
+
+def test_scores_do_not_depend_on_what_meets():
+    rng = np.random.default_rng(5)
+    q, x = rng.normal(size=(7, 64)), rng.normal(size=(7, 64))
+    assert (ann.exact_scores(q, x)[:1] == ann.exact_scores(q[:1], x[:1])).all()
+
+
+def clustered(n, rng, dimensions=32):
+    centres = rng.normal(size=(n // 50, dimensions))
+    x = centres[rng.integers(0, len(centres), n)] + 0.3 * rng.normal(size=(n, dimensions))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_share_of_rows_scored_falls_as_the_table_grows(spark):
+    shares = []
+    for n in (2_000, 24_000):
+        x = clustered(n, np.random.default_rng(8))
+        df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+        got = ann.nearest(df, F.col("vec_id") % 20 == 0).toPandas()
+        score = x[::20].astype(float) @ x.T.astype(float)
+        score[np.arange(len(score)), np.arange(0, n, 20)] = -np.inf
+        want = np.argsort(-score, axis=1)[:, :20]
+        near = got.groupby("query_id")["vec_id"].agg(set)
+        assert np.mean([len(near[20 * i] & set(w.tolist())) / 20 for i, w in enumerate(want)]) >= 0.93
+        shares.append(got.groupby("query_id")["scored"].first().mean() / n)
+    assert shares[1] < 0.5 * shares[0] and shares[1] < 0.05, shares
+
+
+def test_vectors_go_only_to_blocks_that_visit_their_bucket(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERIES_PER_BLOCK", 3)
+    index = spark.createDataFrame([(b, 10 * b + i, [1.0, float(i)]) for b in range(4) for i in range(5)], "bucket long, cid long, vec array<double>")
+    queries = spark.createDataFrame([(q, [1.0, 0.5]) for q in range(9)], "query long, vec array<double>")
+    # Every query visits bucket 0, one visits bucket 1, none the others.
+    visits = spark.createDataFrame([(0, q) for q in range(9)] + [(1, 4)], "bucket long, query long")
+    got = {r.query: (sorted(c for q, c in [(x.query, x.cid) for x in rows] if q == r.query), n) for rows in [ann._meet(index, visits, queries, 2, 99).collect()] for r in rows for n in [sum(x.scored for x in rows if x.query == r.query)]}
+    assert {q: n for q, (_, n) in got.items()} == {q: 10 if q == 4 else 5 for q in range(9)}
+    assert got[4][0] == [0, 1, 2, 3, 4, 10, 11, 12, 13, 14]
 
 
 def test_few_candidates_are_all_found_however_far(spark):
@@ -85,9 +133,8 @@ def test_few_candidates_are_all_found_however_far(spark):
 
 
 def test_all_rows_are_compared_where_probes_do_not_suffice(spark, monkeypatch):
-    monkeypatch.setattr(ann, "FEWEST", 1)
-    monkeypatch.setattr(ann, "MOST", 1)
-    monkeypatch.setattr(ann, "ROWS_PER_BIN", 90)
+    for name, value in {"LEAST_PROBES": 1, "MOST_PROBES": 1, "HASHES": (24,), "WIDTHS": (0.75,), "BIN_BYTES": 1}.items():
+        monkeypatch.setattr(ann, name, value)
     monkeypatch.setattr(ann, "QUERIES_PER_BLOCK", 5)
     rng = np.random.default_rng(7)
     rows = [(i, [float(a) for a in rng.normal(size=32)]) for i in range(400)]

@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by largest inner product: multiprobe p-stable hashing.
 
 Vectors are scaled to norm 1 at most and get one more component that makes their norm 1, queries are scaled to norm 1:
-the largest inner product is then the smallest distance. Each table hashes with `hashes` Gaussian projections cut into
-cells of `width`. A query visits its own bucket and perturbed ones in the order of their estimated success (the sum of
-squared distances to the cells crossed); candidates of all tables are merged and ranked by the exact inner product.
+the largest inner product is then the smallest distance. Each table hashes with Gaussian projections cut into cells. A
+query visits its own bucket and perturbed ones in the order of their estimated success; candidates of all tables are
+merged and ranked by the exact inner product. Projections, cell width and probes follow from a bounded sample: of the
+layouts that find RECALL of true neighbours, the one that scores the fewest rows. A vector goes only where a query
+visits its bucket.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -19,72 +22,91 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-TABLES, HASHES, WIDTH, SEED = 4, 8, 2.5, 11
-#: Probes of a table are doubled from FEWEST until the sampled queries find RECALL of their true neighbours.
-FEWEST, MOST, RECALL, SAMPLE = 25, 3200, 0.96, 48
-#: Rows and queries that meet in one task.
-ROWS_PER_BIN, QUERIES_PER_BLOCK = 20_000, 4_000
+TABLES, SEED = 8, 11
+#: Layouts that the sample chooses from: projections of a table, and cell widths as multiples of a true neighbour's distance.
+HASHES, WIDTHS = (4, 6, 8, 12, 16, 24), (0.75, 1.25, 2.0, 3.0, 5.0)
+#: Probes of a table: one for ROWS_PER_PROBE rows of the index, within these bounds. A large index pays for finer cells.
+LEAST_PROBES, MOST_PROBES, ROWS_PER_PROBE = 200, 12_800, 32
+#: Share of true neighbours to find, and bounds of the sample: queries and rows.
+RECALL, SAMPLE, SAMPLE_ROWS = 0.96, 64, 4000
+#: What a visit costs, in rows scored.
+VISIT_COST = 4.0
+#: Bytes of vectors that meet in one task, and queries that meet a part of a bucket at once.
+BIN_BYTES, QUERIES_PER_BLOCK = 16 << 20, 4_000
 #: Candidates a task gathers before it keeps the best of each query.
 BUFFER = 400_000
 
 
+@cache
+def perturbations(hashes: int, n: int) -> np.ndarray:
+    """The n sets of steps to neighbouring cells that succeed most often, best first, as rows of 0 and 1: column j stands
+    for the j-th nearest of a query's 2 * hashes cell borders. The expected squared distance to the j-th is known, and the
+    j-th and the j-th from the end are the two sides of one cell, so a set holds one of them at most."""
+    m = hashes
+    j = np.arange(1, 2 * m + 1)
+    other = 2 * m + 1 - j
+    cost = np.where(j <= m, j * (j + 1) / (4 * (m + 1) * (m + 2)), 1 - other / (m + 1) + other * (other + 1) / (4 * (m + 1) * (m + 2)))
+    out, heap = [()], [(float(cost[0]), (0,))]
+    while heap and len(out) < n:
+        total, chosen = heapq.heappop(heap)
+        if len({min(c, 2 * m - 1 - c) for c in chosen}) == len(chosen):
+            out.append(chosen)
+        last = chosen[-1]
+        if last + 1 < 2 * m:
+            heapq.heappush(heap, (total - float(cost[last]) + float(cost[last + 1]), (*chosen[:-1], last + 1)))
+            heapq.heappush(heap, (total + float(cost[last + 1]), (*chosen, last + 1)))
+    sets = np.zeros((len(out), 2 * m), np.uint64)
+    for row, chosen in zip(sets, out, strict=True):
+        row[list(chosen)] = 1
+    return sets
+
+
 @dataclass
 class Hasher:
     a: np.ndarray  # [tables, dimensions + 1, hashes]
-    b: np.ndarray  # [tables, hashes]
+    b: np.ndarray  # [tables, hashes], in cells
+    r: np.ndarray  # [tables, hashes + 1] odd numbers: a bucket's number is linear in its cells
+    width: float
     norm: float  # the largest norm
+    probes: int = 1
 
     @classmethod
-    def drawn(cls, dimensions: int, norm: float) -> Hasher:
+    def drawn(cls, dimensions: int, norm: float, hashes: int, width: float) -> Hasher:
         rng = np.random.default_rng(SEED)
-        return cls(rng.normal(size=(TABLES, dimensions + 1, HASHES)), rng.random((TABLES, HASHES)) * WIDTH, norm)
+        a, b = rng.normal(size=(TABLES, dimensions + 1, hashes)), rng.random((TABLES, hashes))
+        return cls(a, b, rng.integers(0, 2**63, (TABLES, hashes + 1), np.uint64) * np.uint64(2) + np.uint64(1), width, norm)
 
     def _cells(self, x: np.ndarray) -> np.ndarray:
-        return (np.einsum("nd,ldk->lnk", x, self.a) + self.b[:, None]) / WIDTH
+        return np.matmul(x, self.a) / self.width + self.b[:, None]
 
-    def codes(self, cells: np.ndarray) -> np.ndarray:
-        """One number for each bucket: its cells as digits."""
-        return ((cells + 16) * (32 ** np.arange(HASHES))).sum(axis=-1).astype(np.int64)
+    def _codes(self, cells: np.ndarray) -> np.ndarray:
+        return np.matmul(cells.astype(np.int64).view(np.uint64), self.r[:, :-1, None])[..., 0] + self.r[:, -1:]
 
     def rows(self, x: np.ndarray) -> np.ndarray:
-        """Buckets [tables, rows]."""
+        """Buckets [tables, rows]; buckets of different tables have different numbers."""
         x = x / self.norm
         rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))
-        return self.codes(np.floor(self._cells(np.c_[x, rest])).astype(np.int64))
+        return self._codes(np.floor(self._cells(np.c_[x, rest]))).view(np.int64)
 
-    def probes(self, q: np.ndarray, n: int) -> np.ndarray:
-        """Buckets [tables, queries, n] in the order of estimated success."""
+    def visits(self, q: np.ndarray, n: int) -> np.ndarray:
+        """Buckets [tables, queries, n] in the order of estimated success (fewer where there are not so many)."""
         at = self._cells(np.c_[q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros(len(q))])
-        cells = np.floor(at).astype(np.int64)
-        return np.array([[self.codes(cells[t, i] + _perturbations(at[t, i] - cells[t, i], n)) for i in range(len(q))] for t in range(TABLES)])
-
-
-def _perturbations(inside: np.ndarray, n: int) -> np.ndarray:
-    """The n best sets of steps to neighbouring cells, best first; the last repeats if there are fewer."""
-    k = len(inside)
-    steps = sorted([(x * x, i, -1) for i, x in enumerate(inside)] + [((1 - x) ** 2, i, 1) for i, x in enumerate(inside)])
-    cost, out, heap = [s[0] for s in steps], [np.zeros(k, np.int64)], [(steps[0][0], (0,))]
-    while heap and len(out) < n:
-        total, chosen = heapq.heappop(heap)
-        dims = [steps[j][1] for j in chosen]
-        if len(set(dims)) == len(dims):
-            step = np.zeros(k, np.int64)
-            for j in chosen:
-                step[steps[j][1]] = steps[j][2]
-            out.append(step)
-        last = chosen[-1]
-        if last + 1 < 2 * k:
-            heapq.heappush(heap, (total - cost[last] + cost[last + 1], (*chosen[:-1], last + 1)))
-            heapq.heappush(heap, (total + cost[last + 1], (*chosen, last + 1)))
-    return np.array(out + out[-1:] * (n - len(out)))
+        cells = np.floor(at)
+        sets, own = perturbations(self.a.shape[2], n)[:n], self._codes(cells)
+        inside = at - cells
+        order = np.argsort(np.concatenate([inside, 1 - inside], axis=2), axis=2, kind="stable")
+        r = self.r[:, None, :-1]
+        steps = np.take_along_axis(np.broadcast_to(np.concatenate([~r + np.uint64(1), r], axis=2), order.shape), order, axis=2)
+        return (own[..., None] + np.matmul(steps, sets.T)).view(np.int64)
 
 
 def _matrix(s: pd.Series) -> np.ndarray:
     return np.stack(s.to_numpy()).astype(np.float64)
 
 
-def _best(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of each query, a candidate once, ties to smaller ids."""
+def _best(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int, slack: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """The k best candidates of each query, a candidate once, ties to smaller ids; with `slack` also those whose score is
+    as near to the k-th. The last array has the k-th score of each query that has k, by query."""
     order = np.lexsort((-s, c, q))
     q, c, s = q[order], c[order], s[order]
     once = np.r_[True, (q[1:] != q[:-1]) | (c[1:] != c[:-1])] if len(q) else np.zeros(0, bool)
@@ -92,89 +114,171 @@ def _best(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarr
     order = np.lexsort((c, -s, q))
     q, c, s = q[order], c[order], s[order]
     starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, int)
-    keep = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)])) < k
-    return q[keep], c[keep], s[keep]
+    sizes = np.diff(np.r_[starts, len(q)])
+    keep = np.arange(len(q)) - np.repeat(starts, sizes) < k
+    full = starts[sizes >= k] + k - 1
+    least = dict(zip(q[full].tolist(), s[full].tolist(), strict=True))
+    if slack is not None and len(q):
+        bound = np.full(int(q.max()) + 1, -np.inf)
+        bound[q[full]] = s[full]
+        keep |= np.isfinite(bound[q]) & (s >= bound[q] - slack[q])
+    return q[keep], c[keep], s[keep], least
+
+
+def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of rows of equal place, summed from the first component to the last whatever the number of rows."""
+    out = np.zeros(len(q))
+    for d in range(q.shape[1]):
+        out += q[:, d] * x[:, d]
+    return out
+
+
+FOUND = "query long, cid long, score double, scored long"
 
 
 def _rank(k: int):
-    """Exact scores of the candidates of one bin and one block of queries; the k best of each query."""
-
-    def run(rows: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query": np.zeros(0, np.int64), "cid": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if rows.empty or probes.empty:
-            return none
-        rows = rows.sort_values("bucket", kind="stable")
-        x, ids, bucket = _matrix(rows["vec"]), rows["cid"].to_numpy(), rows["bucket"].to_numpy()
-        queries, qx = probes["query"].to_numpy(), _matrix(probes["vec"])
-        sizes = probes["buckets"].map(len).to_numpy()
-        visits = pd.DataFrame({"bucket": np.concatenate(probes["buckets"].to_numpy()), "i": np.repeat(np.arange(len(probes)), sizes)})
-        least = np.full(len(queries), -np.inf)
+    """Exact scores of the candidates of one bin's parts of buckets; the k best of each query, and how many were scored.
+
+    Products of whole blocks only choose; what they may have ordered wrongly by rounding is kept until the scores are
+    computed in one fixed order, so they do not depend on what meets in a task."""
+
+    def run(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or asks.empty:
+            return pd.DataFrame({"query": np.zeros(0, np.int64), "cid": np.zeros(0, np.int64), "score": np.zeros(0), "scored": np.zeros(0, np.int64)})
+        # One vector a candidate, though tables can bring it to a bin more than once.
+        ids, first, place = np.unique(rows["cid"].to_numpy(), return_index=True, return_inverse=True)
+        x, unit = _matrix(rows["vec"].iloc[first]), rows["unit"].to_numpy()
+        order = np.argsort(unit, kind="stable")
+        unit, place = unit[order], place.ravel()[order]
+        queries, qx = asks["query"].to_numpy(), _matrix(asks["vec"])
+        sizes = asks["units"].map(len).to_numpy()
+        units, i = np.concatenate(asks["units"].to_numpy()), np.repeat(np.arange(len(asks)), sizes)
+        order = np.argsort(units, kind="stable")
+        units, i = units[order], i[order]
+        edges = np.flatnonzero(np.r_[True, units[1:] != units[:-1], True])
+        lo, hi = np.searchsorted(unit, units[edges[:-1]], "left"), np.searchsorted(unit, units[edges[:-1]], "right")
+        slack = 1e-12 * np.linalg.norm(qx, axis=1) * np.linalg.norm(x, axis=1).max()
+        least, scored = np.full(len(queries), -np.inf), np.bincount(i, np.repeat(hi - lo, np.diff(edges)), len(queries)).astype(np.int64)
         held, n = [], 0
 
         def prune():
-            q, c, s = _best(*(np.concatenate(p) for p in zip(*held, strict=True)), k)
-            ends = np.flatnonzero(np.r_[q[1:] != q[:-1], True])
-            full = np.r_[ends[0] + 1, np.diff(ends)] == k
-            least[q[ends[full]]] = s[ends[full]]
+            q, c, s, bound = _best(*(np.concatenate(p) for p in zip(*held, strict=True)), k, slack)
+            least[list(bound)] = list(bound.values())
             return [(q, c, s)], len(q)
 
-        for code, i in visits.groupby("bucket")["i"]:
-            lo, hi = np.searchsorted(bucket, [code, code + 1])
-            i = i.to_numpy()
-            for a in range(lo, hi, 1024):
-                b = min(hi, a + 1024)
-                score = qx[i] @ x[a:b].T
-                r, c = np.nonzero(score >= least[i][:, None])
-                held.append((i[r], ids[a + c], score[r, c]))
+        for e, a, z in zip(range(len(edges) - 1), lo, hi, strict=True):
+            own = i[edges[e] : edges[e + 1]]
+            for b in range(a, z, 1024):
+                at = place[b : min(z, b + 1024)]
+                score = qx[own] @ x[at].T
+                r, c = np.nonzero(score >= (least[own] - slack[own])[:, None])
+                held.append((own[r], at[c], score[r, c]))
                 n += len(r)
                 if n > BUFFER:
                     held, n = prune()
-        if not held:
-            return none
-        (q, c, s), = prune()[0]
-        return pd.DataFrame({"query": queries[q], "cid": c, "score": s})
+        (q, c, _), = prune()[0]
+        q, c, s, _ = _best(q, c, exact_scores(qx[q], x[c]), k)
+        told = np.r_[True, q[1:] != q[:-1]]  # the number scored once a query
+        return pd.DataFrame({"query": queries[q], "cid": ids[c], "score": s, "scored": np.where(told, scored[q], 0)})
 
     return run
 
 
-def _exact(classes: DataFrame, queries: DataFrame, n: int, n_queries: int, k: int) -> DataFrame:
-    """query, cid, score: the k best of all n classes for every query, without the index."""
-    bins, blocks = max(1, -(-n // ROWS_PER_BIN)), max(1, -(-n_queries // QUERIES_PER_BLOCK))
-    each, bucket = F.sequence(F.lit(0), F.lit(blocks - 1)), F.lit(0).cast("long")
-    rows = classes.select(F.pmod(F.xxhash64("cid"), F.lit(bins)).cast("int").alias("bin"), F.explode(each).alias("block"), bucket.alias("bucket"), "cid", "vec")
-    asks = queries.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"), "query", F.array(bucket).alias("buckets"), "vec")
-    return rows.groupBy("bin", "block").cogroup(asks.groupBy("bin", "block")).applyInPandas(_rank(k), "query long, cid long, score double")
-
-
-def _calibrated(classes: DataFrame, queries: DataFrame, hasher: Hasher, k: int) -> int | None:
-    """Probes that find RECALL of the true neighbours of SAMPLE queries, None if MOST do not; what is collected is bounded
-    by SAMPLE * k."""
-    sample = queries.orderBy(F.xxhash64("query"), "query").limit(SAMPLE).toPandas()
-    own, q = sample["query"].to_numpy(), _matrix(sample["vec"])
+def _meet(index: DataFrame, visits: DataFrame, queries: DataFrame, dimensions: int, k: int) -> DataFrame:
+    """query, cid, score, scored: the k best of every bin for the queries that visit it. `index`: bucket, cid, vec;
+    `visits`: bucket, query, a visit once; `queries`: query, vec.
+
+    A bucket over a bin's bytes is split, the queries that visit it come in blocks, and its vectors are copied to those
+    blocks only: rows dealt out are in proportion to visits, however many queries there are in all."""
+    per_bin = max(256, BIN_BYTES // (8 * dimensions))
+    visits = cut(visits.join(index.groupBy("bucket").agg(F.count("*").alias("rows")), "bucket"))
+    parts = visits.groupBy("bucket").agg(F.count("*").alias("visits"), F.first("rows").alias("rows"))
+    parts = cut(parts.select("bucket", F.ceil(F.col("rows") / per_bin).cast("int").alias("splits"), F.ceil(F.col("visits") / QUERIES_PER_BLOCK).cast("int").alias("blocks"), "rows", "visits"))
+    total = parts.agg(F.sum(F.col("rows") * F.col("blocks")), F.sum(F.col("visits") * F.col("splits"))).first()
+    bins = max(1, -(-max(total[0] or 0, (total[1] or 0) // 4) // per_bin))
+    parts = parts.select("bucket", "splits", "blocks")
+    unit = F.xxhash64("bucket", "split", "block")
+    to_bin, each = F.pmod(F.xxhash64("unit", F.lit(1)), F.lit(bins)).cast("int").alias("bin"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = index.join(parts, "bucket").withColumn("split", F.pmod(F.xxhash64("cid"), "splits").cast("int")).withColumn("block", each("blocks"))
+    rows = rows.withColumn("unit", unit).select(to_bin, "unit", "cid", "vec")
+    asks = visits.join(parts, "bucket").withColumn("block", F.pmod(F.xxhash64("query"), "blocks").cast("int")).withColumn("split", each("splits"))
+    asks = asks.withColumn("unit", unit).select(to_bin, "unit", "query").groupBy("bin", "query").agg(F.collect_list("unit").alias("units")).join(queries, "query")
+    return rows.groupBy("bin").cogroup(asks.groupBy("bin")).applyInPandas(_rank(k), FOUND)
+
+
+def _exact(classes: DataFrame, queries: DataFrame, dimensions: int, k: int) -> DataFrame:
+    """The k best of all classes for every query, without the index: all of them are one bucket."""
+    one = F.lit(0).cast("long").alias("bucket")
+    return _meet(classes.select(one, "cid", "vec"), queries.select(one, "query"), queries, dimensions, k)
+
+
+def true_neighbours(classes: DataFrame, own: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
+    """i, score, vec: the k nearest of all classes to each of a few queries; a task keeps k a query."""
     shared = classes.sparkSession.sparkContext.broadcast((own, q))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, q = shared.value
+        s, vec = np.zeros((len(q), 0)), np.zeros((len(q), 0, q.shape[1]))
         for b in batches:
             if len(b):
-                s = q @ _matrix(b["vec"]).T
-                s[own[:, None] == b["cid"].to_numpy()[None]] = -np.inf
+                x = _matrix(b["vec"])
+                new = q @ x.T
+                new[own[:, None] == b["cid"].to_numpy()[None]] = -np.inf
+                top = np.argsort(-new, axis=1, kind="stable")[:, :k]
+                s, vec = np.concatenate([s, np.take_along_axis(new, top, axis=1)], axis=1), np.concatenate([vec, x[top]], axis=1)
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                i = np.repeat(np.arange(len(q)), top.shape[1])
-                yield pd.DataFrame({"i": i, "score": s[i, top.ravel()], "vec": list(b["vec"].to_numpy()[top.ravel()])})
+                s, vec = np.take_along_axis(s, top, axis=1), np.take_along_axis(vec, top[:, :, None], axis=1)
+        yield pd.DataFrame({"i": np.repeat(np.arange(len(q)), s.shape[1]), "score": s.ravel(), "vec": list(vec.reshape(-1, q.shape[1]))})
 
     best = Window.partitionBy("i").orderBy(F.desc("score"))
-    found = classes.mapInPandas(nearest, "i long, score double, vec array<double>").where(F.col("score") > float("-inf")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).toPandas()
-    if found.empty:
-        return FEWEST
-    targets, i = hasher.rows(_matrix(found["vec"])), found["i"].to_numpy()
-    n = FEWEST
-    while n <= MOST:
-        p = hasher.probes(q, n)
-        if np.mean([any((p[t, j] == targets[t, r]).any() for t in range(TABLES)) for r, j in enumerate(i)]) >= RECALL:
-            return n
-        n *= 2
-    return None
+    found = classes.select("cid", "vec").mapInPandas(nearest, "i long, score double, vec array<double>").where(F.col("score") > float("-inf"))
+    return found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).toPandas()
+
+
+def _ranks(hasher: Hasher, q: np.ndarray, codes: np.ndarray, most: int) -> np.ndarray:
+    """[tables, queries, rows]: which probe of a query meets a row of these buckets, `most` if none does."""
+    visits = hasher.visits(q, most)
+    out = np.full((TABLES, len(q), codes.shape[1]), most, np.int32)
+    for t in range(TABLES):
+        for i in range(len(q)):
+            order = np.argsort(visits[t, i], kind="stable")
+            at = np.minimum(np.searchsorted(visits[t, i], codes[t], sorter=order), visits.shape[2] - 1)
+            out[t, i] = np.where(visits[t, i][order[at]] == codes[t], order[at], most)
+    return out
+
+
+def calibrated(classes: DataFrame, queries: DataFrame, n: int, n_queries: int, dimensions: int, norm: float, k: int) -> Hasher | None:
+    """The layout that finds RECALL of the true neighbours of about SAMPLE queries and scores the fewest rows, as about
+    SAMPLE_ROWS rows tell it; None if no layout does within the probes that so large an index allows."""
+    most = min(MOST_PROBES, max(LEAST_PROBES, n // ROWS_PER_PROBE))
+
+    def some(rows: DataFrame, key: str, n: int, most: int) -> pd.DataFrame:
+        return rows.where(F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(max(1, -(-n // most)))) == 0).toPandas().sort_values(key)
+
+    asked = some(queries, "query", n_queries, SAMPLE)
+    if asked.empty:
+        asked = queries.orderBy("query").limit(1).toPandas()
+    own, q = asked["query"].to_numpy(), _matrix(asked["vec"])
+    found, seen = true_neighbours(classes, own, q, k), some(classes.select("cid", "vec"), "cid", n, SAMPLE_ROWS)
+    if found.empty or seen.empty:
+        return None
+    near, i, x = _matrix(found["vec"]), found["i"].to_numpy(), _matrix(seen["vec"])
+    gap = np.sqrt(np.maximum(0, 2 - 2 * found["score"].to_numpy() / (np.linalg.norm(q, axis=1)[i] * norm)))
+    scale = float(np.quantile(gap, 0.75)) or 1e-3
+    best = None
+    for hashes in HASHES:
+        for width in WIDTHS:
+            h = Hasher.drawn(dimensions, norm, hashes, width * scale)
+            met = _ranks(h, q, h.rows(near), most)[:, i, np.arange(len(i))].min(axis=0)
+            probes = int(np.sort(met)[min(len(met) - 1, int(np.ceil(RECALL * len(met))) - 1)]) + 1
+            visits = VISIT_COST * TABLES * probes
+            if probes > most or best and visits >= best[0]:
+                continue
+            cost = visits + float((_ranks(h, q[:24], h.rows(x), probes) < probes).sum(axis=(0, 2)).mean()) * n / len(x)
+            if best is None or cost < best[0]:
+                h.probes = probes
+                best = cost, h
+    return best and best[1]
 
 
 def usable(vec: Column) -> Column:
@@ -184,17 +288,19 @@ def usable(vec: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k rows of largest inner product found for every query row.
+    """query_id, rank (from 1), vec_id, score, scored: the k rows of largest inner product found for every query row, and
+    how many rows of the index, over all tables, were scored for it.
 
     `vectors` has vec_id and embedding. Vectors that are null, zero, hold null or non-finite components, have no id or
     not the commonest length take no part; a query's candidates are all rows of other ids. Equal vectors are one entry
-    of the index that holds its k + 1 smallest ids, which is all that can be among a query's k nearest. Buckets over
-    ROWS_PER_BIN rows are split and queries meet them in blocks, so nothing is dropped and no task holds a whole bucket.
-    A query that finds fewer rows than k and its candidates allow is compared with all classes, and so is every query
-    where MOST probes do not find RECALL. Repeated rows count once; an empty table or no query gives no rows."""
+    of the index that holds its k + 1 smallest ids, which is all that can be among a query's k nearest; equal scores are
+    ordered by id. Large buckets are split and queries meet them in blocks, so nothing is dropped and no task holds a
+    whole bucket. A query that finds fewer rows than k and its candidates allow is compared with all classes, and so is
+    every query where no layout finds RECALL. Repeated rows count once; an empty table or no query gives no rows."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"), is_query.alias("asks")).where(usable(F.col("vec")) & F.col("vec_id").isNotNull()).distinct()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vec"), is_query.alias("asks")).where(usable(F.col("vec")) & F.col("vec_id").isNotNull()).distinct()
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, scored long")
     sizes = rows.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if not sizes:
         return empty
@@ -203,14 +309,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     classes = cut(ranked.groupBy("vec").agg(F.min("vec_id").alias("cid"), F.sort_array(F.collect_list("vec_id")).alias("members")))
     asking = cut(rows.where("asks").join(classes.select("vec", "cid"), "vec").select(F.col("vec_id").alias("query_id"), F.col("cid").alias("query"), "vec"))
-    queries = asking.select("query", "vec").dropDuplicates(["query"])
+    queries = cut(asking.select("query", "vec").dropDuplicates(["query"]))
     n_queries, n = queries.count(), classes.count()
     if not n_queries:
         return empty
-    norm = classes.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
-    hasher = Hasher.drawn(dimensions, norm)
+    norm = classes.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))).first()[0]
 
     def lists(found: DataFrame, asking: DataFrame) -> DataFrame:
+        found = cut(found)
         merged = found.groupBy("query", "cid").agg(F.max("score").alias("score"))
         merged = merged.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cid"))).where(F.col("n") <= k + 1)
         near = merged.join(classes.select("cid", "members"), "cid").select("query", "score", F.explode("members").alias("vec_id"))
@@ -218,51 +324,43 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         near = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1).drop("n")
         own = asking.select("query_id", "query").join(near, "query").where("vec_id <> query_id")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return own.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        told = found.groupBy("query").agg(F.sum("scored").alias("scored"))
+        return own.withColumn("rank", rank).where(F.col("rank") <= k).join(told, "query").select("query_id", "rank", "vec_id", "score", "scored")
 
-    probes = _calibrated(classes, queries, hasher, k)
-    if probes is None:
-        return lists(_exact(classes, queries, n, n_queries, k + 1), asking)
+    hasher = calibrated(classes, queries, n, n_queries, dimensions, norm, k)
+    if hasher is None:
+        return lists(_exact(classes, queries, dimensions, k + 1), asking)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                codes = hasher.rows(_matrix(b["vec"]))
-                for t in range(TABLES):
-                    yield pd.DataFrame({"t": np.int32(t), "bucket": codes[t], "cid": b["cid"].to_numpy(), "vec": b["vec"].to_numpy()})
+                for codes in hasher.rows(_matrix(b["vec"])):
+                    yield pd.DataFrame({"bucket": codes, "cid": b["cid"].to_numpy(), "vec": b["vec"].to_numpy()})
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for a in range(0, len(b), 256):
                 part = b.iloc[a : a + 256]
-                codes = hasher.probes(_matrix(part["vec"]), probes)
-                for t in range(TABLES):
-                    yield pd.DataFrame({"t": np.int32(t), "bucket": codes[t].ravel(), "query": np.repeat(part["query"].to_numpy(), probes)}).drop_duplicates()
-
-    indexed = cut(classes.select("cid", "vec").mapInPandas(index, "t int, bucket long, cid long, vec array<double>"))
-    counts = indexed.groupBy("t", "bucket").agg(F.ceil(F.count("*") / ROWS_PER_BIN).cast("int").alias("splits"))
-    bins, blocks = max(1, -(-TABLES * n // ROWS_PER_BIN)), max(1, -(-n_queries // QUERIES_PER_BLOCK))
-    to_bin = F.pmod(F.xxhash64("t", "bucket", "split"), F.lit(bins)).cast("int").alias("bin")
-    # The table's number goes into the bucket's, so a bin can hold buckets of all tables.
-    code = (F.col("bucket") * TABLES + F.col("t")).alias("bucket")
-    dealt = indexed.join(counts, ["t", "bucket"]).withColumn("split", F.pmod(F.xxhash64("cid"), F.col("splits")).cast("int"))
-    dealt = dealt.select(to_bin, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), code, "cid", "vec")
-    visits = queries.mapInPandas(visit, "t int, bucket long, query long").join(counts, ["t", "bucket"]).withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-    visits = visits.select(to_bin, code, "query").groupBy("bin", "query").agg(F.collect_set("bucket").alias("buckets")).join(queries, "query")
-    visits = visits.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
-    found = dealt.groupBy("bin", "block").cogroup(visits.groupBy("bin", "block")).applyInPandas(_rank(k + 1), "query long, cid long, score double")
-    near = cut(lists(found, asking))
+                for codes in hasher.visits(_matrix(part["vec"]), hasher.probes):
+                    yield pd.DataFrame({"bucket": codes.ravel(), "query": np.repeat(part["query"].to_numpy(), codes.shape[1])}).drop_duplicates()
+
+    indexed = cut(classes.select("cid", "vec").mapInPandas(index, f"bucket long, cid long, vec {kind}"))
+    tasks = max(1, min(-(-n_queries // 256), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    visits = queries.repartition(tasks, "query").mapInPandas(visit, "bucket long, query long")
+    near = cut(lists(_meet(indexed, visits, queries, dimensions, k + 1), asking))
     # Candidates of a query: all rows but those of its own id.
     had = near.groupBy("query_id").agg(F.count("*").alias("had"))
     same = rows.join(asking.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi").groupBy(F.col("vec_id").alias("query_id")).agg(F.count("*").alias("same"))
     few = same.join(had, "query_id", "left").where(F.coalesce("had", F.lit(0)) < F.least(F.lit(k), F.lit(rows.count()) - F.col("same"))).select("query_id")
     short = cut(asking.join(few, "query_id", "left_semi"))
     left = short.select("query", "vec").dropDuplicates(["query"])
-    n_left = left.count()
-    if not n_left:
+    if short.isEmpty():
         return near
-    return near.join(short.select("query_id"), "query_id", "left_anti").select(near.columns).unionByName(lists(_exact(classes, left, n, n_left, k + 1), short))
+    return near.join(short.select("query_id"), "query_id", "left_anti").select(near.columns).unionByName(lists(_exact(classes, left, dimensions, k + 1), short))
 
 
 def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score, scored: the 20 nearest of every row of `embeddings` whose vec_id is divisible by 20.
+
+    Nulls, unusable vectors, repeated rows, equal scores (smaller vec_id first) and empty tables as in `nearest`."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
