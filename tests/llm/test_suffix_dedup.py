@@ -48,11 +48,33 @@ def test_equals_brute_force(spark):
     check(spark, rows_of(1))
 
 
-def test_hot_grams_are_searched_by_halving(spark, monkeypatch):
+def test_hot_grams_are_dealt_by_more_bytes(spark, monkeypatch):
     monkeypatch.setattr(S, "MOST_REGIONS", 3)
     check(spark, rows_of(2, 40))
 
 
+def test_one_passage_in_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_REGIONS", 8)
+    rng = random.Random(7)
+    letters = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage = letters(230)
+    check(spark, [(i, letters(rng.randrange(90)) + passage + letters(rng.randrange(90))) for i in range(60)])
+
+
+def test_windows_are_read_off_the_sorted_order(monkeypatch):
+    rng = random.Random(8)
+    letters = lambda k: bytes(rng.randrange(97, 123) for _ in range(k))
+    gram, right, left = letters(S.GRAM), letters(200), letters(120)
+    texts = [letters(30) + left + gram + right[:100] + letters(60), letters(10) + left + gram + right[:90] + letters(80), letters(150) + gram + letters(140)]
+    anchors = [150, 130, 150]
+    # The first two share 120 bytes before the anchor and 150 from it: windows with the anchor at 50 to 120.
+    assert S.repeated_windows(texts, anchors, [1, 1, 1]) == [[(50, 120)], [(50, 120)], []]
+    assert S.repeated_windows(texts, anchors, [1, 1, 2])[2] == [(0, 140)]
+    assert S.repeated_windows(texts[2:], anchors[2:], [2]) == [[(0, 140)]] and S.repeated_windows(texts[2:], anchors[2:], [1]) == [[]]
+    monkeypatch.setattr(S, "deep_shallow", lambda strings, depth=0: (list(range(len(strings))), [0] * len(strings)))
+    assert S.repeated_windows(texts, anchors, [1, 1, 1]) == [[], [], []]
+
+
 def test_periodic_and_odd_texts(spark):
     rows = [(i, t) for i, t in enumerate(odd_texts()[:-2])] + [(20, "ab" * 400), (21, "x" * 199), (22, "x" * 200), (23, "q" * 201), (None, "null id " * 40), (None, "null id " * 40), (24, "abc" * 100 + "é" * 150)]
     check(spark, rows)

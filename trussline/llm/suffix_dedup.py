@@ -1,11 +1,11 @@
 """Suffix-array dedup: removes every byte that a repeated string of LENGTH bytes covers.
 
 Every window of LENGTH bytes has an anchor, the gram of GRAM bytes with the least hash in it, so equal windows have
-equal anchors at the same place, and windows with one anchor form a region of a text. Only regions whose anchor's gram
-occurs twice can hold a repeat. Of these, regions that occur twice as they are repeat as a whole. What is left are the
-few regions that differ from all others of their gram: there the suffixes that start at the anchors, and the reversed
-texts before them, are sorted deep-shallow (multikey quicksort to a shallow depth, blind tries for the groups with longer
-common prefixes), and the two arrays of common prefixes say which windows have an equal.
+equal anchors at the same place, and windows with one anchor form a region of a text. Anchors only deal the work out:
+the regions of a gram that occurs twice meet, one for each distinct one with its count. There the suffixes that start at
+the anchors, and the reversed texts before them, are sorted deep-shallow (multikey quicksort to a shallow depth, blind
+tries for the groups with longer common prefixes), and the two arrays of common prefixes alone say which windows have an
+equal. Grams with very many regions are dealt out further, by more bytes of their windows, and sorted in the same way.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .common import table, written
 LENGTH, GRAM, SHALLOW = 200, 60, 16
 #: Bytes hashed at once (a power of two), and the bits that hold a place among them.
 CHUNK, PLACE = 1 << 20, np.uint64((1 << 20) - 1)
-#: Differing regions of one gram that one task compares; grams with more are searched by halving, level by level.
+#: Differing regions that are sorted together; where there are more, they are dealt out by more bytes of their windows.
 MOST_REGIONS = 1024
 
 _RNG = np.random.default_rng(200)
@@ -112,11 +112,11 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[byt
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        th, nb = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+        t1, t2 = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
         for number, offset, pieces in _chunks([x or b"" for x in b.column(2).to_pylist()]):
             r = regions(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([len(p) for p in pieces]))
             own, shift = np.array(number)[r["text"]], np.array(offset)[r["text"]]
-            yield pa.record_batch([pa.array(th[own]), pa.array(nb[own]), *(pa.array((r[k] + shift).astype(np.int64)) for k in ("lo", "hi", "at")), pa.array(r["key"]), pa.array(r["rid"])], names=["th", "nb", "lo", "hi", "at", "key", "rid"])
+            yield pa.record_batch([pa.array(t1[own]), pa.array(t2[own]), *(pa.array((r[k] + shift).astype(np.int64)) for k in ("lo", "hi", "at")), pa.array(r["key"]), pa.array(r["rid"])], names=["t1", "t2", "lo", "hi", "at", "key", "rid"])
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -205,30 +205,31 @@ def deep_shallow(strings: list[bytes], depth: int = 0, shallow: int = SHALLOW) -
 
 
 def _pairwise(strings: list[bytes], depth: int) -> np.ndarray:
-    """Common prefixes of all pairs: minima over stretches of the sorted order."""
+    """Common prefixes of all pairs, minima over stretches of the sorted order; on the diagonal the lengths."""
     order, lcp = deep_shallow(strings, depth)
     n = len(order)
     sorted_ = np.zeros((n, n), np.int32)
     for x in range(n - 1):
         sorted_[x, x + 1 :] = np.minimum.accumulate(lcp[x + 1 :])
     out = np.empty_like(sorted_)
-    out[np.ix_(order, order)] = sorted_ + sorted_.T
+    out[np.ix_(order, order)] = sorted_ + sorted_.T + np.diag([len(strings[i]) for i in order]).astype(np.int32)
     return out
 
 
-def repeated_windows(texts: list[bytes], anchors: list[int]) -> np.ndarray:
-    """For regions of one gram (anchor at `anchors`), which offsets 0..LENGTH - GRAM of the anchor in a window belong to a
-    window that another region has as well: [regions, offsets]."""
-    right = _pairwise([t[a:] for t, a in zip(texts, anchors, strict=True)], GRAM if all(t[a : a + GRAM] == texts[0][anchors[0] : anchors[0] + GRAM] for t, a in zip(texts, anchors, strict=True)) else 0)
+def repeated_windows(texts: list[bytes], anchors: list[int], counts: list[int]) -> list[list[tuple[int, int]]]:
+    """For distinct texts with a gram at `anchors` that occur `counts` times: runs [first, last] of the offsets of the
+    anchor in the windows that occur twice. In sorted order the copies of a text are neighbours that agree in all bytes."""
+    same = all(t[a : a + GRAM] == texts[0][anchors[0] : anchors[0] + GRAM] for t, a in zip(texts, anchors, strict=True))
+    right = _pairwise([t[a:] for t, a in zip(texts, anchors, strict=True)], GRAM if same else 0)
     left = _pairwise([t[:a][::-1] for t, a in zip(texts, anchors, strict=True)], 0)
     first = np.maximum(LENGTH - right, 0)
-    i, j = np.nonzero((first <= left) & (first <= LENGTH - GRAM) & (right >= GRAM))
-    keep = i != j
-    i, j = i[keep], j[keep]
+    met = (first <= left) & (first <= LENGTH - GRAM) & (right >= GRAM)
+    met[np.diag_indices(len(texts))] &= np.array(counts) > 1
+    i, j = np.nonzero(met)
     seen = np.zeros((len(texts), LENGTH + 2), np.int32)
     np.add.at(seen, (i, first[i, j]), 1)
-    np.add.at(seen, (i, left[i, j] + 1), -1)
-    return np.cumsum(seen, axis=1)[:, : LENGTH - GRAM + 1] > 0
+    np.add.at(seen, (i, np.minimum(left[i, j], LENGTH) + 1), -1)
+    return [[(s, e - 1) for s, e in _runs(m)] for m in np.cumsum(seen, axis=1)[:, : LENGTH - GRAM + 1] > 0]
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -237,117 +238,115 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-MARK = "th long, nb long, lo long, hi long"
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks of a stream sorted by key: a key has at most MOST_REGIONS regions, so the one kept open is bounded."""
-
-    def marks(rows: list) -> list[tuple[int, int, int, int]]:
-        rows = list({r[1]: r for r in rows}.values())  # a region once, whatever copies its text has
-        if len(rows) < 2:
-            return []
-        hit = repeated_windows([r[6] for r in rows], [r[5] - r[4] for r in rows])
-        # A window with the anchor at offset o starts at `at` - o.
-        return [(r[2], r[3], r[5] - e + 1, r[5] - s) for r, m in zip(rows, hit, strict=True) for s, e in _runs(m)]
-
-    def batch(found: list) -> pa.RecordBatch:
-        columns = list(zip(*found, strict=True)) if found else [[]] * 4
-        return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["th", "nb", "lo", "hi"])
-
-    group, found = [], []
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if group and row[0] != group[0][0]:
-                found += marks(group)
-                group = []
-            group.append(row)
-        yield batch(found)
-        found = []
-    yield batch(marks(group))
-
-
-#: Rows of the search among hot grams: a region and a range of anchor offsets [o1, o2] of its windows.
-SPAN = "th long, nb long, lo long, at long, region binary, o1 long, o2 long"
-
-
-def _span_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the region's own part of the range [u1, u2] and hashes (128 bits) of the core, the bytes that all windows of
-    the range share, and of the whole, the bytes that they cover."""
+def _sorted_marks(classes: DataFrame, group: list[str], own: list[str]) -> DataFrame:
+    """`group` and `own` columns, v1, v2: the offsets of the anchor in repeated windows. `classes` has a row for each
+    distinct text of a group (repeats of a row are allowed): group, own, n (how often it occurs), a (place of the anchor)
+    and text; a group has at most MOST_REGIONS rows, so what a task keeps open is bounded."""
+    k, columns = len(group), [*group, *own]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def marks(rows: list) -> list[tuple]:
+            rows = list({r[k:-3]: r for r in rows}.values())
+            hits = repeated_windows([r[-1] for r in rows], [r[-2] for r in rows], [r[-3] for r in rows])
+            return [(*r[:-3], *run) for r, runs in zip(rows, hits, strict=True) for run in runs]
+
+        def batch(found: list) -> pa.RecordBatch:
+            made = list(zip(*found, strict=True)) if found else [[]] * len(kinds)
+            return pa.record_batch([pa.array(c, t) for c, t in zip(made, kinds, strict=True)], names=[*columns, "v1", "v2"])
+
+        held, found = [], []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and row[:k] != held[0][:k]:
+                    found += marks(held)
+                    held = []
+                held.append(row)
+            yield batch(found)
+            found = []
+        yield batch(marks(held) if held else [])
+
+    types = [classes.schema[c].dataType.simpleString() for c in columns]
+    kinds = [*({"bigint": pa.int64(), "binary": pa.binary()}[t] for t in types), pa.int64(), pa.int64()]
+    schema = ", ".join(f"{c} {t}" for c, t in zip([*columns, "v1", "v2"], [*types, "bigint", "bigint"], strict=True))
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return classes.select(*columns, "n", "a", "text").repartition(parts, *group).sortWithinPartitions(*columns).mapInArrow(run, schema)
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For key, rid, n, a, text and a range [o1, o2] of anchor offsets: the region's own part of it [u1, u2], 128-bit
+    hashes of the core, the bytes that all windows of the range share, and of the whole, the bytes that the own part
+    covers, and these bytes with the anchor's place in them."""
     for b in batches:
-        rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+        a, texts, o1, o2 = (c.to_pylist() for c in b.columns[3:])
         out = []
-        for _, _, lo, at, text, o1, o2 in rows:
-            a = at - lo
-            u1, u2 = max(o1, a - (len(text) - LENGTH)), min(o2, a)
-            core = xxhash.xxh3_128_digest(text[a - o1 : a - o2 + LENGTH] if a >= o1 else b"")
-            out.append((u1, u2, core, xxhash.xxh3_128_digest(text[max(0, a - u2) : a - u1 + LENGTH])))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 4
-        yield pa.record_batch([*b.columns, pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], names=[*b.schema.names, "u1", "u2", "core", "whole"])
-
-
-def _hot_marks(hot: DataFrame) -> DataFrame:
-    """Marks of the regions of grams with very many regions, by halving the range of offsets: a range whose core no other
-    region has holds no repeat, one that another region covers with the same bytes repeats as a whole, and only the
-    others are split. A region has few of these at any level (those at the edge of a repeat), no group is gathered in one
-    place, and every level is an aggregate with a join that can be split."""
-    marks, state = [], hot.select("th", "nb", "lo", "at", "region", F.lit(0).cast("long").alias("o1"), F.lit(LENGTH - GRAM).cast("long").alias("o2"))
+        for x, t, p, q in zip(a, texts, o1, o2, strict=True):
+            u1, u2 = max(p, x - (len(t) - LENGTH)), min(q, x)
+            whole = t[max(0, x - u2) : x - u1 + LENGTH]
+            core = t[x - p : x - q + LENGTH] if x >= p else b""
+            out.append((u1, u2, xxhash.xxh3_128_digest(core), xxhash.xxh3_128_digest(whole), whole))
+        u1, u2, core, whole, text = zip(*out, strict=True) if out else [[]] * 5
+        yield pa.record_batch([*b.columns, pa.array(u1, pa.int64()), pa.array(u2, pa.int64()), pa.array(core, pa.binary()), pa.array(whole, pa.binary()), pa.array(text, pa.binary())], names=[*b.schema.names, "u1", "u2", "core", "whole", "own"])
+
+
+def _hot_marks(hot: DataFrame) -> list[DataFrame]:
+    """Marks (key, rid, v1, v2) of the regions of grams that have over MOST_REGIONS of them.
+
+    The range of offsets is halved: windows of one half share more bytes (the core), and only regions with an equal core
+    can share such a window, so they are dealt out by it. Groups that are small enough are sorted, the others halved
+    again; where one offset is left the core is the whole window. Every level is an aggregate with joins that can be
+    split, and no group is gathered in one place before it is small."""
+    group, own = ["o1", "o2", "core"], ["u1", "u2", "whole"]
+    marks, state = [], hot.withColumns({"o1": F.lit(0).cast("long"), "o2": F.lit(LENGTH - GRAM).cast("long")})
     while True:
         middle = F.floor((F.col("o1") + F.col("o2")) / 2).cast("long")
         halves = F.array(F.struct(F.col("o1").alias("o1"), middle.alias("o2")), F.struct((middle + 1).alias("o1"), F.col("o2").alias("o2")))
-        state = state.withColumn("_h", F.explode(F.when(F.col("o1") < F.col("o2"), halves).otherwise(F.slice(halves, 1, 1)))).select("th", "nb", "lo", "at", "region", "_h.o1", "_h.o2")
-        spans = written(state.mapInArrow(_span_hashes, SPAN + ", u1 long, u2 long, core binary, whole binary").where("u1 <= u2"), "spans")
-        # One class a distinct whole, with one of its regions, which stays as a partner for those that are still open.
-        one = F.min(F.struct("th", "nb", "lo", "at", "region")).alias("one")
-        classes = written(spans.groupBy("o1", "o2", "core", "u1", "u2", "whole").agg(F.count("*").alias("n"), one), "span-classes")
-        twice = classes.where("n > 1").select("o1", "o2", "core", "u1", "u2", "whole")
-        marks.append(spans.join(twice, twice.columns, "left_semi").select("th", "nb", (F.col("at") - F.col("u2")).alias("lo"), (F.col("at") - F.col("u1")).alias("hi")))
-        cores = written(classes.groupBy("o1", "o2", "core").agg(F.count("*").alias("wholes"), F.min("n").alias("fewest")).where("wholes > 1 and fewest = 1 and o1 < o2").select("o1", "o2", "core"), "open-cores")
-        state = written(classes.join(cores, ["o1", "o2", "core"], "left_semi").select("one.*", "o1", "o2"), "open-spans")
-        if state.isEmpty():
-            break
-    out = marks[0]
-    for m in marks[1:]:
-        out = out.unionByName(m)
-    return out
+        state = state.withColumn("_h", F.explode(halves)).select("key", "rid", "n", "a", "text", "_h.o1", "_h.o2")
+        spans = written(state.mapInArrow(_spans, "key long, rid long, n long, a long, text binary, o1 long, o2 long, u1 long, u2 long, core binary, whole binary, own binary").where("u1 <= u2"), "spans")
+        classes = written(spans.groupBy(*group, *own).agg(F.sum("n").alias("n"), F.min("own").alias("text")).withColumn("a", F.col("u2")), "span-classes")
+        sizes = written(classes.groupBy(*group).agg(F.count("*").alias("wholes"), F.sum("n").alias("total")).where("total > 1").drop("total"), "span-groups")
+        small = (F.col("wholes") <= MOST_REGIONS) | (F.col("o1") == F.col("o2"))
+        found = _sorted_marks(classes.join(sizes.where(small).drop("wholes"), group), group, own)
+        marks.append(written(spans.select("key", "rid", *group, *own).join(written(found, "span-marks"), [*group, *own]).select("key", "rid", "v1", "v2"), "hot-marks"))
+        large = sizes.where(~small).drop("wholes")
+        if large.isEmpty():
+            return marks
+        state = written(spans.join(large, group, "left_semi").select("key", "rid", "n", "a", "text", "o1", "o2"), "open-spans")
 
 
 def _cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        th, nb, texts, wanted = (c.to_pylist() for c in b.columns)
-        out = [(w["key"], w["rid"], h, n, w["lo"], w["at"], t[w["lo"] : w["hi"] + LENGTH]) for h, n, t, ws in zip(th, nb, texts, wanted, strict=True) for w in ws]
-        columns = list(zip(*out, strict=True)) if out else [[]] * 7
-        yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], names=["key", "rid", "th", "nb", "lo", "at", "region"])
+        texts, wanted = (c.to_pylist() for c in b.columns)
+        out = [(w["key"], w["rid"], w["n"], w["at"] - w["lo"], t[w["lo"] : w["hi"] + LENGTH]) for t, ws in zip(texts, wanted, strict=True) for w in ws]
+        columns = list(zip(*out, strict=True)) if out else [[]] * 5
+        yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=["key", "rid", "n", "a", "text"])
 
 
 def repeats(texts: DataFrame) -> DataFrame:
-    """th, nb, lo, hi: ranges of the starts of windows that occur elsewhere; `texts` has th, nb, text (binary) and pick, a
-    number that tells the copies of a text apart as far as possible."""
-    spark = texts.sparkSession
-    found = written(texts.where(F.col("nb") >= LENGTH).select("th", "nb", "text").mapInArrow(_find, "th long, nb long, lo long, hi long, at long, key long, rid long"), "regions")
-    keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("least"), F.max("rid").alias("most")).where("n > 1")
+    """t1, t2, lo, hi: ranges of the starts of windows that occur elsewhere; `texts` has t1, t2 (128 bits that tell texts
+    apart), nb (bytes), text (binary) and pick, a number that tells the copies of a text apart as far as possible."""
+    found = written(texts.where(F.col("nb") >= LENGTH).select("t1", "t2", "text").mapInArrow(_find, "t1 long, t2 long, lo long, hi long, at long, key long, rid long"), "regions")
     # Written first: a join of two plain shuffles can be split where a gram is hot, one with an aggregate on a side cannot.
-    keys = written(keys.select("key", (F.col("least") != F.col("most")).alias("mixed")), "shared-grams")
+    keys = written(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-grams")
     shared = written(found.join(keys, "key"), "shared-regions")
-    whole = shared.where("not mixed").select("th", "nb", "lo", "hi")
-    # Grams with differing regions: those that occur twice repeat as a whole, the others are compared.
-    one = F.min(F.struct("th", "nb", "lo", "hi", "at"))
-    classes = written(shared.where("mixed").groupBy("key", "rid").agg(F.count("*").alias("n"), one.alias("first")), "region-classes")
-    twice = classes.where("n > 1").select("key", "rid")
-    whole = whole.unionByName(shared.where("mixed").join(twice, ["key", "rid"], "left_semi").select("th", "nb", "lo", "hi"))
-    open_keys = written(classes.groupBy("key").agg(F.count("*").alias("regions"), F.min("n").alias("fewest")).where("fewest = 1").select("key", "regions"), "open-grams")
-    wanted = classes.join(open_keys, "key").select("key", "rid", "first.*", "regions")
-    lists = wanted.groupBy("th", "nb").agg(F.collect_list(F.struct("key", "rid", "lo", "hi", "at")).alias("wanted"))
-    # Of the copies of a text only one is cut: the least id.
-    lists = lists.join(texts.groupBy("th", "nb").agg(F.min("pick").alias("pick")), ["th", "nb"])
-    cut_out = written(texts.join(lists, ["th", "nb", "pick"]).select("th", "nb", "text", "wanted").mapInArrow(_cut_regions, "key long, rid long, th long, nb long, lo long, at long, region binary"), "region-texts")
-    hot = open_keys.where(F.col("regions") > MOST_REGIONS).select("key")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    compared = cut_out.join(hot, "key", "left_anti").repartition(parts, "key").sortWithinPartitions("key", "rid").mapInArrow(_compare, MARK)
-    marks = whole.unionByName(compared)
-    if not hot.isEmpty():
-        marks = marks.unionByName(_hot_marks(cut_out.join(hot, "key", "left_semi").dropDuplicates(["key", "rid"])))
-    return marks.distinct()
+    # Of a region that occurs often one is cut out and sorted, with its count.
+    one = F.min(F.struct("t1", "t2", "lo", "hi", "at"))
+    classes = written(shared.groupBy("key", "rid").agg(F.count("*").alias("n"), one.alias("first")), "region-classes")
+    hot = written(classes.groupBy("key").agg(F.count("*").alias("regions")).where(F.col("regions") > MOST_REGIONS).select("key"), "hot-grams")
+    picks = texts.groupBy("t1", "t2").agg(F.min("pick").alias("pick"))
+
+    def cut_out(rows: DataFrame) -> DataFrame:
+        lists = rows.select("key", "rid", "n", "first.*").groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "rid", "n", "lo", "hi", "at")).alias("wanted"))
+        # Of the copies of a text only one is cut: the least id.
+        return texts.join(lists.join(picks, ["t1", "t2"]), ["t1", "t2", "pick"]).select("text", "wanted").mapInArrow(_cut_regions, "key long, rid long, n long, a long, text binary")
+
+    any_hot = not hot.isEmpty()
+    marks = [_sorted_marks(cut_out(classes.join(hot, "key", "left_anti") if any_hot else classes), ["key"], ["rid"])]
+    if any_hot:
+        marks += _hot_marks(cut_out(classes.join(hot, "key", "left_semi")).dropDuplicates(["key", "rid"]))
+    by_class = marks[0]
+    for m in marks[1:]:
+        by_class = by_class.unionByName(m)
+    return shared.join(written(by_class, "class-marks"), ["key", "rid"]).select("t1", "t2", (F.col("at") - F.col("v2")).alias("lo"), (F.col("at") - F.col("v1")).alias("hi")).distinct()
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,14 +374,16 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
     Each text is its UTF-8 bytes (null: empty); a byte goes if a string of LENGTH bytes covers it that also starts anywhere
     else, in the same text, another one or a repeated row. Matches stay within a text and are judged on the input. Texts
-    under LENGTH bytes stay as they are. Equal texts share one result, found by hash and length. Null ids and extra
+    under LENGTH bytes stay as they are. Equal texts share one result, found by 128 bits of hashes. Null ids and extra
     columns are allowed; an empty table gives an empty result."""
     text = F.col("text").cast("string").cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("nb"))
-    marks = repeats(rows.select("th", "nb", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("pick"))).groupBy("th", "nb").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
-    joined = rows.join(marks, ["th", "nb"], "left").select("doc_id", "text", "marks")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("nb"))
+    marks = repeats(rows.select("t1", "t2", "nb", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("pick"))).groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    joined = rows.join(marks, ["t1", "t2"], "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string, kept binary")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of `documents`; nulls, empty and long texts, repeated
+    rows and an empty table as in `dedup_substrings`."""
     return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
