@@ -1,6 +1,8 @@
+import os
+
 from pyspark.sql import functions as F
 
-from trussline.llm.common import crc_mod, hashed_sample, lower_ascii, written
+from trussline.llm.common import clear_scratch, crc_mod, discard, hashed_sample, lower_ascii, scratch_path, written
 
 
 def test_hashed_sample_takes_the_lowest_hashes_of_every_label(spark):
@@ -19,4 +21,17 @@ def test_helpers(spark):
     df = spark.createDataFrame([(0, "AZÉß"), (None, None)], "doc_id long, t string")
     assert [r.v for r in df.select(lower_ascii(F.col("t")).alias("v")).collect()] == ["azÉß", None]
     assert [r.v for r in df.select(crc_mod("doc_id", 5).alias("v")).collect()] == [0xF4DBDF21 % 5, None]
-    assert written(df, "copy").count() == 2
+    kept = written(df, "copy")
+    assert kept.count() == 2
+    discard(kept)
+    assert not os.path.exists(kept.scratch_path)
+    path = scratch_path(spark, "x")
+    os.makedirs(path)
+    clear_scratch(spark)
+    assert not os.path.exists(path)
+
+
+def test_sample_drops_rows_before_it_exchanges_them(spark):
+    rows = spark.range(200_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, 'a').otherwise('b').alias("lang"))
+    plan = hashed_sample(rows, "lang", 10)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

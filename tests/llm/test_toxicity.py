@@ -38,9 +38,13 @@ def corpus(seed, n):
     return rows
 
 
+def fitted(spark, rows):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    return T.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+
+
 def test_held_out_documents(spark):
-    train = spark.createDataFrame(corpus(1, 400) + [(None, "x", 1), (900, None, 0), (901, "", 1), (902, "a", None)], "doc_id long, text string, toxic int")
-    model = T.fit(train)
+    model = fitted(spark, corpus(1, 400) + [(None, "x", 1), (900, None, 0), (901, "", 1), (902, "a", None)])
     test = corpus(2, 200)
     odd = [(1000, None), (1001, ""), (1002, "?! ..."), (None, "vile nasty"), (1003, "word " * 30_000 + "vile nasty rotten awful " + "word " * 30_000)]
     got = T.score_documents(documents(spark, [(i, t) for i, t, _ in test] + odd), model).collect()
@@ -56,8 +60,30 @@ def test_held_out_documents(spark):
 
 
 def test_without_labels(spark):
-    model = T.fit(spark.createDataFrame([], "doc_id long, text string, toxic int"))
+    model = fitted(spark, [])
     assert [r.predicted for r in T.score_documents(documents(spark, [(1, "vile")]), model).collect()] == [0]
-    one = T.fit(spark.createDataFrame([(1, "a b", 1), (2, "a b", 1)], "doc_id long, text string, toxic int"))
+    one = fitted(spark, [(1, "a b", 1), (2, "a b", 1)])
     assert [r.predicted for r in T.score_documents(documents(spark, [(1, "vile")]), one).collect()] == [1]
     assert T.score_documents(documents(spark, []), model).count() == 0
+
+
+def test_extremes_solve_their_equation_and_bound_random_text():
+    score, share = np.array([2.0, -1.0, 0.5, -1.2]), np.array([0.05, 0.2, 0.1, 0.65])
+    rate, log_k = T._extremes(score, share)
+    assert abs((share * np.exp(rate * score)).sum() - 1) < 1e-6 and rate > 0
+    # In texts drawn from the background the best segment exceeds its extreme-value bound in few.
+    rng = np.random.default_rng(1)
+    n, over = 400, 0
+    for _ in range(300):
+        best = max((s for *_, s in T.segments(rng.choice(score, n, p=share).tolist())), default=0)
+        over += rate * best > log_k + np.log(n) + 3
+    assert over / 300 <= np.exp(-3) + 0.03
+
+
+def test_repeated_rows_and_ids_are_bounded_in_the_sample(spark):
+    rows = [(1, "vile words", 1)] * 500 + corpus(3, 60)[2:]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    assert T.sampled(docs, labels).where("text = 'vile words'").count() == 1
+    got = T.score_documents(docs, T.fit(docs, labels)).where("doc_id = 1").collect()
+    assert len(got) == 500 and len({r.score for r in got}) == 1

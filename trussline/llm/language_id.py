@@ -59,7 +59,7 @@ def _step(gates: np.ndarray, h: np.ndarray, u: np.ndarray):
 
 def _inputs(m: Model, seg: np.ndarray, t: int) -> np.ndarray:
     """Gate inputs of both directions at step t, [2, 3H, B]; the second direction reads from the end."""
-    out = np.empty((2, m.x.shape[2], seg.shape[1]), np.float32)
+    out = np.empty((2, m.x.shape[2], seg.shape[1]), m.x.dtype)
     out[0] = m.x[0].take(seg[t], axis=0).T
     out[1] = m.x[1].take(seg[-1 - t], axis=0).T
     return out
@@ -72,47 +72,62 @@ def _softmax(v: np.ndarray) -> np.ndarray:
     return v
 
 
-def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], steps: int = STEPS) -> Model:
-    """Fit on windows [N, T] of bytes (PAD where a text ended) and their language numbers; languages weigh alike."""
-    rng = np.random.default_rng(SEED)
+def gradients(m: Model, seg: np.ndarray, want: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean cross-entropy of the positions of segments [T, B] that are not padding, and its gradients by x, u, o and b:
+    backpropagation through time in both directions."""
+    k = m.u.shape[2]
+    n_steps, n_rows = seg.shape
+    h, kept, hs = np.zeros((2, k, n_rows), m.x.dtype), [], np.empty((n_steps, 2, k, n_rows), m.x.dtype)
+    for t in range(n_steps):
+        z, r, n, un, new = _step(_inputs(m, seg, t), h, m.u)
+        kept.append((h, z, r, n, un))
+        h = hs[t] = new
+    back = hs[::-1, 1]
+    p = _softmax(m.o[0] @ hs[:, 0] + m.o[1] @ back + m.b)
+    real = seg != PAD
+    loss = -float(np.log(p[:, want, np.arange(n_rows)][real] + 1e-30).sum()) / max(1, real.sum())
+    p[:, want, np.arange(n_rows)] -= 1
+    p *= real[:, None, :] / max(1, real.sum())
+    grads = [np.zeros_like(m.x), np.zeros_like(m.u), np.stack([np.einsum("tcb,tkb->ck", p, hs[:, 0], optimize=True), np.einsum("tcb,tkb->ck", p, back, optimize=True)]), p.sum(axis=(0, 2))[:, None]]
+    out = np.stack([m.o[0].T @ p, (m.o[1].T @ p)[::-1]], axis=1)
+    carry, inputs = np.zeros_like(h), np.empty((n_steps, 2, 3 * k, n_rows), m.x.dtype)
+    for t in range(n_steps - 1, -1, -1):
+        h, z, r, n, un = kept[t]
+        dh = out[t] + carry
+        dn = dh * (1 - z) * (1 - n * n)
+        dz = dh * (h - n) * z * (1 - z)
+        dr = dn * un * r * (1 - r)
+        da = np.concatenate([dz, dr, dn * r], axis=1)
+        grads[1] += da @ h.transpose(0, 2, 1)
+        carry = dh * z + m.u.transpose(0, 2, 1) @ da
+        inputs[t] = np.concatenate([dz, dr, dn], axis=1)
+    for d, bytes_ in enumerate((seg, seg[::-1])):
+        flat = inputs[:, d].transpose(1, 0, 2).reshape(3 * k, -1)
+        for f in range(3 * k):
+            grads[0][d, :, f] = np.bincount(bytes_.reshape(-1), flat[f], 257)
+    grads[0][:, PAD] = 0
+    return loss, grads
+
+
+def started(langs: list[str], rng: np.random.Generator) -> Model:
+    """Random parameters."""
     k, c = HIDDEN, len(langs)
     m = Model(langs, *(rng.normal(0, s, shape).astype(np.float32) for s, shape in ((0.3, (2, 257, 3 * k)), (0.3, (2, 3 * k, k)), (0.3, (2, c, k)))), np.zeros((c, 1), np.float32))
     m.x[:, PAD] = 0
     m.x[:, PAD, :k] = 30  # an open update gate: padding leaves the state as it is
+    return m
+
+
+def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], steps: int = STEPS) -> Model:
+    """Fit on windows [N, T] of bytes (PAD where a text ended) and their language numbers; languages weigh alike."""
+    rng = np.random.default_rng(SEED)
+    m = started(langs, rng)
     params = [m.x, m.u, m.o, m.b]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    rows = [np.flatnonzero(labels == i) for i in range(c)]
+    rows = [np.flatnonzero(labels == i) for i in range(len(langs))]
     for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(r, BATCH // c + 1) for r in rows])
-        seg, want = windows[pick].T.astype(np.int64), labels[pick]
-        n_steps, n_rows = seg.shape
-        h, kept, hs = np.zeros((2, k, n_rows), np.float32), [], np.empty((n_steps, 2, k, n_rows), np.float32)
-        for t in range(n_steps):
-            z, r, n, un, new = _step(_inputs(m, seg, t), h, m.u)
-            kept.append((h, z, r, n, un))
-            h = hs[t] = new
-        back = hs[::-1, 1]
-        p = _softmax(m.o[0] @ hs[:, 0] + m.o[1] @ back + m.b)
-        p[:, want, np.arange(n_rows)] -= 1
-        p *= (seg != PAD)[:, None, :] / max(1, (seg != PAD).sum())
-        grads = [np.zeros_like(m.x), np.zeros_like(m.u), np.stack([np.einsum("tcb,tkb->ck", p, hs[:, 0], optimize=True), np.einsum("tcb,tkb->ck", p, back, optimize=True)]), p.sum(axis=(0, 2))[:, None]]
-        out = np.stack([m.o[0].T @ p, (m.o[1].T @ p)[::-1]], axis=1)
-        carry, inputs = np.zeros_like(h), np.empty((n_steps, 2, 3 * k, n_rows), np.float32)
-        for t in range(n_steps - 1, -1, -1):
-            h, z, r, n, un = kept[t]
-            dh = out[t] + carry
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            da = np.concatenate([dz, dr, dn * r], axis=1)
-            grads[1] += da @ h.transpose(0, 2, 1)
-            carry = dh * z + m.u.transpose(0, 2, 1) @ da
-            inputs[t] = np.concatenate([dz, dr, dn], axis=1)
-        for d, bytes_ in enumerate((seg, seg[::-1])):
-            flat = inputs[:, d].transpose(1, 0, 2).reshape(3 * k, -1)
-            for f in range(3 * k):
-                grads[0][d, :, f] = np.bincount(bytes_.reshape(-1), flat[f], 257)
-        grads[0][:, PAD] = 0
+        pick = np.concatenate([rng.choice(r, BATCH // len(langs) + 1) for r in rows])
+        _, grads = gradients(m, windows[pick].T.astype(np.int64), labels[pick])
         scale = min(1.0, 1.0 / (1e-9 + np.sqrt(sum(float((g * g).sum()) for g in grads))))
         rate = RATE * (1 - 0.9 * step / steps)
         for q, g, a, b in zip(params, grads, first, second, strict=True):
@@ -157,8 +172,10 @@ def pooled(m: Model, texts: list[bytes]) -> np.ndarray:
 
 def training_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows and labels of at most DOCS_PER_LANG labelled documents a language, spread over whole texts; bounded, so
-    they fit the driver whatever the size of the table. `docs` has doc_id, text, lang."""
-    chosen = hashed_sample(docs.where("lang is not null and doc_id is not null"), "lang", DOCS_PER_LANG, SEED).select("doc_id").distinct()
+    they fit the driver whatever the size of the table. `docs` has doc_id, text, lang. A training text longer than
+    WINDOWS * WINDOW bytes gives only its windows, evenly spaced from its first byte to its last: the bound of the sample
+    is on bytes as well as on rows. Prediction reads whole texts."""
+    chosen = hashed_sample(docs.where("lang is not null and doc_id is not null"), "lang", DOCS_PER_LANG, SEED)
 
     def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,8 +189,9 @@ def training_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]
                         out.append(w.tobytes())
             yield pa.record_batch([pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["lang", "bytes"])
 
-    # At most DOCS_PER_LANG ids a language are broadcast.
-    rows = docs.where("lang is not null").join(F.broadcast(chosen), "doc_id", "left_semi").select(F.col("text").cast("string").alias("text"), "lang").mapInArrow(cut_windows, "lang string, bytes binary").toPandas()
+    # At most DOCS_PER_LANG ids a language are broadcast; of rows that repeat an id one text counts.
+    sample = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"])
+    rows = sample.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("text", "lang").mapInArrow(cut_windows, "lang string, bytes binary").toPandas()
     rows = rows.sort_values(["lang", "bytes"])
     langs = sorted(rows["lang"].unique())
     windows = np.full((len(rows), WINDOW), PAD, np.int16)
@@ -224,6 +242,8 @@ def _groups(texts: list) -> Iterator[list]:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row of `documents`, learned from the rows that are not held out. Null and
+    empty texts, repeated rows and empty tables as in `identify`; a null id is not held out, and nothing is learned from it."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, docs.where(crc_mod("doc_id", 5) != 0), keep=("doc_id",))
-    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hashed_sample, table
+from .common import crc_mod, cut, hashed_sample, table
 from .simhash import word_chunks
 
-#: Bound of the training sample: labelled documents of either label. Bound of the vocabulary that is broadcast.
-DOCS_PER_LABEL, VOCABULARY = 8_000, 50_000
+#: Bound of the training sample: labelled documents of either label; it bounds the tokens that differ, too.
+DOCS_PER_LABEL = 8_000
 #: Bytes of a token that stand for it where the token itself is too rare; STEM marks them in the tables.
 STEM_BYTES, STEM = 5, b"\0"
 #: Weight of the prior and its least count of a token (without it a token that one label never has is too uncertain to
@@ -105,15 +105,19 @@ def _probability(m: Model, x: float) -> float:
     return float(1 / (1 + np.exp(-(m.slope * x + m.shift))))
 
 
-def sampled(labelled: DataFrame) -> DataFrame:
-    """text, toxic of at most DOCS_PER_LABEL documents of either label, by hashed id; labelled: doc_id, text, toxic."""
-    chosen = hashed_sample(labelled.where("toxic in (0, 1)"), "toxic", DOCS_PER_LABEL).select("doc_id").distinct()
-    return labelled.where("toxic in (0, 1)").join(F.broadcast(chosen), "doc_id", "left_semi").select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
+def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, toxic of at most DOCS_PER_LABEL documents of either label. The ids are chosen by hash from `labels` (doc_id,
+    toxic) alone and broadcast, so the documents are read once and only the sample is written; of rows that repeat an id
+    one text counts. Labelled ids without a document make the sample smaller."""
+    chosen = hashed_sample(labels.where("toxic in (0, 1)"), "toxic", DOCS_PER_LABEL)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return cut(texts.groupBy("doc_id", F.col("toxic").cast("int").alias("toxic")).agg(F.min("text").alias("text")).select("text", "toxic"))
 
 
-def fit(labelled: DataFrame) -> Model:
-    """Fit on the bounded sample: tokens are counted where they are, and only those that differ come to the driver."""
-    rows = sampled(labelled)
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit on the bounded sample: tokens are counted where they are, and only those that differ come to the driver. A token
+    counts from 4 documents of the sample on, and its first bytes stand for rarer ones."""
+    rows = sampled(docs, labels)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,7 +143,7 @@ def fit(labelled: DataFrame) -> Model:
     odds = lambda y, n: F.log((y + prior) / (n + PRIOR - y - prior))
     delta = odds(F.col("y1"), n1) - odds(F.col("y0"), n0)
     z = delta / F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior))
-    found = by_token.select("token", "y0", delta.alias("delta"), z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "token").limit(VOCABULARY).toPandas()
+    found = by_token.select("token", "y0", delta.alias("delta"), z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy("token").toPandas()
     by_token.unpersist()
     score = (found["delta"].clip(LEAST, MOST) - DRIFT).to_numpy()
     share = np.append(found["y0"].to_numpy() / n0, 0)
@@ -152,7 +156,7 @@ def fit(labelled: DataFrame) -> Model:
             yield pa.record_batch([pa.array([evidence(shared.value, t) for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], names=["x", "toxic"])
 
     seen = rows.mapInArrow(measure, "x double, toxic int").orderBy("x", "toxic").toPandas()
-    share1 = labelled.where("toxic in (0, 1)").agg(F.avg("toxic")).first()[0]
+    share1 = labels.where("toxic in (0, 1)").agg(F.avg("toxic")).first()[0]
     _logistic(m, seen["x"].to_numpy(), seen["toxic"].to_numpy(float), float(share1))
     return m
 
@@ -204,8 +208,11 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> Da
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_passages, worst_start, worst_end of every row of `documents`, learned from the
+    labels of ids that are not held out. Null and empty texts, repeated rows and empty tables as in `score_documents`; a
+    null id is not held out."""
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("doc_id is not null and toxic is not null").distinct()
-    train = docs.where(crc_mod("doc_id", 4) != 2).select("doc_id", "text").join(labels, "doc_id")
-    scored = score_documents(docs, fit(train))
-    return scored.withColumn("held_out", crc_mod("doc_id", 4) == 2).select("doc_id", "held_out", "score", "predicted", "n_passages", "worst_start", "worst_end")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("doc_id is not null and toxic is not null").where(crc_mod("doc_id", 4) != 2).distinct()
+    scored = score_documents(docs, fit(docs, labels))
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    return scored.withColumn("held_out", held_out).select("doc_id", "held_out", "score", "predicted", "n_passages", "worst_start", "worst_end")
