@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 
 LENGTH, GRAM, SHALLOW = 200, 60, 16
 #: Bytes hashed at once (a power of two), and the bits that hold a place among them.
@@ -116,7 +116,9 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, offset, pieces in _chunks([x or b"" for x in b.column(2).to_pylist()]):
             r = regions(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([len(p) for p in pieces]))
             own, shift = np.array(number)[r["text"]], np.array(offset)[r["text"]]
-            yield pa.record_batch([pa.array(t1[own]), pa.array(t2[own]), *(pa.array((r[k] + shift).astype(np.int64)) for k in ("lo", "hi", "at")), pa.array(r["key"]), pa.array(r["rid"])], names=["t1", "t2", "lo", "hi", "at", "key", "rid"])
+            # One number for lo, hi - lo and at - lo, which are under 256 both: regions are what most bytes move for.
+            place = (r["lo"] + shift) << 16 | (r["hi"] - r["lo"]) << 8 | (r["at"] - r["lo"])
+            yield pa.record_batch([pa.array(t1[own]), pa.array(t2[own]), pa.array(place.astype(np.int64)), pa.array(r["key"]), pa.array(r["rid"])], names=["t1", "t2", "place", "key", "rid"])
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -316,7 +318,7 @@ def _hot_marks(hot: DataFrame) -> list[DataFrame]:
 def _cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, wanted = (c.to_pylist() for c in b.columns)
-        out = [(w["key"], w["rid"], w["n"], w["at"] - w["lo"], t[w["lo"] : w["hi"] + LENGTH]) for t, ws in zip(texts, wanted, strict=True) for w in ws]
+        out = [(w["key"], w["rid"], w["n"], w["place"] & 255, t[(lo := w["place"] >> 16) : lo + (w["place"] >> 8 & 255) + LENGTH]) for t, ws in zip(texts, wanted, strict=True) for w in ws]
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=["key", "rid", "n", "a", "text"])
 
@@ -324,18 +326,19 @@ def _cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(texts: DataFrame) -> DataFrame:
     """t1, t2, lo, hi: ranges of the starts of windows that occur elsewhere; `texts` has t1, t2 (128 bits that tell texts
     apart), nb (bytes), text (binary) and pick, a number that tells the copies of a text apart as far as possible."""
-    found = written(texts.where(F.col("nb") >= LENGTH).select("t1", "t2", "text").mapInArrow(_find, "t1 long, t2 long, lo long, hi long, at long, key long, rid long"), "regions")
+    found = written(texts.where(F.col("nb") >= LENGTH).select("t1", "t2", "text").mapInArrow(_find, "t1 long, t2 long, place long, key long, rid long"), "regions")
     # Written first: a join of two plain shuffles can be split where a gram is hot, one with an aggregate on a side cannot.
     keys = written(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-grams")
     shared = written(found.join(keys, "key"), "shared-regions")
+    discard(found)
     # Of a region that occurs often one is cut out and sorted, with its count.
-    one = F.min(F.struct("t1", "t2", "lo", "hi", "at"))
+    one = F.min(F.struct("t1", "t2", "place"))
     classes = written(shared.groupBy("key", "rid").agg(F.count("*").alias("n"), one.alias("first")), "region-classes")
     hot = written(classes.groupBy("key").agg(F.count("*").alias("regions")).where(F.col("regions") > MOST_REGIONS).select("key"), "hot-grams")
     picks = texts.groupBy("t1", "t2").agg(F.min("pick").alias("pick"))
 
     def cut_out(rows: DataFrame) -> DataFrame:
-        lists = rows.select("key", "rid", "n", "first.*").groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "rid", "n", "lo", "hi", "at")).alias("wanted"))
+        lists = rows.select("key", "rid", "n", "first.*").groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "rid", "n", "place")).alias("wanted"))
         # Of the copies of a text only one is cut: the least id.
         return texts.join(lists.join(picks, ["t1", "t2"]), ["t1", "t2", "pick"]).select("text", "wanted").mapInArrow(_cut_regions, "key long, rid long, n long, a long, text binary")
 
@@ -346,7 +349,8 @@ def repeats(texts: DataFrame) -> DataFrame:
     by_class = marks[0]
     for m in marks[1:]:
         by_class = by_class.unionByName(m)
-    return shared.join(written(by_class, "class-marks"), ["key", "rid"]).select("t1", "t2", (F.col("at") - F.col("v2")).alias("lo"), (F.col("at") - F.col("v1")).alias("hi")).distinct()
+    at = F.shiftright("place", 16) + F.col("place").bitwiseAND(255)
+    return shared.join(written(by_class, "class-marks"), ["key", "rid"]).select("t1", "t2", (at - F.col("v2")).alias("lo"), (at - F.col("v1")).alias("hi")).distinct()
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
