@@ -58,9 +58,9 @@ def test_passes_and_chunks_change_nothing(spark, monkeypatch):
 
     rows, items = planted(2)
     one = sorted(map(str, D.find_leaks(documents(spark, rows), bench(spark, items)).collect()))
-    monkeypatch.setattr(D, "ITEMS_PER_PASS", 4)
+    monkeypatch.setattr(D, "PASS_BYTES", 400)
     assert sorted(map(str, D.find_leaks(documents(spark, rows), bench(spark, items)).collect())) == one
-    index = D.Index([x for x in items if x[1]])
+    index = D.Index([(i, 0, t) for i, t in items if t])
     whole = [D.passages(index, t, {}) for _, t in rows]
     monkeypatch.setattr(simhash, "CHUNK", 300)
     assert [D.passages(index, t, {}) for _, t in rows] == whole
@@ -74,3 +74,18 @@ def test_filter_and_empty_tables(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
     assert D.find_leaks(docs, items.limit(0)).count() == 0 and D.without_leaks(docs, items.limit(0)).count() == 4
     assert D.find_leaks(docs.limit(0), items).count() == 0
+
+
+def test_a_text_that_very_many_items_repeat(spark):
+    items = spark.range(100_000).selectExpr("id AS item_id", "'w1 w2 w3 w4 w5 w6' AS text")
+    assert [len(i.ids) for i in D._passes(items)] == [1]
+    assert D.find_leaks(documents(spark, [(1, "x w1 w2 w3 w4 w5 w6 y")]), items).count() == 100_000
+
+
+def test_index_of_many_items_is_small():
+    import pickle
+
+    rng = random.Random(3)
+    index = D.Index([(i, 0, " ".join(words(rng, 20 + i % 180, 50_000))) for i in range(4000)])
+    assert len(pickle.dumps(index)) < 20e6  # 20,000 such items: under 100 MB
+    assert index.near(int(index.prints[7]), int(index.sizes[7])).tolist() == [7]

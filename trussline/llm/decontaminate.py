@@ -2,15 +2,16 @@
 
 Only windows that hold enough shingles of some item can reach the similarity, so only those are fingerprinted; nothing
 else is skipped. A window's fingerprint finds the items of its size within RADIUS bits: cut into BLOCKS blocks, two
-such fingerprints differ by at most RADIUS // BLOCKS bits in one of them, and the index holds every item under all
-values that near to its own. Candidates are verified by the exact weighted (multiset) Jaccard similarity of shingles.
+such fingerprints differ by at most RADIUS // BLOCKS bits in one of them, so every item is listed once a block, in sorted
+arrays, and a window looks up all values that near to its own. Candidates are verified by the exact weighted (multiset)
+Jaccard similarity of shingles. Words stand for themselves by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ from .simhash import word_chunks
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS, RADIUS = 64, 6, 17
-#: Items that one pass over the documents looks for; more items take more passes, so what is broadcast stays bounded.
-ITEMS_PER_PASS = 20_000
+#: Bytes of distinct item texts that one pass over the documents looks for, with an index of about six times as many;
+#: more take more passes, so what is broadcast stays bounded.
+PASS_BYTES = 16 << 20
 #: Window results that a worker remembers, since copies of a passage give the same windows.
 REMEMBERED = 50_000
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -47,57 +49,79 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def _bit_sums(words: list[bytes]) -> np.ndarray:
+def _bit_sums(numbers: np.ndarray) -> np.ndarray:
     """Running sums [pairs + 1, 64] of the bits of the hashes of neighbouring words."""
-    pairs = _sequence_hash(_word_hashes(words), 2)
+    pairs = _sequence_hash(numbers, 2)
     bits = np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
 
 
-def _fingerprints(words: list[bytes], sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+def _fingerprints(numbers: np.ndarray, sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """Bits set in over half of the word pairs of each window; of a single word its own hash."""
     if size == 1:
-        return _mix(_word_hashes([words[s] for s in starts]))
+        return _mix(numbers[starts])
     counts = sums[starts + size - 1] - sums[starts]
     return np.packbits(counts * 2 > size - 1, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-class Index:
-    """The items of one pass: vocabulary, shingles, and for each size the blocks' values that lead to an item."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        texts = [(i, (t or "").encode("utf-8", "replace").lower().split()) for i, t in items]
-        texts = [(i, w) for i, w in texts if w]
-        self.ids = [i for i, _ in texts]
-        self.words = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in texts for w in ws}))}
-        self.shingles, self.prints, self.sizes = [], [], [len(w) for _, w in texts]
-        self.tables = defaultdict(list)
-        for k, (_, ws) in enumerate(texts):
-            numbers = np.fromiter(map(self.words.__getitem__, ws), np.uint64, len(ws))
-            self.shingles.append(Counter(_sequence_hash(numbers, min(SHINGLE, len(ws))).tolist()))
-            fp = int(_fingerprints(ws, _bit_sums(ws), np.array([0]), len(ws))[0])
-            self.prints.append(fp)
-            for block, value in self.blocks(fp):
-                width = self.edges[block + 1] - self.edges[block]
-                for flips in range(RADIUS // BLOCKS + 1):
-                    for at in combinations(range(width), flips):
-                        self.tables[len(ws), block, value ^ sum(1 << a for a in at)].append(k)
-        self.tables = dict(self.tables)
-        self.by_size = {n: min(SHINGLE, n) for n in sorted(set(self.sizes))}
-        # Shingles by their length in words: items shorter than a shingle are one short shingle.
-        self.known = {g: np.unique(np.array([h for k, c in enumerate(self.shingles) if min(SHINGLE, self.sizes[k]) == g for h in c], np.uint64)) for g in set(self.by_size.values())}
-        self.longest = max(self.sizes, default=0)
+EDGES = [BITS * k // BLOCKS for k in range(BLOCKS + 1)]
+#: For each block the changes of its value by at most RADIUS // BLOCKS bits.
+FLIPS = [np.array([sum(1 << a for a in at) for n in range(RADIUS // BLOCKS + 1) for at in combinations(range(hi - lo), n)], np.uint64) for lo, hi in zip(EDGES, EDGES[1:], strict=False)]
 
-    edges = [BITS * k // BLOCKS for k in range(BLOCKS + 1)]
 
-    def blocks(self, fp: int) -> Iterator[tuple[int, int]]:
-        for b, (lo, hi) in enumerate(zip(self.edges, self.edges[1:], strict=False)):
-            yield b, fp >> lo & ((1 << (hi - lo)) - 1)
-
-    def near(self, fp: int, size: int) -> set[int]:
+class Index:
+    """The items of one pass, in flat arrays: shingles by item, known shingles, and for each block the items sorted by
+    size and the block's value."""
+
+    def __init__(self, items: list[tuple[int, int, str]]):
+        """`items`: two numbers that tell a text, and the text; texts without words are left out."""
+        texts = [(a, b, (t or "").encode("utf-8", "replace").lower().split()) for a, b, t in items]
+        texts = [(a, b, w) for a, b, w in texts if w]
+        self.ids = np.array([(a, b) for a, b, _ in texts], np.int64).reshape(-1, 2)
+        self.sizes = np.array([len(w) for *_, w in texts], np.int64)
+        self.by_size = {n: min(SHINGLE, n) for n in sorted(set(self.sizes.tolist()))}
+        shingles, prints = [], []
+        for *_, w in texts:
+            numbers = _word_hashes(w)
+            shingles.append(np.sort(_sequence_hash(numbers, min(SHINGLE, len(w)))))
+            prints.append(_fingerprints(numbers, _bit_sums(numbers), np.array([0]), len(w))[0])
+        self.ends = np.cumsum([0, *map(len, shingles)])
+        self.shingles = np.concatenate(shingles) if shingles else np.zeros(0, np.uint64)
+        self.prints = np.array(prints, np.uint64)
+        # Shingles by their length in words: items shorter than a shingle are one short shingle.
+        length = np.repeat(np.minimum(SHINGLE, self.sizes), np.diff(self.ends))
+        self.known = {g: np.unique(self.shingles[length == g]) for g in set(self.by_size.values())}
+        self.maps = {}
+        for g, known in self.known.items():
+            bits = np.zeros(1 << max(12, (4 * len(known)).bit_length()), bool)
+            bits[known & np.uint64(len(bits) - 1)] = True
+            self.maps[g] = bits
+        self.tables = []
+        for b in range(BLOCKS):
+            keys = self.block(self.prints, self.sizes, b)
+            order = np.argsort(keys, kind="stable").astype(np.int32)
+            self.tables.append((keys[order], order))
+        self.longest = int(self.sizes.max(initial=0))
+
+    @staticmethod
+    def block(prints: np.ndarray, sizes: np.ndarray | int, b: int) -> np.ndarray:
+        """A number for the size and the value of block `b`."""
+        value = prints >> np.uint64(EDGES[b]) & np.uint64((1 << (EDGES[b + 1] - EDGES[b])) - 1)
+        return np.asarray(sizes).astype(np.uint64) << np.uint64(16) | value
+
+    def near(self, fp: int, size: int) -> np.ndarray:
         """Items of that size within RADIUS bits."""
-        met = {k for block, value in self.blocks(fp) for k in self.tables.get((size, block, value), ())}
-        return {k for k in met if (self.prints[k] ^ fp).bit_count() <= RADIUS}
+        own, met = np.array([fp], np.uint64), []
+        for b, (keys, order) in enumerate(self.tables):
+            wanted = self.block(own, size, b) ^ FLIPS[b]
+            lo, hi = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
+            met.extend(order[x:y] for x, y in zip(lo[lo < hi], hi[lo < hi], strict=True))
+        met = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int32)
+        return met[np.bitwise_count(self.prints[met] ^ own) <= RADIUS]
+
+    def common(self, k: int, own: Counter) -> int:
+        """Shingles that item k has in common with `own`, repeats included."""
+        return (own & Counter(self.shingles[self.ends[k] : self.ends[k + 1]].tolist())).total()
 
 
 def _windows(index: Index, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -107,11 +131,11 @@ def _windows(index: Index, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarra
         if len(numbers) < size:
             continue
         if g not in made:
-            hashes = _sequence_hash(numbers, g)
-            ok = np.flatnonzero(np.convolve(numbers == 0, np.ones(g, int), "valid") == 0)
-            at = np.minimum(np.searchsorted(index.known[g], hashes[ok]), max(0, len(index.known[g]) - 1))
+            hashes, known, bits = _sequence_hash(numbers, g), index.known[g], index.maps[g]
+            maybe = np.flatnonzero(bits[hashes & np.uint64(len(bits) - 1)])
+            at = np.minimum(np.searchsorted(known, hashes[maybe]), max(0, len(known) - 1))
             held = np.zeros(len(hashes) + 1, np.int64)
-            held[ok + 1] = index.known[g][at] == hashes[ok]
+            held[maybe + 1] = known[at] == hashes[maybe]
             made[g] = hashes, np.cumsum(held)
         hashes, sums = made[g]
         m = size - g + 1
@@ -126,21 +150,20 @@ def passages(index: Index, text: str | None, memory: dict) -> dict[int, tuple[fl
     best: dict[int, tuple[float, int, int]] = {}
     base, overlap = 0, max(0, index.longest - 1)
     for words in word_chunks((text or "").encode("utf-8", "replace").lower(), overlap):
-        numbers = np.fromiter(map(index.words.get, words, repeat(0)), np.uint64, len(words))
-        sums = None
+        numbers, sums = _word_hashes(words), None
         for size, starts, hashes in _windows(index, numbers):
             if sums is None:
-                sums = _bit_sums(words)
+                sums = _bit_sums(numbers)
             m = size - index.by_size[size] + 1
-            for start, fp in zip(starts.tolist(), _fingerprints(words, sums, starts, size).tolist(), strict=True):
+            for start, fp in zip(starts.tolist(), _fingerprints(numbers, sums, starts, size).tolist(), strict=True):
                 own = hashes[start : start + m]
                 key = (size, fp, own.tobytes())
                 if key not in memory:
                     if len(memory) >= REMEMBERED:
                         memory.clear()
-                    memory[key] = []
-                    for k in index.near(fp, size):
-                        both = (Counter(own.tolist()) & index.shingles[k]).total()
+                    memory[key], counted = [], Counter(own.tolist())
+                    for k in index.near(fp, size).tolist():
+                        both = index.common(k, counted)
                         if both >= SIMILARITY * (2 * m - both) - 1e-9:
                             memory[key].append((k, both / (2 * m - both)))
                 for k, similarity in memory[key]:
@@ -150,12 +173,18 @@ def passages(index: Index, text: str | None, memory: dict) -> dict[int, tuple[fl
     return best
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, t1, t2 (128 bits that tell its text) and text."""
+    text = F.col("text").cast("string")
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
+
+
 def _passes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of at most about ITEMS_PER_PASS items each, until every item was in one."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    n = max(1, -(-items.count() // ITEMS_PER_PASS))
+    """Indexes of about PASS_BYTES of distinct texts each, until every text was in one."""
+    texts = _items(benchmark).where("text is not null").groupBy("t1", "t2").agg(F.min("text").alias("text"))
+    n = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PASS_BYTES))
     for k in range(n):
-        yield Index([tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("item_id", "text").collect()])
+        yield Index([tuple(r) for r in texts.where(F.pmod("t1", F.lit(n)) == k).orderBy("t1", "t2").collect()])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -163,7 +192,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A window has as many words (A-Z lower-cased) as the item; items shorter than a shingle match whole, items without
     words match nothing. Nothing is read but doc_id, item_id and text. Repeated rows and items and null ids are reported
-    as they are; null and empty texts hold nothing; an empty table on either side gives no rows."""
+    as they are (a text that many items repeat is searched once); null and empty texts hold nothing; long texts are read
+    in overlapping chunks; an empty table on either side gives no rows."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for index in _passes(benchmark):
@@ -172,17 +202,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             memory: dict = {}
             for b in batches:
-                found = [(i, shared.value.ids[k], *v) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, v in passages(shared.value, t, memory).items()]
-                columns = list(zip(*found, strict=True)) if found else [[]] * 5
-                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "similarity", "start", "n_words"])
+                found = [(i, *shared.value.ids[k].tolist(), *v) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, v in passages(shared.value, t, memory).items()]
+                columns = list(zip(*found, strict=True)) if found else [[]] * 6
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["doc_id", "t1", "t2", "similarity", "start", "n_words"])
 
-        leaks = rows.mapInArrow(run, "doc_id long, item_id long, similarity double, start long, n_words long")
+        leaks = rows.mapInArrow(run, "doc_id long, t1 long, t2 long, similarity double, start long, n_words long")
         out = leaks if out is None else out.unionByName(leaks)
-    return out
+    return out.join(_items(benchmark).drop("text"), ["t1", "t2"]).select("doc_id", "item_id", "similarity", "start", "n_words")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, whose text holds no benchmark item; nothing is shuffled."""
+    """The rows of `docs`, all columns, whose text holds no benchmark item; nothing is shuffled. Nulls, empty and long
+    texts, repeats and empty tables as in `find_leaks`: what holds no item stays."""
     at = docs.columns.index("text")
     for index in _passes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -197,4 +229,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, similarity, start, n_words of every item of `benchmark` in every row of `documents`; nulls, empty and
+    long texts, repeated rows and empty tables as in `find_leaks`."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
