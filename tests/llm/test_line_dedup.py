@@ -46,3 +46,8 @@ def test_odd_rows(spark):
     assert dedup_lines(documents(spark, [])).count() == 0
     kept = {r.doc_id: r.text for r in dedup_lines(documents(spark, [(1, None), (2, "")])).collect()}
     assert kept == {1: None, 2: ""}
+
+
+def test_rows_without_an_id_are_listed_apart(spark):
+    rows = [(1, "a line that all hold")] + [(None, f"a line that all hold\nrow {i} has its own line\na line of none but nulls") for i in range(300)]
+    check(spark, rows)

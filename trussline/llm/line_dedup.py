@@ -21,6 +21,8 @@ from .common import scratch_path, table, written
 
 #: Null ids count as one document, after all others.
 LAST = (1 << 63) - 1
+#: Line hashes of a batch, and bounds of the number of batches: every batch reads all runs once.
+ROWS_PER_BATCH, FEWEST, MOST = 50_000_000, 4, 32
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -34,31 +36,36 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 def _keys(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, found = [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            sizes, found = [], []
+            for text in b.column(2).to_pylist():
                 own = {line_key(x, min_chars) for x in (text or "").encode("utf-8", "replace").split(b"\n")} - {None}
                 found.extend(own)
-                ids.extend([i] * len(own))
+                sizes.append(len(own))
             h = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["doc", "h1", "h2"])
+            rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.record_batch([b.column(0).take(rows), b.column(1).take(rows), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["doc", "th", "h1", "h2"])
 
     return run
 
 
 class SortedRuns:
-    """The runs, by level: [[(table, path), ...], ...]. A run has h1, h2, owner, sorted by hash within hash buckets."""
+    """The runs, by level: [[(name, path), ...], ...]. A run is a table of h1, h2, owner, sorted by hash within hash buckets."""
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.spark, self.fanout, self.levels, self.names = spark, fanout, [[]], []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, rows: DataFrame) -> tuple[DataFrame, str]:
-        """A bucketed table in the shared folder; its name leaves the catalog, its files stay for this job."""
+        """A bucketed table in the shared folder."""
         name, path = f"run_{uuid.uuid4().hex}", scratch_path(self.spark, "run")
         rows.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
-        run = self.spark.table(name)
-        self.spark.sql(f"DROP TABLE {name}")
-        return run, path
+        self.names.append(name)
+        return self.spark.table(name), path
+
+    def close(self) -> None:
+        """Take the runs out of the catalog once no further batch will be merged; their files stay for `owners`."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def add(self, first: DataFrame) -> None:
         """Add the hashes of a batch (h1, h2, owner; a hash once) that no run holds."""
@@ -83,10 +90,13 @@ class SortedRuns:
         return self.spark.read.schema("h1 long, h2 long, owner long").parquet(*(path for _, path in self.runs()))
 
 
-def dropped_keys(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """doc, h1, h2: the line hashes that each document loses."""
+def dropped_keys(docs: DataFrame, min_chars: int = 10, batches: int | None = None, fanout: int = 3) -> DataFrame:
+    """doc, th, h1, h2: the line hashes that each text of a document loses. `docs` has doc, th (a hash of the text), text.
+    The number of batches follows from that of line hashes."""
     spark = docs.sparkSession
-    keys = written(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(_keys(min_chars), "doc long, h1 long, h2 long"), "line-keys")
+    keys = written(docs.mapInArrow(_keys(min_chars), "doc long, th long, h1 long, h2 long"), "line-keys")
+    if batches is None:
+        batches = min(MOST, max(FEWEST, -(-keys.count() // ROWS_PER_BATCH)))
     cuts = sorted(set(keys.where(F.col("doc") < LAST).stat.approxQuantile("doc", [k / batches for k in range(1, batches)], 0.02)))
     edges = [None, *map(int, cuts), None]
     runs = SortedRuns(spark, fanout)
@@ -94,7 +104,8 @@ def dropped_keys(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
         part = keys if lo is None else keys.where(F.col("doc") >= lo)
         part = part if hi is None else part.where(F.col("doc") < hi)
         runs.add(part.groupBy("h1", "h2").agg(F.min("doc").alias("owner")))
-    return keys.join(runs.owners(), ["h1", "h2"]).where("owner < doc").select("doc", "h1", "h2")
+    runs.close()
+    return keys.join(runs.owners(), ["h1", "h2"]).where("owner < doc").select("doc", "th", "h1", "h2")
 
 
 def _kept(min_chars: int):
@@ -115,18 +126,20 @@ def _kept(min_chars: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int | None = None, fanout: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_dropped, text and the `keep` columns: one row a row of `docs`, in any order.
 
     Keys of at least `min_chars` code points found in two documents or more lose all their lines but in the document of
     the smallest id; the other lines stay, joined by newlines. Null or empty texts are one empty line (a text that loses
     nothing comes back as it was, null included). Rows of one id are one document, as are all rows with a null id, which
-    count as the last. Extra columns are ignored; an empty table gives an empty result."""
-    drops = dropped_keys(docs, min_chars, batches, fanout)
-    lists = drops.groupBy("doc").agg(F.collect_list(F.concat(_le(F.col("h1")), _le(F.col("h2")))).alias("gone"))
+    count as the last; what a row loses is listed by its text, so they do not meet in one place. Extra columns are
+    ignored; an empty table gives an empty result."""
     named = {f"k{i}": c for i, c in enumerate(keep)}
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(k) for k, c in named.items()))
-    joined = wanted.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).join(lists, "doc", "left").select("doc_id", "text", "gone", *named)
+    rows = wanted.withColumns({"doc": F.coalesce("doc_id", F.lit(LAST)), "th": F.xxhash64("text")})
+    drops = dropped_keys(rows.select("doc", "th", "text"), min_chars, batches, fanout)
+    lists = drops.groupBy("doc", "th").agg(F.collect_set(F.concat(_le(F.col("h1")), _le(F.col("h2")))).alias("gone"))
+    joined = rows.join(lists, ["doc", "th"], "left").select("doc_id", "text", "gone", *named)
     schema = ", ".join(["doc_id long, n_lines long, n_dropped long, text string", *(f"{k} {wanted.schema[k].dataType.simpleString()}" for k in named)])
     return joined.mapInArrow(_kept(min_chars), schema).withColumnsRenamed(named)
 
@@ -137,6 +150,8 @@ def _le(c):
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 of every row of `documents`; nulls, empty and long texts, repeated rows and an
+    empty table as in `dedup_lines`."""
     kept = dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
