@@ -35,3 +35,17 @@ def test_memory_is_bounded(monkeypatch):
 
 def test_empty_table(spark):
     assert T.count_tokens(documents(spark, []), P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_long_stretches_without_white_space(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    t, _, words, changes = T._encoder(path)
+    assert words and changes
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["abc", "12", "'s", "-", "é", "x9", "<|endoftext|>", "漢1"]) for _ in range(4000)) for _ in range(3)] + ["z" * 5000, " a1" * 50]
+    monkeypatch.setattr(T, "STRETCH", 100)
+    assert max(map(len, T.pieces_of(texts[0], True, True))) < 600
+    assert T.text_lengths(path, texts) == [len(t.encode(x, add_special_tokens=False)) for x in texts]
+    assert T.pieces_of("a b", False, False) == ["a b"]
