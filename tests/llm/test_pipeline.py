@@ -50,3 +50,29 @@ def test_language_fills_what_is_not_labelled(spark):
     docs = spark.createDataFrame([(i, t, None if i < 10 else ["de", "en"][i % 2]) for i, t in made], "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs, "").collect()}
     assert got == {i: ["de", "en"][i % 2] for i, _ in made}
+
+DOCS, ITEMS = "doc_id long, text string, lang string, source string, n_chars long", "item_id long, text string"
+
+
+def tables(spark, path, docs, items):
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, ITEMS).write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path / "none", [], [])).count() == 0
+    docs = [(1, "some words of a text", "en", "a", 20)]
+    assert [r.doc_id for r in corpus_pipeline.run(spark, tables(spark, tmp_path / "some", docs, [])).collect()] == [1]
+
+
+def test_null_and_repeated_ids_and_long_texts(spark, tmp_path):
+    rng = random.Random(9)
+    long = " ".join(words(rng, 200_000, 90_000))
+    same = " ".join(words(rng, 40))
+    docs = [(1, long, "en", "a", 0), (None, " ".join(words(rng, 50)), "en", None, 0), (None, " ".join(words(rng, 60)), None, "b", 0)]
+    docs += [(2, same, "en", "a", 0)] * 3 + [(3, " ".join(words(rng, 30)), "en", "b", 0), (3, " ".join(words(rng, 35)), "de", "b", 0), (4, "", "en", "a", 0), (5, None, "de", "a", 0)]
+    out = corpus_pipeline.run(spark, tables(spark, tmp_path, docs, [(1, "an item that nobody holds at all")])).collect()
+    # Nothing is dropped but the texts without a letter and two of the three equal rows.
+    assert sorted((r.doc_id or 0) for r in out) == [0, 0, 1, 2, 3, 3]
+    assert {r.size for r in out if r.doc_id == 1} == {200_000}

@@ -121,4 +121,6 @@ def mix_sources(docs: DataFrame, block_words: int = 64) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken and the mix's columns of every row of `documents`; nulls, empty and long
+    texts, repeated rows and an empty table as in `mix_sources`."""
     return mix_sources(table(spark, sf_dir, "documents"))

@@ -235,4 +235,6 @@ def near_duplicates(docs: DataFrame, size: int = 3, threshold: int = 3) -> DataF
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row of `documents`; nulls, empty and long texts, repeated rows and an empty
+    table as in `near_duplicates`."""
     return near_duplicates(table(spark, sf_dir, "documents"))

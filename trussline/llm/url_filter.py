@@ -122,6 +122,8 @@ def rule_rows(spark: SparkSession, rules: Sequence[tuple[str, str, str]] = RULES
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of every row of `pages`; null and odd urls, repeated rows, ties of rules and an empty
+    table as in `filter_urls`."""
     return filter_urls(table(spark, sf_dir, "pages"), rule_rows(spark))
 
 
