@@ -4,14 +4,14 @@ Only windows that hold enough shingles of some item can reach the similarity, so
 else is skipped. A window's fingerprint finds the items of its size within RADIUS bits: cut into BLOCKS blocks, two
 such fingerprints differ by at most RADIUS // BLOCKS bits in one of them, so every item is listed once a block, in sorted
 arrays, and a window looks up all values that near to its own. Candidates are verified by the exact weighted (multiset)
-Jaccard similarity of shingles. Words stand for themselves by 64-bit hashes.
+Jaccard similarity of shingles.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -80,11 +80,12 @@ class Index:
         self.ids = np.array([(a, b) for a, b, _ in texts], np.int64).reshape(-1, 2)
         self.sizes = np.array([len(w) for *_, w in texts], np.int64)
         self.by_size = {n: min(SHINGLE, n) for n in sorted(set(self.sizes.tolist()))}
+        self.words = {w: k + 1 for k, w in enumerate(sorted({w for *_, ws in texts for w in ws}))}
         shingles, prints = [], []
         for *_, w in texts:
-            numbers = _word_hashes(w)
-            shingles.append(np.sort(_sequence_hash(numbers, min(SHINGLE, len(w)))))
-            prints.append(_fingerprints(numbers, _bit_sums(numbers), np.array([0]), len(w))[0])
+            shingles.append(np.sort(_sequence_hash(self.numbers(w), min(SHINGLE, len(w)))))
+            hashes = _word_hashes(w)
+            prints.append(_fingerprints(hashes, _bit_sums(hashes), np.array([0]), len(w))[0])
         self.ends = np.cumsum([0, *map(len, shingles)])
         self.shingles = np.concatenate(shingles) if shingles else np.zeros(0, np.uint64)
         self.prints = np.array(prints, np.uint64)
@@ -103,21 +104,34 @@ class Index:
             self.tables.append((keys[order], order))
         self.longest = int(self.sizes.max(initial=0))
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of known words, 0 for any other."""
+        return np.fromiter(map(self.words.get, words, repeat(0)), np.uint64, len(words))
+
     @staticmethod
     def block(prints: np.ndarray, sizes: np.ndarray | int, b: int) -> np.ndarray:
         """A number for the size and the value of block `b`."""
         value = prints >> np.uint64(EDGES[b]) & np.uint64((1 << (EDGES[b + 1] - EDGES[b])) - 1)
         return np.asarray(sizes).astype(np.uint64) << np.uint64(16) | value
 
-    def near(self, fp: int, size: int) -> np.ndarray:
-        """Items of that size within RADIUS bits."""
-        own, met = np.array([fp], np.uint64), []
+    def near(self, prints: np.ndarray, size: int) -> list[list[int]]:
+        """For each fingerprint the items of that size within RADIUS bits."""
+        rows, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for b, (keys, order) in enumerate(self.tables):
-            wanted = self.block(own, size, b) ^ FLIPS[b]
-            lo, hi = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
-            met.extend(order[x:y] for x, y in zip(lo[lo < hi], hi[lo < hi], strict=True))
-        met = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int32)
-        return met[np.bitwise_count(self.prints[met] ^ own) <= RADIUS]
+            first, end = np.searchsorted(keys, np.array([size << 16, (size + 1) << 16], np.uint64))
+            own, wanted = keys[first:end], (self.block(prints, size, b)[:, None] ^ FLIPS[b]).ravel()
+            at = np.searchsorted(own, wanted)
+            met = np.flatnonzero(own[np.minimum(at, len(own) - 1)] == wanted) if len(own) else []
+            # Items of one size can share a block's value.
+            many = np.searchsorted(own, wanted[met], "right") - at[met]
+            rows.append(np.repeat(np.asarray(met, np.int64) // len(FLIPS[b]), many))
+            items.append(order[first:end][np.repeat(at[met], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)])
+        row, item = np.unique(np.stack([np.concatenate(rows), np.concatenate(items)]), axis=1)
+        ok = np.bitwise_count(self.prints[item] ^ prints[row]) <= RADIUS
+        out: list[list[int]] = [[] for _ in prints]
+        for i, k in zip(row[ok].tolist(), item[ok].tolist(), strict=True):
+            out[i].append(k)
+        return out
 
     def common(self, k: int, own: Counter) -> int:
         """Shingles that item k has in common with `own`, repeats included."""
@@ -132,6 +146,7 @@ def _windows(index: Index, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarra
             continue
         if g not in made:
             hashes, known, bits = _sequence_hash(numbers, g), index.known[g], index.maps[g]
+            # Shingles with an unknown word have hashes as well, but none that is known.
             maybe = np.flatnonzero(bits[hashes & np.uint64(len(bits) - 1)])
             at = np.minimum(np.searchsorted(known, hashes[maybe]), max(0, len(known) - 1))
             held = np.zeros(len(hashes) + 1, np.int64)
@@ -150,22 +165,26 @@ def passages(index: Index, text: str | None, memory: dict) -> dict[int, tuple[fl
     best: dict[int, tuple[float, int, int]] = {}
     base, overlap = 0, max(0, index.longest - 1)
     for words in word_chunks((text or "").encode("utf-8", "replace").lower(), overlap):
-        numbers, sums = _word_hashes(words), None
-        for size, starts, hashes in _windows(index, numbers):
+        sums = None
+        for size, starts, hashes in _windows(index, index.numbers(words)):
             if sums is None:
-                sums = _bit_sums(numbers)
+                own_hashes = _word_hashes(words)
+                sums = _bit_sums(own_hashes)
             m = size - index.by_size[size] + 1
-            for start, fp in zip(starts.tolist(), _fingerprints(numbers, sums, starts, size).tolist(), strict=True):
-                own = hashes[start : start + m]
-                key = (size, fp, own.tobytes())
-                if key not in memory:
-                    if len(memory) >= REMEMBERED:
-                        memory.clear()
-                    memory[key], counted = [], Counter(own.tolist())
-                    for k in index.near(fp, size).tolist():
-                        both = index.common(k, counted)
-                        if both >= SIMILARITY * (2 * m - both) - 1e-9:
-                            memory[key].append((k, both / (2 * m - both)))
+            prints = _fingerprints(own_hashes, sums, starts, size)
+            keys = [(size, fp, hashes[s : s + m].tobytes()) for fp, s in zip(prints.tolist(), starts.tolist(), strict=True)]
+            new = {key: i for i, key in enumerate(keys) if key not in memory}
+            if len(memory) + len(new) > REMEMBERED:
+                memory.clear()
+                new = {key: i for i, key in enumerate(keys)}
+            at = list(new.values())
+            for key, i, near in zip(new, at, index.near(prints[at], size) if new else [], strict=True):
+                memory[key], counted = [], Counter(hashes[starts[i] : starts[i] + m].tolist()) if near else None
+                for k in near:
+                    both = index.common(k, counted)
+                    if both >= SIMILARITY * (2 * m - both) - 1e-9:
+                        memory[key].append((k, both / (2 * m - both)))
+            for start, key in zip(starts.tolist(), keys, strict=True):
                 for k, similarity in memory[key]:
                     if k not in best or (similarity, -base - start) > (best[k][0], -best[k][1]):
                         best[k] = (similarity, base + start, size)
