@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from trussline.functions import geometry
+from trussline.functions import geometry, text
 from trussline.operators import assembly, components, fragments, intents, model, proxies, resolution, rules, validation
 
 BOX = "struct<min_x:double,min_y:double,max_x:double,max_y:double>"
@@ -92,7 +92,7 @@ def test_grid_signature_and_validation(spark):
     assert [r.grid_signature for r in assembly.grid_signature(axes, "unknown").collect()] == ["A1@0.000|B@unknown|L@2.000"]
     e = components.component_candidates(entities(spark, [entity(1), entity(2)]))
     m, f = assembly.manifests(e), frags(spark, [("3F", "3F", None)])
-    issues = assembly.parser_validation(m, assembly.chains(e), assembly.missing_storeys(f, m), axes.limit(0))
+    issues = assembly.parser_validation(f.select('bundle_id'), m, assembly.chains(e), assembly.missing_storeys(f, m), axes.limit(0))
     assert sorted(r.category for r in issues.collect()) == ["duplicate_component", "grid_missing", "storey_missing"]
     assert [r[0] for r in issues.groupBy().agg(assembly.ready(issues)).collect()] == [False]
     both = assembly.storeys_with_fragments(m, f)
@@ -118,7 +118,7 @@ def test_openings_sit_on_their_walls(spark):
     extra = {"span": F.lit(None).cast("double"), "vendor_width": F.when(F.col("entity_seq") == 10, F.lit("1200")), "vendor_height": F.lit(None).cast("string"), "origin_x": F.lit(0.0), "origin_y": F.lit(0.0)}
     sized = {r.entity_seq: r for r in model.opening_geometry(hosted.withColumns(extra)).collect()}
     assert (sized[10].width_mm, sized[10].local_y_m, sized[10].depth_m, sized[11].width_mm, sized[12].rotation_deg) == (1200, 0.6, 0.22, 1500, 0.0)
-    by_cell = {r.entity_seq: r.wall_seq for r in model.host_walls_by_cell(openings.where("entity_seq = 10"), walls, 700.0).collect()}
+    by_cell = {r.entity_seq: r.wall_seq for r in model.nearest_walls(openings.where("entity_seq = 10"), walls).collect()}
     assert by_cell == {10: 2}
     placed = model.wall_geometry(entities(spark, [wall]).withColumns({"vendor_width": F.lit("300"), "origin_x": F.lit(0.0), "origin_y": F.lit(0.0)}), F.lit(3.0)).first()
     assert (placed.width_m, placed.local_x_m, placed.local_y_m, placed.depth_m, placed.rotation_deg) == (4.0, 2.0, 0.0, 0.3, 0.0)
@@ -137,7 +137,7 @@ def test_layouts_and_replication(spark):
 def test_templates_roofs_patch_reconciliation(spark):
     s = spark.createDataFrame([(1, "storey_01", 1, 2, 3.0), (2, "storey_01", 1, 0, 3.0)], "bundle_id long, storey_id string, storey_no int, units long, height_m double")
     e = model.template_elements(s)
-    assert {(r.bundle_id, r.ifc_type): r["count"] for r in e.groupBy("bundle_id", "ifc_type").count().collect()} == {(1, "IfcWall"): 8, (1, "IfcSlab"): 1, (1, "IfcDoor"): 2, (1, "IfcWindow"): 4, (2, "IfcWall"): 8, (2, "IfcSlab"): 1}
+    assert {(r.bundle_id, r.ifc_type): r["count"] for r in e.groupBy("bundle_id", "ifc_type").count().collect()} == {(1, "IfcWall"): 8, (1, "IfcSlab"): 1, (1, "IfcDoor"): 2, (1, "IfcWindow"): 4, (2, "IfcWall"): 8, (2, "IfcSlab"): 1, (2, "IfcDoor"): 4, (2, "IfcWindow"): 8}
     patched = model.apply_patch(e, spark.createDataFrame([(1, 800, 1200, "new")], "bundle_id long, width_mm long, height_mm long, target_family string"))
     assert patched.where("replaced").count() == 2 and patched.where("family_name = 'new'").count() == 2
     tops = spark.createDataFrame([(9, "storey_02", "hip", 45.0, 0.5)], "bundle_id long, storey_id string, roof_type string, slope_deg double, overhang_m double")
@@ -159,7 +159,7 @@ def test_intents_and_rules(spark):
     assert (r[1].building_type, r[1].ruleset, r[1].units_per_floor.value, r[1].source_mode, r[1].floors.value) == ("office", "cn_office_v1", 8, "text_only", 1)
     assert (r[3].floors.value, r[3].floors.source, r[3].site_area_sqm.value, r[2].far.value) == (102, "text_prompt", 1500.0, 6.0)
     assert sorted((m.bundle_id, m.field) for m in intents.missing_fields(got).collect()) == [(1, "region"), (1, "site.area_sqm")]
-    assert [q.field for q in intents.clarifications(got).where("bundle_id = 1").orderBy("question_seq").collect()] == ["constraints.first_floor_height_m", "constraints.floors", "constraints.standard_floor_height_m", "program.units_per_floor", "region"]
+    assert [q.field for q in intents.clarifications(got).where("bundle_id = 1").orderBy("question_seq").collect()] == ["constraints.floors", "constraints.standard_floor_height_m", "constraints.first_floor_height_m", "program.units_per_floor"]
     plain = got.select("bundle_id", "building_type", "ruleset", "source_mode", "assets", F.col("floors.value").alias("floors"), F.col("standard_floor_height_m.value").alias("standard"), F.col("first_floor_height_m.value").alias("first"), F.col("far.value").alias("far"), F.col("site_area_sqm.value").alias("site_area"))
     reviews = spark.createDataFrame([(2, i, "multi_storey_asset_collapsed" if i == 0 else "unit_conflict", "warning", None, "a") for i in range(7)], "bundle_id long, review_seq long, category string, severity string, source_ref string, asset_name string")
     issues = rules.rule_issues(rules.with_ruleset(plain, rules.rulesets(spark)), reviews, intents.missing_fields(got))
@@ -227,3 +227,61 @@ def test_caps_and_modes(spark):
     assert {r.asset_name: (r.pdf_type, r.page_count) for r in resolution.pdf_modes(pages).collect()} == {"a": ("hybrid", 2), "b": ("scanned", 1)}
     none = resolution.bundles_without_assets(spark.createDataFrame([(1,), (2,)], "bundle_id long"), pages)
     assert [r.bundle_id for r in none.collect()] == [2]
+
+
+def test_form_values_of_first_floor_and_units_win(spark):
+    rows = [(1, "office 首层层高 5.0 8 units", "auto", None, 3, 3.9, None, None, 0, None, None, "cn", 4.8, 0)]
+    got = intents.build_intents(spark.createDataFrame(rows, REQUEST + ", form_first_height double, form_units long"), intents.profiles(spark))
+    r = got.first()
+    assert (r.first_floor_height_m.value, r.first_floor_height_m.source, r.units_per_floor.value) == (4.8, "form_input", 0)
+    told = intents.traces(got).orderBy("trace_seq").collect()
+    assert [t.field for t in told][:3] == ["building_type", "source_mode", "constraints.floors"] and [t.trace_seq for t in told] == list(range(1, len(told) + 1))
+    usual = spark.createDataFrame([(2, "office", "auto", None, None, None, None, None, 0, None, None, "")], REQUEST)
+    source = {t.field: t.source for t in intents.traces(intents.build_intents(usual, intents.profiles(spark))).collect()}
+    assert source["constraints.floors"] == "office_template_default" and source["region"] == "system_default"
+
+
+def test_conflicts_name_every_form_area_beside_a_boundary(spark):
+    form = spark.createDataFrame([(1, 3, 1000.0), (2, 3, 1000.0), (3, None, None)], "bundle_id long, form_floors long, form_area double")
+    drawn = spark.createDataFrame([(1, 3, True), (2, 2, False), (3, 2, True)], "bundle_id long, candidate_names long, site_boundary_detected boolean")
+    assert sorted((r.bundle_id, r.field, r.text_value, r.drawing_value) for r in intents.conflicts(form, drawn).collect()) == [(1, "site.area_sqm", 1000.0, "图纸推断面积"), (2, "constraints.floors", 3.0, "2")]
+
+
+def test_template_goes_unit_by_unit(spark):
+    rows = spark.createDataFrame([(1, "s", 1, 0, 3.0)], "bundle_id long, storey_id string, storey_no int, units long, height_m double")
+    got = [r.name for r in model.template_elements(rows).orderBy("element_seq").collect()][9:]
+    assert got == [f"{k} {i}{e}" for i in range(1, 5) for k, e in (("户门", ""), ("窗", "-A"), ("窗", "-B"))]
+
+
+def test_bundle_of_fragments_alone_is_validated(spark):
+    f = spark.createDataFrame([(9, "plan", "2F")], "bundle_id long, fragment_role string, storey_key string")
+    m = spark.createDataFrame([], "bundle_id long, storey_key string, component_count long, duplicates long")
+    none = spark.createDataFrame([], "bundle_id long")
+    assert sorted(r.category for r in assembly.parser_validation(f, m, none, assembly.missing_storeys(f, m), none).collect()) == ["grid_missing", "storey_missing"]
+
+
+def test_nearest_wall_equals_brute_force_at_every_distance(spark):
+    import random
+
+    rng = random.Random(1)
+    at = lambda: rng.choice([1.0, 30.0, 5e4, 9e6, 1e12]) * rng.uniform(-1, 1)
+    walls = [(1, "1F", i, (x, y), (x + rng.choice([0, 50, 9e3, 4e6]), y + rng.choice([0, 700.0]))) for i, (x, y) in enumerate((at(), at()) for _ in range(120))]
+    openings = [(1, "1F", 1000 + i, at(), at()) for i in range(80)]
+    df = spark.createDataFrame(walls, "bundle_id long, storey_key string, wall_seq long, a struct<x:double,y:double>, b struct<x:double,y:double>").select("bundle_id", "storey_key", "wall_seq", F.struct(F.col("a").alias("start"), F.col("b").alias("end")).alias("axis"))
+    got = {r.entity_seq: r for r in model.nearest_walls(spark.createDataFrame(openings, "bundle_id long, storey_key string, entity_seq long, x double, y double"), df).collect()}
+
+    def away(x, y, s, e):
+        dx, dy = e[0] - s[0], e[1] - s[1]
+        q = dx * dx + dy * dy
+        f = 0 if q <= 1e-9 else max(0, min(1, ((x - s[0]) * dx + (y - s[1]) * dy) / q))
+        return ((x - s[0] - dx * f) ** 2 + (y - s[1] - dy * f) ** 2) ** 0.5
+
+    for _, _, i, x, y in openings:
+        best = min((away(x, y, s, e), n) for _, _, n, s, e in walls)
+        assert abs(got[i].distance - best[0]) <= 1e-6 * max(1, best[0])
+
+
+def test_grid_layers(spark):
+    names = ["A-AXIS", "axis", "S_GRID.1", "taxis", "gridded", "轴线", None, ""]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i long, n string")
+    assert [r.g for r in df.select("i", text.is_grid_layer(F.col("n")).alias("g")).orderBy("i").collect()] == [True, True, True, False, False, True, False, False]

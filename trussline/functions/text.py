@@ -47,7 +47,7 @@ ROOF_WORDS = (
 )
 PROMPT_DIGITS = (("一", "1"), ("二", "2"), ("三", "3"), ("四", "4"), ("五", "5"), ("六", "6"), ("七", "7"), ("八", "8"), ("九", "9"), ("十", "10"), ("两", "2"))
 TCH_OPENING = (("door_block", ("door", "门")), ("window_block", ("window", "wind", "窗")))
-GRID_LAYER = r"(?i)(axis|grid|轴)"
+GRID_LAYER = r"(?i)(?:^|[-_.\s])(axis|grid)(?:$|[-_.\s])|轴"
 
 
 def holds(text: Column, words: Sequence[str]) -> Column:
@@ -76,6 +76,11 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(text, F.lit("\0"), F.lit(" ")), r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{3000}]+", " "))
 
 
+def is_grid_layer(name: Column) -> Column:
+    """Whether a layer's name has axis or grid as a part of its own, or 轴; false for null."""
+    return F.coalesce(F.rlike(name, F.lit(GRID_LAYER)), F.lit(False))
+
+
 def safe_float(value: Column, default: float) -> Column:
     return F.coalesce(value.try_cast("double"), F.lit(default))
 

@@ -59,11 +59,11 @@ def missing_storeys(fragments: DataFrame, manifest: DataFrame) -> DataFrame:
     return told.join(manifest.select("bundle_id", "storey_key"), ["bundle_id", "storey_key"], "left_anti")
 
 
-def parser_validation(manifest: DataFrame, chain: DataFrame, missing: DataFrame, axes: DataFrame) -> DataFrame:
-    """bundle_id, category, severity, n: missing storeys block; duplicates, several storeys without a chain and missing axes
-    are for review."""
+def parser_validation(bundles: DataFrame, manifest: DataFrame, chain: DataFrame, missing: DataFrame, axes: DataFrame) -> DataFrame:
+    """bundle_id, category, severity, n of every one of `bundles`, components or not: missing storeys block; duplicates,
+    several storeys without a chain and missing axes are for review."""
     per = manifest.groupBy("bundle_id").agg(F.count("*").alias("storeys"), F.sum("duplicates").alias("duplicates"))
-    per = per.join(chain.groupBy("bundle_id").agg(F.count("*").alias("chains")), "bundle_id", "left").join(missing.groupBy("bundle_id").agg(F.count("*").alias("missing")), "bundle_id", "left").join(axes.groupBy("bundle_id").agg(F.count("*").alias("axes")), "bundle_id", "left").na.fill(0)
+    per = bundles.select("bundle_id").distinct().join(per, "bundle_id", "left").join(chain.groupBy("bundle_id").agg(F.count("*").alias("chains")), "bundle_id", "left").join(missing.groupBy("bundle_id").agg(F.count("*").alias("missing")), "bundle_id", "left").join(axes.groupBy("bundle_id").agg(F.count("*").alias("axes")), "bundle_id", "left").na.fill(0)
     issue = lambda when, category, severity, n: F.when(when, F.struct(F.lit(category).alias("category"), F.lit(severity).alias("severity"), n.cast("long").alias("n")))
     rules = [
         issue(F.col("missing") > 0, "storey_missing", "error", F.col("missing")),

@@ -10,8 +10,6 @@ from .resolution import GEOMETRY, dedupe_first, review
 
 #: Padding of a cluster's box: this share of its extent, and this length at least.
 PADDING, LEAST_PADDING = 0.05, 100.0
-#: An asset's fragments are few; a bundle's whole list is broadcast only below this many rows.
-MOST_BROADCAST = 200_000
 
 
 def fragment_list(entities: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -25,13 +25,13 @@ def profiles(spark) -> DataFrame:
     return spark.createDataFrame(PROFILES, PROFILE_SCHEMA)
 
 
-def resolved(form: Column, inferred: Column, default: Column | None = None, inferred_source: Column | str = "text_prompt", inferred_confidence: Column | float = 0.85) -> Column:
+def resolved(form: Column, inferred: Column, default: Column | None = None, inferred_source: Column | str = "text_prompt", inferred_confidence: Column | float = 0.85, default_source: Column | None = None) -> Column:
     """Struct value, source, confidence of a field: the form's, else what was inferred, else the default if it has one."""
     source = F.lit(inferred_source) if isinstance(inferred_source, str) else inferred_source
     sure = F.lit(inferred_confidence) if isinstance(inferred_confidence, float) else inferred_confidence
     as_ = lambda v, s, c: F.struct(v.alias("value"), s.alias("source"), c.alias("confidence"))
     out = F.when(form.isNotNull(), as_(form, F.lit("form_input"), F.lit(1.0))).when(inferred.isNotNull(), as_(inferred, source, sure))
-    return out if default is None else out.otherwise(as_(default, F.lit("template_default"), F.lit(0.6)))
+    return out if default is None else out.otherwise(as_(default, F.lit("template_default") if default_source is None else default_source, F.lit(0.6)))
 
 
 def site_areas(entities: DataFrame, assets: DataFrame) -> DataFrame:
@@ -51,28 +51,41 @@ def fill_requests(requests: DataFrame, projects: DataFrame) -> DataFrame:
     return rows.withColumns({"form_fields": merged, "building_type_hint": F.coalesce("building_type_hint", "default_building_type"), "region": F.coalesce("region", "default_region")}).drop("default_building_type", "default_region", "metadata")
 
 
+#: Columns of a request that may be left out, and what then holds.
+OPTIONAL = (("form_first_height", "double", None), ("form_units", "bigint", None), ("site_boundary_detected", "boolean", False), ("north_angle", "double", 0.0), ("space_candidates", "bigint", 0), ("output_formats", "array<string>", None))
+
+
 def build_intents(requests: DataFrame, profile: DataFrame, compat: bool = True) -> DataFrame:
-    """One intent a request (bundle_id, prompt, mode_hint, form_* fields, assets, drawn_floors, drawn_area, region), every
-    resolved field as a struct of value, source and confidence. With `compat` the prompt's numerals are replaced digit by
-    digit, as the reference does."""
-    rows = requests.withColumn("prompt", text.prompt_digits(F.col("prompt")) if compat else F.col("prompt"))
+    """One intent a request (bundle_id, prompt, mode_hint, form_* fields, assets, drawn_floors, drawn_area, region, and
+    perhaps those of OPTIONAL), every resolved field as a struct of value, source and confidence. With `compat` the prompt's
+    numerals are replaced digit by digit, as the reference does."""
+    rows = requests.withColumns({c: F.lit(v).cast(t) for c, t, v in OPTIONAL if c not in requests.columns})
+    rows = rows.withColumn("prompt", text.prompt_digits(F.col("prompt")) if compat else F.col("prompt"))
     rows = rows.withColumn("building", text.building_type(F.col("prompt"), F.col("form_building_type"))).withColumn("building_type", F.col("building.value"))
     rows = rows.withColumn("profile", F.when(F.col("building_type") == "office", F.lit("office")).otherwise(F.lit("residential")))
     # Two rows: the dimension is fixed, so broadcasting it is bounded.
     rows = rows.join(F.broadcast(profile.withColumnRenamed("building_type", "profile")), "profile")
-    p = F.col("prompt")
+    p, usual = F.col("prompt"), F.concat("building_type", F.lit("_template_default"))
     said = prompt_int(p, FLOORS)
-    floors = resolved(F.col("form_floors"), F.coalesce(said, F.col("drawn_floors")), F.lit(1).cast("long"), F.when(said.isNotNull(), F.lit("text_prompt")).otherwise(F.lit("parsed_drawing")), F.when(said.isNotNull(), F.lit(0.85)).otherwise(F.lit(0.72)))
-    area = F.coalesce(resolved(F.col("form_area"), prompt_float(p, SITE_AREA)), resolved(F.lit(None).cast("double"), F.col("drawn_area"), None, "parsed_drawing_inferred_boundary", 0.7))
+    from_text = said.isNotNull()
+    floors = resolved(
+        F.col("form_floors"),
+        F.coalesce(said, F.col("drawn_floors")),
+        F.lit(1).cast("long"),
+        F.when(from_text, F.lit("text_prompt")).otherwise(F.lit("parsed_drawing")),
+        F.when(from_text, F.lit(0.85)).otherwise(F.lit(0.72)),
+        usual,
+    )
+    drawn = resolved(F.lit(None).cast("double"), F.col("drawn_area"), None, "parsed_drawing_inferred_boundary", 0.7)
     rows = rows.withColumns(
         {
             "source_mode": text.source_mode(p, F.col("mode_hint"), F.col("assets")),
             "floors": floors,
-            "standard_floor_height_m": resolved(F.col("form_height"), prompt_float(p, STANDARD_HEIGHT), F.col("default_standard")),
-            "first_floor_height_m": resolved(F.lit(None).cast("double"), prompt_float(p, FIRST_HEIGHT), F.col("default_first")),
-            "site_area_sqm": area,
+            "standard_floor_height_m": resolved(F.col("form_height"), prompt_float(p, STANDARD_HEIGHT), F.col("default_standard"), default_source=usual),
+            "first_floor_height_m": resolved(F.col("form_first_height"), prompt_float(p, FIRST_HEIGHT), F.col("default_first"), default_source=usual),
+            "site_area_sqm": F.coalesce(resolved(F.col("form_area"), prompt_float(p, SITE_AREA)), drawn),
             "far": resolved(F.col("form_far"), prompt_float(p, FAR)),
-            "units_per_floor": resolved(F.lit(None).cast("long"), prompt_int(p, UNITS), F.col("default_units")),
+            "units_per_floor": resolved(F.col("form_units"), prompt_int(p, UNITS), F.col("default_units"), default_source=usual),
             "roof": text.roof_command(p),
             "patch": text.window_patch(p),
         }
@@ -84,32 +97,64 @@ FIELDS = (("constraints.floors", "floors"), ("constraints.standard_floor_height_
 
 
 def traces(intents: DataFrame) -> DataFrame:
-    """bundle_id, trace_seq, field, value, source, confidence of every resolved field."""
-    rows = [F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("trace_seq"), F.lit(name).alias("field"), F.col(f"{c}.value").cast("string").alias("value"), F.col(f"{c}.source").alias("source"), F.col(f"{c}.confidence").alias("confidence"))) for i, (name, c) in enumerate(FIELDS, 1)]
-    return intents.select("bundle_id", F.explode(F.array_compact(F.array(*rows))).alias("t")).select("bundle_id", "t.*")
+    """bundle_id, trace_seq, field, value, source, confidence: where every field of an intent came from, in the order in
+    which they are settled."""
+
+    def row(field: str, value: Column, source: Column | str, confidence: Column | float, when: Column | None = None) -> Column:
+        told = F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"), (F.lit(source) if isinstance(source, str) else source).alias("source"), (F.lit(confidence) if isinstance(confidence, float) else confidence).alias("confidence"))
+        return told if when is None else F.when(when, told)
+
+    drawn = F.col("assets") > 0
+    either = lambda yes, no: F.when(drawn, F.lit(yes)).otherwise(F.lit(no))
+    told = either("parsed_drawing", "system_default")
+    asked, formats = F.col("patch").isNotNull(), F.coalesce(F.size("output_formats"), F.lit(0)) > 0
+    boundary = F.when(F.col("site_boundary_detected") | drawn, F.lit("drawing_or_uploaded_polygon")).otherwise(F.lit("unspecified"))
+    rows = [
+        row("building_type", F.col("building_type"), F.col("building.source"), F.when(F.col("building.source") == "form_input", F.lit(1.0)).otherwise(F.lit(0.8))),
+        row("source_mode", F.col("source_mode"), either("parsed_assets", "system_default"), either(0.95, 0.6)),
+        *(row(name, F.col(f"{c}.value"), F.col(f"{c}.source"), F.col(f"{c}.confidence"), F.col(c).isNotNull()) for name, c in FIELDS),
+        row("region", F.lit("building_type_default_ruleset"), "system_default", 0.5, F.nullif("region", F.lit("")).isNull()),
+        row("constraints.ruleset", F.col("ruleset"), "building_type_ruleset", 0.85),
+        row("site.boundary_source", boundary, told, either(0.8, 0.6)),
+        row("site.north_angle", F.col("north_angle"), told, either(0.75, 0.4)),
+        row("program.spaces_from_drawings", (F.col("space_candidates") > 0) | (F.col("source_mode") == "cad_to_bim"), told, either(0.75, 0.5)),
+        row("model_patch", F.col("patch.target_family"), "text_prompt", 0.9, asked),
+        row("element_selector", F.lit("IfcWindow"), "text_prompt", 0.85, asked),
+        row("deliverables", F.when(formats, F.array_join("output_formats", ",")).otherwise(F.lit("ifc")), F.when(formats, F.lit("form_input")).otherwise(F.lit("template_default")), F.when(formats, F.lit(1.0)).otherwise(F.lit(0.8))),
+        row("final_use", F.lit("revit_view"), "system_default", 0.8),
+        row("roof.roof_type", F.col("roof.roof_type"), "text_prompt", 0.85, F.col("roof").isNotNull()),
+    ]
+    return intents.select("bundle_id", F.posexplode(F.array_compact(F.array(*rows))).alias("n", "t")).select("bundle_id", (F.col("n") + 1).alias("trace_seq"), "t.*")
 
 
 def missing_fields(intents: DataFrame) -> DataFrame:
-    """bundle_id, field, critical: the region, and in text mode the site's area."""
-    row = lambda when, field, critical: F.when(when, F.struct(F.lit(field).alias("field"), F.lit(critical).alias("critical")))
-    rules = [row(F.nullif("region", F.lit("")).isNull(), "region", True), row((F.col("source_mode") == "text_only") & F.col("site_area_sqm").isNull(), "site.area_sqm", True)]
+    """bundle_id, field, critical: the region, and in text mode the site's area; neither is critical."""
+    row = lambda when, field: F.when(when, F.struct(F.lit(field).alias("field"), F.lit(False).alias("critical")))
+    rules = [row(F.nullif("region", F.lit("")).isNull(), "region"), row((F.col("source_mode") == "text_only") & F.col("site_area_sqm").isNull(), "site.area_sqm")]
     return intents.select("bundle_id", F.explode(F.array_compact(F.array(*rules))).alias("m")).select("bundle_id", "m.*")
 
 
 def clarifications(intents: DataFrame) -> DataFrame:
-    """The first QUESTIONS questions of every bundle: assumed values of low confidence, then critical missing fields."""
-    assumed = traces(intents).where((F.col("source") == "template_default") & (F.col("confidence") < LEAST_CONFIDENCE)).select("bundle_id", F.lit(0).alias("kind"), "field")
-    rows = assumed.unionByName(missing_fields(intents).where("critical").select("bundle_id", F.lit(1).alias("kind"), "field"))
-    n = F.row_number().over(Window.partitionBy("bundle_id").orderBy("kind", "field"))
-    return rows.withColumn("question_seq", n).where(F.col("question_seq") <= QUESTIONS).drop("kind")
+    """The first QUESTIONS questions of every bundle: assumed values of low confidence as they were settled, then critical
+    missing fields."""
+    names = [name for name, _ in FIELDS]
+    assumed = traces(intents).where(F.col("field").isin(names) & F.endswith("source", F.lit("_template_default")) & (F.col("confidence") < LEAST_CONFIDENCE)).select("bundle_id", F.lit(0).alias("kind"), "trace_seq", "field")
+    rows = assumed.unionByName(missing_fields(intents).where("critical").select("bundle_id", F.lit(1).alias("kind"), F.lit(0).alias("trace_seq"), "field"))
+    n = F.row_number().over(Window.partitionBy("bundle_id").orderBy("kind", "trace_seq", "field"))
+    return rows.withColumn("question_seq", n).where(F.col("question_seq") <= QUESTIONS).drop("kind", "trace_seq")
+
+
+# What a conflict says.
+DRAWN_AREA, FLOORS_REASON, AREA_REASON = "图纸推断面积", "用户明确指定层数，优先使用文本输入", "用户提供的用地面积优先于图纸推断"
 
 
 def conflicts(intents: DataFrame, drawn: DataFrame) -> DataFrame:
-    """Form values that the drawings contradict: floors against the number of storey candidates, area against the boundary
-    by more than a tenth. `drawn` has bundle_id, candidate_names, drawn_site_area."""
+    """bundle_id, field, text_value, drawing_value, resolution, reason of form values that the drawings contradict: floors
+    other than the number of storey candidates, and any area where a site boundary was detected. `drawn` has bundle_id,
+    candidate_names, site_boundary_detected."""
     rows = intents.join(drawn, "bundle_id")
-    floors = (F.col("form_floors").isNotNull()) & (F.col("candidate_names") > 0) & (F.col("form_floors") != F.col("candidate_names"))
-    area = F.abs(F.col("form_area") - F.col("drawn_site_area")) > 0.1 * F.col("drawn_site_area")
-    row = lambda when, field, a, b: F.when(when, F.struct(F.lit(field).alias("field"), F.col(a).cast("double").alias("form_value"), F.col(b).cast("double").alias("drawn_value")))
-    rules = [row(floors, "floors", "form_floors", "candidate_names"), row(area, "site_area_sqm", "form_area", "drawn_site_area")]
+    floors = F.col("form_floors").isNotNull() & (F.col("candidate_names") > 0) & (F.col("form_floors") != F.col("candidate_names"))
+    area = F.col("form_area").isNotNull() & F.col("site_boundary_detected")
+    row = lambda when, field, a, b, why: F.when(when, F.struct(F.lit(field).alias("field"), F.col(a).cast("double").alias("text_value"), b.cast("string").alias("drawing_value"), F.lit("use_text").alias("resolution"), F.lit(why).alias("reason")))
+    rules = [row(floors, "constraints.floors", "form_floors", F.col("candidate_names"), FLOORS_REASON), row(area, "site.area_sqm", "form_area", F.lit(DRAWN_AREA), AREA_REASON)]
     return rows.select("bundle_id", F.explode(F.array_compact(F.array(*rules))).alias("c")).select("bundle_id", "c.*")

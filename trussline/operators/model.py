@@ -26,8 +26,8 @@ OPENING_SIZES = {"door_block": (1.0, 0.15, 2.1), "window_block": (1.5, 0.12, 1.5
 TYPES = {"wall_line": "IfcWall", "wall_path": "IfcWall", "door_block": "IfcDoor", "window_block": "IfcWindow"}
 RECONCILED = (("IfcWall", "wall"), ("IfcDoor", "door"), ("IfcWindow", "window"))
 WALLS, OPENINGS, ROOMS = ("wall_line", "wall_path"), ("door_block", "window_block"), ("room_boundary", "room_label")
-#: Walls of a storey that an opening meets one by one; storeys with more are searched through grid cells.
-MOST_WALLS = 10_000
+#: Smallest cell of the wall search, in drawing units, and how often cells grow by CELL_GROWTH; the last is one for all.
+CELL, CELL_GROWTH, CELL_LEVELS = 1000.0, 8, 8
 
 
 def source_entities(entities: DataFrame, roles: DataFrame) -> DataFrame:
@@ -91,34 +91,45 @@ def host_walls(openings: DataFrame, walls: DataFrame) -> DataFrame:
     nearest axis, the first of equally near ones. Adds wall_seq, distance, foot_x, foot_y, rotation_deg.
 
     openings: bundle_id, storey_key, entity_seq, x, y, parents (array of handles); walls: bundle_id, storey_key, wall_seq,
-    handle, axis. Parents are matched by an equality join; only openings without one are compared with their storey's
-    walls, by a pre-aggregated minimum, never as a collected list."""
+    handle, axis. Parents are matched by an equality join; only openings without one are searched for through cells."""
     key = ["bundle_id", "storey_key"]
     by_parent = openings.withColumn("handle", F.explode("parents")).join(walls.select(*key, "handle", "wall_seq"), [*key, "handle"]).groupBy(*key, "entity_seq").agg(F.min("wall_seq").alias("wall_seq"))
     rest = openings.join(by_parent, [*key, "entity_seq"], "left_anti")
+    chosen = by_parent.unionByName(nearest_walls(rest, walls).drop("distance"))
     foot = geometry.project(F.col("x"), F.col("y"), F.col("axis"))
-    near = rest.join(walls.select(*key, "wall_seq", "axis"), key).groupBy(*key, "entity_seq").agg(F.min(F.struct(foot["distance"].alias("d"), "wall_seq")).alias("w")).select(*key, "entity_seq", "w.wall_seq")
-    chosen = by_parent.unionByName(near)
     rows = openings.join(chosen, [*key, "entity_seq"], "left").join(walls.select(*key, "wall_seq", "axis"), [*key, "wall_seq"], "left").withColumn("_f", foot)
     return rows.select(*openings.columns, "wall_seq", "axis", F.col("_f.distance").alias("distance"), F.col("_f.x").alias("foot_x"), F.col("_f.y").alias("foot_y"), F.col("_f.rotation_deg").alias("rotation_deg"))
 
 
-def host_walls_by_cell(openings: DataFrame, walls: DataFrame, cell: float) -> DataFrame:
-    """The nearest wall of every opening without parents, for storeys with very many walls: walls are dealt to the cells
-    that their boxes cover, openings meet the walls of their cell and its eight neighbours. A wall at most one cell away is
-    surely the nearest; openings without one so near are compared with all walls of their storey, so the result is exact."""
+def nearest_walls(openings: DataFrame, walls: DataFrame) -> DataFrame:
+    """bundle_id, storey_key, entity_seq, wall_seq, distance: the wall of least distance in the opening's storey, the first
+    of equally near ones; exact, however far.
+
+    Cells come in levels, each CELL_GROWTH times as wide as the one below; the last level is one cell for all. The lowest
+    level at which an opening's cell or one beside it holds a wall bounds the distance by under three cells, so the walls
+    within one cell of the next level are all that can be nearest. Walls no longer than that level's cell are listed in
+    its cells, longer ones at the level of their length, so a wall is in few cells of any level."""
     key = ["bundle_id", "storey_key"]
-    at = lambda c: F.floor(c / cell).cast("long")
     s, e = F.col("axis.start"), F.col("axis.end")
-    span = lambda c: F.explode(F.sequence(at(F.least(s[c], e[c])), at(F.greatest(s[c], e[c]))))
-    dealt = walls.withColumn("cx", span("x")).withColumn("cy", span("y")).select(*key, "wall_seq", "axis", "cx", "cy")
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    asked = openings.withColumn("cx", F.explode(F.transform(around, lambda d: at(F.col("x")) + d))).withColumn("cy", F.explode(F.transform(around, lambda d: at(F.col("y")) + d)))
+    size = lambda level: F.lit(CELL) * F.pow(F.lit(float(CELL_GROWTH)), level)
+    cell = lambda c, level: F.when(level >= CELL_LEVELS, F.lit(0)).otherwise(F.floor(c / size(level))).cast("long")
+    upto = lambda lo: F.sequence(lo, F.lit(CELL_LEVELS))
+    extent = F.greatest(F.abs(e["x"] - s["x"]), F.abs(e["y"] - s["y"]))
+    own = F.least(F.greatest(F.ceil(F.log(F.greatest(extent, F.lit(CELL)) / CELL) / F.log(F.lit(float(CELL_GROWTH)))), F.lit(0)), F.lit(CELL_LEVELS)).cast("int")
+    placed = walls.where("axis is not null").select(*key, "wall_seq", "axis", own.alias("own")).withColumn("level", F.explode(upto(F.col("own"))))
+    span = lambda c: F.sequence(cell(F.least(s[c], e[c]), F.col("level")), cell(F.greatest(s[c], e[c]), F.col("level")))
+    dealt = placed.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+    beside = lambda c: F.when(F.col("level") >= CELL_LEVELS, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: cell(F.col(c), F.col("level")) + d))
+    around = lambda rows: rows.withColumn("cx", F.explode(beside("x"))).withColumn("cy", F.explode(beside("y")))
+    # Occupied cells only: a cell of very many walls is one row here.
+    held = dealt.select(*key, "level", "cx", "cy").distinct()
+    asked = openings.select(*key, "entity_seq", "x", "y")
+    lowest = around(asked.withColumn("level", F.explode(upto(F.lit(0))))).join(held, [*key, "level", "cx", "cy"]).groupBy(*key, "entity_seq", "x", "y").agg(F.min("level").alias("first"))
+    wanted = lowest.withColumn("first", F.least(F.col("first") + 1, F.lit(CELL_LEVELS))).withColumn("level", F.explode(upto(F.col("first"))))
     foot = geometry.project(F.col("x"), F.col("y"), F.col("axis"))
-    best = F.min(F.struct(foot["distance"].alias("d"), "wall_seq")).alias("w")
-    close = asked.join(dealt, [*key, "cx", "cy"]).groupBy(*key, "entity_seq").agg(best).where(F.col("w.d") <= cell)
-    far = openings.join(close, [*key, "entity_seq"], "left_anti").join(walls.select(*key, "wall_seq", "axis"), key).groupBy(*key, "entity_seq").agg(best)
-    return close.unionByName(far).select(*key, "entity_seq", "w.wall_seq", F.col("w.d").alias("distance"))
+    # At an opening's own level all shorter walls count, above it those that are listed first there.
+    met = around(wanted).join(dealt, [*key, "level", "cx", "cy"]).where("level = first or own = level")
+    return met.groupBy(*key, "entity_seq").agg(F.min(F.struct(foot["distance"].alias("d"), "wall_seq")).alias("w")).select(*key, "entity_seq", "w.wall_seq", F.col("w.d").alias("distance"))
 
 
 def opening_geometry(hosted: DataFrame, scale: float = 0.001) -> DataFrame:
@@ -143,20 +154,18 @@ def opening_geometry(hosted: DataFrame, scale: float = 0.001) -> DataFrame:
 
 
 def template_elements(storey_rows: DataFrame) -> DataFrame:
-    """Elements of storeys without drawings (bundle_id, storey_id, storey_no, units, height_m): walls, a slab, and a door and
-    two windows a unit."""
-    units = F.coalesce("units", F.lit(DEFAULT_UNITS))
+    """Elements of storeys without drawings (bundle_id, storey_id, storey_no, units, height_m): walls, a slab, and unit by
+    unit a door and two windows; no units, or none told, are DEFAULT_UNITS."""
+    units = F.coalesce(F.nullif("units", F.lit(0)), F.lit(DEFAULT_UNITS))
     one = lambda kind, name, family, i, w, h: F.struct(F.lit(kind).alias("ifc_type"), name.alias("name"), F.lit(family).alias("family_name"), i.cast("int").alias("slot"), w.cast("double").alias("width_mm"), h.cast("double").alias("height_mm"))
     num = lambda prefix, i, end="": F.concat(F.lit(prefix), (i + 1).cast("string"), F.lit(end))
     upto = lambda n: F.sequence(F.lit(0), n.cast("int") - 1)
     none = F.lit(None)
     walls = F.transform(upto(F.lit(TEMPLATE_WALLS)), lambda i: one("IfcWall", num("墙体 ", i), "generic_wall", i, (6 + i % 3) * 1000, F.col("height_m") * 1000))
     slab = F.array(one("IfcSlab", F.concat(F.lit("楼板 "), F.col("storey_no").cast("string")), "generic_slab", F.lit(0), none, none))
-    doors = F.transform(upto(units), lambda i: one("IfcDoor", num("户门 ", i), "unit_entry_door", i, F.lit(1000), F.lit(2100)))
-    first = F.transform(upto(units), lambda i: one("IfcWindow", num("窗 ", i, "-A"), "standard_window", i, F.lit(800), F.lit(1200)))
-    second = F.transform(upto(units), lambda i: one("IfcWindow", num("窗 ", i, "-B"), "secondary_window", i, F.lit(1200), F.lit(1500)))
-    some = lambda a: F.when(units > 0, a).otherwise(F.array().cast("array<struct<ifc_type:string,name:string,family_name:string,slot:int,width_mm:double,height_mm:double>>"))
-    every = F.concat(walls, slab, some(doors), some(first), some(second))
+    unit = lambda i: F.array(one("IfcDoor", num("户门 ", i), "unit_entry_door", i, F.lit(1000), F.lit(2100)), one("IfcWindow", num("窗 ", i, "-A"), "standard_window", i, F.lit(800), F.lit(1200)), one("IfcWindow", num("窗 ", i, "-B"), "secondary_window", i, F.lit(1200), F.lit(1500)))
+    none_at_all = F.array().cast("array<struct<ifc_type:string,name:string,family_name:string,slot:int,width_mm:double,height_mm:double>>")
+    every = F.concat(walls, slab, F.when(units > 0, F.flatten(F.transform(upto(units), unit))).otherwise(none_at_all))
     return storey_rows.select("bundle_id", "storey_id", F.posexplode(every).alias("element_seq", "e")).select("bundle_id", "storey_id", "element_seq", "e.*")
 
 

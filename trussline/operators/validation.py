@@ -119,10 +119,16 @@ def all_issues(*producers: DataFrame) -> DataFrame:
 
 
 def export_gate(models: DataFrame, issues: DataFrame) -> DataFrame:
-    """Per model: severity counts, status, blocking messages without repeats, the decision and the artifacts that follow."""
+    """Per model: severity counts, status, blocking messages, the decision and the artifacts that follow.
+
+    `issues` has bundle_id, severity, target, and perhaps issue_seq and message (else the target). Messages are those of errors in their order, repeats
+    included, then those of formal blockers that are not among them."""
+    issues = issues.withColumns({c: v for c, v in (("message", F.col("target")), ("issue_seq", F.lit(0).cast("long"))) if c not in issues.columns})
     sharp = F.col("severity").isin("error", "fatal")
     formal = sharp & F.startswith("target", F.lit("formal_gate."))
-    per = issues.groupBy("bundle_id").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES), F.count_if(formal).alias("formal_blockers"), F.array_sort(F.collect_set(F.when(sharp, F.col("target")))).alias("blocked_by"))
+    per = issues.groupBy("bundle_id").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES), F.count_if(formal).alias("formal_blockers"), F.array_sort(F.collect_list(F.when(sharp & ~formal, F.struct("issue_seq", "message")))).alias("_own"), F.array_sort(F.collect_list(F.when(formal, F.struct("issue_seq", "message")))).alias("_formal"))
+    said = lambda c: F.transform(F.coalesce(c, F.array().cast("array<struct<issue_seq:bigint,message:string>>")), lambda m: m["message"])
+    per = per.withColumn("blocked_by", F.concat(said(F.col("_own")), F.array_distinct(F.array_except(said(F.col("_formal")), said(F.col("_own")))))).drop("_own", "_formal")
     rows = models.select("bundle_id").join(per, "bundle_id", "left").na.fill(0)
     status = F.when(F.col("fatal") + F.col("error") > 0, F.lit("failed")).when(F.col("warning") > 0, F.lit("warning")).otherwise(F.lit("passed"))
     allowed = (F.col("status") != "failed") & (F.col("formal_blockers") == 0)

@@ -35,7 +35,7 @@ def _fragments(spark, sf_dir):
 
 def _axes(spark, sf_dir):
     way = geometry.orientation(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    rows = view(spark, sf_dir, "v_entities").where("k < 12").withColumn("orientation", way)
+    rows = view(spark, sf_dir, "v_entities").withColumn("orientation", way)
     return rows.withColumns({"coordinate": geometry.axis_coordinate(F.col("orientation"), F.col("x1"), F.col("y1")), "layer": F.lit("A-AXIS")}).withColumn("label", F.when(F.col("k") % 2 == 0, F.col("label")).otherwise(F.lit("")))
 
 
@@ -198,10 +198,14 @@ def missing_storeys(spark, sf_dir):
 
 
 def parser_validation(spark, sf_dir):
+    """All bundles; fragments of some assets belong to bundles that have no component, axes of two bundles in three to none."""
     e = _components(spark, sf_dir)
-    told = _fragments(spark, sf_dir).where("bundle_id % 2 = 0").withColumn("storey_key", F.concat((F.col("frag_seq") + 3).cast("string"), F.lit("F")))
+    alone = F.when(F.regexp_extract("asset_name", "([0-9])$", 1) == "3", F.col("bundle_id") + 100).otherwise(F.col("bundle_id"))
+    told = _fragments(spark, sf_dir).withColumns({"bundle_id": alone, "storey_key": F.concat((F.col("frag_seq") + 3).cast("string"), F.lit("F"))})
+    axes = _axes(spark, sf_dir).withColumn("bundle_id", F.when(F.col("bundle_id") % 3 == 0, F.col("bundle_id")).otherwise(F.col("bundle_id") + 200))
     m = assembly.manifests(e)
-    return assembly.parser_validation(m, assembly.chains(e, CHAIN_TOLERANCE), assembly.missing_storeys(told, m), _axes(spark, sf_dir).where("bundle_id % 3 = 0"))
+    bundles = e.select("bundle_id").unionByName(told.select("bundle_id"))
+    return assembly.parser_validation(bundles, m, assembly.chains(e, CHAIN_TOLERANCE), assembly.missing_storeys(told, m), axes)
 
 
 def largest_boundary(spark, sf_dir):
@@ -256,7 +260,7 @@ WITH n AS (SELECT bundle_id, asset_seq, arg_max(k % 4 + 0.5::DOUBLE, text_seq) A
 SELECT f.bundle_id, north_angle, count(*) FILTER (WHERE abs(angle - north_angle) > 0.1) AS conflicts FROM f JOIN n ON n.bundle_id = f.bundle_id GROUP BY 1, 2""",
     "bundle_flags": "SELECT bundle_id, bool_or(site_boundary) AS site_boundary_detected, CAST(sum(space_boundaries) AS BIGINT) AS space_boundaries_detected FROM v_assets GROUP BY 1",
     "storey_elevations": "WITH e AS (SELECT DISTINCT bundle_id, CASE text_kind WHEN 0 THEN k + 0.5 ELSE round(CAST(k AS DOUBLE) / 1000, 3) END AS v FROM v_texts WHERE text_kind IN (0, 5)) SELECT bundle_id, count(*) AS n, CAST(min(v) AS DOUBLE) AS lowest, CAST(max(v) AS DOUBLE) AS highest FROM e GROUP BY 1",
-    "capped_axes": f"SELECT bundle_id, entity_seq, {_WAY} AS orientation FROM (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY entity_seq) AS n FROM v_entities WHERE k < 12) WHERE n <= 20",
+    "capped_axes": f"SELECT bundle_id, entity_seq, {_WAY} AS orientation FROM (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY entity_seq) AS n FROM v_entities) WHERE n <= 20",
     "asset_storey": "SELECT bundle_id, asset_name, '1F' AS storey_key FROM v_fragments GROUP BY 1, 2",
     "asset_storey_unfragmented": """
 WITH s AS (SELECT bundle_id, asset_name, arg_min(1 + k % 9, text_seq) AS f FROM v_texts WHERE text_kind = 1 AND asset_seq % 3 = 0 GROUP BY 1, 2), l AS (SELECT bundle_id, min(f) AS f FROM s GROUP BY 1), a AS (SELECT DISTINCT bundle_id, asset_name FROM v_entities UNION SELECT bundle_id, asset_name FROM s)
@@ -300,16 +304,17 @@ SELECT layer_seq, CASE WHEN raw LIKE '%wall%' THEN CASE WHEN raw LIKE '%line%' T
     "duplicates": f"WITH {_C} SELECT bundle_id, storey_key, asset_name, kind AS component_type, round(ax, 3) AS x, round(ay, 3) AS y, count(*) AS copies FROM c GROUP BY 1, 2, 3, 4, 5, 6 HAVING count(*) > 1",
     "chains": f"WITH {_C}, {_CHAINS} SELECT bundle_id, kind || ':' || array_to_string(keys, ';') AS signature, CAST(len(keys) AS BIGINT) AS storeys, members, round(x, 3) AS x, round(y, 3) AS y FROM h",
     "storey_report": f"WITH {_C}, {_SETS}, {_MANIFEST}, {_CHAINS}, q AS (SELECT bundle_id, storey_key, count(*) AS n FROM (SELECT bundle_id, unnest(keys) AS storey_key FROM h) GROUP BY 1, 2) SELECT m.*, coalesce(q.n, 0) AS chains FROM m LEFT JOIN q ON q.bundle_id = m.bundle_id AND q.storey_key = m.storey_key",
-    "grid_signature": f"WITH a AS (SELECT DISTINCT bundle_id, CASE WHEN k % 2 = 0 THEN label ELSE 'A-AXIS' END || '@' || printf('%.3f', CASE WHEN {_WAY} = 'vertical' THEN x1 ELSE y1 END) AS s FROM v_entities WHERE k < 12) SELECT bundle_id, sha256(string_agg(s, '|' ORDER BY s)) AS signature_sha FROM a GROUP BY 1",
+    "grid_signature": f"WITH a AS (SELECT DISTINCT bundle_id, CASE WHEN k % 2 = 0 THEN label ELSE 'A-AXIS' END || '@' || printf('%.3f', CASE WHEN {_WAY} = 'vertical' THEN x1 ELSE y1 END) AS s FROM v_entities) SELECT bundle_id, sha256(string_agg(s, '|' ORDER BY s)) AS signature_sha FROM a GROUP BY 1",
     "missing_storeys": "SELECT DISTINCT bundle_id, CAST(frag_seq + 3 AS STRING) || 'F' AS storey_key FROM v_fragments WHERE (bundle_id, CAST(frag_seq + 3 AS STRING) || 'F') NOT IN (SELECT bundle_id, storey_key FROM v_entities)",
     "parser_validation": f"""
 WITH {_C}, {_SETS}, {_MANIFEST}, {_CHAINS}, p AS (SELECT bundle_id, count(*) AS st, CAST(sum(duplicates) AS BIGINT) AS d FROM m GROUP BY 1),
-x AS (SELECT bundle_id, count(*) AS n FROM (SELECT DISTINCT bundle_id, CAST(frag_seq + 3 AS STRING) || 'F' AS s FROM v_fragments WHERE bundle_id % 2 = 0) WHERE (bundle_id, s) NOT IN (SELECT bundle_id, storey_key FROM v_entities) GROUP BY 1),
-k2 AS (SELECT bundle_id, count(*) AS n FROM h GROUP BY 1), g AS (SELECT bundle_id, count(*) AS n FROM v_entities WHERE k < 12 AND bundle_id % 3 = 0 GROUP BY 1)
+o AS (SELECT CASE WHEN right(asset_name, 1) = '3' THEN bundle_id + 100 ELSE bundle_id END AS bundle_id, CAST(frag_seq + 3 AS STRING) || 'F' AS s FROM v_fragments), b AS (SELECT bundle_id FROM v_entities UNION SELECT bundle_id FROM o),
+x AS (SELECT bundle_id, count(*) AS n FROM (SELECT DISTINCT bundle_id, s FROM o) WHERE (bundle_id, s) NOT IN (SELECT bundle_id, storey_key FROM v_entities) GROUP BY 1),
+k2 AS (SELECT bundle_id, count(*) AS n FROM h GROUP BY 1), g AS (SELECT bundle_id, count(*) AS n FROM v_entities WHERE bundle_id % 3 = 0 GROUP BY 1)
 SELECT x.bundle_id, 'storey_missing' AS category, 'error' AS severity, n FROM x
 UNION ALL SELECT bundle_id, 'duplicate_component', 'warning', d FROM p WHERE d > 0
 UNION ALL SELECT p.bundle_id, 'cross_layer_alignment', 'warning', st FROM p LEFT JOIN k2 ON k2.bundle_id = p.bundle_id WHERE st >= 2 AND n IS NULL
-UNION ALL SELECT p.bundle_id, 'grid_missing', 'warning', 0 FROM p LEFT JOIN g ON g.bundle_id = p.bundle_id WHERE n IS NULL""",
+UNION ALL SELECT b.bundle_id, 'grid_missing', 'warning', 0 FROM b LEFT JOIN g ON g.bundle_id = b.bundle_id WHERE n IS NULL""",
     "largest_boundary": """
 WITH r AS (SELECT bundle_id, asset_name, entity_seq, (x2 - x1) * (y2 - y1) AS area, asset_seq % 4 = 0 AND k = 1 AS site FROM v_entities WHERE category = 'room_boundary'),
 o AS (SELECT *, row_number() OVER (PARTITION BY asset_name ORDER BY area DESC, entity_seq) AS n FROM r WHERE NOT site)

@@ -55,7 +55,7 @@ def clarifications(spark, sf_dir):
 
 def conflicts(spark, sf_dir):
     v = view(spark, sf_dir, "v_requests")
-    drawn = v.select("bundle_id", (F.col("bundle_id") % 4).alias("candidate_names"), (F.col("bundle_id") + 50.0).alias("drawn_site_area"))
+    drawn = v.select("bundle_id", (F.col("bundle_id") % 4).alias("candidate_names"), (F.col("bundle_id") % 3 > 0).alias("site_boundary_detected"))
     return intents.conflicts(v.select("bundle_id", "form_floors", "form_area"), drawn)
 
 
@@ -125,7 +125,7 @@ def host_wall(spark, sf_dir):
 
 
 def host_wall_cells(spark, sf_dir):
-    rows = model.host_walls_by_cell(_openings(spark, sf_dir), _walls(spark, sf_dir), 1500.0)
+    rows = model.nearest_walls(_openings(spark, sf_dir), _walls(spark, sf_dir))
     return rows.select("entity_seq", F.round("distance", 3).alias("distance"))
 
 
@@ -141,7 +141,7 @@ def opening_geometry(spark, sf_dir):
 
 def template_elements(spark, sf_dir):
     rows = view(spark, sf_dir, "v_requests").select("bundle_id", F.lit("storey_01").alias("storey_id"), F.lit(1).alias("storey_no"), F.when(F.col("bundle_id") % 2 == 0, (F.col("bundle_id") % 6)).alias("units"), F.lit(3.0).alias("height_m"))
-    return model.template_layout(model.template_elements(rows)).groupBy("ifc_type", "family_name").agg(F.count("*").alias("n"), F.round(F.sum("layout_x"), 2).alias("layout_x"))
+    return model.template_layout(model.template_elements(rows)).groupBy("ifc_type", "family_name").agg(F.count("*").alias("n"), *(F.round(F.sum(c), 2).alias(c) for c in ("layout_x", "layout_y", "layout_rotation")), F.sum("element_seq").alias("places"))
 
 
 def roof_parts(spark, sf_dir):
@@ -178,8 +178,8 @@ def bounds_check(spark, sf_dir):
 
 def gate(spark, sf_dir):
     v = view(spark, sf_dir, "v_issues")
-    rows = validation.export_gate(v.select("bundle_id").distinct(), v)
-    return rows.select("bundle_id", "status", "export_allowed", "warning", "error", "fatal", "formal_blockers", F.size("artifacts").cast("long").alias("artifacts"))
+    rows = validation.export_gate(v.select("bundle_id").distinct(), v.withColumn("message", F.concat("code", F.lit(" "), (F.col("issue_seq") % 7).cast("string"))))
+    return rows.select("bundle_id", "status", "export_allowed", "warning", "error", "fatal", "formal_blockers", F.size("artifacts").cast("long").alias("artifacts"), F.array_join("blocked_by", "|").alias("blocked_by"))
 
 
 def formal_blockers(spark, sf_dir):
@@ -276,12 +276,12 @@ QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and ge
 
 _I = """i AS (SELECT *, CASE WHEN form_building_type IS NOT NULL OR bundle_id % 5 IN (1, 4) THEN 'office' ELSE 'residential' END AS bt, CASE WHEN bundle_id % 5 = 0 THEN 1 + bundle_id % 30 END AS said,
   CASE WHEN mode_hint = 'cad_to_bim' OR assets > 0 THEN 'cad_to_bim' ELSE 'text_only' END AS mode FROM v_requests),
-j AS (SELECT *, coalesce(form_floors, said, drawn_floors, 1) AS floors, CASE WHEN form_floors IS NOT NULL THEN 'form_input' WHEN said IS NOT NULL THEN 'text_prompt' WHEN drawn_floors IS NOT NULL THEN 'parsed_drawing' ELSE 'template_default' END AS floors_source,
+j AS (SELECT *, coalesce(form_floors, said, drawn_floors, 1) AS floors, CASE WHEN form_floors IS NOT NULL THEN 'form_input' WHEN said IS NOT NULL THEN 'text_prompt' WHEN drawn_floors IS NOT NULL THEN 'parsed_drawing' ELSE bt || '_template_default' END AS floors_source,
   CASE WHEN form_height IS NOT NULL THEN form_height WHEN bundle_id % 5 = 1 THEN 3.2 WHEN bundle_id % 5 = 0 THEN 4.5 WHEN bt = 'office' THEN 3.6 ELSE 3.0 END::DOUBLE AS standard_height,
-  CASE WHEN bundle_id % 5 = 0 THEN 4.5 WHEN bt = 'office' THEN 4.2 ELSE 3.3 END::DOUBLE AS first_height,
+  CASE WHEN form_first_height IS NOT NULL THEN form_first_height WHEN bundle_id % 5 = 0 THEN 4.5 WHEN bt = 'office' THEN 4.2 ELSE 3.3 END::DOUBLE AS first_height,
   coalesce(form_area, CASE WHEN bundle_id % 5 = 3 THEN 1200.0 END, drawn_area)::DOUBLE AS site_area,
   CASE WHEN form_area IS NOT NULL THEN 'form_input' WHEN bundle_id % 5 = 3 THEN 'text_prompt' WHEN drawn_area IS NOT NULL THEN 'parsed_drawing_inferred_boundary' END AS area_source,
-  CASE WHEN bundle_id % 5 = 1 THEN 6.5 END::DOUBLE AS far, CASE WHEN bundle_id % 5 = 4 THEN bundle_id % 12 WHEN bt = 'office' THEN 8 ELSE 4 END AS units, 'cn_' || bt || '_v1' AS ruleset FROM i)"""
+  CASE WHEN bundle_id % 5 = 1 THEN 6.5 END::DOUBLE AS far, CASE WHEN form_units IS NOT NULL THEN form_units WHEN bundle_id % 5 = 4 THEN bundle_id % 12 WHEN bt = 'office' THEN 8 ELSE 4 END AS units, 'cn_' || bt || '_v1' AS ruleset FROM i)"""
 _R = _I + """, u AS (
   SELECT bundle_id, 1 AS rule_seq, 'floors.invalid' AS code, 'fatal' AS severity FROM j WHERE floors < 1
   UNION ALL SELECT bundle_id, 2, 'floor_height.low', 'error' FROM j WHERE standard_height < CASE bt WHEN 'office' THEN 3.0 ELSE 2.8 END
@@ -306,20 +306,37 @@ t AS (SELECT o.*, w.wall_seq, sx, sy, ex, ey, CASE WHEN (ex - sx) ** 2 + (ey - s
 d AS (SELECT *, sqrt((x - sx - (ex - sx) * f) ** 2 + (y - sy - (ey - sy) * f) ** 2) AS distance FROM t)"""
 ORACLES = {
     "intent_resolve": f"WITH {_I} SELECT bundle_id, floors, floors_source, standard_height, first_height, site_area, area_source, far, units, ruleset FROM j",
-    "intent_traces": f"""WITH {_I}, t AS (
-  SELECT 'constraints.floors' AS field, floors_source AS source, CASE floors_source WHEN 'form_input' THEN 1.0 WHEN 'text_prompt' THEN 0.85 WHEN 'parsed_drawing' THEN 0.72 ELSE 0.6 END AS c FROM j
-  UNION ALL SELECT 'constraints.standard_floor_height_m', CASE WHEN form_height IS NOT NULL THEN 'form_input' WHEN bundle_id % 5 < 2 THEN 'text_prompt' ELSE 'template_default' END, CASE WHEN form_height IS NOT NULL THEN 1.0 WHEN bundle_id % 5 < 2 THEN 0.85 ELSE 0.6 END FROM j
-  UNION ALL SELECT 'constraints.first_floor_height_m', CASE WHEN bundle_id % 5 = 0 THEN 'text_prompt' ELSE 'template_default' END, CASE WHEN bundle_id % 5 = 0 THEN 0.85 ELSE 0.6 END FROM j
-  UNION ALL SELECT 'site.area_sqm', area_source, CASE area_source WHEN 'form_input' THEN 1.0 WHEN 'text_prompt' THEN 0.85 ELSE 0.7 END FROM j WHERE area_source IS NOT NULL
-  UNION ALL SELECT 'constraints.far', 'text_prompt', 0.85 FROM j WHERE far IS NOT NULL
-  UNION ALL SELECT 'program.units_per_floor', CASE WHEN bundle_id % 5 = 4 THEN 'text_prompt' ELSE 'template_default' END, CASE WHEN bundle_id % 5 = 4 THEN 0.85 ELSE 0.6 END FROM j)
+    "intent_traces": f"""
+WITH {_I}, k AS (SELECT *, assets > 0 AS drawn, CASE WHEN form_first_height IS NOT NULL THEN 'form_input' WHEN bundle_id % 5 = 0 THEN 'text_prompt' ELSE bt || '_template_default' END AS first_source,
+  CASE WHEN form_units IS NOT NULL THEN 'form_input' WHEN bundle_id % 5 = 4 THEN 'text_prompt' ELSE bt || '_template_default' END AS units_source, CASE WHEN form_height IS NOT NULL THEN 'form_input' WHEN bundle_id % 5 < 2 THEN 'text_prompt' ELSE bt || '_template_default' END AS height_source,
+  CASE WHEN form_building_type IS NOT NULL THEN 'form_input' WHEN bundle_id % 5 IN (2, 3) THEN 'template_default' ELSE 'text_prompt' END AS type_source, CASE WHEN assets > 0 THEN 'parsed_drawing' ELSE 'system_default' END AS told FROM j),
+c AS (SELECT *, CASE floors_source WHEN 'form_input' THEN 1.0 WHEN 'text_prompt' THEN 0.85 WHEN 'parsed_drawing' THEN 0.72 ELSE 0.6 END AS floors_c FROM k),
+t AS (
+  SELECT 'building_type' AS field, type_source AS source, CASE type_source WHEN 'form_input' THEN 1.0 ELSE 0.8 END AS c FROM c
+  UNION ALL SELECT 'source_mode', CASE WHEN drawn THEN 'parsed_assets' ELSE 'system_default' END, CASE WHEN drawn THEN 0.95 ELSE 0.6 END FROM c
+  UNION ALL SELECT 'constraints.floors', floors_source, floors_c FROM c
+  UNION ALL SELECT f, s, CASE s WHEN 'form_input' THEN 1.0 WHEN 'text_prompt' THEN 0.85 ELSE 0.6 END FROM (SELECT 'constraints.standard_floor_height_m' AS f, height_source AS s FROM c UNION ALL SELECT 'constraints.first_floor_height_m', first_source FROM c UNION ALL SELECT 'program.units_per_floor', units_source FROM c)
+  UNION ALL SELECT 'site.area_sqm', area_source, CASE area_source WHEN 'form_input' THEN 1.0 WHEN 'text_prompt' THEN 0.85 ELSE 0.7 END FROM c WHERE area_source IS NOT NULL
+  UNION ALL SELECT 'constraints.far', 'text_prompt', 0.85 FROM c WHERE far IS NOT NULL
+  UNION ALL SELECT 'region', 'system_default', 0.5 FROM c WHERE region = ''
+  UNION ALL SELECT 'constraints.ruleset', 'building_type_ruleset', 0.85 FROM c
+  UNION ALL SELECT 'site.boundary_source', told, CASE WHEN drawn THEN 0.8 ELSE 0.6 END FROM c
+  UNION ALL SELECT 'site.north_angle', told, CASE WHEN drawn THEN 0.75 ELSE 0.4 END FROM c
+  UNION ALL SELECT 'program.spaces_from_drawings', told, CASE WHEN drawn THEN 0.75 ELSE 0.5 END FROM c
+  UNION ALL SELECT 'model_patch', 'text_prompt', 0.9 FROM c WHERE bundle_id % 5 = 2
+  UNION ALL SELECT 'element_selector', 'text_prompt', 0.85 FROM c WHERE bundle_id % 5 = 2
+  UNION ALL SELECT 'deliverables', 'template_default', 0.8 FROM c
+  UNION ALL SELECT 'final_use', 'system_default', 0.8 FROM c
+  UNION ALL SELECT 'roof.roof_type', 'text_prompt', 0.85 FROM c WHERE bundle_id % 5 = 3)
 SELECT field, source, count(*) AS n, CAST(round(sum(c), 3) AS DOUBLE) AS confidence FROM t GROUP BY 1, 2""",
     "missing_fields": f"WITH {_R} SELECT substr(code, 9) AS field, count(*) AS n, min(bundle_id) AS first_bundle FROM u WHERE rule_seq = 8 GROUP BY 1",
-    "clarifications": f"""WITH {_R}, a AS (
-  SELECT bundle_id, 0 AS kind, 'constraints.floors' AS field FROM j WHERE floors_source = 'template_default' UNION ALL SELECT bundle_id, 0, 'constraints.standard_floor_height_m' FROM j WHERE form_height IS NULL AND bundle_id % 5 > 1
-  UNION ALL SELECT bundle_id, 0, 'constraints.first_floor_height_m' FROM j WHERE bundle_id % 5 > 0 UNION ALL SELECT bundle_id, 0, 'program.units_per_floor' FROM j WHERE bundle_id % 5 <> 4 UNION ALL SELECT bundle_id, 1, substr(code, 9) FROM u WHERE rule_seq = 8),
-n AS (SELECT *, CAST(row_number() OVER (PARTITION BY bundle_id ORDER BY kind, field) AS INTEGER) AS question_seq FROM a) SELECT question_seq, field, count(*) AS n FROM n WHERE question_seq <= 5 GROUP BY 1, 2""",
-    "conflicts": "SELECT bundle_id, 'floors' AS field, CAST(form_floors AS DOUBLE) AS form_value, CAST(bundle_id % 4 AS DOUBLE) AS drawn_value FROM v_requests WHERE bundle_id % 4 > 0 AND form_floors <> bundle_id % 4 UNION ALL SELECT bundle_id, 'site_area_sqm', form_area, bundle_id + 50.0::DOUBLE FROM v_requests WHERE abs(form_area - (bundle_id + 50)) > 0.1 * (bundle_id + 50)",
+    "clarifications": f"""
+WITH {_I}, a AS (SELECT bundle_id, 3 AS place, 'constraints.floors' AS field FROM j WHERE floors_source LIKE '%template_default' UNION ALL SELECT bundle_id, 4, 'constraints.standard_floor_height_m' FROM j WHERE form_height IS NULL AND bundle_id % 5 > 1
+  UNION ALL SELECT bundle_id, 5, 'constraints.first_floor_height_m' FROM j WHERE form_first_height IS NULL AND bundle_id % 5 > 0 UNION ALL SELECT bundle_id, 9, 'program.units_per_floor' FROM j WHERE form_units IS NULL AND bundle_id % 5 <> 4),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY bundle_id ORDER BY place) AS INTEGER) AS question_seq FROM a) SELECT question_seq, field, count(*) AS n FROM n WHERE question_seq <= 5 GROUP BY 1, 2""",
+    "conflicts": """
+SELECT bundle_id, 'constraints.floors' AS field, CAST(form_floors AS DOUBLE) AS text_value, CAST(bundle_id % 4 AS STRING) AS drawing_value, 'use_text' AS resolution, '用户明确指定层数，优先使用文本输入' AS reason FROM v_requests WHERE bundle_id % 4 > 0 AND form_floors <> bundle_id % 4
+UNION ALL SELECT bundle_id, 'site.area_sqm', form_area, '图纸推断面积', 'use_text', '用户提供的用地面积优先于图纸推断' FROM v_requests WHERE form_area IS NOT NULL AND bundle_id % 3 > 0""",
     "rule_issues": f"WITH {_R} SELECT rule_seq, code, severity, count(*) AS n, min(bundle_id) AS first_bundle FROM u GROUP BY 1, 2, 3",
     "rule_trace": f"""WITH {_R}, r(rule_id, rule_seq) AS (VALUES {_RULE_IDS}), g AS (SELECT bundle_id, rule_seq, count(*) AS n, arg_max(severity, CASE severity WHEN 'fatal' THEN 3 WHEN 'error' THEN 2 ELSE 1 END) AS top FROM u GROUP BY 1, 2)
 SELECT r.rule_seq, r.rule_id, coalesce(top, 'passed') AS highest_severity, count(*) AS bundles, CAST(sum(coalesce(n, 0)) AS BIGINT) AS issues FROM j CROSS JOIN r LEFT JOIN g ON g.bundle_id = j.bundle_id AND g.rule_seq = r.rule_seq GROUP BY 1, 2, 3""",
@@ -342,9 +359,12 @@ SELECT entity_seq, round(((x1 + x2) / 2 - 500) * 0.001, 3) + 0.0 AS local_x_m, r
   round(CASE WHEN category = 'wall_line' THEN 0.2 ELSE greatest((y2 - y1) * 0.001, 0.2) END, 3)::DOUBLE AS depth_m, round(CASE WHEN category = 'wall_line' THEN degrees(atan2(y2 - y1, x2 - x1)) ELSE 0 END, 3) AS rotation_deg FROM v_entities WHERE kind = 'wall'""",
     "opening_geometry": "SELECT category, count(*) AS n, CAST(sum(CASE WHEN entity_seq % 3 = 0 THEN 900 WHEN kind = 'door' THEN 1000 ELSE 1500 END) AS BIGINT) AS width_mm, CAST(sum(CASE WHEN kind = 'door' THEN 2100 ELSE 1500 END) AS BIGINT) AS height_mm FROM v_entities WHERE kind IN ('door', 'window') GROUP BY 1",
     "template_elements": """
-WITH b AS (SELECT bundle_id, CASE WHEN bundle_id % 2 = 0 THEN bundle_id % 6 ELSE 4 END AS n FROM v_requests), s AS (SELECT unnest(range(0, n)) AS i FROM b)
-SELECT 'IfcWall' AS ifc_type, 'generic_wall' AS family_name, 8 * count(*) AS n, round(96.0 * count(*), 2)::DOUBLE AS layout_x FROM b UNION ALL SELECT 'IfcSlab', 'generic_slab', count(*), round(12.0 * count(*), 2) FROM b
-UNION ALL SELECT 'IfcDoor', 'unit_entry_door', count(*), round(sum(8.0 + i * 4), 2) FROM s UNION ALL SELECT 'IfcWindow', 'standard_window', count(*), round(sum(8.0 + i * 5), 2) FROM s UNION ALL SELECT 'IfcWindow', 'secondary_window', count(*), round(sum(8.0 + i * 5), 2) FROM s""",
+WITH b AS (SELECT bundle_id, CASE WHEN bundle_id % 2 = 0 THEN coalesce(nullif(bundle_id % 6, 0), 4) ELSE 4 END AS n FROM v_requests), s AS (SELECT unnest(range(0, n)) AS i FROM b)
+SELECT 'IfcWall' AS ifc_type, 'generic_wall' AS family_name, 8 * count(*) AS n, round(96.0 * count(*), 2)::DOUBLE AS layout_x, round(56.0 * count(*), 2)::DOUBLE AS layout_y, round(360.0 * count(*), 2)::DOUBLE AS layout_rotation, CAST(28 * count(*) AS BIGINT) AS places FROM b
+UNION ALL SELECT 'IfcSlab', 'generic_slab', count(*), round(12.0 * count(*), 2), round(7.0 * count(*), 2), 0, CAST(8 * count(*) AS BIGINT) FROM b
+UNION ALL SELECT 'IfcDoor', 'unit_entry_door', count(*), round(sum(8.0 + i * 4), 2), round(0.35 * count(*), 2), 0, CAST(sum(9 + 3 * i) AS BIGINT) FROM s
+UNION ALL SELECT 'IfcWindow', 'standard_window', count(*), round(sum(8.0 + i * 5), 2), round(13.7 * count(*), 2), 0, CAST(sum(10 + 3 * i) AS BIGINT) FROM s
+UNION ALL SELECT 'IfcWindow', 'secondary_window', count(*), round(sum(8.0 + i * 5), 2), round(0.35 * count(*), 2), 0, CAST(sum(11 + 3 * i) AS BIGINT) FROM s""",
     "roof_parts": f"""WITH {_E}, {_LAYOUT}, z AS (SELECT bundle_id, max(width_m) AS w, max(depth_m) AS d, ['gable', 'hip', 'shed', 'flat'][bundle_id % 4 + 1] AS roof_type FROM l GROUP BY bundle_id),
 p(roof_type, family_name) AS (VALUES ('gable', 'gable_roof_left'), ('gable', 'gable_roof_right'), ('hip', 'hip_roof_front'), ('hip', 'hip_roof_back'), ('hip', 'hip_roof_left'), ('hip', 'hip_roof_right'), ('shed', 'shed_roof'), ('flat', 'flat_roof'))
 SELECT bundle_id, 'storey_09' AS storey_id, z.roof_type, family_name, CASE z.roof_type WHEN 'flat' THEN 0 WHEN 'shed' THEN round(d * tan(radians(30)), 2) ELSE round(d / 2 * tan(radians(30)), 2) END::DOUBLE AS ridge_height_m, round(w + 1.2, 3) AS roof_width_m,
@@ -361,8 +381,10 @@ SELECT 'generic_wall' AS family_name, 8 * n AS n, CAST(0 AS BIGINT) AS replaceme
 SELECT bundle_id, 'fragment_missing' AS code, handle AS target FROM v_entities WHERE kind = 'wall' AND k % 10 = 0
 UNION ALL SELECT bundle_id, 'position_bounds', handle FROM v_entities WHERE kind = 'wall' AND k % 10 > 0 AND (round((x1 + x2) / 2 * 0.001, 3) > 9.25 OR round((y1 + y2) / 2 * 0.001, 3) > 8.25)""",
     "gate": """
-WITH g AS (SELECT bundle_id, count(*) FILTER (WHERE severity = 'warning') AS warning, count(*) FILTER (WHERE severity = 'error') AS error, count(*) FILTER (WHERE severity = 'fatal') AS fatal, count(*) FILTER (WHERE severity IN ('error', 'fatal') AND target LIKE 'formal_gate.%') AS formal_blockers FROM v_issues GROUP BY 1)
-SELECT bundle_id, CASE WHEN error + fatal > 0 THEN 'failed' WHEN warning > 0 THEN 'warning' ELSE 'passed' END AS status, error + fatal = 0 AND formal_blockers = 0 AS export_allowed, warning, error, fatal, formal_blockers, CAST(CASE WHEN error + fatal = 0 AND formal_blockers = 0 THEN 5 ELSE 3 END AS BIGINT) AS artifacts FROM g""",
+WITH m AS (SELECT *, code || ' ' || CAST(issue_seq % 7 AS STRING) AS message, severity IN ('error', 'fatal') AS sharp, severity IN ('error', 'fatal') AND target LIKE 'formal_gate.%' AS formal FROM v_issues),
+g AS (SELECT bundle_id, count(*) FILTER (WHERE severity = 'warning') AS warning, count(*) FILTER (WHERE severity = 'error') AS error, count(*) FILTER (WHERE severity = 'fatal') AS fatal, count(*) FILTER (WHERE formal) AS formal_blockers, string_agg(message, '|' ORDER BY issue_seq) FILTER (WHERE sharp AND NOT formal) AS own FROM m GROUP BY 1),
+f AS (SELECT bundle_id, message, min(issue_seq) AS s FROM m WHERE formal AND (bundle_id, message) NOT IN (SELECT bundle_id, message FROM m WHERE sharp AND NOT formal) GROUP BY 1, 2), x AS (SELECT bundle_id, string_agg(message, '|' ORDER BY s) AS more FROM f GROUP BY 1)
+SELECT g.bundle_id, CASE WHEN error + fatal > 0 THEN 'failed' WHEN warning > 0 THEN 'warning' ELSE 'passed' END AS status, error + fatal = 0 AND formal_blockers = 0 AS export_allowed, warning, error, fatal, formal_blockers, CAST(CASE WHEN error + fatal = 0 AND formal_blockers = 0 THEN 5 ELSE 3 END AS BIGINT) AS artifacts, concat_ws('|', own, more) AS blocked_by FROM g LEFT JOIN x ON x.bundle_id = g.bundle_id""",
     "formal_blockers": "SELECT bundle_id, 'formal_gate.' || code AS target, count(*) AS n FROM v_issues WHERE code = 'drawing.review.multi_storey_asset_collapsed' AND severity NOT IN ('error', 'fatal') GROUP BY 1, 2",
     "highlighted_issue": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY CASE WHEN severity IN ('error', 'fatal') THEN 0 WHEN stage <> 'rules' THEN 1 ELSE 2 END, stage = 'rules', issue_seq) AS n FROM v_issues) SELECT bundle_id, issue_seq, severity FROM r WHERE n = 1",
     "issue_copy": "SELECT CASE severity WHEN 'info' THEN '提示' WHEN 'warning' THEN '警告' WHEN 'error' THEN '错误' ELSE '严重错误' END AS label, count(*) AS n FROM v_issues GROUP BY 1",

@@ -50,6 +50,7 @@ SELECT o_orderkey AS bundle_id, o_custkey AS project_id, o_orderdate AS created_
   CASE o_orderkey % 5 WHEN 0 THEN '住宅 ' || CAST(1 + o_orderkey % 30 AS STRING) || ' 层 首层层高 4.5' WHEN 1 THEN 'office tower 层高: 3.2 容积率 6.5' WHEN 2 THEN '将 800x1200 的窗替换为落地窗' WHEN 3 THEN '双坡屋顶 35度 用地 1200 平方米' ELSE 'office ' || CAST(o_orderkey % 12 AS STRING) || ' units' END AS prompt,
   CASE WHEN o_orderkey % 7 = 0 THEN 'office' ELSE NULL END AS form_building_type, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 9 AS BIGINT) ELSE NULL END AS form_floors,
   CASE WHEN o_orderkey % 9 = 0 THEN CAST(2.5 AS DOUBLE) ELSE NULL END AS form_height, CASE WHEN o_orderkey % 10 = 0 THEN CAST(o_orderkey AS DOUBLE) ELSE NULL END AS form_area, CAST(NULL AS DOUBLE) AS form_far,
+  CASE WHEN o_orderkey % 11 = 0 THEN CAST(5.5 AS DOUBLE) ELSE NULL END AS form_first_height, CASE WHEN o_orderkey % 13 = 0 THEN CAST(o_orderkey % 3 AS BIGINT) ELSE NULL END AS form_units,
   CASE o_orderstatus WHEN 'F' THEN 'auto' WHEN 'O' THEN 'cad_to_bim' ELSE 'auto' END AS mode_hint, o_orderkey % 3 AS assets,
   CASE WHEN o_orderkey % 6 = 0 THEN CAST(1 + o_orderkey % 5 AS BIGINT) ELSE NULL END AS drawn_floors, CASE WHEN o_orderkey % 8 = 0 THEN CAST(o_orderkey % 500 + 100 AS DOUBLE) ELSE NULL END AS drawn_area,
   CASE WHEN o_orderkey % 2 = 0 THEN 'cn' ELSE '' END AS region
