@@ -26,8 +26,8 @@ OPENING_SIZES = {"door_block": (1.0, 0.15, 2.1), "window_block": (1.5, 0.12, 1.5
 TYPES = {"wall_line": "IfcWall", "wall_path": "IfcWall", "door_block": "IfcDoor", "window_block": "IfcWindow"}
 RECONCILED = (("IfcWall", "wall"), ("IfcDoor", "door"), ("IfcWindow", "window"))
 WALLS, OPENINGS, ROOMS = ("wall_line", "wall_path"), ("door_block", "window_block"), ("room_boundary", "room_label")
-#: Smallest cell of the wall search, in drawing units, and how often cells grow by CELL_GROWTH; the last is one for all.
-CELL, CELL_GROWTH, CELL_LEVELS = 1000.0, 8, 8
+#: Smallest cell of the wall search, in drawing units, and how often cells grow fourfold; the last is one for all.
+CELL, CELL_LEVELS = 250.0, 13
 
 
 def source_entities(entities: DataFrame, roles: DataFrame) -> DataFrame:
@@ -105,30 +105,31 @@ def nearest_walls(openings: DataFrame, walls: DataFrame) -> DataFrame:
     """bundle_id, storey_key, entity_seq, wall_seq, distance: the wall of least distance in the opening's storey, the first
     of equally near ones; exact, however far.
 
-    Cells come in levels, each CELL_GROWTH times as wide as the one below; the last level is one cell for all. The lowest
-    level at which an opening's cell or one beside it holds a wall bounds the distance by under three cells, so the walls
-    within one cell of the next level are all that can be nearest. Walls no longer than that level's cell are listed in
-    its cells, longer ones at the level of their length, so a wall is in few cells of any level."""
+    Cells come in levels, each four times as wide as the one below; the last level is one cell for all. The lowest level at
+    which an opening's own cell holds a wall bounds the distance by its diagonal, under one cell of the next level, so the
+    walls in that level's cell and those beside it are all that can be nearest. Walls no longer than a cell are listed in
+    that level's cells, longer ones at the level of their length only, so a wall is in few cells of any level."""
     key = ["bundle_id", "storey_key"]
     s, e = F.col("axis.start"), F.col("axis.end")
-    size = lambda level: F.lit(CELL) * F.pow(F.lit(float(CELL_GROWTH)), level)
-    cell = lambda c, level: F.when(level >= CELL_LEVELS, F.lit(0)).otherwise(F.floor(c / size(level))).cast("long")
+    cell = lambda c, level: F.when(level >= CELL_LEVELS, F.lit(0)).otherwise(F.floor(c / (F.lit(CELL) * F.pow(F.lit(4.0), level)))).cast("long")
     upto = lambda lo: F.sequence(lo, F.lit(CELL_LEVELS))
     extent = F.greatest(F.abs(e["x"] - s["x"]), F.abs(e["y"] - s["y"]))
-    own = F.least(F.greatest(F.ceil(F.log(F.greatest(extent, F.lit(CELL)) / CELL) / F.log(F.lit(float(CELL_GROWTH)))), F.lit(0)), F.lit(CELL_LEVELS)).cast("int")
+    own = F.least(F.greatest(F.ceil(F.log2(F.greatest(extent, F.lit(CELL)) / CELL) / 2), F.lit(0)), F.lit(CELL_LEVELS)).cast("int")
     placed = walls.where("axis is not null").select(*key, "wall_seq", "axis", own.alias("own")).withColumn("level", F.explode(upto(F.col("own"))))
     span = lambda c: F.sequence(cell(F.least(s[c], e[c]), F.col("level")), cell(F.greatest(s[c], e[c]), F.col("level")))
     dealt = placed.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
-    beside = lambda c: F.when(F.col("level") >= CELL_LEVELS, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: cell(F.col(c), F.col("level")) + d))
-    around = lambda rows: rows.withColumn("cx", F.explode(beside("x"))).withColumn("cy", F.explode(beside("y")))
-    # Occupied cells only: a cell of very many walls is one row here.
+    # Occupied cells only, so a cell of very many walls is one row here; and the levels at which a storey lists long walls.
     held = dealt.select(*key, "level", "cx", "cy").distinct()
-    asked = openings.select(*key, "entity_seq", "x", "y")
-    lowest = around(asked.withColumn("level", F.explode(upto(F.lit(0))))).join(held, [*key, "level", "cx", "cy"]).groupBy(*key, "entity_seq", "x", "y").agg(F.min("level").alias("first"))
-    wanted = lowest.withColumn("first", F.least(F.col("first") + 1, F.lit(CELL_LEVELS))).withColumn("level", F.explode(upto(F.col("first"))))
+    lists = placed.groupBy(*key).agg(F.collect_set("own").alias("owns"))
+    asked = openings.select(*key, "entity_seq", "x", "y").withColumn("level", F.explode(upto(F.lit(0))))
+    at = [cell(F.col(c), F.col("level")).alias(f"c{c}") for c in ("x", "y")]
+    lowest = asked.select("*", *at).join(held, [*key, "level", "cx", "cy"]).groupBy(*key, "entity_seq", "x", "y").agg(F.min("level").alias("first"))
+    wanted = lowest.withColumn("first", F.least(F.col("first") + 1, F.lit(CELL_LEVELS))).join(lists, key)
+    wanted = wanted.withColumn("level", F.explode(F.array_union(F.array("first"), F.filter("owns", lambda n: n > F.col("first"))))).drop("owns")
+    beside = lambda c: F.when(F.col("level") >= CELL_LEVELS, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: cell(F.col(c), F.col("level")) + d))
     foot = geometry.project(F.col("x"), F.col("y"), F.col("axis"))
     # At an opening's own level all shorter walls count, above it those that are listed first there.
-    met = around(wanted).join(dealt, [*key, "level", "cx", "cy"]).where("level = first or own = level")
+    met = wanted.withColumn("cx", F.explode(beside("x"))).withColumn("cy", F.explode(beside("y"))).join(dealt, [*key, "level", "cx", "cy"]).where("level = first or own = level")
     return met.groupBy(*key, "entity_seq").agg(F.min(F.struct(foot["distance"].alias("d"), "wall_seq")).alias("w")).select(*key, "entity_seq", "w.wall_seq", F.col("w.d").alias("distance"))
 
 
