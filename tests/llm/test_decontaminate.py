@@ -88,7 +88,8 @@ def test_index_of_many_items_is_small():
     rng = random.Random(3)
     index = D.Index([(i, 0, " ".join(words(rng, 20 + i % 180, 50_000))) for i in range(4000)])
     assert len(pickle.dumps(index)) < 20e6  # 20,000 such items: under 100 MB
-    for size in set(index.sizes[:9].tolist()):
+    many = D.Index([(i, 0, " ".join(words(rng, 30, 9000))) for i in range(300)])  # more of one size than values to look up
+    for index, size in [(index, n) for n in set(index.sizes[:9].tolist())] + [(many, 30)]:
         own = [k for k, n in enumerate(index.sizes) if n == size]
         prints = index.prints[own] ^ D.np.array([sum(1 << b for b in rng.sample(range(64), rng.choice([0, 9, 17, 18]))) for _ in own], D.np.uint64)
         want = [[k for k in own if (int(index.prints[k]) ^ int(fp)).bit_count() <= D.RADIUS] for fp in prints]

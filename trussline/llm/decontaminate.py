@@ -119,12 +119,19 @@ class Index:
         rows, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for b, (keys, order) in enumerate(self.tables):
             first, end = np.searchsorted(keys, np.array([size << 16, (size + 1) << 16], np.uint64))
-            own, wanted = keys[first:end], (self.block(prints, size, b)[:, None] ^ FLIPS[b]).ravel()
+            own, values = keys[first:end], self.block(prints, size, b)
+            if len(own) <= len(FLIPS[b]):
+                # Fewer items than values to look up: the same test from the other side.
+                row, at = np.nonzero(np.bitwise_count(values[:, None] ^ own) <= RADIUS // BLOCKS)
+                rows.append(row)
+                items.append(order[first + at])
+                continue
+            wanted = (values[:, None] ^ FLIPS[b]).ravel()
             at = np.searchsorted(own, wanted)
-            met = np.flatnonzero(own[np.minimum(at, len(own) - 1)] == wanted) if len(own) else []
+            met = np.flatnonzero(own[np.minimum(at, len(own) - 1)] == wanted)
             # Items of one size can share a block's value.
             many = np.searchsorted(own, wanted[met], "right") - at[met]
-            rows.append(np.repeat(np.asarray(met, np.int64) // len(FLIPS[b]), many))
+            rows.append(np.repeat(met // len(FLIPS[b]), many))
             items.append(order[first:end][np.repeat(at[met], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)])
         row, item = np.unique(np.stack([np.concatenate(rows), np.concatenate(items)]), axis=1)
         ok = np.bitwise_count(self.prints[item] ^ prints[row]) <= RADIUS
