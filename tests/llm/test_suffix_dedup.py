@@ -67,10 +67,11 @@ def test_windows_are_read_off_the_sorted_order(monkeypatch):
     gram, right, left = letters(S.GRAM), letters(200), letters(120)
     texts = [letters(30) + left + gram + right[:100] + letters(60), letters(10) + left + gram + right[:90] + letters(80), letters(150) + gram + letters(140)]
     anchors = [150, 130, 150]
-    # The first two share 120 bytes before the anchor and 150 from it: windows with the anchor at 50 to 120.
-    assert S.repeated_windows(texts, anchors, [1, 1, 1]) == [[(50, 120)], [(50, 120)], []]
-    assert S.repeated_windows(texts, anchors, [1, 1, 2])[2] == [(0, 140)]
-    assert S.repeated_windows(texts[2:], anchors[2:], [2]) == [[(0, 140)]] and S.repeated_windows(texts[2:], anchors[2:], [1]) == [[]]
+    # The first two share 120 bytes before the anchor and GRAM + 90 from it; the third has 150 and GRAM + 140.
+    both, alone = (110 - S.GRAM, 120), (max(0, 60 - S.GRAM), min(150, S.LENGTH - S.GRAM))
+    assert S.repeated_windows(texts, anchors, [1, 1, 1]) == [[both], [both], []]
+    assert S.repeated_windows(texts, anchors, [1, 1, 2])[2] == [alone]
+    assert S.repeated_windows(texts[2:], anchors[2:], [2]) == [[alone]] and S.repeated_windows(texts[2:], anchors[2:], [1]) == [[]]
     monkeypatch.setattr(S, "deep_shallow", lambda strings, depth=0: (list(range(len(strings))), [0] * len(strings)))
     assert S.repeated_windows(texts, anchors, [1, 1, 1]) == [[], [], []]
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, table, written
 
-LENGTH, GRAM, SHALLOW = 200, 60, 16
+LENGTH, GRAM, SHALLOW = 200, 40, 16
 #: Bytes hashed at once (a power of two), and the bits that hold a place among them.
 CHUNK, PLACE = 1 << 20, np.uint64((1 << 20) - 1)
 #: Differing regions that are sorted together; where there are more, they are dealt out by more bytes of their windows.
