@@ -254,7 +254,7 @@ def feedback_counts(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet*").parquet(f"{sf_dir}/events.parquet*")
     stream = source.select(F.concat(F.lit("ver_"), (F.col("event_id") % 97).cast("string")).alias("version_id"), F.col("event_type").alias("topic"))
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _local_dir()).rstrip("/")
+    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _local_dir(spark)).rstrip("/")
     run = f"{base}/feedback-{uuid.uuid4().hex}"
 
     def keep(batch, number):
@@ -266,9 +266,11 @@ def feedback_counts(spark, sf_dir):
     return counts.where(F.col("batch") == last).select("version_id", "topic", "n")
 
 
-def _local_dir():
+def _local_dir(spark):
     import tempfile
 
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix="trussline-stream-")
 
 

@@ -57,7 +57,9 @@ def room_label_entities(spark, sf_dir):
 
 
 def provenance(spark, sf_dir):
-    e = fragments.assign_fragments(_entities(spark, sf_dir), _fragments(spark, sf_dir).where("bundle_id % 2 = 0"))
+    # Fragments of every second bundle belong to assets of another name, so the entities of those have none.
+    other = F.when(F.col("bundle_id") % 2 == 0, F.col("asset_name")).otherwise(F.concat("asset_name", F.lit("_old")))
+    e = fragments.assign_fragments(_entities(spark, sf_dir), _fragments(spark, sf_dir).withColumn("asset_name", other))
     e = e.withColumn("storey_key", F.when(F.col("k") % 3 == 0, F.col("storey_key")))
     return components.provenance(e).groupBy("bundle_id", "fragment_role", "storey_key").agg(F.count("*").alias("entities"), F.count_if(F.endswith("fragment_id", F.lit("::unknown"))).alias("unknown"))
 
@@ -108,7 +110,7 @@ def source_elements(spark, sf_dir):
 
 
 def required_types(spark, sf_dir):
-    index = model.element_index(view(spark, sf_dir, "v_elements").where("l_quantity > 48"))
+    index = model.element_index(view(spark, sf_dir, "v_elements").withColumn("ifc_type", F.when(F.col("l_quantity") > 48, F.col("ifc_type")).otherwise(F.lit("IfcCovering"))))
     models = view(spark, sf_dir, "v_elements").select("bundle_id").distinct()
     return validation.missing_types(models, index).select("bundle_id", "code", "target")
 
@@ -133,7 +135,8 @@ def view_roles(spark, sf_dir):
 
 
 def fragment_storeys(spark, sf_dir):
-    f = _fragments(spark, sf_dir).where("bundle_id < 10").withColumn("storey_key", F.when(F.col("frag_seq") < 3, F.col("storey_key")))
+    # Fragments of half the bundles belong to bundles without an asset.
+    f = _fragments(spark, sf_dir).withColumns({"bundle_id": F.when(F.col("bundle_id") < 10, F.col("bundle_id")).otherwise(F.col("bundle_id") + 100), "storey_key": F.when(F.col("frag_seq") < 3, F.col("storey_key"))})
     assets = _entities(spark, sf_dir).select("bundle_id", "asset_name").distinct().withColumn("storey_key", F.coalesce(storeys.storey_key(F.col("asset_name")), F.lit("1F")))
     return resolution.fragment_storeys(f, assets)
 
@@ -185,6 +188,6 @@ SELECT bundle_id, ifc_type, count(*) AS n, count(*) AS guids, max(i) AS highest,
     "source_entities": "SELECT bundle_id, category, count(*) AS entities FROM v_entities WHERE k % 10 > 0 AND asset_seq % 4 > 0 GROUP BY 1, 2",
     "view_roles": "SELECT bundle_id, asset_name || CASE WHEN asset_seq % 9 = 0 THEN '-立面' ELSE '' END AS asset_name, CASE WHEN asset_seq % 9 = 0 THEN 'facade' WHEN asset_seq % 3 = 0 THEN 'section' WHEN asset_seq % 3 = 1 THEN 'plan' ELSE 'unknown' END AS view_role FROM v_assets",
     "fragment_storeys": """
-SELECT bundle_id, fragment_id, storey_key FROM v_fragments WHERE bundle_id < 10
+SELECT CASE WHEN bundle_id < 10 THEN bundle_id ELSE bundle_id + 100 END AS bundle_id, fragment_id, storey_key FROM v_fragments
 UNION ALL SELECT bundle_id, asset_name || '::fragment::default::' || lpad(CAST(row_number() OVER (PARTITION BY bundle_id ORDER BY asset_name) AS STRING), 2, '0'), '1F' FROM (SELECT DISTINCT bundle_id, asset_name FROM v_entities) WHERE bundle_id NOT IN (SELECT bundle_id FROM v_fragments WHERE bundle_id < 10)""",
 }
