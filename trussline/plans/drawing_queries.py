@@ -112,7 +112,9 @@ def asset_storey(spark, sf_dir):
 
 
 def asset_storey_unfragmented(spark, sf_dir):
-    t = _texts(spark, sf_dir).where("text_kind = 1 and asset_seq % 3 = 0").select("bundle_id", "asset_name", F.col("text").alias("name"), F.col("text_seq").alias("cand_seq"))
+    """All texts; two assets in three have none that names a storey."""
+    name = F.when((F.col("text_kind") == 1) & (F.col("asset_seq") % 3 == 0), F.col("text")).otherwise(F.lit("note"))
+    t = _texts(spark, sf_dir).select("bundle_id", "asset_name", name.alias("name"), F.col("text_seq").alias("cand_seq"))
     return resolution.asset_storeys_unfragmented(_entities(spark, sf_dir), t)
 
 
@@ -145,7 +147,10 @@ def fragment_assign(spark, sf_dir):
 
 
 def collapsed_storeys(spark, sf_dir):
-    e = fragments.assign_fragments(_entities(spark, sf_dir).where("x1 < 3000 or asset_seq % 2 = 0"), _fragments(spark, sf_dir))
+    """All entities; those of every other asset are moved into its first fragment."""
+    e = _entities(spark, sf_dir)
+    moved = F.when(F.col("asset_seq") % 2 == 1, F.array(geometry.point(F.col("x1") % 3000, F.col("y1")))).otherwise(F.col("points"))
+    e = fragments.assign_fragments(e.withColumns({"points": moved, "bbox": geometry.box_of_points(moved)}), _fragments(spark, sf_dir))
     return fragments.collapsed_storeys(_fragments(spark, sf_dir), e).select("bundle_id", "asset_name", "category")
 
 
@@ -160,9 +165,12 @@ def annotation_bind(spark, sf_dir):
 
 
 def component_merge(spark, sf_dir):
-    e = _entities(spark, sf_dir).withColumn("source_ref", F.concat(F.lit("r"), F.col("k").cast("string")))
-    bound = components.bind_annotations(components.component_candidates(e), _texts(spark, sf_dir).limit(0))
-    return components.merge_components(e, bound).groupBy("bundle_id", "component_type").agg(F.count("*").alias("components"), F.round(F.sum("confidence"), 6).alias("confidence"))
+    """References that several entities of different confidence share, so that the last candidate decides."""
+    e = _entities(spark, sf_dir).withColumn("source_ref", F.concat(F.lit("r"), (F.col("k") % 10).cast("string")))
+    bound = components.bind_annotations(components.component_candidates(e), _texts(spark, sf_dir))
+    notes = F.max(F.coalesce(F.size("annotation_notes"), F.lit(0))).cast("long").alias("notes")
+    told = [F.count("*").alias("components"), F.round(F.sum("confidence"), 6).alias("confidence"), notes, F.max(F.get("annotation_notes", 0)).alias("first_note"), F.max("annotation_confidence").alias("note_confidence")]
+    return components.merge_components(e, bound).groupBy("bundle_id", "component_type").agg(*told)
 
 
 def canonical_category(spark, sf_dir):
@@ -287,16 +295,23 @@ WITH {_C}, r AS (SELECT c.entity_seq, f.fragment_id, f.storey_key AS fragment_st
   CASE WHEN round(ax, 3) BETWEEN f.min_x AND f.max_x AND round(ay, 3) BETWEEN f.min_y AND f.max_y THEN -1 ELSE sqrt((round(ax, 3) - (f.min_x + f.max_x) / 2) ** 2 + (round(ay, 3) - (f.min_y + f.max_y) / 2) ** 2) END, f.frag_seq) AS n
   FROM c JOIN v_fragments f ON f.asset_name = c.asset_name) SELECT entity_seq, fragment_id, fragment_storey_key FROM r WHERE n = 1""",
     "collapsed_storeys": f"""
-WITH {_C}, r AS (SELECT c.bundle_id, c.asset_name, f.storey_key, row_number() OVER (PARTITION BY c.entity_seq ORDER BY
+WITH {_C}, d AS (SELECT bundle_id, asset_name, entity_seq, CASE WHEN asset_seq % 2 = 1 THEN x1 % 3000 ELSE ax END AS ax, CASE WHEN asset_seq % 2 = 1 THEN y1 ELSE ay END AS ay FROM c),
+r AS (SELECT c.bundle_id, c.asset_name, f.storey_key, row_number() OVER (PARTITION BY c.entity_seq ORDER BY
   CASE WHEN round(ax, 3) BETWEEN f.min_x AND f.max_x AND round(ay, 3) BETWEEN f.min_y AND f.max_y THEN -1 ELSE sqrt((round(ax, 3) - (f.min_x + f.max_x) / 2) ** 2 + (round(ay, 3) - (f.min_y + f.max_y) / 2) ** 2) END, f.frag_seq) AS n
-  FROM c JOIN v_fragments f ON f.asset_name = c.asset_name WHERE c.x1 < 3000 OR c.asset_seq % 2 = 0), h AS (SELECT bundle_id, asset_name, count(DISTINCT storey_key) AS held FROM r WHERE n = 1 GROUP BY 1, 2)
+  FROM d c JOIN v_fragments f ON f.asset_name = c.asset_name), h AS (SELECT bundle_id, asset_name, count(DISTINCT storey_key) AS held FROM r WHERE n = 1 GROUP BY 1, 2)
 SELECT DISTINCT f.bundle_id, f.asset_name, 'multi_storey_asset_collapsed' AS category FROM v_fragments f LEFT JOIN h ON h.asset_name = f.asset_name WHERE coalesce(held, 0) < 2""",
     "component_confidence": "WITH q AS (SELECT kind, greatest(confidence, CASE kind WHEN 'wall' THEN 0.72 WHEN 'room' THEN 0.55 ELSE 0.6 END) AS c FROM v_entities) SELECT kind AS component_type, count(*) AS components, round(avg(c), 6) AS mean_confidence FROM q WHERE c >= 0.75 GROUP BY 1",
     "annotation_bind": """
 WITH n AS (SELECT bundle_id, count(*) AS notes, arg_min(text, text_seq) AS first_note FROM v_texts WHERE text_kind = 6 GROUP BY 1)
 SELECT e.bundle_id, kind AS component_type, count(*) AS components, max(CASE WHEN kind = 'wall' THEN coalesce(notes, 0) ELSE 0 END) AS notes, max(CASE WHEN kind = 'wall' THEN first_note END) AS first_note, max(CASE WHEN kind = 'wall' THEN least(1.0, notes * 0.1) END)::DOUBLE AS confidence
 FROM v_entities e LEFT JOIN n ON n.bundle_id = e.bundle_id GROUP BY 1, 2""",
-    "component_merge": "SELECT bundle_id, kind AS component_type, count(*) AS components, round(sum(greatest(confidence, CASE kind WHEN 'wall' THEN 0.72 WHEN 'room' THEN 0.55 ELSE 0.6 END)), 6) AS confidence FROM v_entities GROUP BY 1, 2",
+    "component_merge": """
+WITH n AS (SELECT bundle_id, count(*) AS notes, arg_min(text, text_seq) AS first_note FROM v_texts WHERE text_kind = 6 GROUP BY 1),
+c AS (SELECT *, k % 10 AS ref, greatest(confidence, CASE kind WHEN 'wall' THEN 0.72 WHEN 'room' THEN 0.55 ELSE 0.6 END) AS own FROM v_entities),
+m AS (SELECT asset_name, category, ref, label, arg_max(own, entity_seq) AS last FROM c GROUP BY 1, 2, 3, 4)
+SELECT c.bundle_id, kind AS component_type, count(*) AS components, round(sum(greatest(confidence, last)), 6) AS confidence, max(CASE WHEN kind = 'wall' THEN coalesce(notes, 0) ELSE 0 END) AS notes,
+  max(CASE WHEN kind = 'wall' THEN first_note END) AS first_note, max(CASE WHEN kind = 'wall' THEN least(1.0, notes * 0.1) END)::DOUBLE AS note_confidence
+FROM c JOIN m ON m.asset_name = c.asset_name AND m.category = c.category AND m.ref = c.ref AND m.label = c.label LEFT JOIN n ON n.bundle_id = c.bundle_id GROUP BY 1, 2""",
     "canonical_category": """
 WITH r AS (SELECT layer_seq, p_size, lower(layer) || CASE WHEN p_size % 2 = 0 THEN '_line' ELSE '' END AS raw FROM v_layers)
 SELECT layer_seq, CASE WHEN raw LIKE '%wall%' THEN CASE WHEN raw LIKE '%line%' THEN 'wall_line' ELSE 'wall_path' END WHEN raw LIKE '%door%' THEN 'door_block' WHEN raw LIKE '%wind%' THEN 'window_block' WHEN raw LIKE '%room%' OR raw LIKE '%space%' THEN 'room_boundary' WHEN p_size % 3 = 0 THEN 'window_block' END AS category FROM r""",

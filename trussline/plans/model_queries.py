@@ -155,7 +155,7 @@ def element_index(spark, sf_dir):
 
 def reconciliation(spark, sf_dir):
     e = view(spark, sf_dir, "v_elements")
-    return model.reconciliation(e.select("bundle_id", "component_type"), e.where("l_quantity > 10").select("bundle_id", "ifc_type"))
+    return model.reconciliation(e.select("bundle_id", "component_type"), e.select("bundle_id", "ifc_type"))
 
 
 def patched_families(spark, sf_dir):
@@ -373,7 +373,7 @@ SELECT bundle_id, 'storey_09' AS storey_id, z.roof_type, family_name, CASE z.roo
   round(CASE z.roof_type WHEN 'gable' THEN d / 2 + 0.6 WHEN 'shed' THEN d + 0.6 ELSE d + 1.2 END, 3) AS roof_depth_m FROM z JOIN p ON p.roof_type = z.roof_type""",
     "element_index": "SELECT bundle_id, ifc_type, count(*) AS elements, CAST(sum(count(*)) OVER (PARTITION BY bundle_id) AS BIGINT) AS total FROM v_elements GROUP BY 1, 2",
     "reconciliation": """
-WITH s AS (SELECT bundle_id, CASE component_type WHEN 'wall' THEN 'IfcWall' WHEN 'door' THEN 'IfcDoor' ELSE 'IfcWindow' END AS t, count(*) AS n FROM v_elements GROUP BY 1, 2), m AS (SELECT bundle_id, ifc_type AS t, count(*) AS n FROM v_elements WHERE l_quantity > 10 AND ifc_type <> 'IfcSlab' GROUP BY 1, 2)
+WITH s AS (SELECT bundle_id, CASE component_type WHEN 'wall' THEN 'IfcWall' WHEN 'door' THEN 'IfcDoor' ELSE 'IfcWindow' END AS t, count(*) AS n FROM v_elements GROUP BY 1, 2), m AS (SELECT bundle_id, ifc_type AS t, count(*) AS n FROM v_elements WHERE ifc_type <> 'IfcSlab' GROUP BY 1, 2)
 SELECT coalesce(s.bundle_id, m.bundle_id) AS bundle_id, coalesce(s.t, m.t) AS ifc_type, coalesce(s.n, 0) AS source, coalesce(m.n, 0) AS modeled, coalesce(m.n, 0) - coalesce(s.n, 0) AS delta FROM s FULL JOIN m ON s.bundle_id = m.bundle_id AND s.t = m.t""",
     "patched_families": """
 WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE bundle_id % 5 = 2) AS p FROM v_requests)

@@ -84,18 +84,23 @@ def proxy_counts(spark, sf_dir):
 
 
 def footprint_entities(spark, sf_dir):
+    """All entities as proxies; one asset in three has no boundary and takes its extents."""
     e = _entities(spark, sf_dir)
-    counts = e.where("k >= 60").groupBy("bundle_id", "asset_name", F.col("kind").alias("role"), F.col("label").alias("layer")).agg(F.count("*").alias("proxies"), F.lit(0).alias("with_geometry"), F.min("entity_seq").alias("first_seen"))
-    extents = e.select("bundle_id", "asset_name").distinct().withColumn("extents", geometry.box(*(F.lit(v).cast("double") for v in (0, 0, 1000, 500))))
-    rows = proxies.footprint_entities(proxies.proxy_footprint(e.limit(0), extents), counts)
-    return rows.groupBy("asset_name", "category").agg(F.count("*").alias("n"), F.round(F.sum(F.get("points", 0)["y"]), 3).alias("y"))
+    counts = e.groupBy("bundle_id", "asset_name", F.col("kind").alias("role"), F.col("label").alias("layer")).agg(F.count("*").alias("proxies"), F.lit(0).alias("with_geometry"), F.min("entity_seq").alias("first_seen"))
+    ends = geometry.box(F.min("bbox.min_x"), F.min("bbox.min_y"), F.max("bbox.max_x"), F.max("bbox.max_y"))
+    extents = e.groupBy("bundle_id", "asset_name").agg(ends.alias("extents"))
+    drawn = e.withColumn("category", F.when(F.col("asset_seq") % 3 == 0, F.lit("hatch")).otherwise(F.col("category")))
+    rows = proxies.footprint_entities(proxies.proxy_footprint(drawn, extents), counts)
+    return rows.groupBy("asset_name", "category").agg(F.count("*").alias("n"), F.round(F.sum(F.get("points", 0)["x"]), 3).alias("x"), F.round(F.sum(F.get("points", 0)["y"]), 3).alias("y"))
 
 
 def parse_quality(spark, sf_dir):
-    e = _entities(spark, sf_dir).where("k < 4")
+    """All entities and axes; most entities are of a category that no model has, most axes belong to other assets."""
+    e = _entities(spark, sf_dir).withColumn("category", F.when(F.col("k") < 4, F.col("category")).otherwise(F.lit("hatch")))
+    axes = _axes(spark, sf_dir).withColumn("asset_name", F.when(F.col("k") < 2, F.col("asset_name")).otherwise(F.concat("asset_name", F.lit("_other"))))
     assets = _entities(spark, sf_dir).select("bundle_id", "asset_name", "asset_seq").distinct().select("bundle_id", "asset_name", F.when(F.col("asset_seq") % 5 == 0, F.lit("pdf")).otherwise(F.lit("cad")).alias("kind"), F.when(F.col("asset_seq") % 10 == 0, F.lit("scanned")).otherwise(F.lit("vector")).alias("pdf_type"))
     layers = resolution.layer_map(_entities(spark, sf_dir).withColumn("dxftype", F.lit("ACAD_PROXY_ENTITY")))
-    return validation.parse_quality(assets, e, layers, _axes(spark, sf_dir).where("k < 2")).groupBy("category").agg(F.count("*").alias("n"), F.min("asset_name").alias("first_asset"))
+    return validation.parse_quality(assets, e, layers, axes).groupBy("category").agg(F.count("*").alias("n"), F.min("asset_name").alias("first_asset"))
 
 
 def model_metadata(spark, sf_dir):
@@ -169,9 +174,14 @@ SELECT e.bundle_id, CASE WHEN fk IS NULL THEN 'unknown' ELSE 'plan' END AS fragm
     "vendor_openings": "SELECT asset_name, category, count(*) AS n, CAST(sum(k * 10) AS DOUBLE) AS width, 2 * count(*) AS parents FROM v_entities WHERE kind IN ('door', 'window') GROUP BY 1, 2",
     "proxy_counts": "SELECT bundle_id, asset_name, kind AS role, 'A-' || upper(kind) AS layer, count(*) AS proxies, count(*) FILTER (WHERE k % 4 = 0) AS with_geometry, min(entity_seq) AS first_seen FROM v_entities GROUP BY 1, 2, 3",
     "footprint_entities": """
-WITH c AS (SELECT asset_name, count(*) FILTER (WHERE kind = 'wall') AS w, count(*) FILTER (WHERE kind = 'door') AS d, count(*) FILTER (WHERE kind = 'window') AS v FROM v_entities WHERE k >= 60 GROUP BY 1),
-m AS (SELECT asset_name, greatest(w, 4) AS w, d, v FROM c), t AS (SELECT asset_name, w, unnest(range(1, w + 1)) AS i FROM m)
-SELECT asset_name, 'wall_line' AS category, count(*) AS n, round(sum(i * 500.0::DOUBLE / (w + 1)), 3) AS y FROM t GROUP BY 1 UNION ALL SELECT asset_name, 'door_block', d, 0 FROM m WHERE d > 0 UNION ALL SELECT asset_name, 'window_block', v, v * 500.0::DOUBLE FROM m WHERE v > 0""",
+WITH q AS (SELECT *, kind IN ('door', 'window') AS o FROM v_entities), x AS (SELECT asset_name, asset_seq, entity_seq, category, kind, x1, y1, CASE WHEN o THEN x1 ELSE x2 END AS x2, CASE WHEN o THEN y1 ELSE y2 END AS y2 FROM q),
+e AS (SELECT asset_name, min(x1) AS x0, min(y1) AS y0, max(x2) AS x9, max(y2) AS y9 FROM x GROUP BY 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY asset_name ORDER BY (x2 - x1) * (y2 - y1) DESC, entity_seq) AS n FROM x WHERE category = 'room_boundary' AND asset_seq % 3 > 0),
+f AS (SELECT e.asset_name, coalesce(b.x1, x0) AS x0, coalesce(b.y1, y0) AS y0, coalesce(b.x2, x9) AS x9, coalesce(b.y2, y9) AS y9 FROM e LEFT JOIN b ON b.asset_name = e.asset_name AND b.n = 1 WHERE b.n = 1 OR (x9 > x0 AND y9 > y0)),
+c AS (SELECT asset_name, least(greatest(count(*) FILTER (WHERE kind = 'wall'), 4), 120) AS w, least(count(*) FILTER (WHERE kind = 'door'), 120) AS d, least(count(*) FILTER (WHERE kind = 'window'), 120) AS v FROM v_entities GROUP BY 1),
+t AS (SELECT asset_name, 'wall_line' AS category, w AS m FROM c UNION ALL SELECT asset_name, 'door_block', d FROM c UNION ALL SELECT asset_name, 'window_block', v FROM c), u AS (SELECT *, unnest(range(1, m + 1)) AS i FROM t)
+SELECT u.asset_name, category, count(*) AS n, round(sum(CASE WHEN category = 'wall_line' THEN x0 ELSE x0 + i / (m + 1) * greatest(x9 - x0, 1) END), 3) AS x,
+  round(sum(CASE category WHEN 'wall_line' THEN y0 + i / (m + 1) * greatest(y9 - y0, 1) WHEN 'door_block' THEN y0 ELSE y9 END), 3) AS y FROM u JOIN f ON f.asset_name = u.asset_name GROUP BY 1, 2""",
     "parse_quality": """
 WITH a AS (SELECT DISTINCT asset_name, asset_seq FROM v_entities), h AS (SELECT asset_name, bool_or(kind = 'wall') FILTER (WHERE k < 4) AS walls, bool_or(k < 4) AS modeled, bool_or(k < 2) AS axes FROM v_entities GROUP BY 1),
 r AS (SELECT a.asset_name, 'wall_detection_low_confidence' AS category FROM a JOIN h ON a.asset_name = h.asset_name WHERE asset_seq % 5 > 0 AND NOT coalesce(walls, false) UNION ALL SELECT a.asset_name, 'proxy_entities_unresolved' FROM a JOIN h ON a.asset_name = h.asset_name WHERE asset_seq % 5 > 0 AND NOT modeled
