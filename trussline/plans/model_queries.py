@@ -25,7 +25,7 @@ def _plain(rows):
 
 
 def _reviews(spark, sf_dir):
-    v = view(spark, sf_dir, "v_requests").where("bundle_id % 3 = 0")
+    v = view(spark, sf_dir, "v_requests")
     kinds = F.array(F.lit("unit_conflict"), F.lit("multi_storey_asset_collapsed"), F.lit("grid_not_detected"))
     rows = v.select("bundle_id", F.explode(F.sequence(F.lit(0), (F.col("bundle_id") % 8).cast("int"))).alias("review_seq"))
     return rows.select("bundle_id", "review_seq", F.get(kinds, F.col("review_seq") % 3).alias("category"), F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("source_ref"), F.concat(F.lit("a"), F.col("review_seq").cast("string")).alias("asset_name"))
@@ -289,7 +289,7 @@ _R = _I + """, u AS (
   UNION ALL SELECT bundle_id, 2, 'floor_height.low', 'error' FROM j WHERE standard_height < CASE bt WHEN 'office' THEN 3.0 ELSE 2.8 END
   UNION ALL SELECT bundle_id, 3, 'first_floor_height.low', 'warning' FROM j WHERE first_height < CASE bt WHEN 'office' THEN 4.2 ELSE 3.0 END
   UNION ALL SELECT bundle_id, 4, 'source.assets_missing', 'fatal' FROM j WHERE mode = 'cad_to_bim' AND assets = 0
-  UNION ALL SELECT bundle_id, 5, 'drawing.review.' || ['unit_conflict', 'multi_storey_asset_collapsed', 'grid_not_detected'][n % 3 + 1], CASE WHEN n % 3 = 1 THEN 'error' ELSE 'warning' END FROM (SELECT bundle_id, unnest(range(0, least(5, bundle_id % 8 + 1))) AS n FROM v_requests WHERE bundle_id % 3 = 0)
+  UNION ALL SELECT bundle_id, 5, 'drawing.review.' || ['unit_conflict', 'multi_storey_asset_collapsed', 'grid_not_detected'][n % 3 + 1], CASE WHEN n % 3 = 1 THEN 'error' ELSE 'warning' END FROM (SELECT bundle_id, unnest(range(0, least(5, bundle_id % 8 + 1))) AS n FROM v_requests)
   UNION ALL SELECT bundle_id, 6, 'far.high', 'warning' FROM j WHERE far > 5
   UNION ALL SELECT bundle_id, 7, 'site.area_missing', 'warning' FROM j WHERE site_area IS NULL
   UNION ALL SELECT bundle_id, 8, 'missing.region', 'warning' FROM j WHERE region = ''

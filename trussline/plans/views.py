@@ -61,7 +61,7 @@ SELECT user_id AS bundle_id, event_id AS issue_seq, CASE WHEN event_id % 3 = 0 T
   CASE WHEN event_id % 11 = 0 THEN 'drawing.review.multi_storey_asset_collapsed' ELSE 'code_' || event_type END AS code,
   CASE WHEN event_id % 97 = 0 THEN 'fatal' WHEN event_id % 41 = 0 THEN 'error' WHEN event_id % 3 = 0 THEN 'warning' ELSE 'info' END AS severity,
   CASE WHEN event_id % 41 = 0 THEN 'formal_gate.x' ELSE 't' || CAST(event_id % 5 AS STRING) END AS target
-FROM {events} WHERE event_id % 5 = 0 OR user_id % 2 = 0""",
+FROM {events}""",
     # Bulk text: the lines of the documents.
     "v_pages": "SELECT page_id, url AS filename, html AS content FROM {pages}",
     "v_elements": """
