@@ -9,6 +9,8 @@ from .decontaminate import op7_decontaminate
 from .language_id import op3_language_id
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .mixing import op10_mix_sources
+from .periodic_runs import op12_periodic_runs
+from .phrases import OP11_SQL, op11_collocations
 from .simhash import op5_simhash_dedup
 from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op8_token_counts
@@ -16,9 +18,25 @@ from .toxicity import op6_toxicity
 from .url_filter import OP2_SQL, op2_url_filter
 
 
+QUERIES = (
+    op1_nearest_vectors,
+    op2_url_filter,
+    op3_language_id,
+    op4_line_dedup,
+    op5_simhash_dedup,
+    op6_toxicity,
+    op7_decontaminate,
+    op8_token_counts,
+    op9_suffix_dedup,
+    op10_mix_sources,
+    op11_collocations,
+    op12_periodic_runs,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_nearest_vectors, op2_url_filter, op3_language_id, op4_line_dedup, op5_simhash_dedup, op6_toxicity, op7_decontaminate, op8_token_counts, op9_suffix_dedup, op10_mix_sources)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict:
-    return {"op2_url_filter": OP2_SQL, "op4_line_dedup": OP4_SQL}
+    return {"op2_url_filter": OP2_SQL, "op4_line_dedup": OP4_SQL, "op11_collocations": OP11_SQL}
