@@ -111,17 +111,26 @@ def extensions(levels: list[Level], i: np.ndarray, j: np.ndarray, forward: bool)
     return np.abs(i - began)
 
 
+def _hopeful(words: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """The candidates (place, period, text) that agree with themselves one period on, and so do the two words after or the
+    two before: of the five words or more that agree in a run, two others lie on one side."""
+    at, period, _ = candidates
+    candidates = candidates[:, words[at] == words[at + period]]
+    at, period, _ = candidates
+    agree = lambda k: words[np.clip(at + k, 0, len(words) - 1)] == words[np.clip(at + period + k, 0, len(words) - 1)]
+    return candidates[:, (agree(1) & agree(2)) | (agree(-1) & agree(-2))]
+
+
 def find_runs(words: np.ndarray, offset: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All runs (start, end, period) of the texts that begin at `offset` and have `size` words; `words` are numbers, and
     a number that occurs once follows each text. Starts and ends are places in `words`, in order."""
     most = size // LEAST_PERIODS * (size >= LEAST_LENGTH)
     offset, size, most = offset[most > 0], size[most > 0], most[most > 0]
-    none = np.zeros((0, 3), np.int64)
+    runs = np.zeros((0, 3), np.int64)
     if not len(most):
-        return none
-    levels, found = None, []
+        return runs
     # Texts in turns of bounded candidates: a text of n words has under n (1 + log n) of them.
-    weight = np.cumsum((size * (1 + np.log(size))).astype(np.int64)) // CANDIDATES
+    weight, near = np.cumsum((size * (1 + np.log(size))).astype(np.int64)) // CANDIDATES, []
     for own in np.split(np.arange(len(most)), np.flatnonzero(np.diff(weight)) + 1):
         text = np.repeat(own, most[own])
         q = np.arange(len(text)) - np.repeat(np.cumsum(most[own]) - most[own], most[own]) + 1
@@ -133,19 +142,22 @@ def find_runs(words: np.ndarray, offset: np.ndarray, size: np.ndarray) -> np.nda
             nth = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
             period = np.repeat(q[part], c)
             at = np.repeat(offset[text[part]], c) + nth * np.repeat(step[part], c)
-            agree = words[at] == words[at + period]
-            at, period = at[agree], period[agree]
-            if not len(at):
-                continue
-            levels = levels or grammar(words)
-            ahead = extensions(levels, at, at + period, True)
-            near = ahead > 0
-            at, period, ahead = at[near], period[near], ahead[near]
-            behind = extensions(levels, at, at + period, False)
-            runs = np.stack([at - behind, at + period + ahead, period], axis=1)
-            length = runs[:, 1] - runs[:, 0]
-            found.append(np.unique(runs[(length >= LEAST_LENGTH) & (length >= LEAST_PERIODS * period)], axis=0))
-    runs = np.unique(np.concatenate([none, *found]), axis=0)
+            near.append(_hopeful(words, np.stack([at, period, np.repeat(text[part], c)])))
+    at, period, text = np.concatenate(near, axis=1)
+    if not len(at):
+        return runs
+    # Only texts with a candidate need a grammar.
+    inside, used = np.zeros(len(words) + 1, np.int64), np.unique(text)
+    inside[offset[used]] += 1
+    np.add.at(inside, offset[used] + size[used] + 1, -1)
+    place = np.flatnonzero(np.cumsum(inside))
+    levels, at = grammar(words[place]), np.searchsorted(place, at)
+    for a in range(0, len(at), CANDIDATES):
+        i, q = at[a : a + CANDIDATES], period[a : a + CANDIDATES]
+        begin, end = i - extensions(levels, i, i + q, False), i + q + extensions(levels, i, i + q, True)
+        fits = (end - begin >= LEAST_LENGTH) & (end - begin >= LEAST_PERIODS * q)
+        found = np.stack([place[begin[fits]], place[end[fits] - 1] + 1, q[fits]], axis=1)
+        runs = np.unique(np.concatenate([runs, found]), axis=0)
     # A run of period q shows up under 2 q, 3 q ... too, with the same ends: the least counts.
     if len(runs):
         runs = runs[np.append(True, (runs[1:, :2] != runs[:-1, :2]).any(axis=1))]
