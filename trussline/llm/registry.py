@@ -11,6 +11,7 @@ from .line_dedup import OP4_SQL, op4_line_dedup
 from .mixing import op10_mix_sources
 from .periodic_runs import op12_periodic_runs
 from .phrases import OP11_SQL, op11_collocations
+from .quality import op13_quality
 from .simhash import op5_simhash_dedup
 from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op8_token_counts
@@ -31,6 +32,7 @@ QUERIES = (
     op10_mix_sources,
     op11_collocations,
     op12_periodic_runs,
+    op13_quality,
 )
 
 
