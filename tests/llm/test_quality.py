@@ -13,7 +13,7 @@ def corpus(seed, n):
         good = int(rng.random() < 0.8)
         w = words(rng, rng.randrange(30, 200), 300)
         if not good:
-            w = rng.choice([[x.upper() + "!!" for x in w], [x + rng.choice(["$$$", "###"]) for x in w], [x + " |" for x in w]])
+            w = rng.choice([[x.upper() + "!!" for x in w], [x + rng.choice(["$$$", "###"]) for x in w], [x + " |" for x in w], [x for x in w[:20] for _ in range(12)]])
         rows.append((i, " ".join(w), good))
     return rows
 
@@ -81,7 +81,12 @@ def test_nothing_labelled_and_empty_table(spark):
 
 def test_long_text_features_equal_in_chunks(monkeypatch):
     text = " ".join(words(random.Random(1), 3000))
+    text += " go go go a b a b " * 50
     whole = Q.bag(text, Q._Features())
+    w = text.split()
+    again = [sum(x == y for x, y in zip(w, w[k:])) for k in (1, 2, 3)]
+    weight = np.log1p([*again, len(w) - sum(again)])
+    assert np.allclose(dict(zip(*whole))[Q.FEATURES - 4], weight[0] / np.linalg.norm(weight))
     monkeypatch.setattr("trussline.llm.simhash.CHUNK", 100)
     parts = Q.bag(text, Q._Features())
     assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1])

@@ -1,7 +1,8 @@
 """Quality: nearest-neighbour voting in a latent-semantic space.
 
-A document is a bag of its words (A-Z lower-cased, without punctuation at the ends) and of their shapes (letters, digits
-and marks as they follow each other), hashed into a fixed number of features. Log counts, inverse document frequencies and
+A document is a bag of its words (A-Z lower-cased, without punctuation at the ends), of their shapes (letters, digits and
+marks as they follow each other) and of their repeats (equal to one of the three words before), hashed into a fixed number
+of features. Log counts, inverse document frequencies and
 a truncated singular value decomposition of the labelled sample give a space of few dimensions; the labelled vectors are
 broadcast. Every document takes exact cosine products with all of them, block by block, and its nearest ones vote with
 weights that grow with similarity, each label weighted to its share among all labelled documents.
@@ -13,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +27,19 @@ from .simhash import word_chunks
 
 #: Bound of the training sample: labelled documents of either label. The broadcast model has at most twice as many vectors.
 DOCS_PER_LABEL = 4_000
-#: Hashed features (the same number of words and of shapes), dimensions of the space, rounds of the decomposition.
+#: Hashed features (half of them words, the last ones repeats and the rest shapes), dimensions of the space, rounds of the
+#: decomposition.
 FEATURES, DIMENSIONS, ROUNDS = 1 << 12, 64, 4
 #: Neighbours that vote, and the power of their similarity.
 NEIGHBOURS, POWER = 31, 8
+#: A word may repeat the one before, or two or three before, or none of these.
+REPEATS = 3
 #: Documents scored at once; words whose features a task remembers.
 BLOCK, REMEMBERED = 128, 1 << 19
 EDGES = re.compile(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
 #: Upper-case letters, lower-case ones (any byte beyond ASCII too) and digits; a row of one class counts once.
 SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b > 127 else 48 if 48 <= b <= 57 else b for b in range(256))
-REPEAT = re.compile(rb"([Aa0])\1+")
+CLASSES = re.compile(rb"([Aa0])\1+")
 
 
 @dataclass
@@ -54,26 +59,30 @@ class _Features(dict):
             self.clear()
         half = FEATURES // 2
         own = word if word.isalnum() else EDGES.sub(b"", word)
-        out = self[word] = (xxhash.xxh64_intdigest(own.lower()) % half, half + xxhash.xxh64_intdigest(REPEAT.sub(rb"\1", word.translate(SHAPE))) % half)
+        out = self[word] = (xxhash.xxh64_intdigest(own.lower()) % half, half + xxhash.xxh64_intdigest(CLASSES.sub(rb"\1", word.translate(SHAPE))) % (half - REPEATS - 1))
         return out
 
 
 def bag(text: str | None, features: _Features) -> tuple[np.ndarray, np.ndarray]:
-    """The features of a whole text and their log counts, 1 in length for words and for shapes."""
-    counts: Counter = Counter()
+    """The features of a whole text and their log counts, 1 in length for words, for shapes and for repeats."""
+    counts, before, repeats = Counter(), [], np.zeros(REPEATS + 1)
     for words in word_chunks((text or "").encode("utf-8", "replace"), 0):
         counts.update(words)
+        known = before + words
+        for k in range(1, REPEATS + 1):
+            repeats[k - 1] += sum(map(eq, known[max(0, len(before) - k) :], known[max(k, len(before)) :]))
+        before = known[-REPEATS:]
     if not counts:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
     at = np.array([features[w] for w in counts], np.int64)
     n = np.fromiter(counts.values(), np.float64, len(counts))
+    repeats[REPEATS] = max(0, n.sum() - repeats.sum())
     total = np.bincount(at[:, 0], n, FEATURES) + np.bincount(at[:, 1], n, FEATURES)
+    total[-REPEATS - 1 :] = repeats
     found = np.flatnonzero(total)
     weight = np.log1p(total[found])
-    words = found < FEATURES // 2
-    for part in (words, ~words):
-        weight[part] /= np.linalg.norm(weight[part])
-    return found, weight.astype(np.float32)
+    part = np.searchsorted([FEATURES // 2, FEATURES - REPEATS - 1], found, side="right")
+    return found, (weight / np.sqrt(np.bincount(part, weight**2, 3))[part]).astype(np.float32)
 
 
 def dense(bags: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray | None = None) -> np.ndarray:
