@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import documents, odd_texts
@@ -59,7 +60,7 @@ def frame(spark, rows):
 @pytest.fixture
 def small(monkeypatch):
     """Chunks inside pieces, counters that many phrases share, groups that must be divided, batches handed on early."""
-    for name, value in {"CHUNK": 64, "HELD": 40, "REMEMBERED": 5, "LEAST_BITS": 8, "SLICE_BITS": 6, "GROUP_ROWS": 8, "DIVIDED": 1 << 20}.items():
+    for name, value in {"CHUNK": 64, "HELD": 40, "LEAST_BITS": 8, "SLICE_BITS": 6, "GROUP_ROWS": 8, "DIVIDED": 1 << 20}.items():
         monkeypatch.setattr(P, name, value)
 
 
@@ -85,19 +86,24 @@ def test_scores_beyond_64_bits(spark):
     assert one.selectExpr("cast(a as decimal(20,0)) * 2000000 div (cast(l as decimal(20,0)) + r) as s").first().s == 2000000 * 9000000000000000000 // (9000000000000000001 + 9000000000000000002)
 
 
-def test_pieces_in_chunks(monkeypatch):
+def test_chunks_of_long_and_short_texts(monkeypatch):
     rng = random.Random(1)
-    for size in (1, 3, 10):
+    for size in (1, 3, 10, 40):
         monkeypatch.setattr(P, "CHUNK", size)
-        for _ in range(200):
-            text = "".join(rng.choice(["aB", "c", " ", "  ", "\t", ".", "\n", "\r", "é"]) for _ in range(rng.randrange(30))).encode()
-            seen = Counter()
-            for words, left, count in P.pieces(text, 3):
-                for i in range(count):
-                    for m in range(1, min(4, left[i]) + 1):
-                        seen[tuple(words[i : i + m])] += 1
-            want, _ = brute_counts([("x", text.decode())])
-            assert seen == Counter({tuple(x.encode() for x in w): n for (_, w), n in want.items()})
+        for _ in range(100):
+            texts = ["".join(rng.choice(["aB", "c", " ", "  ", "\t", ".", "\n", "\r", "é"]) for _ in range(rng.randrange(30))) for _ in range(4)]
+            langs = [rng.choice("xy") for _ in texts]
+            seen, hashes, batch = Counter(), {}, pa.record_batch([pa.array(langs), pa.array([t.encode() for t in texts])], names=["lang", "text"])
+            for lang, w in P.chunks(iter([batch]), 3):
+                words = [w.text[a:b] for a, b in zip(w.begin, w.end)]
+                for x, h in zip(words, w.hash):
+                    assert hashes.setdefault(x, h) == h
+                for i in range(w.count):
+                    for m in range(1, min(4, w.left[i]) + 1):
+                        seen[lang, tuple(words[i : i + m])] += 1
+            want, _ = brute_counts(list(zip(langs, texts)))
+            assert seen == Counter({(lg, tuple(x.encode() for x in w)): n for (lg, w), n in want.items()})
+            assert len(set(hashes.values())) == len(hashes)
 
 
 def test_sql_equals_brute_force(spark, tmp_path):

@@ -1,12 +1,12 @@
 """Phrase collocation mining over depth-truncated suffix subtrees, built in groups of prefixes.
 
-1. One reading counts words per language, and all longer phrases in counters chosen by hash. A phrase whose counter stays
-   under the least count is rare for certain; a counter that several phrases share only lets more through.
+1. One reading counts all phrases in counters chosen by hash. A phrase whose counter stays under the least count is rare for
+   certain; a counter that several phrases share only lets more through.
 2. Another reading writes the suffix at every word, cut before it gets rare or longer than the depth, equal ones of a task once.
 3. Vertical partitioning: prefixes with more suffixes than a part of the memory budget are told by one more word, until they
    fit or have the full depth; prefixes are grouped by hash so that a group keeps within the budget.
-4. Each group is sorted and its subtree built on its own: a node's count is the total of the leaves below it. Counts of
-   single words and of the prefixes that were divided come from steps 1 and 3.
+4. Each group is sorted and its subtree built on its own: a node's count is the total of the leaves below it. Counts of the
+   prefixes that were divided come from step 3.
 
 All counts are exact. Cuts of a phrase, scores and absorption are joins of the counted phrases.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,120 +24,142 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, table, written
-
-#: Words end a piece at one of these. Fixed by the definition; the table turns them into line ends.
-PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
-TO_PIECES = bytes.maketrans(PIECE_ENDS, b"\n" * len(PIECE_ENDS))
-EDGE = re.compile(b"[ \t" + PIECE_ENDS + b"]")
-#: Bytes of text read at once, distinct phrases a task counts before it hands them on, words whose hash it remembers.
-CHUNK, HELD, REMEMBERED = 1 << 20, 1 << 18, 1 << 20
-#: Counters: the least power of two over a quarter of the words (by bytes), within these bounds; 2^27 are 128 MB in a task
-#: and, as one bit each, 16 MB broadcast. They are exchanged in slices of 2^16.
-LEAST_BITS, MOST_BITS, SLICE_BITS = 16, 27, 16
+from .common import cut, discard, table, written
+
+#: Words end a piece at one of these, and are parted by blanks. Fixed by the definition; the table makes line ends and spaces
+#: of them.
+PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
+PLAIN = bytes.maketrans(PIECE_ENDS + BLANKS, b"\n" * len(PIECE_ENDS) + b" " * len(BLANKS))
+EDGE = re.compile(rb"[ \n]")
+#: Bytes of text read at once; distinct suffixes a task counts before it hands them on.
+CHUNK, HELD = 1 << 20, 1 << 18
+#: Counters: the least power of two over a forty-eighth of the bytes (about eight words each), within these bounds; 2^27 are
+#: 128 MB in a task and, as one bit each, 16 MB broadcast. They are exchanged in slices of 2^13.
+LEAST_BITS, MOST_BITS, SLICE_BITS = 16, 27, 13
 #: Suffixes of a group (its memory budget), and the most divided prefixes that are broadcast: where these are too few, groups
 #: grow and are sorted on disk.
 GROUP_ROWS, DIVIDED = 1 << 15, 1 << 16
-MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-
-
-def pieces(text: bytes, ahead: int) -> Iterator[tuple[list[bytes], np.ndarray, int]]:
-    """Words of a text in chunks: the words, how many words of its piece each still has (itself included), and how many
-    of them count: the last `ahead` words of a piece that goes on come again in the next chunk."""
-    start, carried = 0, []
-    while start < len(text):
-        end = min(len(text), start + CHUNK)
-        if end < len(text):
-            found = EDGE.search(text, end)
-            end = found.start() if found else len(text)
-        goes_on = end < len(text) and text[end] in b" \t"
-        words, sizes = [], []
-        for k, part in enumerate(text[start:end].lower().translate(TO_PIECES).split(b"\n")):
-            own = part.split() if k else carried + part.split()
-            words += own
-            sizes.append(len(own))
-        size = np.array(sizes, np.int64)
-        left = np.repeat(np.cumsum(size), size) - np.arange(len(words))
-        held = min(ahead, sizes[-1]) if goes_on else 0
-        yield words, left, len(words) - held
-        carried, start = words[len(words) - held :] if held else [], end
-    # A piece that goes on to an end without words leaves its carried words.
-    if carried:
-        yield carried, np.arange(len(carried), 0, -1), len(carried)
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out
-
-
-def _counters(words: list[bytes], left: np.ndarray, lang: int, hashes: _Hashes, depth: int, bits: int) -> list[np.ndarray]:
-    """For 2 to `depth` words: the counters of the phrases that begin at every word, -1 where the piece ends before."""
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    own, out = h * MIX[0] + np.uint64(lang), []
-    for m in range(2, depth + 1):
-        n = max(0, len(h) - m + 1)
-        own = (own[:n] ^ (own[:n] >> np.uint64(31))) * MIX[1] + h[m - 1 :] * MIX[2]
-        at = ((own ^ (own >> np.uint64(29))) * MIX[0] >> np.uint64(64 - bits)).astype(np.int64)
-        out.append(np.append(np.where(left[:n] >= m, at, -1), np.full(len(h) - n, -1)))
-    return out
+BASE, MIX = 0x9E3779B97F4A7C15, [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+class _Powers:
+    """Powers of an odd base and of its inverse modulo 2^64."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> None:
+        if n > len(self.up):
+            power = lambda x: np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64)))
+            self.up, self.down = power(BASE), power(pow(BASE, -1, 1 << 64))
+
 
+@dataclass
+class Words:
+    """Words of a chunk of plain text: where they begin and end, how many words of the piece are left (itself included),
+    their hashes, and how many of them count: the last ones of a chunk that goes on come again in the next."""
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    text: bytes
+    begin: np.ndarray
+    end: np.ndarray
+    left: np.ndarray
+    hash: np.ndarray
+    count: int
+
+
+def split(text: bytes, powers: _Powers, ahead: int, goes_on: bool) -> Words:
+    powers.upto(len(text) + 1)
+    a = np.frombuffer(text, np.uint8)
+    edge, line = (a == 32) | (a == 10), a == 10
+    inner = np.append(np.append(True, edge), True)
+    turn = np.flatnonzero(inner[1:] != inner[:-1])
+    begin, end = turn[::2], turn[1::2]
+    piece = np.cumsum(line)[begin] if len(begin) else begin
+    left = np.searchsorted(piece, piece, side="right") - np.arange(len(begin))
+    total = np.append(np.uint64(0), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * powers.up[: len(a)]))
+    count = len(begin) - (min(ahead, int((piece == piece[-1]).sum())) if goes_on and len(begin) else 0)
+    return Words(text, begin, end, left, (total[end] - total[begin]) * powers.down[begin], count)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], ahead: int) -> Iterator[tuple[str, Words]]:
+    """The words of all texts by language. Short texts are joined, as pieces of their own; long ones are cut."""
+    powers, waiting = _Powers(), defaultdict(list)
+    size: Counter = Counter()
     for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            if text.is_valid:
-                yield lang, text.as_py()
+        for lang, value in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            text = (value.as_py() or b"").lower().translate(PLAIN)
+            while b"  " in text:
+                text = text.replace(b"  ", b" ")
+            start = 0
+            while len(text) - start > CHUNK:
+                found = EDGE.search(text, start + CHUNK)
+                end = found.start() if found else len(text)
+                own = split(text[start:end], powers, ahead, end < len(text) and text[end : end + 1] == b" ")
+                yield lang, own
+                start += int(own.begin[own.count]) if own.count < len(own.begin) else end - start
+                if own.count == 0 and len(own.begin) and found:
+                    # Fewer words than must come again: take more text instead.
+                    break
+            waiting[lang].append(text[start:] if start else text)
+            size[lang] += len(waiting[lang][-1])
+            if size[lang] >= CHUNK:
+                yield lang, split(b"\n".join(waiting.pop(lang)), powers, ahead, False)
+                del size[lang]
+    for lang, own in waiting.items():
+        yield lang, split(b"\n".join(own), powers, ahead, False)
+
+
+def _counters(w: Words, lang: int, depth: int, bits: int) -> list[np.ndarray]:
+    """For 1 to `depth` words: the counters of the phrases that begin at every word, -1 where the piece ends before."""
+    h = w.hash * MIX[0]
+    h = (h ^ (h >> np.uint64(32))) * MIX[2]
+    own, out = h + np.uint64(lang), []
+    for m in range(1, depth + 1):
+        n = max(0, len(h) - m + 1)
+        if m > 1:
+            own = (own[:n] ^ (own[:n] >> np.uint64(31))) * MIX[1] + h[m - 1 :] * MIX[2]
+        at = ((own ^ (own >> np.uint64(29))) * MIX[0] >> np.uint64(64 - bits)).astype(np.int64)
+        out.append(np.append(np.where(w.left[:n] >= m, at, -1), np.full(len(h) - n, -1)))
+    return out
 
 
-def _rows(counts: dict[str, Counter]) -> Iterator[tuple[list, list, list]]:
-    for lang, own in counts.items():
-        yield [lang] * len(own), list(own), list(own.values())
-    counts.clear()
+def _batch(schema: str, *columns: list) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
 def _count_words(texts: DataFrame, bits: int, depth: int, least: int) -> DataFrame:
-    """lang, word, n of every task, and its counters (slice, counters), each at most `least`."""
+    """lang, n (words) of every task, and its counters (slice, counters), each at most `least`."""
+    schema = "lang string, n long, slice int, counters binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = defaultdict(Counter)
-        counters, hashes, waiting, size = np.zeros(1 << bits, np.uint8), _Hashes(), [], 0
+        total, waiting, size = Counter(), [], 0
+        counters = np.zeros(1 << bits, np.uint8)
 
         def add() -> None:
             at, n = np.unique(np.concatenate(waiting), return_counts=True)
             counters[at] = np.minimum(least, counters[at] + np.minimum(n, least))
             waiting.clear()
 
-        def batch(kind: list) -> pa.RecordBatch:
-            types = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.binary())
-            return pa.record_batch([pa.array(c, t) for c, t in zip(kind, types, strict=True)], names=["lang", "word", "n", "slice", "counters"])
-
-        for lang, text in _texts(batches):
-            seed = xxhash.xxh64_intdigest(lang)
-            for words, left, count in pieces(text, depth - 1):
-                counts[lang].update(words[:count])
-                for at in _counters(words, left, seed, hashes, depth, bits):
-                    at = at[:count]
-                    waiting.append(at[at >= 0].astype(np.uint32))
-                    size += len(waiting[-1])
-                if size > 1 << 21:
-                    add()
-                    size = 0
-                if sum(map(len, counts.values())) > HELD:
-                    for langs, own, n in _rows(counts):
-                        yield batch([langs, own, n, [None] * len(n), [None] * len(n)])
-        for langs, words, n in _rows(counts):
-            yield batch([langs, words, n, [None] * len(n), [None] * len(n)])
+        for lang, w in chunks(batches, depth - 1):
+            total[lang] += w.count
+            for at in _counters(w, xxhash.xxh64_intdigest(lang), depth, bits):
+                at = at[: w.count]
+                waiting.append(at[at >= 0].astype(np.uint32))
+                size += len(waiting[-1])
+            if size > 1 << 21:
+                add()
+                size = 0
         if waiting:
             add()
-        for k, part in enumerate(counters.reshape(-1, min(1 << SLICE_BITS, 1 << bits))):
-            if part.any():
-                yield batch([[None], [None], [None], [k], [part.tobytes()]])
+        yield _batch(schema, list(total), list(total.values()), [None] * len(total), [None] * len(total))
+        parts = [(k, part.tobytes()) for k, part in enumerate(counters.reshape(-1, min(1 << SLICE_BITS, 1 << bits))) if part.any()]
+        for a in range(0, len(parts), 256):
+            own = parts[a : a + 256]
+            yield _batch(schema, [None] * len(own), [None] * len(own), [k for k, _ in own], [c for _, c in own])
 
-    return texts.mapInArrow(run, "lang string, word string, n long, slice int, counters binary")
+    return texts.mapInArrow(run, schema)
 
 
 def _frequent_bits(counted: DataFrame, bits: int, least: int) -> np.ndarray:
@@ -159,36 +182,40 @@ def _frequent_bits(counted: DataFrame, bits: int, least: int) -> np.ndarray:
 
 
 def _suffixes(texts: DataFrame, frequent: np.ndarray, bits: int, depth: int) -> DataFrame:
-    """lang, suffix (words joined by a space), n: the suffixes of two words and more that may begin a frequent phrase, each
-    as long as it may be one; equal ones of a task are counted together."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    """lang, suffix (words joined by a space), n: the suffixes that may begin a frequent phrase, each as long as it may be
+    one; equal ones of a task are counted together."""
+    shared, schema = texts.sparkSession.sparkContext.broadcast(frequent), "lang string, suffix string, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = defaultdict(Counter)
-        bitmap, hashes = shared.value, _Hashes()
-        batch = lambda row: pa.record_batch([pa.array(c, t) for c, t in zip(row, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "suffix", "n"])
-        for lang, text in _texts(batches):
-            seed = xxhash.xxh64_intdigest(lang)
-            for words, left, count in pieces(text, depth - 1):
-                size = np.ones(len(words), np.int64)
-                for m, at in enumerate(_counters(words, left, seed, hashes, depth, bits), 2):
-                    fits = (at >= 0) & (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) & (size == m - 1)
-                    # The phrase without its first word has at least its count.
-                    if m > 2:
-                        fits[:-1] &= before[1:]
-                    size += fits
-                    before = fits
-                at = np.flatnonzero(size[:count] > 1)
-                counts[lang].update([b" ".join(words[i : i + d]) for i, d in zip(at.tolist(), size[at].tolist(), strict=True)])
-                if sum(map(len, counts.values())) > HELD:
-                    yield from map(batch, _rows(counts))
-        yield from map(batch, _rows(counts))
-
-    return texts.mapInArrow(run, "lang string, suffix string, n long")
+        bitmap = shared.value
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, own in counts.items():
+                yield _batch(schema, [lang] * len(own), list(own), list(own.values()))
+            counts.clear()
+
+        for lang, w in chunks(batches, depth - 1):
+            size = np.zeros(len(w.begin), np.int64)
+            for m, at in enumerate(_counters(w, xxhash.xxh64_intdigest(lang), depth, bits), 1):
+                fits = (at >= 0) & (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) & (size == m - 1)
+                # The phrase without its first word has at least its count.
+                if m > 1:
+                    fits[:-1] &= before[1:]
+                size += fits
+                before = fits
+            at = np.flatnonzero(size[: w.count])
+            text = w.text
+            counts[lang].update([text[a:b] for a, b in zip(w.begin[at].tolist(), w.end[at + size[at] - 1].tolist(), strict=True)])
+            if sum(map(len, counts.values())) > HELD:
+                yield from rows()
+        yield from rows()
+
+    return texts.mapInArrow(run, schema)
 
 
 def _subtrees(rows: DataFrame, least: int) -> DataFrame:
-    """lang, phrase, words, f: the nodes of two words and more of every group's subtree that lie at its prefix or deeper and
+    """lang, phrase, words, f: the nodes of every group's subtree that lie at its prefix or deeper and
     whose leaves total `least`. rows: group, lang, words (array), n, depth (of the prefix), sorted by group, lang, words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +226,7 @@ def _subtrees(rows: DataFrame, least: int) -> DataFrame:
             """Leave the nodes below the first `keep` words; their leaves count for the node above."""
             while len(path) > keep:
                 n, own = total.pop(), whole.pop()
-                if own and n >= least and len(path) > 1:
+                if own and n >= least:
                     for column, x in zip(out, (at[1], " ".join(path), len(path), n), strict=True):
                         column.append(x)
                 path.pop()
@@ -242,9 +269,9 @@ def count_phrases(docs: DataFrame, depth: int = 4, least: int = 30) -> tuple[Dat
         raise ValueError("counters of a byte hold a least count of 1 to 255")
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, (size // 24).bit_length()))
-    counted = written(_count_words(texts, bits, depth, least), "phrase-words")
-    words = written(counted.where("slice is null").groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // 48).bit_length()))
+    counted = written(_count_words(texts, bits, depth, least), "phrase-counters")
+    sizes = cut(counted.where("slice is null").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"))
     frequent = _frequent_bits(counted, bits, least)
     discard(counted)
     suffixes = written(_suffixes(texts, frequent, bits, depth).withColumn("words", F.split("suffix", " ")).drop("suffix"), "suffixes")
@@ -265,12 +292,11 @@ def count_phrases(docs: DataFrame, depth: int = 4, least: int = 30) -> tuple[Dat
     routed = routed.withColumn("group", F.pmod(F.xxhash64("lang", F.slice("words", F.lit(1), F.col("depth"))), F.lit(groups)))
     ordered = routed.select("group", "lang", "words", "n", "depth").repartition("group").sortWithinPartitions("group", "lang", "words")
     found = _subtrees(ordered, least)
-    found = found.unionByName(words.where(F.col("f") >= least).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f"))
-    for d, large in enumerate(divided[1:], 2):
+    for d, large in enumerate(divided, 1):
         found = found.unionByName(large.where(F.col("f") >= least).where(F.size("prefix") == d).select("lang", F.array_join("prefix", " ").alias("phrase"), F.lit(d).alias("words"), "f"))
     phrases = written(found, "phrases")
     discard(suffixes)
-    return phrases, words.groupBy("lang").agg(F.sum("f").alias("n"))
+    return phrases, sizes
 
 
 def _exact(c: Column) -> Column:
