@@ -32,13 +32,13 @@ PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 PLAIN = bytes.maketrans(PIECE_ENDS + BLANKS, b"\n" * len(PIECE_ENDS) + b" " * len(BLANKS))
 EDGE = re.compile(rb"[ \n]")
 #: Bytes of text read at once; distinct suffixes a task counts before it hands them on.
-CHUNK, HELD = 1 << 20, 1 << 18
-#: Counters: the least power of two over a forty-eighth of the bytes (about eight words each), within these bounds; 2^27 are
+CHUNK, HELD = 1 << 20, 1 << 19
+#: Counters: the least power of two over a twenty-fourth of the bytes (about four words each), within these bounds; 2^27 are
 #: 128 MB in a task and, as one bit each, 16 MB broadcast. They are exchanged in slices of 2^13.
 LEAST_BITS, MOST_BITS, SLICE_BITS = 16, 27, 13
-#: Suffixes of a group (its memory budget), and the most divided prefixes that are broadcast: where these are too few, groups
-#: grow and are sorted on disk.
-GROUP_ROWS, DIVIDED = 1 << 15, 1 << 16
+#: Suffixes of a group: its memory budget, or less where that spreads the work over at least so many groups; and the most
+#: divided prefixes that are broadcast: where these are too few, groups grow and are sorted on disk.
+GROUP_ROWS, GROUPS, DIVIDED = 1 << 18, 1 << 10, 1 << 16
 BASE, MIX = 0x9E3779B97F4A7C15, [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -192,7 +192,10 @@ def _suffixes(texts: DataFrame, frequent: np.ndarray, bits: int, depth: int) ->
 
         def rows() -> Iterator[pa.RecordBatch]:
             for lang, own in counts.items():
-                yield _batch(schema, [lang] * len(own), list(own), list(own.values()))
+                suffixes, n = list(own), list(own.values())
+                for a in range(0, len(n), 1 << 16):
+                    part = n[a : a + (1 << 16)]
+                    yield _batch(schema, [lang] * len(part), suffixes[a : a + (1 << 16)], part)
             counts.clear()
 
         for lang, w in chunks(batches, depth - 1):
@@ -269,7 +272,7 @@ def count_phrases(docs: DataFrame, depth: int = 4, least: int = 30) -> tuple[Dat
         raise ValueError("counters of a byte hold a least count of 1 to 255")
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, (size // 48).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // 24).bit_length()))
     counted = written(_count_words(texts, bits, depth, least), "phrase-counters")
     sizes = cut(counted.where("slice is null").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"))
     frequent = _frequent_bits(counted, bits, least)
@@ -278,7 +281,7 @@ def count_phrases(docs: DataFrame, depth: int = 4, least: int = 30) -> tuple[Dat
 
     # Vertical partitioning. Suffixes under a divided prefix go on with one more word; those it ends go on whole.
     total = suffixes.count()
-    budget = max(GROUP_ROWS, 8 * total // DIVIDED)
+    budget = max(min(GROUP_ROWS, total // GROUPS), 8 * total // DIVIDED, 8)
     routed, divided = suffixes.withColumn("depth", F.lit(1)), []
     for d in range(1, depth):
         prefix = F.when(F.col("depth") == d, F.slice("words", 1, d))
