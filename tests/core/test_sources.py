@@ -122,6 +122,34 @@ EOF
 """
 
 
+def test_drawings_in_byte_ranges_and_cells(spark, tmp_path, monkeypatch):
+    block = "0\nINSERT\n2\ndoor_90\n66\n1\n10\n7.0\n20\n8.0\n0\nATTRIB\n1\nowned\n10\n1\n20\n1\n0\nATTRIB\n1\nowned too\n0\nSEQEND\n0\nATTDEF\n1\ndefined\n10\n5\n20\n6\n0\nATTRIB\n1\nalone\n"
+    body = DXF.replace("0\nTCH_OPENING", block + "0\nTCH_OPENING")
+    many = body.replace("0\nENDSEC\n0\nEOF\n", "".join(f"0\nLINE\n5\nB{i}\n8\nL{i % 7}\n10\n{i}\n20\n0\n11\n{i}\n21\n{i * 3}\n" for i in range(300)) + "0\nENDSEC\n0\nEOF\n")
+    (tmp_path / "a.dxf").write_text(many)
+    (tmp_path / "b.dxf").write_bytes(many.replace("\n", "\r\n").encode())
+    (tmp_path / "c.dxf").write_text(body + "7")
+    (tmp_path / "empty.dxf").write_text("")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    plain = dxf.tags(dxf.read_files(spark, str(tmp_path))).where("asset_name <> 'empty.dxf'")
+    want = rows(dxf.entities(plain))
+    monkeypatch.setattr(dxf, "CELL", 5)
+    for size in ("37b", "1000b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        try:
+            tags = dxf.read_tags(spark, str(tmp_path))
+            assert rows(tags) == rows(plain)
+            ranges = spark.read.text(str(tmp_path / "a.dxf")).select("_metadata.file_block_start").distinct().count()
+            assert ranges >= len(many) // int(size[:-1]) // 2
+            assert rows(dxf.entities(tags)) == want and rows(dxf.header_values(tags)) == rows(dxf.header_values(plain))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = [(r.dxftype, r.text) for r in dxf.entities(plain).where("asset_name = 'c.dxf'").orderBy("entity_seq").collect()]
+    assert got[3:8] == [("INSERT", None), ("INSERT", None), ("ATTDEF", "defined"), ("ATTRIB", "alone"), ("TCH_OPENING", None)]
+
+
 def test_dxf_files(spark, tmp_path):
     (tmp_path / "good.dxf").write_text(DXF)
     (tmp_path / "crlf.dxf").write_bytes(DXF.replace("\n", "\r\n").encode())
@@ -169,16 +197,50 @@ def test_register_integrity_ingest(spark, tmp_path):
 
 
 def test_versions_stream(spark, tmp_path):
-    src = tmp_path / "src"
-    schema = "project_id long, version_id string, ingest_seq long, body string"
-    target = f"{tmp_path}/versions"
-    for k, rows in enumerate([[(1, "v1", 1, "a"), (1, "v2", 2, "b")], [(1, "v1", 3, "c"), (2, "v3", 4, "d")]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(src))
-        feeds.upsert_stream(spark.readStream.schema(schema).json(str(src)), target, f"{tmp_path}/cp").awaitTermination()
-    now = feeds.current_versions(spark, target)
-    assert sorted((r.version_id, r.body) for r in now.collect()) == [("v1", "c"), ("v2", "b"), ("v3", "d")]
-    assert {r.project_id: r.latest_version_id for r in registry.latest_versions(now, "project_id").collect()} == {1: "v1", 2: "v3"}
-    assert feeds.current_versions(spark, f"{tmp_path}/none") is None
+    src, schema = tmp_path / "src", "project_id long, version_id string, ingest_seq long, body string"
+    src.mkdir()
+    batches = [[(1, "v1", 1, "a"), (1, "v2", 5, "b")], [(1, "v1", 3, "c"), (2, "v3", 4, "d")], [(1, "v1", 2, "late"), (2, "v3", 9, "e"), (None, None, 10, "f")]]
+    for k, rows in enumerate(batches):
+        (src / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("project_id", "version_id", "ingest_seq", "body"), r))) for r in rows))
+        stream = lambda: spark.readStream.schema(schema).json(str(src))
+        feeds.write_changes(feeds.latest_stream(stream(), "version_id", ["project_id", "body"], "ingest_seq"), f"{tmp_path}/v", f"{tmp_path}/cp1").awaitTermination()
+        feeds.write_changes(feeds.latest_stream(stream(), "project_id", ["version_id"], "ingest_seq"), f"{tmp_path}/p", f"{tmp_path}/cp2").awaitTermination()
+    log = spark.read.schema("version_id string, ingest_seq long, project_id long, body string, batch_id long").json(f"{tmp_path}/v")
+    assert log.select("batch_id").distinct().count() == 3
+    assert sorted(map(tuple, feeds.current(log, "version_id").where("version_id is not null").collect())) == [("v1", 3, 1, "c"), ("v2", 5, 1, "b"), ("v3", 9, 2, "e")]
+    pointers = spark.read.schema("project_id long, ingest_seq long, version_id string, batch_id long").json(f"{tmp_path}/p")
+    assert sorted(map(tuple, feeds.current(pointers, "project_id").where("project_id is not null").collect())) == [(1, 5, "v2"), (2, 9, "v3")]
+
+
+def test_artifacts_and_logs_keep_other_versions(spark, tmp_path):
+    one = spark.createDataFrame([(1, "v1", "a"), (2, "v1", "b")], "project_id long, version_id string, body string")
+    two = spark.createDataFrame([(1, "v2", "c"), (2, "v1", "new")], "project_id long, version_id string, body string")
+    for rows in (one, two, two):
+        registry.write_artifacts(rows, f"{tmp_path}/a")
+    got = spark.read.json(f"{tmp_path}/a").select("project_id", "version_id", "body").collect()
+    assert sorted(map(tuple, got)) == [(1, "v1", "a"), (1, "v2", "c"), (2, "v1", "new")]
+    for rows, batch in ((one, "x"), (two, "y"), (one, "x")):
+        registry.append_batch(rows.select("body"), f"{tmp_path}/log", batch)
+    assert sorted(tuple(r) for r in spark.read.json(f"{tmp_path}/log").select("batch_id", "body").collect()) == [("x", "a"), ("x", "b"), ("y", "c"), ("y", "new")]
+
+
+def test_resolved_paths(spark):
+    paths = {"/a/1/x/y/z/../../../model.ifc": "/a/1/model.ifc", "/a/1/../../../../b": "/b", "//a/./b/": "/a/b", "/a/..b/.../c": "/a/..b/.../c", "/": "/", "/a/1/x/../../../c/../a/1/m": "/a/1/m"}
+    rows = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r.p: r.q for r in rows.select("p", registry.resolved_path(F.col("p")).alias("q")).collect()} == paths
+    cases = [("/a/1/x/y/z/../../../model.ifc", False, True), ("/a/1/../1/there", False, False), ("/a/10/there", True, False), ("/a/1/q/../../2/there", True, False), ("/a/1", False, True)]
+    found = spark.createDataFrame([("/a/./1/", [("ifc", p), ("log", "x")]) for p, *_ in cases], "artifact_dir string, artifacts array<struct<name:string,path:string>>")
+    got = registry.artifact(found, "ifc", spark.createDataFrame([("/a/1/there",), ("/a/2/there",)], "path string")).collect()
+    assert {r.a.path: (r.escapes, r.missing) for r in got} == {p: (e, m) for p, e, m in cases}
+
+
+def test_stored_files_are_hashed_only_where_sizes_agree(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name, content in (("a", b"123"), ("sub/b", b"124"), ("c", b"1234")):
+        (tmp_path / name).write_bytes(content)
+    h = hashlib.sha256(b"123").hexdigest()
+    declared = spark.createDataFrame([(n, 3, h) for n in "abcd"], "path string, size_bytes long, content_hash string")
+    assert {r.path: r.violation for r in registry.stored_violations(spark, declared, str(tmp_path)).collect()} == {"b": "hash_mismatch", "c": "size_mismatch", "d": "missing"}
 
 
 def test_registry_tables(spark):

@@ -62,14 +62,6 @@ def missing_assets(spark, sf_dir):
     return _routed(spark, sf_dir)[1]
 
 
-def artifact_paths(spark, sf_dir):
-    """Artifacts of a name, and whether their path leaves the directory of their version."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("/a/"), F.col("p_partkey").cast("string")).alias("artifact_dir"))
-    inside = F.when(F.col("p_partkey") % 4 == 0, F.lit("/../x/model.ifc")).when(F.col("p_partkey") % 4 == 1, F.lit("/sub/../model.ifc")).when(F.col("p_partkey") % 4 == 2, F.lit("/./model.ifc")).otherwise(F.lit("/model.ifc"))
-    rows = p.withColumn("artifacts", F.array(F.struct(F.lit("ifc").alias("name"), F.concat("artifact_dir", inside).alias("path")), F.struct(F.lit("log").alias("name"), F.lit("x").alias("path"))))
-    return registry.artifact(rows, "ifc").select("p_partkey", F.col("a.path").alias("path"), "escapes")
-
-
 def request_assets(spark, sf_dir):
     """The assets of every order's request (its lines' parts), in the request's order."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("asset_id"))
@@ -157,7 +149,6 @@ SELECT CAST(o_orderkey AS STRING) AS asset_name, CASE o_orderkey % 8 WHEN 1 THEN
     "dwg_versions": "SELECT CASE p_partkey % 4 WHEN 0 THEN 'R2000' WHEN 1 THEN 'R2018' WHEN 2 THEN 'AC1099' END AS release, count(*) AS n FROM part GROUP BY 1",
     "routed_assets": f"SELECT CAST(p_partkey AS STRING) AS asset_id, CASE p_size % 3 WHEN 1 THEN 'in/' ELSE 'old/' END || CAST(p_partkey AS STRING) || {_PART} AS path, CASE p_partkey % 4 WHEN 1 THEN 'pdf' WHEN 3 THEN 'unknown' ELSE 'cad' END AS kind FROM part WHERE p_size % 3 > 0",
     "missing_assets": "SELECT CAST(p_partkey AS STRING) AS asset_id, 'asset_missing' AS category, 'error' AS severity FROM part WHERE p_size % 3 = 0",
-    "artifact_paths": "SELECT p_partkey, '/a/' || CAST(p_partkey AS STRING) || CASE p_partkey % 4 WHEN 0 THEN '/../x/model.ifc' WHEN 1 THEN '/sub/../model.ifc' WHEN 2 THEN '/./model.ifc' ELSE '/model.ifc' END AS path, p_partkey % 4 = 0 AS escapes FROM part",
     "request_assets": """
 WITH l AS (SELECT l_orderkey AS request_id, p_name, p_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS n FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT request_id, count(*) AS assets, arg_max(p_name, n) AS last, CAST(sum(n) AS BIGINT) AS places FROM l GROUP BY 1""",

@@ -233,20 +233,47 @@ def snapshots(spark, sf_dir):
     return back.groupBy("project_id", "topic").agg(F.count("*").alias("n"), F.max("version_id").alias("last_id"))
 
 
-def dxf_entities(spark, sf_dir):
-    """Drawings written as tags from the entities, and read back through the tag job."""
-    e = view(spark, sf_dir, "v_entities")
+def _drawn(e):
+    """Entities (with kind, category, handle and two corners) as tags: asset_name, q, i, code, value, between the ends of a
+    section. Blocks own an attribute, and doors also define one."""
     pair = lambda c, v: F.struct(F.lit(c).alias("code"), v.cast("string").alias("value"))
-    poly = F.array(pair(0, F.lit("LWPOLYLINE")), pair(8, F.col("kind")), pair(70, F.lit(1)), pair(10, F.col("x1")), pair(20, F.col("y1")), pair(10, F.col("x2")), pair(20, F.col("y2")), pair(10, F.col("x1")), pair(20, F.col("y2")))
-    line = F.array(pair(0, F.lit("LINE")), pair(5, F.col("handle")), pair(8, F.col("kind")), pair(10, F.col("x1")), pair(20, F.col("y1")), pair(11, F.col("x2")), pair(21, F.col("y2")))
-    block = F.array(pair(0, F.lit("INSERT")), pair(2, F.concat("kind", F.lit("_block"))), pair(10, F.col("x1")), pair(20, F.col("y1")))
-    own = F.when(F.col("category") == "wall_line", line).when(F.col("category").isin("door_block", "window_block"), block).otherwise(poly)
-    body = e.select("asset_name", F.col("entity_seq").alias("q"), F.posexplode(own).alias("i", "t"))
-    frame = F.array(*(F.struct(F.lit(q).cast("long").alias("q"), F.lit(i).alias("i"), F.struct(F.lit(c).alias("code"), F.lit(v).alias("value")).alias("t")) for q, i, c, v in ((-2, 0, 0, "SECTION"), (-2, 1, 2, "ENTITIES"), (1 << 40, 0, 0, "ENDSEC"), (1 << 40, 1, 0, "EOF"))))
+    at = lambda x, y: (pair(10, F.col(x)), pair(20, F.col(y)))
+    layer, handle = pair(8, F.col("kind")), pair(5, F.col("handle"))
+    poly = F.array(pair(0, F.lit("LWPOLYLINE")), layer, pair(70, F.lit(1)), *at("x1", "y1"), *at("x2", "y2"), *at("x1", "y2"))
+    line = F.array(pair(0, F.lit("LINE")), handle, layer, *at("x1", "y1"), pair(11, F.col("x2")), pair(21, F.col("y2")))
+    block = F.array(pair(0, F.lit("INSERT")), pair(2, F.concat("kind", F.lit("_block"))), *at("x1", "y1"))
+    owned = F.concat(block, F.array(pair(0, F.lit("ATTRIB")), pair(1, F.lit("owned")), *at("x2", "y2"), pair(0, F.lit("SEQEND"))))
+    defined = F.array(pair(0, F.lit("ATTDEF")), pair(1, F.col("label")), *at("x1", "y2"))
+    kinds = F.when(F.col("category") == "wall_line", line).when(F.col("category") == "door_block", F.concat(owned, defined)).when(F.col("category") == "window_block", owned).otherwise(poly)
+    body = e.select("asset_name", F.col("entity_seq").alias("q"), F.posexplode(kinds).alias("i", "t"))
+    ends = ((-2, 0, 0, "SECTION"), (-2, 1, 2, "ENTITIES"), (1 << 40, 0, 0, "ENDSEC"), (1 << 40, 1, 0, "EOF"))
+    frame = F.array(*(F.struct(F.lit(q).cast("long").alias("q"), F.lit(i).alias("i"), F.struct(F.lit(c).alias("code"), F.lit(v).alias("value")).alias("t")) for q, i, c, v in ends))
     ends = e.select("asset_name").distinct().select("asset_name", F.explode(frame).alias("f")).select("asset_name", "f.q", "f.i", "f.t")
-    rows = body.unionByName(ends).select("asset_name", (F.col("q") * 100 + F.col("i")).alias("tag_seq"), "t.code", "t.value")
-    got = components.classified(dxf.entities(rows).withColumns({"bundle_id": F.lit(0), "role": F.col("layer"), "block_role": F.regexp_extract("block_name", "^[a-z]+", 0)}).withColumn("role", F.when(F.col("dxftype") == "INSERT", F.lit("text")).otherwise(F.col("role"))))
-    return got.groupBy("asset_name", "dxftype", "category").agg(F.count("*").alias("entities"), F.sum(F.size("points").cast("long")).alias("points"), F.round(F.sum("bbox.max_x"), 3).alias("max_x"))
+    return body.unionByName(ends).select("asset_name", "q", "i", "t.code", "t.value")
+
+
+def _drawn_summary(tags):
+    got = dxf.entities(tags).withColumns({"bundle_id": F.lit(0), "role": F.col("layer"), "block_role": F.regexp_extract("block_name", "^[a-z]+", 0)})
+    got = components.classified(got.withColumn("role", F.when(F.col("dxftype") == "INSERT", F.lit("text")).otherwise(F.col("role"))))
+    sums = (F.count("*").alias("entities"), F.sum(F.size("points").cast("long")).alias("points"), F.round(F.sum("bbox.max_x"), 3).alias("max_x"))
+    return got.where("dxftype <> 'ATTDEF'").groupBy("asset_name", "dxftype", "category").agg(*sums)
+
+
+def dxf_entities(spark, sf_dir):
+    """Drawings of every asset as tags, and the entities that the tag job finds in them."""
+    tags = _drawn(view(spark, sf_dir, "v_entities")).withColumn("tag_seq", F.col("q") * 100 + F.col("i"))
+    return _drawn_summary(tags.select("asset_name", "tag_seq", "code", "value"))
+
+
+def dxf_files(spark, sf_dir):
+    """A drawing file for every bundle, written line by line and read back by byte ranges: entities and attribute texts."""
+    e = view(spark, sf_dir, "v_entities").withColumn("asset_name", F.concat(F.lit("bundle_"), F.col("bundle_id").cast("string")))
+    lines = _drawn(e).select("asset_name", "q", "i", F.concat(F.col("code").cast("string"), F.lit("\n"), "value").alias("line"))
+    path = f"{_shared_dir(spark)}/drawings-{uuid.uuid4().hex}"
+    lines.repartition("asset_name").sortWithinPartitions("asset_name", "q", "i").select("asset_name", "line").write.partitionBy("asset_name").text(path)
+    tags = dxf.read_tags(spark, path, "*.txt", name=F.regexp_extract("path", "asset_name=([^/]+)/", 1))
+    per = dxf.entities(tags).groupBy("asset_name", "dxftype")
+    return per.agg(F.count("*").alias("entities"), F.count("text").alias("texts"), F.max("text").alias("last_text"), F.sum(F.size("points").cast("long")).alias("points"))
 
 
 def feedback_counts(spark, sf_dir):
@@ -254,8 +281,7 @@ def feedback_counts(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet*").parquet(f"{sf_dir}/events.parquet*")
     stream = source.select(F.concat(F.lit("ver_"), (F.col("event_id") % 97).cast("string")).alias("version_id"), F.col("event_type").alias("topic"))
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _local_dir(spark)).rstrip("/")
-    run = f"{base}/feedback-{uuid.uuid4().hex}"
+    run = f"{_shared_dir(spark)}/feedback-{uuid.uuid4().hex}"
 
     def keep(batch, number):
         batch.write.mode("overwrite").parquet(f"{run}/out/batch={number}")
@@ -266,6 +292,10 @@ def feedback_counts(spark, sf_dir):
     return counts.where(F.col("batch") == last).select("version_id", "topic", "n")
 
 
+def _shared_dir(spark):
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _local_dir(spark)).rstrip("/")
+
+
 def _local_dir(spark):
     import tempfile
 
@@ -402,5 +432,11 @@ SELECT page_id, storage_name, lower(regexp_extract(storage_name, '(\\.[^.]*)$',
     "dxf_entities": """
 SELECT asset_name, CASE category WHEN 'wall_line' THEN 'LINE' WHEN 'door_block' THEN 'INSERT' WHEN 'window_block' THEN 'INSERT' ELSE 'LWPOLYLINE' END AS dxftype, category, count(*) AS entities,
   CAST(sum(CASE category WHEN 'wall_line' THEN 2 WHEN 'door_block' THEN 1 WHEN 'window_block' THEN 1 ELSE 3 END) AS BIGINT) AS points, round(sum(CASE WHEN kind IN ('door', 'window') THEN x1 ELSE x2 END), 3) AS max_x FROM v_entities GROUP BY 1, 2, 3""",
+    "dxf_files": """
+WITH d AS (SELECT 'bundle_' || CAST(bundle_id AS STRING) AS asset_name, category, label FROM v_entities),
+ a AS (SELECT asset_name, CASE category WHEN 'wall_line' THEN 'LINE' WHEN 'door_block' THEN 'INSERT' WHEN 'window_block' THEN 'INSERT' ELSE 'LWPOLYLINE' END AS dxftype, NULL AS text,
+   CASE category WHEN 'wall_line' THEN 2 WHEN 'door_block' THEN 1 WHEN 'window_block' THEN 1 ELSE 3 END AS n FROM d
+  UNION ALL SELECT asset_name, 'ATTDEF', label, 1 FROM d WHERE category = 'door_block')
+SELECT asset_name, dxftype, count(*) AS entities, count(text) AS texts, max(text) AS last_text, CAST(sum(n) AS BIGINT) AS points FROM a GROUP BY 1, 2""",
     "feedback_counts": "SELECT 'ver_' || CAST(event_id % 97 AS STRING) AS version_id, event_type AS topic, count(*) AS n FROM events GROUP BY 1, 2",
 }

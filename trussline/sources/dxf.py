@@ -1,6 +1,8 @@
 """ASCII DXF drawings as Spark jobs: group-code pairs, entities of the model space, header values and vertices.
 
-A file is read whole by one task; everything after the tags is partitioned by asset."""
+`read_tags` reads a drawing by byte ranges in many tasks; `tags` takes drawings that are columns already. Whatever depends on
+the tags before ("in which section", "of which entity") is a segmented scan: windows over cells of a drawing, and what each
+cell carries over to the next from a table of one row a cell. No task holds a drawing."""
 
 from __future__ import annotations
 
@@ -14,8 +16,48 @@ UNITS = {"1": "inch", "4": "mm", "5": "cm", "6": "m"}
 DWG_VERSIONS = {"AC1012": "R13", "AC1014": "R14", "AC1015": "R2000", "AC1018": "R2004", "AC1021": "R2007", "AC1024": "R2010", "AC1027": "R2013", "AC1032": "R2018"}
 
 
-def _in_file():
-    return Window.partitionBy("asset_name").orderBy("tag_seq")
+#: Tags of a cell of a drawing, the unit that one task sorts.
+CELL = 1 << 16
+
+
+def scanned(rows: DataFrame, last: dict[str, Column], total: dict[str, Column] | None = None) -> DataFrame:
+    """Rows with running columns over each drawing in the order of its tags: the last value so far that is not null, or the
+    sum so far. A segmented scan: within cells, then over the cells' ends, then both joined."""
+    total = total or {}
+    rows = rows.withColumn("cell", F.floor(F.col("tag_seq") / CELL))
+    within = Window.partitionBy("asset_name", "cell").orderBy("tag_seq")
+    own = rows.withColumns({f"_{k}": F.last(c, ignorenulls=True).over(within) for k, c in last.items()} | {f"_{k}": F.sum(c).over(within) for k, c in total.items()})
+    ends = own.groupBy("asset_name", "cell").agg(*(F.max_by(f"_{k}", "tag_seq").alias(k) for k in (*last, *total)))
+    before = Window.partitionBy("asset_name").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.last(k, ignorenulls=True).over(before).alias(f"before_{k}") for k in last] + [F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"before_{k}") for k in total]
+    both = own.join(ends.select("asset_name", "cell", *carried), ["asset_name", "cell"])
+    found = [F.coalesce(f"_{k}", f"before_{k}").alias(k) for k in last] + [(F.col(f"_{k}") + F.col(f"before_{k}")).alias(k) for k in total]
+    return both.select(*(c for c in rows.columns if c not in (*last, *total, "cell")), *found)
+
+
+def read_lines(spark: SparkSession, path: str, pattern: str = "*.dxf", encoding: str = "UTF-8") -> DataFrame:
+    """path, line_no (from 0), line of every drawing below the path, each read by byte ranges. A line's number is its place
+    in its range and the lines of the ranges before, which are counted first: one row a range."""
+    raw = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path)
+    line = F.col("value") if encoding.upper() == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)
+    # Lines of one range follow each other in one task, so these ids differ by their distance.
+    rows = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), line.alias("line"))
+    ranges = rows.groupBy("path", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return rows.join(ranges, ["path", "start"]).select("path", (F.col("at") - F.col("first") + F.col("before")).alias("line_no"), "line")
+
+
+def read_tags(spark: SparkSession, path: str, pattern: str = "*.dxf", encoding: str = "UTF-8", name: Column | None = None) -> DataFrame:
+    """asset_name, tag_seq, code, value of every drawing below the path, as `tags` gives them, but a drawing of any size is
+    read by many tasks: even lines are codes, odd ones values, wherever a byte range begins. Assets are named by their file,
+    or by an expression on `path`; names must differ."""
+    lines = read_lines(spark, path, pattern, encoding).withColumn("asset_name", F.element_at(F.split("path", "/"), -1) if name is None else name)
+    # A cell has an even number of lines, so no pair is in two.
+    within = Window.partitionBy("asset_name", "cell").orderBy("line_no")
+    lines = lines.withColumn("cell", F.floor(F.col("line_no") / (2 * CELL))).withColumn("next", F.lead("line").over(within))
+    pairs = lines.where((F.col("line_no") % 2 == 0) & F.col("next").isNotNull())
+    return pairs.select("asset_name", F.floor(F.col("line_no") / 2).alias("tag_seq"), F.trim("line").try_cast("int").alias("code"), F.trim("next").alias("value"))
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*.dxf") -> DataFrame:
@@ -37,16 +79,23 @@ def broken_files(all_tags: DataFrame) -> DataFrame:
     return bad.where("broken or not ended").select("asset_name", F.lit("parse_failed").alias("category"), F.lit("error").alias("severity"))
 
 
+#: Entities that belong to the one before them: vertices and the end of old polylines and blocks, attributes of a block.
+PARTS = ("VERTEX", "SEQEND", "ATTRIB")
+
+
 def sections(all_tags: DataFrame) -> DataFrame:
-    """Tags with their section's name and the running number of their entity (tags of code 0 so far)."""
-    named = F.when((F.col("code") == 2) & (F.lag("value").over(_in_file()) == "SECTION") & (F.lag("code").over(_in_file()) == 0), F.col("value")).when((F.col("code") == 0) & (F.col("value") == "ENDSEC"), F.lit(""))
-    rows = all_tags.withColumn("section", F.last(named, ignorenulls=True).over(_in_file()))
-    return rows.withColumn("entity_seq", F.sum(F.when(F.col("code") == 0, 1).otherwise(0)).over(_in_file()).cast("long"))
+    """Tags with their section's name, the kind (own) and running number of their entity (entity_seq: tags of code 0 so
+    far), and kind and number of the last entity that can have parts (head)."""
+    kind = F.when(F.col("code") == 0, F.col("value"))
+    rows = scanned(all_tags, {"own": kind}, {"entity_seq": F.when(F.col("code") == 0, 1).otherwise(0).cast("long")})
+    named = F.when((F.col("own") == "SECTION") & (F.col("code") == 2), F.col("value")).when((F.col("code") == 0) & (F.col("value") == "ENDSEC"), F.lit(""))
+    head = F.when((F.col("code") == 0) & ~F.col("value").isin(*PARTS), F.struct(F.col("value").alias("kind"), "entity_seq"))
+    return scanned(rows, {"section": named, "head": head})
 
 
 def header_values(all_tags: DataFrame) -> DataFrame:
     """asset_name, units, base_x, base_y, extents of the header."""
-    rows = sections(all_tags).where("section = 'HEADER'").withColumn("name", F.last(F.when(F.col("code") == 9, F.col("value")), ignorenulls=True).over(_in_file()))
+    rows = scanned(sections(all_tags).where("section = 'HEADER'"), {"name": F.when(F.col("code") == 9, F.col("value"))})
     pick = lambda name, code: F.max(F.when((F.col("name") == name) & (F.col("code") == code), F.col("value")))
     per = rows.groupBy("asset_name").agg(pick("$INSUNITS", 70).alias("u"), *(pick(n, c).try_cast("double").alias(a) for n, c, a in (("$INSBASE", 10, "base_x"), ("$INSBASE", 20, "base_y"), ("$EXTMIN", 10, "x0"), ("$EXTMIN", 20, "y0"), ("$EXTMAX", 10, "x1"), ("$EXTMAX", 20, "y1"))))
     units = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in UNITS.items() for x in p)), "u"), F.lit("unknown"))
@@ -67,14 +116,11 @@ def is_closed(flag: Column, points: Column) -> Column:
 
 def entities(all_tags: DataFrame) -> DataFrame:
     """Entities of the ENTITIES section: asset_name, entity_seq, dxftype, layer, handle, block_name, text, points, closed,
-    xtags (code -> values in order). Vertices of old polylines belong to the polyline before them."""
-    rows = sections(all_tags).where("section = 'ENTITIES'")
-    kind = F.when(F.col("code") == 0, F.col("value"))
-    rows = rows.withColumn("own", F.last(kind, ignorenulls=True).over(_in_file()))
-    # A vertex counts to the last entity that is none; SEQEND only ends them.
-    part = F.col("own").isin("VERTEX", "SEQEND")
-    rows = rows.withColumn("entity_seq", F.last(F.when(~part, F.col("entity_seq")), ignorenulls=True).over(_in_file())).where("own not in ('SECTION', 'ENDSEC', 'SEQEND')")
-    vertex = rows.withColumn("code", F.when((F.col("own") == "VERTEX") & ~F.col("code").isin(10, 20), F.lit(None)).otherwise(F.col("code"))).where("code is not null")
+    xtags (code -> values in order). Vertices of old polylines belong to the polyline before them; attributes that follow a
+    block are no entities of the model space, others are."""
+    rows = sections(all_tags).where("section = 'ENTITIES' and own not in ('SECTION', 'ENDSEC', 'SEQEND')")
+    rows = rows.where("own <> 'ATTRIB' or head.kind is null or head.kind <> 'INSERT'")
+    vertex = rows.where("own <> 'VERTEX' or code in (10, 20)").withColumn("entity_seq", F.when(F.col("own") == "VERTEX", F.col("head.entity_seq")).otherwise(F.col("entity_seq")))
     # Codes of one entity, values in the order of the file.
     by_code = vertex.groupBy("asset_name", "entity_seq", "code").agg(F.transform(F.array_sort(F.collect_list(F.struct("tag_seq", "value"))), lambda s: s["value"]).alias("v"))
     per = by_code.groupBy("asset_name", "entity_seq").agg(F.map_from_entries(F.collect_list(F.struct("code", "v"))).alias("xtags")).where(F.map_contains_key("xtags", F.lit(0)))
@@ -85,7 +131,7 @@ def entities(all_tags: DataFrame) -> DataFrame:
     near = F.when((one(0) == "POLYLINE") & (F.size(near) > 0), F.slice(near, 2, F.greatest(F.size(near) - 1, F.lit(0)))).otherwise(near)
     far = F.zip_with(many(11), many(21), lambda x, y: geometry.point(F.round(x.try_cast("double"), 3), F.round(y.try_cast("double"), 3)))
     points = F.when(one(0).isin("LINE", "XLINE", "RAY"), F.concat(near, far)).otherwise(near)
-    out = per.withColumns({"dxftype": one(0), "layer": entity_layer(one(8), F.col("xtags")), "handle": one(5), "block_name": F.when(one(0) == "INSERT", one(2)), "text": F.when(one(0).isin("TEXT", "MTEXT", "TCH_TEXT"), one(1)), "points": F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())})
+    out = per.withColumns({"dxftype": one(0), "layer": entity_layer(one(8), F.col("xtags")), "handle": one(5), "block_name": F.when(one(0) == "INSERT", one(2)), "text": F.when(one(0).isin("TEXT", "MTEXT", "TCH_TEXT", "ATTRIB", "ATTDEF"), one(1)), "points": F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())})
     flag = F.coalesce(one(70).try_cast("int"), F.lit(0))
     poly = F.col("dxftype").isin("LWPOLYLINE", "POLYLINE")
     return out.withColumn("closed", poly & is_closed(flag, F.col("points"))).select("asset_name", "entity_seq", "dxftype", "layer", "handle", "block_name", "text", "points", "closed", "xtags")

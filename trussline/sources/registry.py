@@ -42,8 +42,11 @@ def integrity_violations(declared: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.withColumn("violation", what).where("violation is not null").drop("_size", "_hash")
 
 
-def append_ingest_log(assets: DataFrame, path: str) -> None:
-    assets.write.mode("append").json(path)
+def append_batch(rows: DataFrame, path: str, batch_id: str) -> None:
+    """Append rows to a log under the id of their batch. A batch that is appended again replaces itself, so a repeated call
+    adds nothing; other batches stay as they are."""
+    log = rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    log.partitionBy("batch_id").json(path)
 
 
 def read_ingest_log(spark: SparkSession, path: str) -> DataFrame:
@@ -51,10 +54,6 @@ def read_ingest_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INGEST).json(path)
 
 
-def record_feedback(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
-
-
 def newest_first(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """Rows by creation time, the latest first; ties by id."""
     out = rows.orderBy(F.desc("created_at"), F.desc(rows.columns[0]))
@@ -104,16 +103,42 @@ def request_assets(requests: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def write_artifacts(rows: DataFrame, path: str) -> None:
-    """JSON artifacts by project and version."""
-    rows.write.mode("overwrite").partitionBy("project_id", "version_id").json(path)
+    """JSON artifacts by project and version: the versions that the rows belong to are replaced, all others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id", "version_id").json(path)
+
 
+def resolved_path(path: Column) -> Column:
+    """An absolute path without empty and `.` segments, each `..` taking away the segment before it (none at the root)."""
+    up = lambda stack: F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
+    step = lambda stack, part: F.when(part.isin("", "."), stack).when(part == "..", up(stack)).otherwise(F.concat(stack, F.array(part)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/"))
 
-def artifact(rows: DataFrame, name: str) -> DataFrame:
-    """Artifacts of a name; `escapes` tells those whose path leaves their directory once `..` and `.` are resolved."""
+
+def artifact(rows: DataFrame, name: str, files: DataFrame | None = None) -> DataFrame:
+    """Artifacts of a name; `escapes` tells those whose resolved path lies outside their directory, and with `files` (path),
+    `missing` those that are inside but no file."""
     found = rows.withColumn("a", F.explode("artifacts")).where(F.col("a.name") == name)
-    up = F.regexp_replace("a.path", r"/\./", "/")
-    flat = F.regexp_replace(F.regexp_replace(up, r"/[^/]+/\.\./", "/"), r"/[^/]+/\.\./", "/")
-    return found.withColumn("escapes", ~F.startswith(flat, F.concat("artifact_dir", F.lit("/"))) | F.contains(flat, F.lit("/../")))
+    found = found.withColumn("_at", resolved_path(F.col("a.path"))).withColumn("_in", resolved_path(F.col("artifact_dir")))
+    # The root is the only directory that ends with a slash.
+    below = (F.col("_at") == F.col("_in")) | F.startswith("_at", F.when(F.col("_in") == "/", F.lit("/")).otherwise(F.concat("_in", F.lit("/"))))
+    found = found.withColumn("escapes", ~below).drop("_in")
+    if files is None:
+        return found.drop("_at")
+    known = files.select(resolved_path(F.col("path")).alias("_at"), F.lit(True).alias("_there")).distinct()
+    return found.join(known, "_at", "left").withColumn("missing", ~F.col("escapes") & F.col("_there").isNull()).drop("_at", "_there")
+
+
+def stored_violations(spark: SparkSession, declared: DataFrame, path: str) -> DataFrame:
+    """path, violation of declared files (path relative to the folder, size_bytes, content_hash) that are missing or differ.
+    Sizes come from the listing alone; only files whose size agrees are read and hashed, row by row where they are found."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.regexp_extract("path", r"[^/]*$", 0)
+    sizes = files.select(name.alias("path"), F.col("length").alias("_size"))
+    listed = declared.join(sizes, "path", "left")
+    alike = listed.where(F.col("_size") == F.col("size_bytes")).select("path").distinct()
+    hashes = files.select(name.alias("path"), "content").join(alike, "path", "left_semi").select("path", F.sha2("content", 256).alias("_hash"))
+    what = F.when(F.col("_size").isNull(), F.lit("missing")).when(F.col("_size") != F.col("size_bytes"), F.lit("size_mismatch")).when(F.col("_hash") != F.col("content_hash"), F.lit("hash_mismatch"))
+    return listed.join(hashes, "path", "left").withColumn("violation", what).where("violation is not null").drop("_size", "_hash")
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -30,26 +32,21 @@ def feedback_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy("version_id", "topic").agg(F.count("*").alias("n"))
 
 
-def upsert_stream(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keeps a table of the last row of every version: each batch is merged with the table's current copy and written as a
-    new one, which a pointer row then names, so a batch that is run again gives the same table. Runs until the feed is read."""
+def latest_stream(stream: DataFrame, key: str, columns: Sequence[str], order: str) -> DataFrame:
+    """key, order and columns of the row of greatest order that every key has had so far. The state is one row a key; in
+    update mode each trigger gives the keys that it changed, and a late row of smaller order changes nothing."""
+    latest = F.max_by(F.struct(order, *columns), order).alias("_latest")
+    return stream.groupBy(key).agg(latest).select(key, "_latest.*")
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = current_versions(spark, target, before=number)
-        rows = batch if before is None else before.unionByName(batch)
-        registry.upsert_versions(rows).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def write_changes(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Append what every trigger gives to a log, under the trigger's number; a trigger that is run again replaces its own
+    rows. Runs until the feed is read."""
+    keep = lambda batch, number: registry.append_batch(batch, path, str(number))
+    return stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_versions(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The table's latest copy (of a batch before the given one); None if there is none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    done = [s.getPath().getName() for s in fs.listStatus(path)]
-    numbers = sorted(int(n.split("=")[1]) for n in done if n.startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS")))
-    numbers = [n for n in numbers if before is None or n < before]
-    return spark.read.parquet(f"{target}/batch={numbers[-1]}") if numbers else None
+def current(changes: DataFrame, key: str) -> DataFrame:
+    """The last row of every key in a log of changes."""
+    last = F.max_by(F.struct(*changes.columns), F.col("batch_id").cast("long")).alias("_last")
+    return changes.groupBy(key).agg(last).select("_last.*").drop("batch_id")
