@@ -26,8 +26,8 @@ OPENING_SIZES = {"door_block": (1.0, 0.15, 2.1), "window_block": (1.5, 0.12, 1.5
 TYPES = {"wall_line": "IfcWall", "wall_path": "IfcWall", "door_block": "IfcDoor", "window_block": "IfcWindow"}
 RECONCILED = (("IfcWall", "wall"), ("IfcDoor", "door"), ("IfcWindow", "window"))
 WALLS, OPENINGS, ROOMS = ("wall_line", "wall_path"), ("door_block", "window_block"), ("room_boundary", "room_label")
-#: Smallest cell of the wall search, in drawing units, and how often cells grow fourfold; the last is one for all.
-CELL, CELL_LEVELS = 250.0, 13
+#: Smallest cell of the wall search, in drawing units, how often cells double, and how wide those of the last level are.
+CELL, CELL_LEVELS, WIDEST = 250.0, 15, 1e15
 
 
 def source_entities(entities: DataFrame, roles: DataFrame) -> DataFrame:
@@ -105,32 +105,40 @@ def nearest_walls(openings: DataFrame, walls: DataFrame) -> DataFrame:
     """bundle_id, storey_key, entity_seq, wall_seq, distance: the wall of least distance in the opening's storey, the first
     of equally near ones; exact, however far.
 
-    Cells come in levels, each four times as wide as the one below; the last level is one cell for all. The lowest level at
-    which an opening's own cell holds a wall bounds the distance by its diagonal, under one cell of the next level, so the
-    walls in that level's cell and those beside it are all that can be nearest. Walls no longer than a cell are listed in
-    that level's cells, longer ones at the level of their length only, so a wall is in few cells of any level."""
+    Openings at one place are one, and so are walls with one axis (their first wall stands for them). Cells come in levels,
+    each twice as wide as the one below; the last level is one cell for all. An axis is listed at every level whose cells
+    are at least as long as it, so it is in few cells of a level. First the lowest level at which a place's own cell holds
+    an axis gives some distance d; then the at most four cells that d reaches, at the level of cells twice as wide as d,
+    and those of the levels above where longer axes are listed, hold all that can be nearer."""
     key = ["bundle_id", "storey_key"]
-    s, e = F.col("axis.start"), F.col("axis.end")
-    cell = lambda c, level: F.when(level >= CELL_LEVELS, F.lit(0)).otherwise(F.floor(c / (F.lit(CELL) * F.pow(F.lit(4.0), level)))).cast("long")
-    upto = lambda lo: F.sequence(lo, F.lit(CELL_LEVELS))
-    extent = F.greatest(F.abs(e["x"] - s["x"]), F.abs(e["y"] - s["y"]))
-    own = F.least(F.greatest(F.ceil(F.log2(F.greatest(extent, F.lit(CELL)) / CELL) / 2), F.lit(0)), F.lit(CELL_LEVELS)).cast("int")
-    placed = walls.where("axis is not null").select(*key, "wall_seq", "axis", own.alias("own")).withColumn("level", F.explode(upto(F.col("own"))))
-    span = lambda c: F.sequence(cell(F.least(s[c], e[c]), F.col("level")), cell(F.greatest(s[c], e[c]), F.col("level")))
-    dealt = placed.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
-    # Occupied cells only, so a cell of very many walls is one row here; and the levels at which a storey lists long walls.
-    held = dealt.select(*key, "level", "cx", "cy").distinct()
-    lists = placed.groupBy(*key).agg(F.collect_set("own").alias("owns"))
-    asked = openings.select(*key, "entity_seq", "x", "y").withColumn("level", F.explode(upto(F.lit(0))))
-    at = [cell(F.col(c), F.col("level")).alias(f"c{c}") for c in ("x", "y")]
-    lowest = asked.select("*", *at).join(held, [*key, "level", "cx", "cy"]).groupBy(*key, "entity_seq", "x", "y").agg(F.min("level").alias("first"))
-    wanted = lowest.withColumn("first", F.least(F.col("first") + 1, F.lit(CELL_LEVELS))).join(lists, key)
-    wanted = wanted.withColumn("level", F.explode(F.array_union(F.array("first"), F.filter("owns", lambda n: n > F.col("first"))))).drop("owns")
-    beside = lambda c: F.when(F.col("level") >= CELL_LEVELS, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: cell(F.col(c), F.col("level")) + d))
-    foot = geometry.project(F.col("x"), F.col("y"), F.col("axis"))
-    # At an opening's own level all shorter walls count, above it those that are listed first there.
-    met = wanted.withColumn("cx", F.explode(beside("x"))).withColumn("cy", F.explode(beside("y"))).join(dealt, [*key, "level", "cx", "cy"]).where("level = first or own = level")
-    return met.groupBy(*key, "entity_seq").agg(F.min(F.struct(foot["distance"].alias("d"), "wall_seq")).alias("w")).select(*key, "entity_seq", "w.wall_seq", F.col("w.d").alias("distance"))
+    ends = ["ax", "ay", "bx", "by"]
+    axes = walls.where("axis is not null").select(*key, "wall_seq", F.col("axis.start.x").alias("ax"), F.col("axis.start.y").alias("ay"), F.col("axis.end.x").alias("bx"), F.col("axis.end.y").alias("by"))
+    level = lambda length: F.least(F.greatest(F.ceil(F.log2(length / CELL)), F.lit(0)), F.lit(CELL_LEVELS)).cast("int")
+    own = level(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")), F.lit(CELL)))
+    axes = axes.groupBy(*key, *ends).agg(F.min("wall_seq").alias("wall_seq")).withColumn("own", own)
+    width = F.get(F.array(*(F.lit(CELL * 2.0**k) for k in range(CELL_LEVELS)), F.lit(WIDEST)), F.col("level"))
+    cell = lambda c: F.floor(c / F.col("width"))
+    upward = lambda rows, first: rows.withColumn("level", F.explode(F.sequence(first, F.lit(CELL_LEVELS)))).withColumn("width", width)
+    span = lambda a, b: F.explode(F.sequence(cell(F.least(a, b)), cell(F.greatest(a, b))))
+    dealt = upward(axes, F.col("own")).withColumn("cx", span("ax", "bx")).withColumn("cy", span("ay", "by")).drop("width")
+    owns = axes.groupBy(*key).agg(F.collect_set("own").alias("owns"))
+
+    places = openings.where("x is not null and y is not null").select(*key, "x", "y").distinct()
+    at = upward(places, F.lit(0)).withColumn("cx", cell(F.col("x"))).withColumn("cy", cell(F.col("y"))).drop("width")
+    # Occupied cells only, so a cell of very many axes is one row here.
+    occupied = dealt.select(*key, "level", "cx", "cy").distinct()
+    lowest = at.join(occupied, [*key, "level", "cx", "cy"]).groupBy(*key, "x", "y").agg(F.min("level").alias("level"), F.min_by("cx", "level").alias("cx"), F.min_by("cy", "level").alias("cy"))
+    point = lambda x, y: geometry.point(F.col(x), F.col(y))
+    distance = geometry.project(F.col("x"), F.col("y"), F.struct(point("ax", "ay").alias("start"), point("bx", "by").alias("end")))["distance"]
+    some = lowest.join(dealt, [*key, "level", "cx", "cy"]).groupBy(*key, "x", "y").agg(F.min(distance).alias("d"))
+    # A little more than d, for what rounding may take away.
+    wanted = some.withColumn("d", F.col("d") * 1.000001 + 0.001).withColumn("first", level(F.greatest(F.col("d") * 2, F.lit(CELL)))).join(owns, key)
+    wanted = wanted.withColumn("level", F.explode(F.array_union(F.array("first"), F.filter("owns", lambda n: n > F.col("first"))))).withColumn("width", width).drop("owns")
+    reach = lambda c: F.explode(F.sequence(cell(F.col(c) - F.col("d")), cell(F.col(c) + F.col("d"))))
+    met = wanted.withColumn("cx", reach("x")).withColumn("cy", reach("y")).drop("width").join(dealt, [*key, "level", "cx", "cy"]).where("level = first or own = level")
+    near = met.select(*key, "x", "y", "wall_seq", distance.alias("distance"))
+    found = near.groupBy(*key, "x", "y").agg(F.min("distance").alias("distance"), F.min_by("wall_seq", F.struct("distance", "wall_seq")).alias("wall_seq"))
+    return openings.select(*key, "entity_seq", "x", "y").join(found, [*key, "x", "y"]).select(*key, "entity_seq", "wall_seq", "distance")
 
 
 def opening_geometry(hosted: DataFrame, scale: float = 0.001) -> DataFrame:
