@@ -285,3 +285,20 @@ def test_grid_layers(spark):
     names = ["A-AXIS", "axis", "S_GRID.1", "taxis", "gridded", "轴线", None, ""]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i long, n string")
     assert [r.g for r in df.select("i", text.is_grid_layer(F.col("n")).alias("g")).orderBy("i").collect()] == [True, True, True, False, False, True, False, False]
+
+
+def test_placed_elements_keep_hosts_in_every_copy(spark):
+    storeys = spark.createDataFrame([(1, "storey_01", "1F", 3.0), (1, "storey_02", "1F", 2.0), (2, "storey_01", "2F", 3.0)], "bundle_id long, storey_id string, source_storey_key string, height_m double")
+    layouts = spark.createDataFrame([(1, "1F", 0.0, 1000.0, 9.0, 7.0, 4500.0, 4500.0), (2, "2F", 0.0, 0.0, 4.0, 2.0, None, None)], "bundle_id long, storey_key string, origin_x double, origin_y double, width_m double, depth_m double, wall_center_x double, wall_center_y double")
+    walls = spark.createDataFrame([(1, "1F", 7, "wall_line", "", 1.5, 0.5, 9.0, 0.2, 90.0), (1, "1F", 9, "wall_path", "core", 1.0, 2.0, 3.0, 4.0, 0.0)], "bundle_id long, storey_key string, entity_seq long, category string, label string, local_x_m double, local_y_m double, width_m double, depth_m double, rotation_deg double")
+    openings = spark.createDataFrame([(1, "1F", 11, "door_block", None, 1.5, 0.25, 90.0, 900, 2100, 0.22, 7), (1, "1F", 12, "window_block", None, 5.0, 5.0, 0.0, 1500, 1500, 0.12, None)], "bundle_id long, storey_key string, entity_seq long, category string, label string, local_x_m double, local_y_m double, rotation_deg double, width_mm long, height_mm long, depth_m double, wall_seq long")
+    rows = model.placed_elements(storeys, layouts, walls, openings).collect()
+    assert len(rows) == 2 * 5 + 1 and len({r.guid for r in rows}) == len({r.element_id for r in rows}) == len(rows)
+    at = {(r.bundle_id, r.storey_id, r.ifc_type, r.source_seq): r for r in rows}
+    for storey, height in (("storey_01", 3.0), ("storey_02", 2.8)):
+        wall, door, window, slab = at[1, storey, "IfcWall", 7], at[1, storey, "IfcDoor", 11], at[1, storey, "IfcWindow", 12], at[1, storey, "IfcSlab", None]
+        assert (wall.name, wall.height_m, wall.family_name, at[1, storey, "IfcWall", 9].name) == ("图纸墙体 1", height, "cad_wall_line", "core")
+        assert (door.host_element_id, door.host_guid) == (wall.element_id, wall.guid) and (door.local_z_m, door.width_m, door.height_m, door.rotation_deg) == (0.0, 0.9, 2.1, 90.0)
+        assert window.host_element_id is None and window.host_guid is None and window.local_z_m == 0.9
+        assert (slab.name, slab.local_x_m, slab.local_y_m, slab.height_m) == (f"图纸楼板 {storey[-2:]}", 4.5, 3.5, 0.12)
+    assert (at[2, "storey_01", "IfcSlab", None].local_x_m, at[2, "storey_01", "IfcSlab", None].local_y_m) == (2.0, 1.0)

@@ -25,6 +25,8 @@ WALL_PLACES = ((12.0, 0.1, 0.0, 24.0), (12.0, 13.9, 0.0, 24.0), (0.1, 7.0, 90.0,
 OPENING_SIZES = {"door_block": (1.0, 0.15, 2.1), "window_block": (1.5, 0.12, 1.5)}
 TYPES = {"wall_line": "IfcWall", "wall_path": "IfcWall", "door_block": "IfcDoor", "window_block": "IfcWindow"}
 RECONCILED = (("IfcWall", "wall"), ("IfcDoor", "door"), ("IfcWindow", "window"))
+SOURCE_NAMES = {"IfcSlab": "图纸楼板", "IfcWall": "图纸墙体", "IfcDoor": "图纸门", "IfcWindow": "图纸窗"}
+SLAB_M, SILL_M, LEAST_STOREY_M = 0.12, 0.9, 2.8
 WALLS, OPENINGS, ROOMS = ("wall_line", "wall_path"), ("door_block", "window_block"), ("room_boundary", "room_label")
 #: Smallest cell of the wall search, in drawing units, how often cells double, and how wide those of the last level are.
 CELL, CELL_LEVELS, WIDEST = 250.0, 15, 1e15
@@ -189,6 +191,45 @@ def source_elements(placed: DataFrame) -> DataFrame:
     return rows.withColumns({"guid": ids.guid(seed), "element_id": ids.element_id(F.col("storey_id"), F.col("ifc_type"), seed)})
 
 
+def placed_elements(storey_rows: DataFrame, layouts: DataFrame, walls: DataFrame, openings: DataFrame) -> DataFrame:
+    """The elements of all storeys that follow drawings: a slab, the walls, doors and windows of the layout that the storey
+    follows, with size, local placement, name, family, ids, and for openings the ids of their wall's element in the same
+    storey (null without a wall).
+
+    storey_rows: bundle_id, storey_id, source_storey_key, height_m; layouts: as storey_layouts gives them; walls: as
+    wall_geometry gives them, with entity_seq, category, label; openings: as opening_geometry gives them, with wall_seq and
+    label. An id is the hash of a name made of bundle, storey, type and source, so a host's id needs no join: it is what the
+    wall's element in that storey is called."""
+    key, s = ["bundle_id", "storey_key"], F.lit(0.001)
+    null = lambda kind: F.lit(None).cast(kind)
+    number = lambda c: (c if isinstance(c, Column) else F.lit(c)).cast("double")
+
+    def part(rows: DataFrame, kind: Column | str, seq: Column, label: Column, family: Column, x: Column, y: Column, z: Column | float, turn: Column | float, size: tuple, wall: Column) -> DataFrame:
+        sizes = [number(c).alias(n) for c, n in zip((x, y, z, turn, *size), ("local_x_m", "local_y_m", "local_z_m", "rotation_deg", "width_m", "depth_m", "own_height_m"), strict=True)]
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return rows.select(*key, kind.alias("ifc_type"), seq.cast("long").alias("source_seq"), label.alias("label"), family.alias("family_name"), *sizes, wall.cast("long").alias("wall_seq"))
+
+    middle = lambda a, side: geometry.round3(F.coalesce(geometry.local(F.col(f"wall_center_{a}"), F.col(f"origin_{a}"), s), F.col(side) / 2))
+    col, family = F.col, F.concat(F.lit("cad_"), F.col("category"))
+    slab = part(layouts, "IfcSlab", null("long"), null("string"), F.lit("cad_footprint_slab"), middle("x", "width_m"), middle("y", "depth_m"), 0.0, 0.0, (col("width_m"), col("depth_m"), SLAB_M), null("long"))
+    wall = part(walls, "IfcWall", col("entity_seq"), col("label"), family, col("local_x_m"), col("local_y_m"), 0.0, col("rotation_deg"), (col("width_m"), col("depth_m"), null("double")), null("long"))
+    is_door = col("category") == "door_block"
+    kind, sill = F.when(is_door, "IfcDoor").otherwise("IfcWindow"), F.when(is_door, 0.0).otherwise(SILL_M)
+    opening = part(openings, kind, col("entity_seq"), col("label"), family, col("local_x_m"), col("local_y_m"), sill, col("rotation_deg"), (col("width_mm") / 1000, col("depth_m"), col("height_mm") / 1000), col("wall_seq"))
+    parts = slab.unionByName(wall).unionByName(opening).withColumn("number", F.row_number().over(Window.partitionBy(*key, "ifc_type").orderBy("source_seq")))
+
+    rows = storey_rows.select("bundle_id", "storey_id", F.col("source_storey_key").alias("storey_key"), "height_m").join(parts, key)
+    named = F.try_element_at(F.create_map(*(F.lit(x) for p in SOURCE_NAMES.items() for x in p)), F.col("ifc_type"))
+    ordinal = F.when(F.col("ifc_type") == "IfcSlab", F.substring("storey_id", -2, 2)).otherwise(F.col("number").cast("string"))
+    called = lambda kind, seq: F.concat_ws(":", F.col("bundle_id").cast("string"), "storey_id", kind, F.coalesce(seq.cast("string"), F.lit("slab")))
+    own, host = called(F.col("ifc_type"), F.col("source_seq")), F.when(F.col("wall_seq").isNotNull(), called(F.lit("IfcWall"), F.col("wall_seq")))
+    return rows.select(
+        "bundle_id", "storey_id", F.col("storey_key").alias("source_storey_key"), "ifc_type", "source_seq", F.coalesce(F.nullif("label", F.lit("")), F.concat_ws(" ", named, ordinal)).alias("name"), "family_name",
+        "local_x_m", "local_y_m", "local_z_m", "rotation_deg", "width_m", "depth_m", F.coalesce("own_height_m", F.greatest("height_m", F.lit(LEAST_STOREY_M))).alias("height_m"),
+        ids.element_id(F.col("storey_id"), F.col("ifc_type"), own).alias("element_id"), ids.guid(own).alias("guid"), F.when(host.isNotNull(), ids.element_id(F.col("storey_id"), F.lit("IfcWall"), host)).alias("host_element_id"), F.when(host.isNotNull(), ids.guid(host)).alias("host_guid"),
+    )
+
+
 def roof_elements(tops: DataFrame, layouts: DataFrame) -> DataFrame:
     """Roof parts of every top storey (bundle_id, storey_id, roof_type, slope_deg, overhang_m): sizes from the largest
     footprint of the bundle's layouts, or the default without any. The parts are a fixed dimension of eight rows."""

@@ -139,6 +139,23 @@ def opening_geometry(spark, sf_dir):
     return model.opening_geometry(hosted).groupBy("category").agg(F.count("*").alias("n"), F.sum("width_mm").alias("width_mm"), F.sum("height_mm").alias("height_mm"))
 
 
+def placed_elements(spark, sf_dir):
+    """Elements of all storeys that follow drawings, copies included: placement, size, and which wall's element, in which
+    storey, an opening's host id names."""
+    layouts = _layouts(spark, sf_dir)
+    origin = layouts.select("bundle_id", "storey_key", "origin_x", "origin_y")
+    none = F.lit(None).cast("string")
+    e = _entities(spark, sf_dir).where("category in ('wall_line', 'wall_path')").withColumn("vendor_width", none).join(origin, ["bundle_id", "storey_key"])
+    walls = model.wall_geometry(e, F.lit(3.0)).drop("height_m")
+    hosted = model.host_walls(_openings(spark, sf_dir), _walls(spark, sf_dir)).join(origin, ["bundle_id", "storey_key"])
+    openings = model.opening_geometry(hosted.withColumns({"span": none.cast("double"), "vendor_width": none, "vendor_height": none, "label": none}))
+    rows = model.placed_elements(storey_replication(spark, sf_dir).withColumn("height_m", F.lit(3.0)), layouts, walls, openings)
+    hosts = rows.where("ifc_type = 'IfcWall'").select(F.col("guid").alias("host_guid"), F.col("element_id").alias("_id"), F.col("storey_id").alias("host_storey"), F.col("source_seq").alias("host_seq"))
+    found = rows.join(hosts, "host_guid", "left").withColumn("id_agrees", F.col("_id").eqNullSafe(F.col("host_element_id")))
+    columns = ("bundle_id", "storey_id", "ifc_type", "source_seq", "name", "family_name", "local_x_m", "local_y_m", "local_z_m", "rotation_deg", "width_m", "depth_m", "height_m", "host_storey", "host_seq", "id_agrees")
+    return found.select(*columns)
+
+
 def template_elements(spark, sf_dir):
     rows = view(spark, sf_dir, "v_requests").select("bundle_id", F.lit("storey_01").alias("storey_id"), F.lit(1).alias("storey_no"), F.when(F.col("bundle_id") % 2 == 0, (F.col("bundle_id") % 6)).alias("units"), F.lit(3.0).alias("height_m"))
     return model.template_layout(model.template_elements(rows)).groupBy("ifc_type", "family_name").agg(F.count("*").alias("n"), *(F.round(F.sum(c), 2).alias(c) for c in ("layout_x", "layout_y", "layout_rotation")), F.sum("element_seq").alias("places"))
@@ -389,6 +406,25 @@ SELECT bundle_id, 'storey_' || lpad(CAST(i AS STRING), 2, '0') AS storey_id, CAS
 SELECT entity_seq, round(((x1 + x2) / 2 - 500) * 0.001, 3) + 0.0 AS local_x_m, round((y1 + y2) / 2 * 0.001, 3) AS local_y_m,
   round(CASE WHEN category = 'wall_line' THEN greatest(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) * 0.001, 0.2) ELSE greatest((x2 - x1) * 0.001, 0.2) END, 3) AS width_m,
   round(CASE WHEN category = 'wall_line' THEN 0.2 ELSE greatest((y2 - y1) * 0.001, 0.2) END, 3)::DOUBLE AS depth_m, round(CASE WHEN category = 'wall_line' THEN degrees(atan2(y2 - y1, x2 - x1)) ELSE 0 END, 3) AS rotation_deg FROM v_entities WHERE kind = 'wall'""",
+    "placed_elements": f"""
+WITH {_E}, {_LAYOUT}, n AS (SELECT bundle_id, count(*) AS n FROM l GROUP BY 1), s AS (SELECT bundle_id, n, unnest(range(1, greatest(n, bundle_id % 9 + 1) + 1)) AS i FROM n),
+st AS (SELECT s.bundle_id, 'storey_' || lpad(CAST(s.i AS STRING), 2, '0') AS storey_id, l.storey_key FROM s JOIN l ON l.bundle_id = s.bundle_id AND l.layout_seq = least(s.i, s.n)),
+{_HOST}, r AS (SELECT *, row_number() OVER (PARTITION BY entity_seq ORDER BY NOT parent, CASE WHEN parent THEN 0 ELSE distance END, wall_seq) AS rank FROM d),
+c AS (SELECT bundle_id, storey_key, (min(x1) FILTER (WHERE w) + max(x2) FILTER (WHERE w)) / 2 AS cx, (min(y1) FILTER (WHERE w) + max(y2) FILTER (WHERE w)) / 2 AS cy FROM e GROUP BY 1, 2),
+p AS (
+  SELECT l.bundle_id, l.storey_key, 'IfcSlab' AS ifc_type, NULL::BIGINT AS source_seq, NULL AS name, 'cad_footprint_slab' AS family_name, (cx - origin_x) * 0.001 AS x, (cy - origin_y) * 0.001 AS y, 0.0 AS z, 0.0 AS turn, width_m, depth_m, 0.12 AS height_m, NULL::BIGINT AS host_seq
+  FROM l JOIN c ON c.bundle_id = l.bundle_id AND c.storey_key = l.storey_key
+  UNION ALL SELECT e.bundle_id, e.storey_key, 'IfcWall', entity_seq, label, 'cad_' || category, ((x1 + x2) / 2 - origin_x) * 0.001, ((y1 + y2) / 2 - origin_y) * 0.001, 0.0, CASE WHEN category = 'wall_line' THEN degrees(atan2(y2 - y1, x2 - x1)) ELSE 0 END,
+    round(CASE WHEN category = 'wall_line' THEN greatest(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) * 0.001, 0.2) ELSE greatest((x2 - x1) * 0.001, 0.2) END, 3), round(CASE WHEN category = 'wall_line' THEN 0.2 ELSE greatest((y2 - y1) * 0.001, 0.2) END, 3), 3.0, NULL
+  FROM e JOIN l ON l.bundle_id = e.bundle_id AND l.storey_key = e.storey_key WHERE w
+  UNION ALL SELECT o.bundle_id, o.storey_key, CASE o.category WHEN 'door_block' THEN 'IfcDoor' ELSE 'IfcWindow' END, o.entity_seq,
+    CASE o.category WHEN 'door_block' THEN '图纸门 ' ELSE '图纸窗 ' END || CAST(row_number() OVER (PARTITION BY o.bundle_id, o.storey_key, o.category ORDER BY o.entity_seq) AS STRING), 'cad_' || o.category,
+    (coalesce(sx + (ex - sx) * f, o.x) - origin_x) * 0.001, (coalesce(sy + (ey - sy) * f, o.y) - origin_y) * 0.001, CASE o.category WHEN 'door_block' THEN 0.0 ELSE 0.9 END,
+    CASE WHEN (ex - sx) ** 2 + (ey - sy) ** 2 <= 1e-9 THEN 0 ELSE degrees(atan2(ey - sy, ex - sx)) END, CASE o.category WHEN 'door_block' THEN 1.0 ELSE 1.5 END,
+    round(greatest(CASE o.category WHEN 'door_block' THEN 0.15 ELSE 0.12 END, CASE WHEN v.category = 'wall_line' THEN 0.2 ELSE greatest(0.2, least(v.x2 - v.x1, v.y2 - v.y1) * 0.001) END + 0.02), 3), CASE o.category WHEN 'door_block' THEN 2.1 ELSE 1.5 END, r.wall_seq
+  FROM o JOIN l ON l.bundle_id = o.bundle_id AND l.storey_key = o.storey_key JOIN r ON r.entity_seq = o.entity_seq AND rank = 1 JOIN v_entities v ON v.entity_seq = r.wall_seq)
+SELECT st.bundle_id, st.storey_id, ifc_type, source_seq, coalesce(name, '图纸楼板 ' || right(st.storey_id, 2)) AS name, family_name, round(x, 3)::DOUBLE + 0.0 AS local_x_m, round(y, 3)::DOUBLE + 0.0 AS local_y_m, z::DOUBLE AS local_z_m, round(turn, 3)::DOUBLE AS rotation_deg,
+  width_m::DOUBLE AS width_m, depth_m::DOUBLE AS depth_m, height_m::DOUBLE AS height_m, CASE WHEN host_seq IS NOT NULL THEN st.storey_id END AS host_storey, host_seq, true AS id_agrees FROM st JOIN p ON p.bundle_id = st.bundle_id AND p.storey_key = st.storey_key""",
     "opening_geometry": "SELECT category, count(*) AS n, CAST(sum(CASE WHEN entity_seq % 3 = 0 THEN 900 WHEN kind = 'door' THEN 1000 ELSE 1500 END) AS BIGINT) AS width_mm, CAST(sum(CASE WHEN kind = 'door' THEN 2100 ELSE 1500 END) AS BIGINT) AS height_mm FROM v_entities WHERE kind IN ('door', 'window') GROUP BY 1",
     "template_elements": """
 WITH b AS (SELECT bundle_id, CASE WHEN bundle_id % 2 = 0 THEN coalesce(nullif(bundle_id % 6, 0), 4) ELSE 4 END AS n FROM v_requests), s AS (SELECT unnest(range(0, n)) AS i FROM b)
