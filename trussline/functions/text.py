@@ -242,10 +242,10 @@ def roof_command(prompt: Column) -> Column:
 
 
 def wall_vector(encoded: Column) -> Column:
-    """x1, x2, y1, y2 of a vendor wall: base64 of UTF-16LE text with four comma-separated numbers; else null."""
+    """x1, x2, y1, y2 of a vendor wall: base64 of UTF-16LE text with four comma-separated numbers or more; else null."""
     parts = F.split(F.decode(F.try_to_binary(encoded, F.lit("base64")), "UTF-16LE"), ",")
     values = [F.get(parts, i).try_cast("double") for i in range(4)]
-    ok = F.size(parts) == 4
+    ok = F.size(parts) >= 4
     for v in values:
         ok = ok & v.isNotNull()
     return F.when(ok, F.struct(*(v.alias(n) for v, n in zip(values, ("x1", "x2", "y1", "y2"), strict=True))))

@@ -134,12 +134,51 @@ def missing_fields(intents: DataFrame) -> DataFrame:
     return intents.select("bundle_id", F.explode(F.array_compact(F.array(*rules))).alias("m")).select("bundle_id", "m.*")
 
 
-def clarifications(intents: DataFrame) -> DataFrame:
-    """The first QUESTIONS questions of every bundle: assumed values of low confidence as they were settled, then critical
-    missing fields."""
+# The answers that a question suggests, and labels of the summary.
+ASSUMED_ANSWERS, MISSING_ANSWERS = ("正确，继续", "需要修改"), ("稍后补充", "使用默认值")
+TYPE_LABELS, MODE_LABELS = {"residential": "住宅", "office": "办公"}, {"cad_to_bim": "CAD驱动建模"}
+
+
+def parsed_summary(intents: DataFrame, action: str = "replace_family") -> DataFrame:
+    """bundle_id, summary: up to ten labelled parts, those that are there: type, mode, floors, storey height, site area, far,
+    drawings, assumptions (template defaults, the rule set, a roof), missing fields and the change that is asked for. The counts
+    come out of each intent's own row."""
+    assumed = sum((F.coalesce(F.endswith(F.col(c)["source"], F.lit("_template_default")), F.lit(False)).cast("int") for _, c in FIELDS), F.lit(1) + F.col("roof").isNotNull().cast("int"))
+    no_region = F.nullif("region", F.lit("")).isNull()
+    no_area = (F.col("source_mode") == "text_only") & F.col("site_area_sqm").isNull()
+    lacking = no_region.cast("int") + no_area.cast("int")
+    kind = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in TYPE_LABELS.items() for x in pair)), F.col("building_type")), F.col("building_type"))
+    mode = F.when(F.col("source_mode") == "cad_to_bim", F.lit(MODE_LABELS["cad_to_bim"])).otherwise(F.lit("文本描述建模"))
+    part = lambda label, value, after="": F.concat(F.lit(label), value.cast("string"), F.lit(after))
+    some = lambda value, out: F.when(F.coalesce(value, F.lit(0)) != 0, out)
+    area, far = F.col("site_area_sqm.value"), F.col("far.value")
+    parts = [
+        part("建筑类型：", kind),
+        part("模式：", mode),
+        part("层数：", F.col("floors.value"), " 层"),
+        part("标准层层高：", F.col("standard_floor_height_m.value"), "m"),
+        some(area, part("用地面积：", area, "㎡")),
+        some(far, part("容积率：", far)),
+        some(F.col("assets"), part("已解析图纸：", F.col("assets"), " 份")),
+        some(assumed, part("系统假设：", assumed, " 项")),
+        some(lacking, part("待确认项：", lacking, " 项")),
+        F.when(F.col("patch").isNotNull(), F.concat(F.lit("修改指令："), F.lit(action), F.lit(" → "), F.col("patch.target_family"))),
+    ]
+    return intents.select("bundle_id", text.request_summary(parts).alias("summary"))
+
+
+def clarifications(intents: DataFrame, missing: DataFrame | None = None) -> DataFrame:
+    """The first QUESTIONS questions of every bundle, with their text, suggested answers and confidence: assumed values of low
+    confidence as they were settled, then critical missing fields (`missing`: field, critical and perhaps reason)."""
     names = [name for name, _ in FIELDS]
-    assumed = traces(intents).where(F.col("field").isin(names) & F.endswith("source", F.lit("_template_default")) & (F.col("confidence") < LEAST_CONFIDENCE)).select("bundle_id", F.lit(0).alias("kind"), "trace_seq", "field")
-    rows = assumed.unionByName(missing_fields(intents).where("critical").select("bundle_id", F.lit(1).alias("kind"), F.lit(0).alias("trace_seq"), "field"))
+    asked = F.format_string("系统假设 %s 为 %s（来源：%s），是否正确？", "field", "value", "source")
+    lacking = F.concat(F.lit("缺少关键信息："), F.coalesce("reason", "field"))
+    told = lambda kind, seq, question, answers, sure: ["bundle_id", F.lit(kind).alias("kind"), seq.alias("trace_seq"), "field", question.alias("question"), F.array(*map(F.lit, answers)).alias("suggested_answers"), sure.alias("confidence")]
+    assumed = traces(intents).where(F.col("field").isin(names) & F.endswith("source", F.lit("_template_default")) & (F.col("confidence") < LEAST_CONFIDENCE))
+    rows = assumed.select(*told(0, F.col("trace_seq"), asked, ASSUMED_ANSWERS, F.col("confidence")))
+    missing = missing_fields(intents) if missing is None else missing
+    missing = missing if "reason" in missing.columns else missing.withColumn("reason", F.lit(None).cast("string"))
+    rows = rows.unionByName(missing.where("critical").select(*told(1, F.lit(0), lacking, MISSING_ANSWERS, F.lit(0.3))))
     n = F.row_number().over(Window.partitionBy("bundle_id").orderBy("kind", "trace_seq", "field"))
     return rows.withColumn("question_seq", n).where(F.col("question_seq") <= QUESTIONS).drop("kind", "trace_seq")
 

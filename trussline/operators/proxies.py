@@ -10,7 +10,7 @@ from ..functions import geometry, text
 # Most stand-ins of an asset, least walls where there are openings.
 MOST_WALLS, MOST_OPENINGS, LEAST_WALLS = 120, 120, 4
 #: How far a wall may lean and still count as vertical or horizontal.
-LEAN = 1e-6
+LEAN = 1e-3
 ASSET = ["bundle_id", "asset_name"]
 
 
@@ -24,13 +24,31 @@ def tag_number(tags: Column, code: int, n: int = 0) -> Column:
 
 
 def vendor_walls(raw: DataFrame) -> DataFrame:
-    """Wall segments or anchors of TCH_WALL entities: the decoded vector, else the first point, and the width."""
-    rows = raw.where("dxftype = 'TCH_WALL'").withColumn("v", text.wall_vector(tag(F.col("xtags"), 1)))
-    a = F.struct(tag_number(F.col("xtags"), 10).alias("x"), tag_number(F.col("xtags"), 20).alias("y"))
-    rows = rows.withColumns({"start": F.when(F.col("v").isNotNull(), geometry.point(F.col("v.x1"), F.col("v.y1"))), "end": F.when(F.col("v").isNotNull(), geometry.point(F.col("v.x2"), F.col("v.y2"))), "anchor": F.when(a["x"].isNotNull() & a["y"].isNotNull(), a), "vendor_width": tag_number(F.col("xtags"), 42)})
+    """Walls of TCH_WALL entities whose vector (tag 300) can be read: a segment, or an anchor where both its ends are one
+    place; and the width."""
+    rows = raw.where("dxftype = 'TCH_WALL'").withColumn("v", text.wall_vector(tag(F.col("xtags"), 300))).where("v is not null")
+    at = lambda n: geometry.point(geometry.round3(F.col(f"v.x{n}")), geometry.round3(F.col(f"v.y{n}")))
+    one = (F.abs(F.col("v.x1") - F.col("v.x2")) <= LEAN) & (F.abs(F.col("v.y1") - F.col("v.y2")) <= LEAN)
+    rows = rows.withColumns({"start": F.when(~one, at(1)), "end": F.when(~one, at(2)), "anchor": F.when(one, at(1)), "vendor_width": tag_number(F.col("xtags"), 42)})
     return rows.select(*ASSET, "entity_seq", "layer", "start", "end", "anchor", "vendor_width")
 
 
+def vendor_wall_entities(walls: DataFrame) -> DataFrame:
+    """Entities of vendor walls: every segment with its width, and the walls between the nodes on one vertical, which tell
+    how they came about by their reference."""
+    columns = (*ASSET, "category", "layer", "points", "bbox", "source_ref", "confidence", "vendor_width")
+
+    def entity(rows: DataFrame, layer: Column, ref: Column, confidence: float, width: Column, ends: Column) -> DataFrame:
+        told = {"category": F.lit("wall_line"), "layer": layer, "points": ends, "bbox": geometry.box_of_points(ends), "source_ref": ref, "confidence": F.lit(confidence), "vendor_width": width.cast("double")}
+        return rows.withColumns(told).select(*columns)
+
+    ref = F.col("source_ref") if "source_ref" in walls.columns else F.lit(None).cast("string")
+    drawn = entity(walls.where("start is not null and start <> end"), F.col("layer"), ref, 0.84, F.col("vendor_width"), F.array("start", "end"))
+    name = F.format_string("tch-wall-vertical:%s:%d", F.col("x").cast("string"), "part")
+    made = entity(vertical_walls(walls), F.lit("WALL"), name, 0.72, F.lit(None), F.array(geometry.point(F.col("x"), F.col("y1")), geometry.point(F.col("x"), F.col("y2"))))
+    return drawn.unionByName(made)
+
+
 def vendor_openings(raw: DataFrame) -> DataFrame:
     """Openings with up to two points, width, height and parents' handles."""
     x = F.col("xtags")
@@ -41,10 +59,10 @@ def vendor_openings(raw: DataFrame) -> DataFrame:
 
 
 def vendor_columns(raw: DataFrame) -> DataFrame:
-    """Column outlines of two points or more."""
+    """Column outlines of two points or more, as entities."""
     xs, ys = (F.coalesce(F.try_element_at("xtags", F.lit(c)), F.array().cast("array<string>")) for c in (10, 20))
     points = F.zip_with(xs, ys, lambda a, b: geometry.point(a.try_cast("double"), b.try_cast("double")))
-    return raw.where("dxftype = 'TCH_COLUMN'").withColumn("points", F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())).where(F.size("points") >= 2).select(*ASSET, "entity_seq", "layer", F.lit("column_path").alias("category"), "points")
+    return raw.where("dxftype = 'TCH_COLUMN'").withColumn("points", F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())).where(F.size("points") >= 2).select(*ASSET, "entity_seq", "layer", F.lit("column_path").alias("category"), "points", geometry.box_of_points(F.col("points")).alias("bbox"), F.lit(0.8).alias("confidence"))
 
 
 def vertical_walls(walls: DataFrame) -> DataFrame:
@@ -53,7 +71,7 @@ def vertical_walls(walls: DataFrame) -> DataFrame:
     upright, level = F.abs(s["x"] - e["x"]) <= LEAN, F.abs(s["y"] - e["y"]) <= LEAN
     node = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     none = F.array().cast("array<struct<x:double,y:double>>")
-    nodes = F.when(s.isNull(), F.when(F.col("anchor").isNotNull(), F.array(node(F.col("anchor.x"), F.col("anchor.y")))).otherwise(none)).when(upright, F.array(node(s["x"], s["y"]), node(s["x"], e["y"]))).when(level, F.array(node(s["x"], s["y"]), node(e["x"], s["y"]))).otherwise(none)
+    nodes = F.when(s.isNull(), F.when(F.col("anchor").isNotNull(), F.array(node(F.col("anchor.x"), F.col("anchor.y")))).otherwise(none)).when(upright, F.array(node(s["x"], s["y"]), node(s["x"], e["y"]))).when(level, F.array(node(s["x"], s["y"]), node(e["x"], e["y"]))).otherwise(none)
     rows = walls.select(*ASSET, F.explode(nodes).alias("n")).select(*ASSET, "n.x", "n.y").distinct()
     line = Window.partitionBy(*ASSET, "x").orderBy("y")
     return rows.withColumns({"y2": F.lead("y").over(line), "part": F.row_number().over(line)}).where("y2 is not null").select(*ASSET, "x", F.col("y").alias("y1"), "y2", "part")

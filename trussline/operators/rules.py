@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.registry import config_entries, config_tree
+
 # Rule sets, severities in order, codes that block a formal delivery, steps of each strategy.
 RULESETS = (("cn_residential_v1", "residential", 1, 2.8, 3.0), ("cn_office_v1", "office", 1, 3.0, 4.2))
 RULESET_SCHEMA = "ruleset string, building_type string, min_floors long, min_standard double, min_first double"
@@ -33,6 +35,24 @@ def rulesets(spark) -> DataFrame:
     return spark.createDataFrame(RULESETS, RULESET_SCHEMA)
 
 
+def configured(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rule sets, rule descriptions) of a configuration file: the rule sets carry the shared limit `max_far` too. Both are as
+    large as the file."""
+    tree = config_tree(spark, path)
+    shared = tree.select(F.try_variant_get("config", "$.shared.max_far_warning", "double").alias("max_far"))
+    get = lambda name, kind: F.try_variant_get("value", f"$.{name}", kind)
+    sets = config_entries(tree, "$.rulesets").select(
+        F.col("key").alias("ruleset"),
+        get("building_type", "string").alias("building_type"),
+        get("min_floor_count", "long").alias("min_floors"),
+        get("min_standard_floor_height_m", "double").alias("min_standard"),
+        get("min_first_floor_height_m", "double").alias("min_first"),
+    )
+    told = config_entries(tree, "$.rule_descriptions").select(F.col("key").alias("rule_id"), F.try_variant_get("value", "$", "string").alias("description"))
+    # One row a file: the shared limits are a single row.
+    return sets.join(F.broadcast(shared.withColumn("max_far", F.coalesce("max_far", F.lit(MAX_FAR)))), how="cross"), told
+
+
 def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, SEVERITIES)), severity)
 
@@ -41,7 +61,7 @@ def with_ruleset(intents: DataFrame, rules: DataFrame) -> DataFrame:
     """Intents with their rule set's limits: by id, else by building type; `ruleset_found` tells those with neither. The
     dimension has a few fixed rows, so it is broadcast."""
     by_id = rules.drop("building_type").withColumn("_id", F.lit(1))
-    limits = ("min_floors", "min_standard", "min_first")
+    limits = [c for c in rules.columns if c not in ("ruleset", "building_type")]
     by_type = rules.select("building_type", *(F.col(c).alias(f"_{c}") for c in limits))
     rows = intents.join(F.broadcast(by_id), "ruleset", "left").join(F.broadcast(by_type), "building_type", "left")
     return rows.withColumns({c: F.coalesce(c, f"_{c}") for c in limits}).withColumn("ruleset_found", F.col("min_floors").isNotNull()).drop("_id", *(f"_{c}" for c in limits))
@@ -62,7 +82,7 @@ def rule_issues(intents: DataFrame, reviews: DataFrame, missing: DataFrame) -> D
         issue("constraints.standard_floor_height.min", F.col("standard") < F.col("min_standard"), "constraints.standard_floor_height_m"),
         issue("constraints.first_floor_height.min", F.col("first") < F.col("min_first"), "constraints.first_floor_height_m"),
         issue("source.assets.required_for_cad", (F.col("source_mode") == "cad_to_bim") & (F.col("assets") == 0), "assets"),
-        issue("constraints.far.warning_threshold", F.col("far") > MAX_FAR, "constraints.far"),
+        issue("constraints.far.warning_threshold", F.col("far") > (F.col("max_far") if "max_far" in intents.columns else MAX_FAR), "constraints.far"),
         issue("site.area.required_for_delivery", F.col("site_area").isNull(), "site.area_sqm"),
     ]
     direct = intents.select("bundle_id", F.explode(F.array_compact(F.array(*own))).alias("i")).select("bundle_id", "i.*")

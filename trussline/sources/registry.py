@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -128,11 +129,18 @@ def artifact(rows: DataFrame, name: str, files: DataFrame | None = None) -> Data
     return found.join(known, "_at", "left").withColumn("missing", ~F.col("escapes") & F.col("_there").isNull()).drop("_at", "_there")
 
 
-def stored_violations(spark: SparkSession, declared: DataFrame, path: str) -> DataFrame:
-    """path, violation of declared files (path relative to the folder, size_bytes, content_hash) that are missing or differ.
+def relative_path(path: Column, root: str) -> Column:
+    """The path below a folder, of a file that was found in it."""
+    plain = re.sub(r"^\w+:(//[^/]*)?", "", root).rstrip("/")
+    return F.regexp_replace(path, rf"^.*?\Q{plain}\E/+", "")
+
+
+def stored_violations(spark: SparkSession, declared: DataFrame, path: str, relative: bool = False) -> DataFrame:
+    """path, violation of declared files (path, size_bytes, content_hash) that are missing or differ. `path` is a
+    file's name, or with `relative` its path below the folder, which tells files of one name apart.
     Sizes come from the listing alone; only files whose size agrees are read and hashed, row by row where they are found."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.regexp_extract("path", r"[^/]*$", 0)
+    name = relative_path(F.col("path"), path) if relative else F.regexp_extract("path", r"[^/]*$", 0)
     sizes = files.select(name.alias("path"), F.col("length").alias("_size"))
     listed = declared.join(sizes, "path", "left")
     alike = listed.where(F.col("_size") == F.col("size_bytes")).select("path").distinct()
@@ -146,6 +154,16 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", "true").json(path)
 
 
+def config_tree(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON configuration file as one variant, `config`: maps of any keys stay as they are."""
+    return spark.read.option("wholetext", "true").text(path).select(F.parse_json("value").alias("config"))
+
+
+def config_entries(tree: DataFrame, path: str) -> DataFrame:
+    """key, value (variant) of a map in the configuration, one row an entry; none where there is no such map."""
+    return tree.sparkSession.sql("SELECT e.key, e.value FROM {tree}, LATERAL variant_explode(try_variant_get(config, {path}, 'variant')) e", tree=tree, path=path)
+
+
 def parse_record(entities: DataFrame, manifests: DataFrame) -> DataFrame:
     """bundle_id, record: component counts and manifests as nested JSON, built only for output."""
     counts = entities.groupBy("bundle_id", "component_type").agg(F.count("*").alias("n")).groupBy("bundle_id").agg(F.array_sort(F.collect_list(F.struct("component_type", "n"))).alias("components"))
