@@ -66,6 +66,34 @@ def test_passes_and_chunks_change_nothing(spark, monkeypatch):
     assert [D.passages(index, t, {}) for _, t in rows] == whole
 
 
+def test_one_index_is_alive_however_many_passes(spark, monkeypatch):
+    rows, items = planted(3)
+    docs, bench_ = documents(spark, rows), bench(spark, items)
+    leaks = sorted(map(str, D.find_leaks(docs, bench_).collect()))
+    kept = sorted(map(str, D.without_leaks(docs, bench_).collect()))
+    monkeypatch.setattr(D, "PASS_BYTES", 120)
+    assert sum(1 for _ in D._passes(bench_)) >= 10
+    context, alive, most = type(spark.sparkContext), set(), []
+    plain_broadcast = context.broadcast
+
+    def broadcast(self, value):
+        b = plain_broadcast(self, value)
+        if isinstance(value, D.Index):
+            alive.add(id(b))
+            most.append(len(alive))
+            gone = b.destroy
+            b.destroy = lambda *a, **k: (alive.discard(id(b)), gone(*a, **k))[1]
+        return b
+
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    assert sorted(map(str, D.find_leaks(docs, bench_).collect())) == leaks
+    assert len(most) >= 10 and max(most) == 1
+    alive.clear()
+    most.clear()
+    assert sorted(map(str, D.without_leaks(docs, bench_).collect())) == kept
+    assert len(most) >= 10 and max(most) == 1
+
+
 def test_filter_and_empty_tables(spark):
     rows = [(1, "clean words only here today"), (2, "x w1 w2 w3 w4 w5 w6 y"), (3, None), (4, "")]
     items = bench(spark, [(1, "w1 w2 w3 w4 w5 w6")])
@@ -78,7 +106,7 @@ def test_filter_and_empty_tables(spark):
 
 def test_a_text_that_very_many_items_repeat(spark):
     items = spark.range(100_000).selectExpr("id AS item_id", "'w1 w2 w3 w4 w5 w6' AS text")
-    assert [len(i.ids) for i in D._passes(items)] == [1]
+    assert [(len(i.ids), last) for i, last in D._passes(items)] == [(1, True)]
     assert D.find_leaks(documents(spark, [(1, "x w1 w2 w3 w4 w5 w6 y")]), items).count() == 100_000
 
 

@@ -70,12 +70,29 @@ def test_training_lowers_the_loss(monkeypatch):
 def test_one_id_for_very_many_rows_stays_one_training_text(spark):
     rows = [(7, f"the thing {i}", "aa") for i in range(3000)] + [(i, "ñas ció", "bb") for i in range(100, 120)]
     windows, labels, langs = L.training_windows(labelled(spark, rows))
-    assert langs == ["aa", "bb"] and (labels == 0).sum() <= L.WINDOWS
+    assert langs == ["aa", "bb"] and (labels == 0).sum() == 1
 
 
-def test_pooling_covers_every_byte():
+def test_every_window_of_a_whole_text_can_be_drawn(spark, monkeypatch):
+    raw = bytes(range(97, 123)) * 40 + b"end"
+    whole = L.drawn(raw)
+    assert sorted(w for _, w in whole) == sorted(raw[k : k + L.WINDOW] for k in range(0, len(raw), L.WINDOW))
+    assert L.drawn(b"") == []
+    monkeypatch.setattr(L, "RANKED", 4)
+    monkeypatch.setattr(L, "WINDOWS_PER_LANG", 7)
+    assert sorted(L.drawn(raw)) == sorted(whole)[:7]
+    rows = [(i, f"{i} " + "the thing " * 200, "aa") for i in range(3)] + [(9, "ein schein " * 3, "bb")]
+    want = sorted(x for _, t, g in rows if g == "aa" for x in L.drawn(t.encode()))[:7]
+    windows, labels, _ = L.training_windows(labelled(spark, rows))
+    assert sorted(bytes(w[w != L.PAD].astype(np.uint8)) for w in windows[labels == 0]) == sorted(w for _, w in want)
+    assert (labels == 1).sum() == 1
+
+
+def test_pooling_covers_every_byte(monkeypatch):
     m = L.train(np.tile(np.arange(97, 113, dtype=np.int16), (8, 1)), np.arange(8) % 2, ["a", "b"], steps=2)
     text = bytes(range(97, 123)) * 20
     seg = [text[k : k + L.SEGMENT] for k in range(0, len(text), L.SEGMENT)]
     want = sum(L.label_positions(m, np.frombuffer(s, np.uint8).astype(np.int64)[:, None]).sum(axis=0)[:, 0] for s in seg) / len(text)
     assert np.allclose(L.pooled(m, [b"", text])[1], want, atol=1e-5)
+    monkeypatch.setattr(L, "LAID", 2 * L.SEGMENT)
+    assert np.allclose(L.pooled(m, [text[:5], b"", text])[2], want, atol=1e-5)

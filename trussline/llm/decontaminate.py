@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .simhash import word_chunks
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -205,12 +205,12 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
 
 
-def _passes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of about PASS_BYTES of distinct texts each, until every text was in one."""
+def _passes(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """Indexes of about PASS_BYTES of distinct texts each, until every text was in one, and whether it is the last."""
     texts = _items(benchmark).where("text is not null").groupBy("t1", "t2").agg(F.min("text").alias("text"))
     n = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PASS_BYTES))
     for k in range(n):
-        yield Index([tuple(r) for r in texts.where(F.pmod("t1", F.lit(n)) == k).orderBy("t1", "t2").collect()])
+        yield Index([tuple(r) for r in texts.where(F.pmod("t1", F.lit(n)) == k).orderBy("t1", "t2").collect()]), k == n - 1
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -219,10 +219,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A window has as many words (A-Z lower-cased) as the item; items shorter than a shingle match whole, items without
     words match nothing. Nothing is read but doc_id, item_id and text. Repeated rows and items and null ids are reported
     as they are (a text that many items repeat is searched once); null and empty texts hold nothing; long texts are read
-    in overlapping chunks; an empty table on either side gives no rows."""
+    in overlapping chunks; an empty table on either side gives no rows. Each pass but the last is run and written at once,
+    then its index leaves the executors, so that one index is alive at a time however large the benchmark."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for index in _passes(benchmark):
+    for index, last in _passes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -234,23 +235,41 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["doc_id", "t1", "t2", "similarity", "start", "n_words"])
 
         leaks = rows.mapInArrow(run, "doc_id long, t1 long, t2 long, similarity double, start long, n_words long")
+        if not last:
+            leaks = written(leaks, "leaks")
+            shared.destroy()
         out = leaks if out is None else out.unionByName(leaks)
     return out.join(_items(benchmark).drop("text"), ["t1", "t2"]).select("doc_id", "item_id", "similarity", "start", "n_words")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, whose text holds no benchmark item; nothing is shuffled. Nulls, empty and long
-    texts, repeats and empty tables as in `find_leaks`: what holds no item stays."""
-    at = docs.columns.index("text")
-    for index in _passes(benchmark):
+    """The rows of `docs`, all columns, whose text holds no benchmark item. Nulls, empty and long texts, repeats and empty
+    tables as in `find_leaks`: what holds no item stays.
+
+    The last pass filters the rows where they lie. Each pass before it writes the 128 bits that tell a text with an item,
+    gives up its index, and the rows of these texts are left out by a join that Spark chooses by the size of that table."""
+    text = F.col("text").cast("string")
+    for index, last in _passes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
+        if last:
+            at = docs.columns.index("text")
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            def clean(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
+                memory: dict = {}
+                for b in batches:
+                    yield b.filter(pa.array([not passages(shared.value, t, memory) for t in b.column(at).to_pylist()], pa.bool_()))
+
+            return docs.mapInArrow(clean, docs.schema)
+
+        def marked(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             memory: dict = {}
             for b in batches:
-                yield b.filter(pa.array([not passages(shared.value, t, memory) for t in b.column(at).to_pylist()], pa.bool_()))
+                yield b.select([0, 1]).filter(pa.array([bool(passages(shared.value, t, memory)) for t in b.column(2).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        marks = docs.select(F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(1), text).alias("_t2"), text.alias("text")).mapInArrow(marked, "_t1 long, _t2 long")
+        marks = written(marks.distinct(), "leaking-texts")
+        shared.destroy()
+        docs = docs.join(marks, (F.xxhash64(text) == marks["_t1"]) & (F.xxhash64(F.lit(1), text) == marks["_t2"]), "left_anti")
     return docs
 
 

@@ -12,17 +12,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, hashed_sample, table
 
 HIDDEN, PAD = 8, 256
-#: Bounds of the training sample: documents of a language, windows of a document, bytes of a window.
-DOCS_PER_LANG, WINDOWS, WINDOW = 600, 6, 48
+#: Bounds of the training sample: labelled documents of a language, labelled windows of a language, bytes of a window.
+DOCS_PER_LANG, WINDOWS_PER_LANG, WINDOW = 600, 3600, 48
+#: Windows of a text that are ranked at once.
+RANKED = 1 << 20
 STEPS, BATCH, RATE, SEED = 160, 384, 0.02, 7
-#: Segment length of a prediction and segments run at once.
-SEGMENT, SEGMENTS = 128, 2048
+#: Segment length of a prediction, segments run at once, and bytes (whole segments) laid out at once.
+SEGMENT, SEGMENTS, LAID = 128, 2048, 8 << 20
 UNKNOWN = "und"
 
 
@@ -152,46 +155,73 @@ def label_positions(m: Model, seg: np.ndarray) -> np.ndarray:
 
 
 def pooled(m: Model, texts: list[bytes]) -> np.ndarray:
-    """Mean probabilities [documents, C] over all positions of each text; zeros for an empty one."""
+    """Mean probabilities [documents, C] over all positions of each text; zeros for an empty one. Long texts are laid out in
+    pieces of whole segments, which changes nothing but what is held at a time."""
     total = np.zeros((len(texts), len(m.langs)))
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    n_segs = -(-sizes // SEGMENT)
-    # All texts in one row of bytes, each padded to whole segments.
-    flat = np.full(int(n_segs.sum()) * SEGMENT, PAD, np.int16)
-    at = np.cumsum(n_segs) - n_segs
-    for s, t in zip(at, texts, strict=True):
-        flat[s * SEGMENT : s * SEGMENT + len(t)] = np.frombuffer(t, np.uint8)
-    seg, owner = flat.reshape(-1, SEGMENT), np.repeat(np.arange(len(texts)), n_segs)
-    for k in range(0, len(seg), SEGMENTS):
-        part = np.ascontiguousarray(seg[k : k + SEGMENTS].T)
-        p = label_positions(m, part)
-        p *= (part != PAD)[:, None, :]
-        np.add.at(total, owner[k : k + SEGMENTS], p.sum(axis=0).T)
-    return total / np.maximum(sizes, 1)[:, None]
+    for group in _laid(texts):
+        n_segs = np.array([-(-len(part) // SEGMENT) for _, part in group])
+        # The pieces in one row of bytes, each padded to whole segments.
+        flat = np.full(int(n_segs.sum()) * SEGMENT, PAD, np.int16)
+        for s, (_, part) in zip(np.cumsum(n_segs) - n_segs, group, strict=True):
+            flat[s * SEGMENT : s * SEGMENT + len(part)] = np.frombuffer(part, np.uint8)
+        seg, owner = flat.reshape(-1, SEGMENT), np.repeat([i for i, _ in group], n_segs)
+        for k in range(0, len(seg), SEGMENTS):
+            rows = np.ascontiguousarray(seg[k : k + SEGMENTS].T)
+            p = label_positions(m, rows)
+            p *= (rows != PAD)[:, None, :]
+            np.add.at(total, owner[k : k + SEGMENTS], p.sum(axis=0).T)
+    return total / np.maximum([len(t) for t in texts], 1)[:, None]
+
+
+def _laid(texts: list[bytes]) -> Iterator[list[tuple[int, memoryview]]]:
+    """(number of the text, piece of it) in order, in groups of under two times LAID bytes; empty texts have no piece."""
+    group, held = [], 0
+    for i, t in enumerate(texts):
+        for a in range(0, len(t), LAID):
+            group.append((i, memoryview(t)[a : a + LAID]))
+            held += len(group[-1][1])
+            if held >= LAID:
+                yield group
+                group, held = [], 0
+    if group:
+        yield group
+
+
+def drawn(raw: bytes) -> list[tuple[int, bytes]]:
+    """(rank, bytes) of the windows of a text that rank lowest, WINDOWS_PER_LANG at most. The windows follow each other from
+    the first byte to the last, and a rank is a hash of the whole text and the window's number."""
+    n = -(-len(raw) // WINDOW)
+    best, ranks = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    for a in range(0, n, RANKED):
+        at = np.arange(a, min(n, a + RANKED))
+        x = (at.astype(np.uint64) + np.uint64(xxhash.xxh64_intdigest(raw, SEED))) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        best, ranks = np.r_[best, at], np.r_[ranks, x ^ (x >> np.uint64(29))]
+        if len(best) > WINDOWS_PER_LANG:
+            lowest = np.argpartition(ranks, WINDOWS_PER_LANG)[:WINDOWS_PER_LANG]
+            best, ranks = best[lowest], ranks[lowest]
+    return [(r, raw[i * WINDOW : (i + 1) * WINDOW]) for i, r in zip(best.tolist(), (ranks >> np.uint64(1)).tolist(), strict=True)]
 
 
 def training_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows and labels of at most DOCS_PER_LANG labelled documents a language, spread over whole texts; bounded, so
-    they fit the driver whatever the size of the table. `docs` has doc_id, text, lang. A training text longer than
-    WINDOWS * WINDOW bytes gives only its windows, evenly spaced from its first byte to its last: the bound of the sample
-    is on bytes as well as on rows. Prediction reads whole texts."""
+    """Windows and labels to learn from. `docs` has doc_id, text, lang.
+
+    A labelled row is a window: DOCS_PER_LANG labelled documents a language are cut, as whole texts, into windows, and the
+    WINDOWS_PER_LANG windows of a language that hash lowest are taken. Every byte of a chosen text can be drawn, and the
+    sample fits the driver whatever the size of the table."""
     chosen = hashed_sample(docs.where("lang is not null and doc_id is not null"), "lang", DOCS_PER_LANG, SEED)
 
     def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, out = [], []
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-                for s in np.unique(np.linspace(0, max(0, len(raw) - WINDOW), WINDOWS).astype(int)):
-                    w = raw[s : s + WINDOW]
-                    if len(w):
-                        langs.append(lang)
-                        out.append(w.tobytes())
-            yield pa.record_batch([pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["lang", "bytes"])
+            for text, lang in zip(b.column(0), b.column(1), strict=True):
+                windows = drawn((text.as_py() or "").encode("utf-8", "replace"))
+                yield pa.record_batch([pa.array([lang.as_py()] * len(windows), pa.string()), pa.array([r for r, _ in windows], pa.int64()), pa.array([w for _, w in windows], pa.binary())], names=["lang", "rank", "bytes"])
 
     # At most DOCS_PER_LANG ids a language are broadcast; of rows that repeat an id one text counts.
     sample = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"])
-    rows = sample.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("text", "lang").mapInArrow(cut_windows, "lang string, bytes binary").toPandas()
+    windows = sample.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("text", "lang").mapInArrow(cut_windows, "lang string, rank long, bytes binary")
+    order = Window.partitionBy("lang").orderBy("rank", "bytes")
+    rows = windows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= WINDOWS_PER_LANG).select("lang", "bytes").toPandas()
     rows = rows.sort_values(["lang", "bytes"])
     langs = sorted(rows["lang"].unique())
     windows = np.full((len(rows), WINDOW), PAD, np.int16)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op1_nearest_vectors
 from .decontaminate import op7_decontaminate
@@ -36,8 +36,15 @@ QUERIES = (
 )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline lies beside the package, so it is imported when it is run: the operators do not need it."""
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (*QUERIES, pipeline)}
 
 
 def oracles() -> dict:
