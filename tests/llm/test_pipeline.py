@@ -35,7 +35,7 @@ def test_stages_and_run(spark, tmp_path):
 
 def test_registered_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries() if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in queries() and oracles().keys() <= queries().keys()
+    assert numbers == list(range(1, 14)) and "pipeline" in queries() and oracles().keys() <= queries().keys()
 
 
 def test_language_without_labels_drops_only_texts_without_a_letter(spark):
