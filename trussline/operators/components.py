@@ -97,20 +97,46 @@ def largest_boundary(entities: DataFrame) -> DataFrame:
     return best.join(entities.where("category = 'site_boundary'").select(*asset).distinct(), asset, "left_anti")
 
 
+def _annotating(texts: DataFrame) -> DataFrame:
+    """Texts that hold a word of a component type, once for each such type."""
+    low = F.lower("text")
+    words = F.array(*(F.when(F.exists(F.array(*map(F.lit, w)), lambda x: F.contains(low, x)), F.lit(t)) for t, w in ANNOTATION_WORDS.items()))
+    return texts.withColumn("component_type", F.explode(F.array_compact(words)))
+
+
 def annotation_hits(texts: DataFrame) -> DataFrame:
     """bundle_id, component_type, notes: texts that hold a word of the type, in order. The list of a type is the same for
     all its entities, so it is made once a bundle instead of once an entity."""
-    low = F.lower("text")
-    words = F.array(*(F.when(F.exists(F.array(*map(F.lit, w)), lambda x: F.contains(low, x)), F.lit(t)) for t, w in ANNOTATION_WORDS.items()))
-    rows = texts.withColumn("component_type", F.explode(F.array_compact(words)))
     notes = F.transform(F.array_sort(F.collect_list(F.struct("text_seq", "text"))), lambda x: x["text"])
-    return rows.groupBy("bundle_id", "component_type").agg(notes.alias("annotation_notes"))
+    return _annotating(texts).groupBy("bundle_id", "component_type").agg(notes.alias("annotation_notes"))
+
+
+def annotation_totals(texts: DataFrame) -> DataFrame:
+    """bundle_id, component_type, annotation_count, first_note: number of the texts that `annotation_hits` lists, and the
+    first of them, without the lists."""
+    rows = _annotating(texts).groupBy("bundle_id", "component_type")
+    return rows.agg(F.count("*").alias("annotation_count"), F.min_by("text", "text_seq").alias("first_note"))
+
+
+def _confidence(notes: Column) -> Column:
+    return F.when(notes.isNotNull(), F.least(F.lit(1.0), notes * 0.1))
 
 
 def bind_annotations(candidates: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidates with the notes of their type and the confidence that these add."""
+    """Candidates with the notes of their type and the confidence that these add. Every candidate carries the whole list:
+    where number and first note will do, `bind_totals` costs no more than a row a candidate."""
     bound = candidates.join(annotation_hits(texts), ["bundle_id", "component_type"], "left")
-    return bound.withColumn("annotation_confidence", F.when(F.col("annotation_notes").isNotNull(), F.least(F.lit(1.0), F.size("annotation_notes") * 0.1)))
+    return bound.withColumn("annotation_confidence", _confidence(F.size("annotation_notes")))
+
+
+def bind_totals(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidates with number and first of the notes of their type and the confidence that the notes add."""
+    bound = candidates.join(annotation_totals(texts), ["bundle_id", "component_type"], "left")
+    return bound.withColumn("annotation_confidence", _confidence(F.col("annotation_count")))
+
+
+#: What candidates may carry over to their entities.
+BOUND = ("component_type", "annotation_notes", "annotation_count", "first_note", "annotation_confidence")
 
 
 def merge_components(entities: DataFrame, bound: DataFrame) -> DataFrame:
@@ -119,10 +145,11 @@ def merge_components(entities: DataFrame, bound: DataFrame) -> DataFrame:
     blank = lambda c: F.coalesce(c, F.lit(""))
     keys = {"_ref": blank("source_ref"), "_label": blank("label")}
     on = ["bundle_id", "asset_name", "category", *keys]
-    last = F.max_by(F.struct("component_type", "annotation_notes", "annotation_confidence", F.col("confidence").alias("c")), "entity_seq").alias("_m")
+    told = [c for c in BOUND if c in bound.columns]
+    last = F.max_by(F.struct(*told, F.col("confidence").alias("c")), "entity_seq").alias("_m")
     found = bound.withColumns(keys).groupBy(*on).agg(last)
     rows = entities.withColumns(keys).join(found, on, "left")
-    return rows.withColumns({"component_type": F.col("_m.component_type"), "annotation_notes": F.col("_m.annotation_notes"), "annotation_confidence": F.col("_m.annotation_confidence"), "confidence": F.greatest("confidence", "_m.c")}).drop("_m", *keys)
+    return rows.withColumns({c: F.col(f"_m.{c}") for c in told} | {"confidence": F.greatest("confidence", "_m.c")}).drop("_m", *keys)
 
 
 def room_labels(texts: DataFrame, columns: list[str]) -> DataFrame:
