@@ -1,8 +1,10 @@
 """What the supplied tables are too small to show: long numbers, large groups, and plans that grow with the input only."""
 
 import duckdb
+from pyspark.sql import Row
 
 from trussline.plans import registry
+from trussline.sources import dxf
 
 
 def plan(df):
@@ -24,3 +26,12 @@ def test_fragment_storeys_of_over_a_hundred_assets_equal_sql(spark, tmp_path):
     got = registry.QUERIES["fragment_storeys"](spark, str(tmp_path)).toPandas()
     assert sorted(map(tuple, got[want.columns].values)) == sorted(map(tuple, want.values))
     assert want.fragment_id.str.contains("default").sum() == 1200
+
+
+def test_header_values_broadcast_nothing_and_hold_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(dxf, "CELL", 3)
+    con = duckdb.connect()
+    con.execute("CREATE VIEW orders AS SELECT * FROM '/root/testdata/sf0.001/orders.parquet'")
+    got = registry.QUERIES["header_values"](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in got._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(map(repr, got.collect())) == sorted(repr(Row(**dict(zip(got.columns, r, strict=True)))) for r in con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLES['header_values']})").fetchall())

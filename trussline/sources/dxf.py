@@ -20,21 +20,6 @@ DWG_VERSIONS = {"AC1012": "R13", "AC1014": "R14", "AC1015": "R2000", "AC1018": "
 CELL = 1 << 16
 
 
-def scanned(rows: DataFrame, last: dict[str, Column], total: dict[str, Column] | None = None) -> DataFrame:
-    """Rows with running columns over each drawing in the order of its tags: the last value so far that is not null, or the
-    sum so far. A segmented scan: within cells, then over the cells' ends, then both joined."""
-    total = total or {}
-    rows = rows.withColumn("cell", F.floor(F.col("tag_seq") / CELL))
-    within = Window.partitionBy("asset_name", "cell").orderBy("tag_seq")
-    own = rows.withColumns({f"_{k}": F.last(c, ignorenulls=True).over(within) for k, c in last.items()} | {f"_{k}": F.sum(c).over(within) for k, c in total.items()})
-    ends = own.groupBy("asset_name", "cell").agg(*(F.max_by(f"_{k}", "tag_seq").alias(k) for k in (*last, *total)))
-    before = Window.partitionBy("asset_name").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.last(k, ignorenulls=True).over(before).alias(f"before_{k}") for k in last] + [F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"before_{k}") for k in total]
-    both = own.join(ends.select("asset_name", "cell", *carried), ["asset_name", "cell"])
-    found = [F.coalesce(f"_{k}", f"before_{k}").alias(k) for k in last] + [(F.col(f"_{k}") + F.col(f"before_{k}")).alias(k) for k in total]
-    return both.select(*(c for c in rows.columns if c not in (*last, *total, "cell")), *found)
-
-
 def read_lines(spark: SparkSession, path: str, pattern: str = "*.dxf", encoding: str = "UTF-8") -> DataFrame:
     """path, line_no (from 0), line of every drawing below the path, each read by byte ranges. A line's number is its place
     in its range and the lines of the ranges before, which are counted first: one row a range."""
@@ -45,7 +30,8 @@ def read_lines(spark: SparkSession, path: str, pattern: str = "*.dxf", encoding:
     ranges = rows.groupBy("path", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    return rows.join(ranges, ["path", "start"]).select("path", (F.col("at") - F.col("first") + F.col("before")).alias("line_no"), "line")
+    # The driver has listed these files already, so a row a range is no more than it holds.
+    return rows.join(F.broadcast(ranges), ["path", "start"]).select("path", (F.col("at") - F.col("first") + F.col("before")).alias("line_no"), "line")
 
 
 def read_tags(spark: SparkSession, path: str, pattern: str = "*.dxf", encoding: str = "UTF-8", name: Column | None = None) -> DataFrame:
@@ -83,19 +69,40 @@ def broken_files(all_tags: DataFrame) -> DataFrame:
 PARTS = ("VERTEX", "SEQEND", "ATTRIB")
 
 
-def sections(all_tags: DataFrame) -> DataFrame:
+def sections(all_tags: DataFrame, last: dict[str, Column] | None = None) -> DataFrame:
     """Tags with their section's name, the kind (own) and running number of their entity (entity_seq: tags of code 0 so
-    far), and kind and number of the last entity that can have parts (head)."""
-    kind = F.when(F.col("code") == 0, F.col("value"))
-    rows = scanned(all_tags, {"own": kind}, {"entity_seq": F.when(F.col("code") == 0, 1).otherwise(0).cast("long")})
-    named = F.when((F.col("own") == "SECTION") & (F.col("code") == 2), F.col("value")).when((F.col("code") == 0) & (F.col("value") == "ENDSEC"), F.lit(""))
-    head = F.when((F.col("code") == 0) & ~F.col("value").isin(*PARTS), F.struct(F.col("value").alias("kind"), "entity_seq"))
-    return scanned(rows, {"section": named, "head": head})
+    far), kind and number of the last entity that can have parts (head), and the last values so far that are not null of
+    more expressions (`last`).
+
+    One segmented scan tells all of them. A name (code 2) that stands before the first entity of its cell is pending: it
+    names a section if the cells before end in a SECTION."""
+    rows = all_tags.select("asset_name", "tag_seq", "code", "value", F.floor(F.col("tag_seq") / CELL).alias("cell"))
+    within = Window.partitionBy("asset_name", "cell").orderBy("tag_seq")
+    opens = F.col("code") == 0
+    rows = rows.withColumns({"_own": F.last(F.when(opens, F.col("value")), ignorenulls=True).over(within), "_n": F.sum(F.when(opens, 1).otherwise(0).cast("long")).over(within)})
+    named = F.when((F.col("_own") == "SECTION") & (F.col("code") == 2), F.col("value")).when(opens & (F.col("value") == "ENDSEC"), F.lit(""))
+    pending = F.when(F.col("_own").isNull() & (F.col("code") == 2), F.col("value"))
+    head = F.when(opens & ~F.col("value").isin(*PARTS), F.struct(F.col("value").alias("kind"), F.col("_n").alias("entity_seq")))
+    last = last or {}
+    rows = rows.withColumns({k: F.last(c, ignorenulls=True).over(within) for k, c in (("_section", named), ("_pending", pending), ("_head", head), *((f"_{k}", c) for k, c in last.items()))})
+    moved = lambda by: F.when(F.col("_head").isNotNull(), F.struct(F.col("_head.kind").alias("kind"), (F.col("_head.entity_seq") + by).alias("entity_seq")))
+    ends = rows.groupBy("asset_name", "cell").agg(F.max_by(F.struct("_own", "_n", "_section", "_pending", "_head", *(f"_{k}" for k in last)), "tag_seq").alias("e")).select("asset_name", "cell", "e.*")
+    before = Window.partitionBy("asset_name").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({"before_own": F.last("_own", ignorenulls=True).over(before), "before_n": F.sum("_n").over(before)})
+    own_name = F.coalesce("_section", F.when(F.col("before_own") == "SECTION", F.col("_pending")))
+    carried = {"before_section": F.last(own_name, ignorenulls=True).over(before), "before_head": F.last(moved(F.coalesce("before_n", F.lit(0))), ignorenulls=True).over(before)}
+    carried |= {f"before_{k}": F.last(f"_{k}", ignorenulls=True).over(before) for k in last}
+    # The first cell of a drawing takes nothing over. Never broadcast: the size of what is left is not told beforehand.
+    ends = ends.withColumns(carried).where("before_n is not null").select("asset_name", "cell", "before_own", "before_n", *carried).hint("merge")
+    n = F.coalesce("before_n", F.lit(0))
+    section = F.coalesce("_section", F.when(F.col("before_own") == "SECTION", F.col("_pending")), "before_section")
+    return rows.join(ends, ["asset_name", "cell"], "left").select("asset_name", "tag_seq", "code", "value", F.coalesce("_own", "before_own").alias("own"), (F.col("_n") + n).alias("entity_seq"), section.alias("section"), F.coalesce(moved(n), "before_head").alias("head"), *(F.coalesce(f"_{k}", f"before_{k}").alias(k) for k in last))
 
 
 def header_values(all_tags: DataFrame) -> DataFrame:
     """asset_name, units, base_x, base_y, extents of the header."""
-    rows = scanned(sections(all_tags).where("section = 'HEADER'"), {"name": F.when(F.col("code") == 9, F.col("value"))})
+    name = F.when(F.col("code") == 9, F.col("value")).when((F.col("code") == 0) & (F.col("value") == "SECTION"), F.lit(""))
+    rows = sections(all_tags, {"name": name}).where("section = 'HEADER'")
     pick = lambda name, code: F.max(F.when((F.col("name") == name) & (F.col("code") == code), F.col("value")))
     per = rows.groupBy("asset_name").agg(pick("$INSUNITS", 70).alias("u"), *(pick(n, c).try_cast("double").alias(a) for n, c, a in (("$INSBASE", 10, "base_x"), ("$INSBASE", 20, "base_y"), ("$EXTMIN", 10, "x0"), ("$EXTMIN", 20, "y0"), ("$EXTMAX", 10, "x1"), ("$EXTMAX", 20, "y1"))))
     units = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in UNITS.items() for x in p)), "u"), F.lit("unknown"))
@@ -121,9 +128,11 @@ def entities(all_tags: DataFrame) -> DataFrame:
     rows = sections(all_tags).where("section = 'ENTITIES' and own not in ('SECTION', 'ENDSEC', 'SEQEND')")
     rows = rows.where("own <> 'ATTRIB' or head.kind is null or head.kind <> 'INSERT'")
     vertex = rows.where("own <> 'VERTEX' or code in (10, 20)").withColumn("entity_seq", F.when(F.col("own") == "VERTEX", F.col("head.entity_seq")).otherwise(F.col("entity_seq")))
-    # Codes of one entity, values in the order of the file.
-    by_code = vertex.groupBy("asset_name", "entity_seq", "code").agg(F.transform(F.array_sort(F.collect_list(F.struct("tag_seq", "value"))), lambda s: s["value"]).alias("v"))
-    per = by_code.groupBy("asset_name", "entity_seq").agg(F.map_from_entries(F.collect_list(F.struct("code", "v"))).alias("xtags")).where(F.map_contains_key("xtags", F.lit(0)))
+    # Codes of one entity, values in the order of the file: one exchange, then within the entity's row.
+    per = vertex.groupBy("asset_name", "entity_seq").agg(F.array_sort(F.collect_list(F.struct("tag_seq", "code", "value"))).alias("t")).where(F.exists("t", lambda t: t["code"] == 0))
+    codes = F.array_distinct(F.filter(F.transform("t", lambda t: t["code"]), lambda c: c.isNotNull()))
+    of = lambda c: F.transform(F.filter("t", lambda t: t["code"] == c), lambda t: t["value"])
+    per = per.select("asset_name", "entity_seq", F.map_from_entries(F.transform(codes, lambda c: F.struct(c.alias("code"), of(c).alias("v")))).alias("xtags"))
     one = lambda code: F.get(F.try_element_at("xtags", F.lit(code)), 0)
     many = lambda code: F.coalesce(F.try_element_at("xtags", F.lit(code)), F.array().cast("array<string>"))
     near = F.zip_with(many(10), many(20), lambda x, y: geometry.point(F.round(x.try_cast("double"), 3), F.round(y.try_cast("double"), 3)))
