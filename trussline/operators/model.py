@@ -246,7 +246,8 @@ def roof_elements(tops: DataFrame, layouts: DataFrame) -> DataFrame:
 def apply_patch(elements: DataFrame, patches: DataFrame) -> DataFrame:
     """Windows of the patch's size take its family; patches: bundle_id, width_mm, height_mm, target_family. `replaced`
     tells which."""
-    p = patches.select("bundle_id", F.col("width_mm").alias("_w"), F.col("height_mm").alias("_h"), F.col("target_family").alias("_f"))
+    # A bundle has many elements and one patch at most: the patches of a partition are held, elements pass unsorted.
+    p = patches.select("bundle_id", F.col("width_mm").alias("_w"), F.col("height_mm").alias("_h"), F.col("target_family").alias("_f")).hint("shuffle_hash")
     hit = F.coalesce((F.col("ifc_type") == "IfcWindow") & (F.col("width_mm") == F.col("_w")) & (F.col("height_mm") == F.col("_h")), F.lit(False))
     return elements.join(p, "bundle_id", "left").withColumn("replaced", hit).withColumn("family_name", F.when(F.col("replaced"), F.col("_f")).otherwise(F.col("family_name"))).drop("_w", "_h", "_f")
 
