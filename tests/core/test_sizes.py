@@ -35,3 +35,10 @@ def test_header_values_broadcast_nothing_and_hold_over_cells(spark, monkeypatch)
     got = registry.QUERIES["header_values"](spark, "/root/testdata/sf0.001")
     assert "Broadcast" not in got._jdf.queryExecution().sparkPlan().toString()
     assert sorted(map(repr, got.collect())) == sorted(repr(Row(**dict(zip(got.columns, r, strict=True)))) for r in con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLES['header_values']})").fetchall())
+
+
+def test_request_queries_read_the_orders_once_a_branch_and_exchange_no_texts(spark):
+    # Before: 4, 4, 7, 2 and 3 readings, and twice as many exchanges as now.
+    for name, readings in {"rule_trace": 3, "rule_status": 3, "strategy_steps": 4, "clarifications": 1, "clarification_texts": 2}.items():
+        text = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert text.count("FileScan parquet") <= readings, name

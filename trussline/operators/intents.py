@@ -66,7 +66,10 @@ def build_intents(requests: DataFrame, profile: DataFrame, compat: bool = True)
     # Two rows: the dimension is fixed, so broadcasting it is bounded.
     rows = rows.join(F.broadcast(profile.withColumnRenamed("building_type", "profile")), "profile")
     p, usual = F.col("prompt"), F.concat("building_type", F.lit("_template_default"))
-    said = prompt_int(p, FLOORS)
+    # Each pattern is looked for once a row; what follows refers to what it found.
+    told = {"_floors": prompt_int(p, FLOORS), "_units": prompt_int(p, UNITS), "_standard": prompt_float(p, STANDARD_HEIGHT), "_first": prompt_float(p, FIRST_HEIGHT), "_area": prompt_float(p, SITE_AREA), "_far": prompt_float(p, FAR)}
+    rows = rows.withColumns(told)
+    said = F.col("_floors")
     from_text = said.isNotNull()
     floors = resolved(
         F.col("form_floors"),
@@ -81,16 +84,16 @@ def build_intents(requests: DataFrame, profile: DataFrame, compat: bool = True)
         {
             "source_mode": text.source_mode(p, F.col("mode_hint"), F.col("assets")),
             "floors": floors,
-            "standard_floor_height_m": resolved(F.col("form_height"), prompt_float(p, STANDARD_HEIGHT), F.col("default_standard"), default_source=usual),
-            "first_floor_height_m": resolved(F.col("form_first_height"), prompt_float(p, FIRST_HEIGHT), F.col("default_first"), default_source=usual),
-            "site_area_sqm": F.coalesce(resolved(F.col("form_area"), prompt_float(p, SITE_AREA)), drawn),
-            "far": resolved(F.col("form_far"), prompt_float(p, FAR)),
-            "units_per_floor": resolved(F.col("form_units"), prompt_int(p, UNITS), F.col("default_units"), default_source=usual),
+            "standard_floor_height_m": resolved(F.col("form_height"), F.col("_standard"), F.col("default_standard"), default_source=usual),
+            "first_floor_height_m": resolved(F.col("form_first_height"), F.col("_first"), F.col("default_first"), default_source=usual),
+            "site_area_sqm": F.coalesce(resolved(F.col("form_area"), F.col("_area")), drawn),
+            "far": resolved(F.col("form_far"), F.col("_far")),
+            "units_per_floor": resolved(F.col("form_units"), F.col("_units"), F.col("default_units"), default_source=usual),
             "roof": text.roof_command(p),
             "patch": text.window_patch(p),
         }
     )
-    return rows.drop("profile", "default_standard", "default_first", "default_units")
+    return rows.drop("profile", "default_standard", "default_first", "default_units", *told)
 
 
 FIELDS = (("constraints.floors", "floors"), ("constraints.standard_floor_height_m", "standard_floor_height_m"), ("constraints.first_floor_height_m", "first_floor_height_m"), ("site.area_sqm", "site_area_sqm"), ("constraints.far", "far"), ("program.units_per_floor", "units_per_floor"))
@@ -127,11 +130,17 @@ def traces(intents: DataFrame) -> DataFrame:
     return intents.select("bundle_id", F.posexplode(F.array_compact(F.array(*rows))).alias("n", "t")).select("bundle_id", (F.col("n") + 1).alias("trace_seq"), "t.*")
 
 
-def missing_fields(intents: DataFrame) -> DataFrame:
-    """bundle_id, field, critical: the region, and in text mode the site's area; neither is critical."""
+def lacking_fields(no_area: Column) -> dict[str, Column]:
+    """Fields that may be missing, and when they are: the region, and in text mode the site's area."""
+    return {"region": F.nullif("region", F.lit("")).isNull(), "site.area_sqm": (F.col("source_mode") == "text_only") & no_area}
+
+
+def missing_fields(intents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """bundle_id, field, critical: the region, and in text mode the site's area; neither is critical. `keep` names columns of
+    the intents that stay."""
     row = lambda when, field: F.when(when, F.struct(F.lit(field).alias("field"), F.lit(False).alias("critical")))
-    rules = [row(F.nullif("region", F.lit("")).isNull(), "region"), row((F.col("source_mode") == "text_only") & F.col("site_area_sqm").isNull(), "site.area_sqm")]
-    return intents.select("bundle_id", F.explode(F.array_compact(F.array(*rules))).alias("m")).select("bundle_id", "m.*")
+    rules = [row(when, field) for field, when in lacking_fields(F.col("site_area_sqm").isNull()).items()]
+    return intents.select("bundle_id", *keep, F.explode(F.array(*rules)).alias("m")).where("m is not null").select("bundle_id", *keep, "m.*")
 
 
 # The answers that a question suggests, and labels of the summary.
@@ -169,18 +178,27 @@ def parsed_summary(intents: DataFrame, action: str = "replace_family") -> DataFr
 
 def clarifications(intents: DataFrame, missing: DataFrame | None = None) -> DataFrame:
     """The first QUESTIONS questions of every bundle, with their text, suggested answers and confidence: assumed values of low
-    confidence as they were settled, then critical missing fields (`missing`: field, critical and perhaps reason)."""
-    names = [name for name, _ in FIELDS]
+    confidence in the order of FIELDS, as they are settled, then critical missing fields (`missing`: field, critical and
+    perhaps reason). Of an intent's own missing fields none is critical, so without a table they ask nothing."""
+
+    def row(seq: int, name: str, c: str) -> Column:
+        f = F.col(c)
+        when = F.endswith(f["source"], F.lit("_template_default")) & (f["confidence"] < LEAST_CONFIDENCE)
+        return F.when(when, F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("field"), f["value"].cast("string").alias("value"), f["source"].alias("source"), f["confidence"].alias("confidence")))
+
+    assumed = F.explode(F.array(*(row(i, name, c) for i, (name, c) in enumerate(FIELDS)))).alias("q")
+    rows = intents.select("bundle_id", assumed).where("q is not null").select("bundle_id", F.lit(0).alias("kind"), "q.*", F.lit(None).cast("string").alias("reason"))
+    if missing is not None:
+        missing = missing if "reason" in missing.columns else missing.withColumn("reason", F.lit(None).cast("string"))
+        none = F.lit(None).cast("string")
+        rows = rows.unionByName(missing.where("critical").select("bundle_id", F.lit(1).alias("kind"), F.lit(0).alias("seq"), "field", none.alias("value"), none.alias("source"), F.lit(0.3).alias("confidence"), "reason"))
+    n = F.row_number().over(Window.partitionBy("bundle_id").orderBy("kind", "seq", "field"))
+    # Texts are made of the questions that are asked, past the window.
+    first, is_assumed = rows.withColumn("question_seq", n).where(F.col("question_seq") <= QUESTIONS), F.col("kind") == 0
     asked = F.format_string("系统假设 %s 为 %s（来源：%s），是否正确？", "field", "value", "source")
     lacking = F.concat(F.lit("缺少关键信息："), F.coalesce("reason", "field"))
-    told = lambda kind, seq, question, answers, sure: ["bundle_id", F.lit(kind).alias("kind"), seq.alias("trace_seq"), "field", question.alias("question"), F.array(*map(F.lit, answers)).alias("suggested_answers"), sure.alias("confidence")]
-    assumed = traces(intents).where(F.col("field").isin(names) & F.endswith("source", F.lit("_template_default")) & (F.col("confidence") < LEAST_CONFIDENCE))
-    rows = assumed.select(*told(0, F.col("trace_seq"), asked, ASSUMED_ANSWERS, F.col("confidence")))
-    missing = missing_fields(intents) if missing is None else missing
-    missing = missing if "reason" in missing.columns else missing.withColumn("reason", F.lit(None).cast("string"))
-    rows = rows.unionByName(missing.where("critical").select(*told(1, F.lit(0), lacking, MISSING_ANSWERS, F.lit(0.3))))
-    n = F.row_number().over(Window.partitionBy("bundle_id").orderBy("kind", "trace_seq", "field"))
-    return rows.withColumn("question_seq", n).where(F.col("question_seq") <= QUESTIONS).drop("kind", "trace_seq")
+    answers = lambda v: F.array(*map(F.lit, v))
+    return first.select("bundle_id", "field", F.when(is_assumed, asked).otherwise(lacking).alias("question"), F.when(is_assumed, answers(ASSUMED_ANSWERS)).otherwise(answers(MISSING_ANSWERS)).alias("suggested_answers"), "confidence", "question_seq")
 
 
 # What a conflict says.

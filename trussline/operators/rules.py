@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.registry import config_entries, config_tree
+from .intents import lacking_fields
 
 # Rule sets, severities in order, codes that block a formal delivery, steps of each strategy.
 RULESETS = (("cn_residential_v1", "residential", 1, 2.8, 3.0), ("cn_office_v1", "office", 1, 3.0, 4.2))
@@ -67,14 +68,15 @@ def with_ruleset(intents: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.coalesce(c, f"_{c}") for c in limits}).withColumn("ruleset_found", F.col("min_floors").isNotNull()).drop("_id", *(f"_{c}" for c in limits))
 
 
-def rule_issues(intents: DataFrame, reviews: DataFrame, missing: DataFrame) -> DataFrame:
+def rule_issues(intents: DataFrame, reviews: DataFrame, missing: DataFrame | None = None) -> DataFrame:
     """bundle_id, rule_seq, rule_id, code, severity, target of every issue. Intents carry the rule set's limits and plain
-    values (floors, standard, first, far, site_area, source_mode, assets)."""
+    values (floors, standard, first, far, site_area, source_mode, assets). Without a table of missing fields, those of the
+    intents' own rows (region too) are told in the same pass."""
     code = {r: (c, s) for r, c, s in RULES}
     seq = {r: i for i, (r, _, _) in enumerate(RULES, 1)}
 
-    def issue(rule: str, when: Column, target: str) -> Column:
-        c, s = code[rule]
+    def issue(rule: str, when: Column, target: str, c: str | None = None) -> Column:
+        c, s = c or code[rule][0], code[rule][1]
         return F.when(when, F.struct(F.lit(seq[rule]).alias("rule_seq"), F.lit(rule).alias("rule_id"), F.lit(c).alias("code"), F.lit(s).alias("severity"), F.lit(target).alias("target")))
 
     own = [
@@ -85,21 +87,29 @@ def rule_issues(intents: DataFrame, reviews: DataFrame, missing: DataFrame) -> D
         issue("constraints.far.warning_threshold", F.col("far") > (F.col("max_far") if "max_far" in intents.columns else MAX_FAR), "constraints.far"),
         issue("site.area.required_for_delivery", F.col("site_area").isNull(), "site.area_sqm"),
     ]
-    direct = intents.select("bundle_id", F.explode(F.array_compact(F.array(*own))).alias("i")).select("bundle_id", "i.*")
     forward, fields = "drawing.pending_review.forward", "intent.missing_fields.forward"
+    if missing is None:
+        own += [issue(fields, when, field, f"missing.{field}") for field, when in lacking_fields(F.col("site_area").isNull()).items()]
+    # No lambda, so that the rows are made by generated code.
+    direct = intents.select("bundle_id", F.explode(F.array(*own)).alias("i")).where("i is not null").select("bundle_id", "i.*")
     first = F.row_number().over(Window.partitionBy("bundle_id").orderBy("review_seq"))
     sharp = F.when(F.col("category").isin(*BLOCKING_REVIEWS), F.lit("error")).otherwise(F.col("severity"))
     passed = reviews.withColumn("n", first).where(F.col("n") <= FORWARDED).select("bundle_id", F.lit(seq[forward]).alias("rule_seq"), F.lit(forward).alias("rule_id"), F.concat(F.lit("drawing.review."), "category").alias("code"), sharp.alias("severity"), F.coalesce("source_ref", "asset_name").alias("target"))
+    if missing is None:
+        return direct.unionByName(passed)
     lacking = missing.select("bundle_id", F.lit(seq[fields]).alias("rule_seq"), F.lit(fields).alias("rule_id"), F.concat(F.lit("missing."), "field").alias("code"), F.lit("warning").alias("severity"), F.col("field").alias("target"))
     return direct.unionByName(passed).unionByName(lacking)
 
 
 def rule_trace(bundles: DataFrame, issues: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:
     """All eight rules of every bundle with the number of issues and the highest severity (passed without any)."""
-    rules = F.explode(F.array(*(F.struct(F.lit(i).alias("rule_seq"), F.lit(r).alias("rule_id")) for i, (r, _, _) in enumerate(RULES, 1)))).alias("r")
-    found = issues.groupBy("bundle_id", "rule_id").agg(F.count("*").alias("n"), F.max_by("severity", severity_rank(F.col("severity"))).alias("top"))
-    rows = bundles.select("bundle_id", rules).select("bundle_id", "r.*").join(found, ["bundle_id", "rule_id"], "left")
-    rows = rows.select("bundle_id", "rule_seq", "rule_id", F.coalesce("n", F.lit(0)).alias("issue_count"), F.coalesce("top", F.lit("passed")).alias("highest_severity"))
+    # One row of numbers a bundle is exchanged and held; the rules' names come after the join.
+    of = lambda i, c: F.when(F.col("rule_seq") == i, c)
+    numbers = range(1, len(RULES) + 1)
+    found = issues.select("bundle_id", "rule_seq", severity_rank(F.col("severity")).cast("int").alias("rank")).groupBy("bundle_id").agg(*(c for i in numbers for c in (F.count(of(i, F.lit(1))).alias(f"n{i}"), F.max(of(i, F.col("rank"))).alias(f"top{i}"))))
+    severity = F.array(*map(F.lit, SEVERITIES))
+    every = F.explode(F.array(*(F.struct(F.lit(i).alias("rule_seq"), F.lit(r).alias("rule_id"), F.coalesce(f"n{i}", F.lit(0).cast("long")).alias("issue_count"), F.coalesce(F.get(severity, F.col(f"top{i}") - 1), F.lit("passed")).alias("highest_severity")) for i, (r, _, _) in enumerate(RULES, 1)))).alias("r")
+    rows = bundles.select("bundle_id").join(found, "bundle_id", "left").select("bundle_id", every).select("bundle_id", "r.*")
     return rows if descriptions is None else rows.join(descriptions, "rule_id", "left")
 
 
@@ -123,7 +133,7 @@ def strategies(intents: DataFrame, status: DataFrame) -> DataFrame:
     return intents.join(status.select("bundle_id", "status"), "bundle_id").select("bundle_id", s.alias("strategy"), (F.col("status") != "failed").alias("can_continue"))
 
 
-def strategy_steps(planned: DataFrame) -> DataFrame:
-    """The steps of every bundle's strategy, numbered."""
+def strategy_steps(planned: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The steps of every bundle's strategy, numbered, with the columns `keep` of `planned`."""
     steps = F.try_element_at(F.create_map(*(x for k, v in STEPS.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.col("strategy"))
-    return planned.select("bundle_id", "strategy", F.posexplode(steps).alias("step_seq", "step"))
+    return planned.select("bundle_id", "strategy", *keep, F.posexplode(steps).alias("step_seq", "step"))

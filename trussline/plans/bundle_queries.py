@@ -73,7 +73,7 @@ def parsed_summary(spark, sf_dir):
 def clarification_texts(spark, sf_dir):
     """Questions of every request with their answers; what is missing counts as critical where a request has drawings."""
     rows = _intents(spark, sf_dir)
-    lacking = intents.missing_fields(rows).join(rows.select("bundle_id", "assets"), "bundle_id").withColumns({"critical": F.col("assets") > 0, "reason": F.concat(F.lit("no "), "field")})
+    lacking = intents.missing_fields(rows, ("assets",)).withColumns({"critical": F.col("assets") > 0, "reason": F.concat(F.lit("no "), "field")})
     q = intents.clarifications(rows, lacking)
     return q.select("bundle_id", "question_seq", "question", F.array_join("suggested_answers", "|").alias("answers"), "confidence")
 
@@ -112,7 +112,7 @@ def configured_rules(spark, sf_dir):
     spark.range(1).select(F.to_json(config).alias("value")).write.text(path)
     limits, told = rules.configured(spark, path)
     rows = _intents(spark, sf_dir)
-    found = rules.rule_issues(rules.with_ruleset(_plain(rows), limits), _reviews(spark, sf_dir), intents.missing_fields(rows))
+    found = rules.rule_issues(rules.with_ruleset(_plain(rows), limits), _reviews(spark, sf_dir))
     trace = rules.rule_trace(rows.select("bundle_id"), found, told)
     return trace.groupBy("rule_seq", "rule_id", "description", "highest_severity").agg(F.count("*").alias("bundles"), F.sum("issue_count").alias("issues"))
 

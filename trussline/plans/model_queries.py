@@ -33,7 +33,7 @@ def _reviews(spark, sf_dir):
 
 def _issues(spark, sf_dir):
     rows = _intents(spark, sf_dir)
-    return rules.rule_issues(rules.with_ruleset(_plain(rows), rules.rulesets(spark)), _reviews(spark, sf_dir), intents.missing_fields(rows))
+    return rules.rule_issues(rules.with_ruleset(_plain(rows), rules.rulesets(spark)), _reviews(spark, sf_dir))
 
 
 def intent_resolve(spark, sf_dir):
@@ -80,7 +80,7 @@ def strategy_steps(spark, sf_dir):
     plain = _plain(_intents(spark, sf_dir))
     status = rules.rule_status(plain, _issues(spark, sf_dir))
     planned = rules.strategies(plain, status)
-    return rules.strategy_steps(planned).join(planned.select("bundle_id", "can_continue"), "bundle_id").groupBy("strategy", "step_seq", "step").agg(F.count("*").alias("bundles"), F.count_if("can_continue").alias("continuing"))
+    return rules.strategy_steps(planned, ("can_continue",)).groupBy("strategy", "step_seq", "step").agg(F.count("*").alias("bundles"), F.count_if("can_continue").alias("continuing"))
 
 
 def replay_tokens(spark, sf_dir):

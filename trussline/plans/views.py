@@ -73,10 +73,18 @@ VIEWS = {k: v.replace("{event_rows}", E) for k, v in VIEWS.items()}
 TABLES = ("events", "part", "orders", "lineitem", "pages", "documents", "embeddings", "conversations")
 
 
+#: Views whose rows all have one key, and the column that tells it: dealt out by it once, so that nothing that is grouped or
+#: joined by the key later is exchanged again, into partitions that are not put together, since each row costs much work.
+DEALT = {"v_requests": ("orders", "o_orderkey")}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame over the supplied tables."""
-    used = [t for t in TABLES if "{" + t + "}" in VIEWS[name]]
-    return spark.sql(VIEWS[name], **{t: table(spark, sf_dir, t) for t in used})
+    used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in VIEWS[name]}
+    if name in DEALT:
+        t, key = DEALT[name]
+        used[t] = used[t].repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+    return spark.sql(VIEWS[name], **used)
 
 
 def with_views(sql: str) -> str:
