@@ -251,8 +251,8 @@ def snapshots(spark, sf_dir):
 
 
 def _drawn(e):
-    """Entities (with kind, category, handle and two corners) as tags: asset_name, q, i, code, value, between the ends of a
-    section. Blocks own an attribute, and doors also define one."""
+    """Entities (with kind, category, handle and two corners) as lists of tags: asset_name, q, tags (code, value), between
+    the ends of a section. Blocks own an attribute, and doors also define one."""
     pair = lambda c, v: F.struct(F.lit(c).alias("code"), v.cast("string").alias("value"))
     at = lambda x, y: (pair(10, F.col(x)), pair(20, F.col(y)))
     layer, handle = pair(8, F.col("kind")), pair(5, F.col("handle"))
@@ -262,11 +262,10 @@ def _drawn(e):
     owned = F.concat(block, F.array(pair(0, F.lit("ATTRIB")), pair(1, F.lit("owned")), *at("x2", "y2"), pair(0, F.lit("SEQEND"))))
     defined = F.array(pair(0, F.lit("ATTDEF")), pair(1, F.col("label")), *at("x1", "y2"))
     kinds = F.when(F.col("category") == "wall_line", line).when(F.col("category") == "door_block", F.concat(owned, defined)).when(F.col("category") == "window_block", owned).otherwise(poly)
-    body = e.select("asset_name", F.col("entity_seq").alias("q"), F.posexplode(kinds).alias("i", "t"))
-    ends = ((-2, 0, 0, "SECTION"), (-2, 1, 2, "ENTITIES"), (1 << 40, 0, 0, "ENDSEC"), (1 << 40, 1, 0, "EOF"))
-    frame = F.array(*(F.struct(F.lit(q).cast("long").alias("q"), F.lit(i).alias("i"), F.struct(F.lit(c).alias("code"), F.lit(v).alias("value")).alias("t")) for q, i, c, v in ends))
-    ends = e.select("asset_name").distinct().select("asset_name", F.explode(frame).alias("f")).select("asset_name", "f.q", "f.i", "f.t")
-    return body.unionByName(ends).select("asset_name", "q", "i", "t.code", "t.value")
+    body = e.select("asset_name", F.col("entity_seq").alias("q"), kinds.alias("tags"))
+    frame = lambda q, *v: F.struct(F.lit(q).cast("long").alias("q"), F.array(*(pair(c, F.lit(w)) for c, w in v)).alias("tags"))
+    ends = F.explode(F.array(frame(-2, (0, "SECTION"), (2, "ENTITIES")), frame(1 << 40, (0, "ENDSEC"), (0, "EOF")))).alias("f")
+    return body.unionByName(e.select("asset_name").distinct().select("asset_name", ends).select("asset_name", "f.*"))
 
 
 def _drawn_summary(tags):
@@ -278,16 +277,19 @@ def _drawn_summary(tags):
 
 def dxf_entities(spark, sf_dir):
     """Drawings of every asset as tags, and the entities that the tag job finds in them."""
-    tags = _drawn(view(spark, sf_dir, "v_entities")).withColumn("tag_seq", F.col("q") * 100 + F.col("i"))
-    return _drawn_summary(tags.select("asset_name", "tag_seq", "code", "value"))
+    tags = _drawn(view(spark, sf_dir, "v_entities")).select("asset_name", "q", F.posexplode("tags").alias("i", "t"))
+    return _drawn_summary(tags.select("asset_name", (F.col("q") * 100 + F.col("i")).alias("tag_seq"), "t.code", "t.value"))
 
 
 def dxf_files(spark, sf_dir):
     """A drawing file for every bundle, written line by line and read back by byte ranges: entities and attribute texts."""
     e = view(spark, sf_dir, "v_entities").withColumn("asset_name", F.concat(F.lit("bundle_"), F.col("bundle_id").cast("string")))
-    lines = _drawn(e).select("asset_name", "q", "i", F.concat(F.col("code").cast("string"), F.lit("\n"), "value").alias("line"))
+    text = F.array_join(F.transform("tags", lambda t: F.concat(t["code"].cast("string"), F.lit("\n"), t["value"])), "\n")
+    lines = _drawn(e).select("asset_name", "q", text.alias("line"))
     path = f"{_shared_dir(spark)}/drawings-{uuid.uuid4().hex}"
-    lines.repartition("asset_name").sortWithinPartitions("asset_name", "q", "i").select("asset_name", "line").write.partitionBy("asset_name").text(path)
+    # An entity is one row until it is written, and partitions are not put together, so that few drawings share a task.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartition(n, "asset_name").sortWithinPartitions("asset_name", "q").select("asset_name", "line").write.partitionBy("asset_name").text(path)
     tags = dxf.read_tags(spark, path, "*.txt", name=F.regexp_extract("path", "asset_name=([^/]+)/", 1))
     per = dxf.entities(tags).groupBy("asset_name", "dxftype")
     return per.agg(F.count("*").alias("entities"), F.count("text").alias("texts"), F.max("text").alias("last_text"), F.sum(F.size("points").cast("long")).alias("points"))
