@@ -49,6 +49,27 @@ def test_blocks_of_a_common_shingle(spark, monkeypatch):
     check(spark, list(enumerate(corpus(random.Random(4)))))
 
 
+def test_frequent_shingles_lead_to_a_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "FREQUENT", 2)
+    check(spark, list(enumerate(corpus(random.Random(6)))))
+    monkeypatch.setattr(near_copies, "LISTED", 9)
+    check(spark, list(enumerate(corpus(random.Random(7)))))
+
+
+def test_candidates_come_from_fingerprints(spark):
+    rng = random.Random(8)
+    long = [words(rng, 400, 5000) for _ in range(6)]
+    texts = [t for ws in long for t in (" ".join(ws), " ".join([*ws[:-1], "other"]))] + [None, "", "one"]
+    sets = {t: near_copies.shingles(t) for t in texts}
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = documents(spark, rows).selectExpr("doc_id", "xxhash64(text) as th", "text")
+    got = {frozenset((r.a, r.b)) for r in near_copies._alike(near_copies._heads(docs)).collect()}
+    fps = {near_copies.set_key(s): near_copies.fingerprint(s) for s in sets.values() if len(s)}
+    close = {frozenset((a, b)) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= near_copies.DIFFERING}
+    pairs = [frozenset(near_copies.set_key(sets[t]) for t in texts[k : k + 2]) for k in range(0, 12, 2)]
+    assert got == close and sum(p in got for p in pairs) >= 4
+
+
 def test_one_row_of_a_group_stays_and_no_other_goes(spark):
     rng = random.Random(5)
     a, b, c, d = (" ".join(words(rng, 40, 5000)) for _ in range(4))

@@ -1,4 +1,7 @@
-"""Near copies by the Jaccard similarity of five-word shingles: every pair that reaches it is met and checked exactly.
+"""Near copies by SimHash of five-word shingles with anchor-point covering, checked exactly by Jaccard similarity.
+
+Texts whose fingerprints meet at an anchor and differ in few bits are candidates, and a candidate counts if its sets reach
+the similarity. Fingerprints miss pairs near the threshold, so what they leave apart is completed exactly:
 
 Two sets that reach the similarity share k of the first n - ceil(0.8 n) + k shingles of either, in any order that holds
 for all texts (prefix filter, with k = TOGETHER or all that a short text can share). Shingles that a sample shows to be common come last in that order, so they lead to
@@ -17,10 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, discard, written
 from .graph import components
-from .simhash import shingle_hashes
+from .simhash import fingerprint, linked, shingle_hashes
 
 #: Similarity as a fraction, so that whole numbers decide.
 SHINGLE, OVER, UNDER = 5, 4, 5
+#: Differing bits of the fingerprints of candidates.
+DIFFERING = 3
 #: The sample that tells common shingles: one text in SAMPLED, but LEAST texts; COMMON of it at most are put last.
 SAMPLED, LEAST, COMMON, OFTEN = 32, 5000, 50_000, 4
 #: Leading shingles that a pair has in common.
@@ -29,6 +34,8 @@ TOGETHER = 8
 MAP_BITS = 1 << 24
 #: Members of a shingle that meet all others of it in one task.
 BLOCK = 4096
+#: Members from which on a shingle is frequent; a text lists its frequent leading shingles, if they are LISTED at most.
+FREQUENT, LISTED = 32, 256
 #: Shingles of a block of sets that are compared in one task, and pairs of two blocks from which on they are.
 SPAN, SHARED = 1 << 17, 16
 
@@ -83,15 +90,27 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _heads(texts: DataFrame) -> DataFrame:
-    """doc_id, th, key of every row."""
+    """doc_id, th, key, fp (the fingerprint of the set of shingles) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, part in _pieces(b.column(2)):
-                key = pa.array(np.array([set_key(shingles(t)) for t in part], np.int64))
-                yield pa.record_batch([b.column(0).slice(a, 256), b.column(1).slice(a, 256), key], names=["doc_id", "th", "key"])
+                sets = [shingles(t) for t in part]
+                key, fp = np.array([set_key(s) for s in sets], np.int64), np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
+                yield pa.record_batch([b.column(0).slice(a, 256), b.column(1).slice(a, 256), pa.array(key), pa.array(fp)], names=["doc_id", "th", "key", "fp"])
+
+    return texts.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, key long, fp long")
+
 
-    return texts.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, key long")
+def _alike(heads: DataFrame) -> DataFrame:
+    """a, b: keys whose fingerprints differ by DIFFERING bits or fewer: every key with the least one of its fingerprint, and
+    the least ones of linked fingerprints, enough to span every component of the fingerprints. Sets without a shingle are
+    in no pair."""
+    own = cut(heads.where(F.col("key") != set_key(shingles(None))).select("key", "fp").distinct())
+    first = cut(own.groupBy("fp").agg(F.min("key").alias("first")))
+    same = own.join(first, "fp").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    x, y = (first.select(F.col("fp").alias(c), F.col("first").alias(f"k{c}")) for c in "ab")
+    return same.unionByName(linked(first, DIFFERING).join(x, "a").join(y, "b").select(F.col("ka").alias("a"), F.col("kb").alias("b")))
 
 
 def _leads(texts: DataFrame) -> DataFrame:
@@ -204,27 +223,37 @@ def _reach(c: str, x: str, y: str) -> Column:
 
 
 def _linked(texts: DataFrame, heads: DataFrame) -> DataFrame:
-    """a, b: pairs of keys at the similarity, enough of them to span every component."""
+    """a, b: pairs of keys at the similarity, enough of them to span every component: the candidates of the fingerprints, then
+    all pairs that these leave apart."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lead = _leads(texts).repartition(n, "h").groupBy("h", "key").agg(F.max("n").alias("n"))
     met = lead.withColumn("m", F.count("*").over(Window.partitionBy("h"))).where("m > 1")
     # A key that meets others in too few shingles is in no pair.
     some = met.groupBy("key").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= _enough(F.col("n"))).select("key")
-    met = written(met.join(some, "key", "left_semi").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("m"), "near-met")
-    heads = heads.groupBy("key").agg(F.min("th").alias("th"))
-    # First the best of the neighbours by size only, which joins most of a large group; then all pairs that are still apart.
+    met = written(met.join(some, "key", "left_semi").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "near-met")
+    all_heads, heads = heads, heads.groupBy("key").agg(F.min("th").alias("th"))
+    # First the candidates of the fingerprints and the best of the neighbours by size, which join most of a large group; then
+    # all pairs that are still apart.
     w = Window.partitionBy("h", "block").orderBy("n", "key")
     chain = met.select(F.col("key").alias("a"), F.lag("key").over(w).alias("b"), F.col("n").alias("na"), F.lag("n").over(w).alias("nb")).where(F.col("b").isNotNull() & _sized("na", "nb"))
     best = chain.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(_reach("c", "na", "nb")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", "best.b")
-    links = cut(_verified(best, texts, heads).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = cut(_verified(_alike(all_heads).unionByName(best).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), texts, heads).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     nodes = cut(components(links))
     placed = met.join(nodes.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     apart = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
     placed = written(placed.join(apart, "h", "left_semi"), "near-apart")
     discard(met)
-    x = placed.select("h", "block", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = placed.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = x.join(y, ["h", "block"]).where(F.expr("a > b and ca <> cb") & _sized("na", "nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    # A pair that shares frequent shingles, as those of a large group do, is met at the least of them only, which counts all.
+    frequent = placed.where(F.col("m") >= FREQUENT).groupBy("key").agg(F.collect_list("h").alias("listed")).where(F.size("listed") <= LISTED)
+    rare, often = placed.where(F.col("m") < FREQUENT).withColumn("listed", F.lit(None).cast("array<long>")), placed.where(F.col("m") >= FREQUENT).join(frequent, "key", "left")
+    members = rare.unionByName(often)
+    x = members.select("h", "block", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("listed").alias("la"))
+    y = members.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("listed").alias("lb"))
+    alone = F.expr("la is null or lb is null")
+    met_here = alone | (F.array_min(F.array_intersect("la", "lb")) == F.col("h"))
+    shared = F.when(alone, 1).otherwise(F.size(F.array_intersect("la", "lb")))
+    pairs = x.join(y, ["h", "block"]).where(F.expr("a > b and ca <> cb") & _sized("na", "nb") & met_here).select("a", "b", "na", "nb", shared.alias("c"))
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     pairs = _verified(pairs.where(_reach("c", "na", "nb")).select("a", "b"), texts, heads)
     discard(placed)
     return links.unionByName(pairs)
