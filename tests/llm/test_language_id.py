@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm.helpers import documents
 from trussline.llm import language_id as L
@@ -96,3 +97,16 @@ def test_pooling_covers_every_byte(monkeypatch):
     assert np.allclose(L.pooled(m, [b"", text])[1], want, atol=1e-5)
     monkeypatch.setattr(L, "LAID", 2 * L.SEGMENT)
     assert np.allclose(L.pooled(m, [text[:5], b"", text])[2], want, atol=1e-5)
+
+
+def test_a_kept_text_is_sent_once_and_predicted_in_bounded_groups(spark, monkeypatch):
+    rows = documents(spark, [(i, t) for i, t, _ in sample(1, 60)] + [(900, None), (901, "12 34"), (902, "")])
+    seen = L.identify(rows, labelled(spark, sample(2, 200)), keep=("doc_id", "text", "lang"))
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    sent = next(line for line in plan.splitlines() if "Project" in line and "known" in line)
+    assert sent.split("AS known")[1].count("text") == 1 and sent.split("AS known")[0].count("AS k") == 2
+    want = sorted(map(str, seen.collect()))
+    monkeypatch.setattr(L, "GROUP", 100)
+    groups = list(L._groups(np.ones(5, bool), pa.array(["a" * 60] * 5)))
+    assert [len(g) for g in groups] == [2, 2, 1]
+    assert sorted(map(str, L.identify(rows, labelled(spark, sample(2, 200)), keep=("doc_id", "text", "lang")).collect())) == want

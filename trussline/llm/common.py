@@ -29,9 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of `df`, computed once and kept in the shared folder; survives lost executors."""
+    """The rows of `df`, computed once and kept in the shared folder; survives lost executors. As in `written`, shuffles and
+    checkpoints that have served are released: a loop of many small steps leaves many small files."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 #: Folder of this driver's intermediate tables, below the shared one.

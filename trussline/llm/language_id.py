@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import crc_mod, hashed_sample, table
 
@@ -26,6 +27,8 @@ RANKED = 1 << 20
 STEPS, BATCH, RATE, SEED = 160, 384, 0.02, 7
 #: Segment length of a prediction, segments run at once, and bytes (whole segments) laid out at once.
 SEGMENT, SEGMENTS, LAID = 128, 2048, 8 << 20
+#: Bytes of short texts that are predicted together.
+GROUP = 1 << 20
 UNKNOWN = "und"
 
 
@@ -237,34 +240,39 @@ def identify(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...] = ()) -
     without a letter are `und` with score 0, as is everything if nothing is labelled; the score is the mean probability
     of the predicted language over all bytes. Repeated rows, null ids and extra columns are allowed."""
     windows, labels, langs = training_windows(labelled)
-    rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.when(F.col("text").cast("string").rlike(r"\p{L}"), F.col("text").cast("string")).alias("text"))
-    named = {f"k{i}": c for i, c in enumerate(keep)}
+    # A kept text is sent once.
+    text, kept = F.col("text").cast("string"), [c for c in keep if c != "text" or docs.schema[c].dataType != StringType()]
+    named = {f"k{i}": c for i, c in enumerate(kept)} | ({"text": "text"} if len(kept) < len(keep) else {})
+    rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(kept)), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("known"), text.alias("text"))
     if not langs:
-        return rows.drop("text").withColumnsRenamed(named).withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return rows.withColumnsRenamed(named).select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(train(windows, labels, langs))
+    out = [*(f"k{i}" for i in range(len(kept))), *(["text"] if "text" in named else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            p = np.concatenate([pooled(m, [(t or "").encode("utf-8", "replace") for t in group]) for group in _groups(texts)] or [np.zeros((0, len(langs)))])
-            known = np.array([t is not None for t in texts], bool)
-            best = p.argmax(axis=1)
-            pred = [m.langs[i] if ok else UNKNOWN for i, ok in zip(best, known, strict=True)]
-            score = np.where(known, p.max(axis=1), 0.0).clip(0, 1).astype(float)
-            yield pa.record_batch([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score)], names=[*b.schema.names[:-1], "lang_pred", "score"])
-
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "lang_pred string", "score double"])
-    return rows.mapInArrow(run, schema).withColumnsRenamed(named)
-
-
-def _groups(texts: list) -> Iterator[list]:
-    """Texts in order, in groups of about 8 MB, so that segments fill whole batches and memory is bounded."""
+            known, start = b.column("known").to_numpy(zero_copy_only=False), 0
+            for group in _groups(known, b.column("text")):
+                p = pooled(m, group)
+                part, ok = b.slice(start, len(group)), known[start : start + len(group)]
+                start += len(group)
+                pred = [m.langs[i] if k else UNKNOWN for i, k in zip(p.argmax(axis=1), ok, strict=True)]
+                score = np.where(ok, p.max(axis=1), 0.0).clip(0, 1).astype(float)
+                yield pa.record_batch([*(part.column(c) for c in out), pa.array(pred, pa.string()), pa.array(score)], names=[*out, "lang_pred", "score"])
+
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in out), "lang_pred string", "score double"])
+    return rows.mapInArrow(run, schema).withColumnsRenamed(named).select(*keep, "lang_pred", "score")
+
+
+def _groups(known: np.ndarray, texts: pa.Array) -> Iterator[list[bytes]]:
+    """The bytes of the texts in order (none of those that are not known), in groups of about GROUP, so that segments fill
+    whole batches and memory is bounded however many rows arrive at once."""
     group, held = [], 0
-    for t in texts:
-        group.append(t)
-        held += len(t or "")
-        if held > 8 << 20:
+    for k, t in zip(known, texts, strict=True):
+        group.append((t.as_py() or "").encode("utf-8", "replace") if k else b"")
+        held += len(group[-1])
+        if held > GROUP:
             yield group
             group, held = [], 0
     if group:
