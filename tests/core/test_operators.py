@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from trussline.functions import geometry, text
+from trussline.functions import geometry, ids, text
 from trussline.operators import assembly, components, fragments, intents, model, proxies, resolution, rules, validation
 
 BOX = "struct<min_x:double,min_y:double,max_x:double,max_y:double>"
@@ -302,3 +302,13 @@ def test_placed_elements_keep_hosts_in_every_copy(spark):
         assert window.host_element_id is None and window.host_guid is None and window.local_z_m == 0.9
         assert (slab.name, slab.local_x_m, slab.local_y_m, slab.height_m) == (f"图纸楼板 {storey[-2:]}", 4.5, 3.5, 0.12)
     assert (at[2, "storey_01", "IfcSlab", None].local_x_m, at[2, "storey_01", "IfcSlab", None].local_y_m) == (2.0, 1.0)
+
+
+def test_replicated_storeys_read_layouts_once_and_a_null_name_has_no_guid(spark, tmp_path):
+    spark.createDataFrame([(1, 1, "1F"), (1, 2, "2F"), (2, 1, "1F"), (3, 1, "1F")], "bundle_id long, layout_seq int, storey_key string").write.parquet(f"{tmp_path}/layouts")
+    wanted = spark.createDataFrame([(1, 4, 3.0, 4.5), (2, 0, 3.0, 4.5), (3, None, 3.0, 4.5)], "bundle_id long, floors int, standard double, first double")
+    rows = model.replicated_storeys(spark.read.parquet(f"{tmp_path}/layouts"), wanted)
+    got = sorted((r.bundle_id, r.storey_no, r.storey_key, r.source_storey_key, r.replicated) for r in rows.collect())
+    assert got == [(1, 1, "1F", "1F", False), (1, 2, "2F", "2F", False), (1, 3, "3F", "2F", True), (1, 4, "4F", "2F", True), (2, 1, "1F", "1F", False), (3, 1, "1F", "1F", False)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert spark.range(1).select(ids.guid(F.lit(None).cast("string"))).first()[0] is None

@@ -27,8 +27,10 @@ def guid_hex(seed: Column, space: str = URL_SPACE) -> Column:
 
 
 def guid(seed: Column, space: str = URL_SPACE) -> Column:
+    """With dashes; null for a null name, so that callers need no condition, in which shared parts are computed again."""
     h = guid_hex(seed, space)
-    return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    first, *rest = (F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return F.concat(first, *(x for part in rest for x in (F.lit("-"), part)))
 
 
 def short_guid(value: Column) -> Column:

@@ -60,10 +60,10 @@ def storey_layouts(entities: DataFrame, scale: float = 0.001) -> DataFrame:
 def replicated_storeys(layouts: DataFrame, intents: DataFrame) -> DataFrame:
     """Storeys of every bundle with layouts: the i-th layout, and beyond them the last again under new keys, as many as the
     intent (bundle_id, floors, standard, first) asks for. Elevations follow the keys."""
-    n = layouts.groupBy("bundle_id").agg(F.count("*").alias("n"))
-    slots = intents.join(n, "bundle_id").withColumn("storey_no", F.explode(F.sequence(F.lit(1), F.greatest(F.col("n"), F.col("floors")).cast("int"))))
-    slots = slots.withColumn("layout_seq", F.least("storey_no", "n").cast("int"))
-    rows = slots.join(layouts.select("bundle_id", "layout_seq", F.col("storey_key").alias("source_storey_key")), ["bundle_id", "layout_seq"])
+    # Every layout gives its own storeys, the last of a bundle the copies too, so layouts are read once.
+    rows = layouts.select("bundle_id", "layout_seq", F.col("storey_key").alias("source_storey_key"), F.count("*").over(Window.partitionBy("bundle_id")).alias("n")).join(intents, "bundle_id")
+    own = F.when(F.col("layout_seq") < F.col("n"), F.array("layout_seq")).otherwise(F.sequence("layout_seq", F.greatest(F.col("n"), F.col("floors")).cast("int")))
+    rows = rows.withColumn("storey_no", F.explode(own))
     copy = F.col("storey_no") > F.col("n")
     rows = rows.withColumn("replicated", copy).withColumn("storey_key", F.when(copy, F.concat(F.col("storey_no").cast("string"), F.lit("F"))).otherwise(F.col("source_storey_key")))
     up = storeys.storey_elevation(F.col("storey_key"), F.col("storey_no") - 1, F.col("floors"), F.col("standard"), F.col("first"))
@@ -222,11 +222,14 @@ def placed_elements(storey_rows: DataFrame, layouts: DataFrame, walls: DataFrame
     named = F.try_element_at(F.create_map(*(F.lit(x) for p in SOURCE_NAMES.items() for x in p)), F.col("ifc_type"))
     ordinal = F.when(F.col("ifc_type") == "IfcSlab", F.substring("storey_id", -2, 2)).otherwise(F.col("number").cast("string"))
     called = lambda kind, seq: F.concat_ws(":", F.col("bundle_id").cast("string"), "storey_id", kind, F.coalesce(seq.cast("string"), F.lit("slab")))
-    own, host = called(F.col("ifc_type"), F.col("source_seq")), F.when(F.col("wall_seq").isNotNull(), called(F.lit("IfcWall"), F.col("wall_seq")))
+    own = called(F.col("ifc_type"), F.col("source_seq"))
+    # Null without a wall, and so are the ids made of it: an id inside a condition would hash its name once for every part.
+    host = F.concat(F.col("bundle_id").cast("string"), F.lit(":"), "storey_id", F.lit(":IfcWall:"), F.col("wall_seq").cast("string"))
+    host_id = F.concat("storey_id", F.lit("_ifcwall_"), F.substring(ids.guid_hex(host, ids.DNS_SPACE), 1, 8))
     return rows.select(
         "bundle_id", "storey_id", F.col("storey_key").alias("source_storey_key"), "ifc_type", "source_seq", F.coalesce(F.nullif("label", F.lit("")), F.concat_ws(" ", named, ordinal)).alias("name"), "family_name",
         "local_x_m", "local_y_m", "local_z_m", "rotation_deg", "width_m", "depth_m", F.coalesce("own_height_m", F.greatest("height_m", F.lit(LEAST_STOREY_M))).alias("height_m"),
-        ids.element_id(F.col("storey_id"), F.col("ifc_type"), own).alias("element_id"), ids.guid(own).alias("guid"), F.when(host.isNotNull(), ids.element_id(F.col("storey_id"), F.lit("IfcWall"), host)).alias("host_element_id"), F.when(host.isNotNull(), ids.guid(host)).alias("host_guid"),
+        ids.element_id(F.col("storey_id"), F.col("ifc_type"), own).alias("element_id"), ids.guid(own).alias("guid"), host_id.alias("host_element_id"), ids.guid(host).alias("host_guid"),
     )
 
 

@@ -151,6 +151,8 @@ def placed_elements(spark, sf_dir):
     openings = model.opening_geometry(hosted.withColumns({"span": none.cast("double"), "vendor_width": none, "vendor_height": none, "label": none}))
     rows = model.placed_elements(storey_replication(spark, sf_dir).withColumn("height_m", F.lit(3.0)), layouts, walls, openings)
     hosts = rows.where("ifc_type = 'IfcWall'").select(F.col("guid").alias("host_guid"), F.col("element_id").alias("_id"), F.col("storey_id").alias("host_storey"), F.col("source_seq").alias("host_seq"))
+    # Elements without a host are dealt out by their own id: as nulls they would all meet in one task.
+    rows = rows.withColumn("host_guid", F.coalesce("host_guid", F.concat(F.lit("none of "), "guid")))
     found = rows.join(hosts, "host_guid", "left").withColumn("id_agrees", F.col("_id").eqNullSafe(F.col("host_element_id")))
     columns = ("bundle_id", "storey_id", "ifc_type", "source_seq", "name", "family_name", "local_x_m", "local_y_m", "local_z_m", "rotation_deg", "width_m", "depth_m", "height_m", "host_storey", "host_seq", "id_agrees")
     return found.select(*columns)
