@@ -81,6 +81,25 @@ def test_collocations_equal_brute_force(spark, most):
     assert sorted(tuple(r) for r in got.select(*columns).collect()) == brute_collocations(rows, 4, 12, 80, most)
 
 
+def test_what_is_exchanged_does_not_follow_the_splits(spark, monkeypatch):
+    """Counters and suffixes are handed on once for each core, however many partitions hold the texts."""
+    rows, made, cores = corpus() * 2, {}, spark.sparkContext.defaultParallelism
+    kept = P.written
+
+    def counted(df, name):
+        out = kept(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(P, "written", counted)
+    found, n = P.count_phrases(frame(spark, rows).repartition(6 * cores), 4, 12)
+    counts, sizes = brute_counts(rows)
+    assert sorted((r.lang, tuple(r.phrase.split(" ")), r.f) for r in found.collect()) == sorted((lg, w, f) for (lg, w), f in counts.items() if f >= 12)
+    # A suffix ends where it gets rare, or with its piece: at most as many as frequent phrases, and a few that share a counter.
+    assert made["suffixes"] <= 1.1 * cores * sum(f >= 12 for f in counts.values())
+    assert made["phrase-counters"] <= cores * ((1 << P.LEAST_BITS - P.SLICE_BITS) + len(sizes))
+
+
 def test_scores_beyond_64_bits(spark):
     one = spark.sql("select 9000000000000000000 as a, 9000000000000000001 as l, 9000000000000000002 as r")
     assert one.selectExpr("cast(a as decimal(20,0)) * 2000000 div (cast(l as decimal(20,0)) + r) as s").first().s == 2000000 * 9000000000000000000 // (9000000000000000001 + 9000000000000000002)

@@ -3,6 +3,8 @@
 1. One reading counts all phrases in counters chosen by hash. A phrase whose counter stays under the least count is rare for
    certain; a counter that several phrases share only lets more through.
 2. Another reading writes the suffix at every word, cut before it gets rare or longer than the depth, equal ones of a task once.
+   Both read in as few tasks as keep the cores busy: what a task hands on is its counters and different suffixes, whatever the
+   text it read, so that small splits of the input would multiply them.
 3. Vertical partitioning: prefixes with more suffixes than a part of the memory budget are told by one more word, until they
    fit or have the full depth; prefixes are grouped by hash so that a group keeps within the budget.
 4. Each group is sorted and its subtree built on its own: a node's count is the total of the leaves below it. Counts of the
@@ -31,14 +33,16 @@ from .common import cut, discard, table, written
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 PLAIN = bytes.maketrans(PIECE_ENDS + BLANKS, b"\n" * len(PIECE_ENDS) + b" " * len(BLANKS))
 EDGE = re.compile(rb"[ \n]")
-#: Bytes of text read at once; distinct suffixes a task counts before it hands them on.
-CHUNK, HELD = 1 << 20, 1 << 19
+#: Bytes of text read at once; distinct suffixes a task counts before it hands them on; bytes of text that a task reads at most
+#: for each of its counters, unless there are cores for more tasks.
+CHUNK, HELD, READ = 1 << 20, 1 << 20, 8
 #: Counters: the least power of two over a twenty-fourth of the bytes (about four words each), within these bounds; 2^27 are
-#: 128 MB in a task and, as one bit each, 16 MB broadcast. They are exchanged in slices of 2^13.
+#: 128 MB in a task and, as one bit each, 16 MB broadcast. They are exchanged in compressed slices of 2^13.
 LEAST_BITS, MOST_BITS, SLICE_BITS = 16, 27, 13
 #: Suffixes of a group: its memory budget, or less where that spreads the work over at least so many groups; and the most
 #: divided prefixes that are broadcast: where these are too few, groups grow and are sorted on disk.
 GROUP_ROWS, GROUPS, DIVIDED = 1 << 18, 1 << 10, 1 << 16
+CODEC = "zstd"
 BASE, MIX = 0x9E3779B97F4A7C15, [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -130,7 +134,7 @@ def _batch(schema: str, *columns: list) -> pa.RecordBatch:
 
 
 def _count_words(texts: DataFrame, bits: int, depth: int, least: int) -> DataFrame:
-    """lang, n (words) of every task, and its counters (slice, counters), each at most `least`."""
+    """lang, n (words) of every task, and its counters (slice, counters), each at most `least`, compressed."""
     schema = "lang string, n long, slice int, counters binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +158,7 @@ def _count_words(texts: DataFrame, bits: int, depth: int, least: int) -> DataFra
         if waiting:
             add()
         yield _batch(schema, list(total), list(total.values()), [None] * len(total), [None] * len(total))
-        parts = [(k, part.tobytes()) for k, part in enumerate(counters.reshape(-1, min(1 << SLICE_BITS, 1 << bits))) if part.any()]
+        parts = [(k, pa.compress(part, CODEC, asbytes=True)) for k, part in enumerate(counters.reshape(-1, min(1 << SLICE_BITS, 1 << bits))) if part.any()]
         for a in range(0, len(parts), 256):
             own = parts[a : a + 256]
             yield _batch(schema, [None] * len(own), [None] * len(own), [k for k, _ in own], [c for _, c in own])
@@ -164,17 +168,18 @@ def _count_words(texts: DataFrame, bits: int, depth: int, least: int) -> DataFra
 
 def _frequent_bits(counted: DataFrame, bits: int, least: int) -> np.ndarray:
     """One bit a counter: whether it reaches `least` over all tasks. Bounded by the number of counters."""
+    held = min(1 << SLICE_BITS, 1 << bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(part, np.uint8)
+                own = np.frombuffer(pa.decompress(part, held, CODEC, asbytes=True), np.uint8)
                 total[k] = np.minimum(least, total[k].astype(np.int16) + own).astype(np.uint8) if k in total else own
         if total:
             yield pa.record_batch([pa.array(total.keys(), pa.int32()), pa.array([np.packbits(v >= least).tobytes() for v in total.values()], pa.binary())], names=["slice", "bits"])
 
-    size = min(1 << SLICE_BITS, 1 << bits) // 8
+    size = held // 8
     out = np.zeros((1 << bits) // 8, np.uint8)
     for r in counted.where("slice is not null").select("slice", "counters").repartition("slice").mapInArrow(run, "slice int, bits binary").collect():
         out[r.slice * size : (r.slice + 1) * size] = np.frombuffer(r.bits, np.uint8)
@@ -192,7 +197,9 @@ def _suffixes(texts: DataFrame, frequent: np.ndarray, bits: int, depth: int) ->
 
         def rows() -> Iterator[pa.RecordBatch]:
             for lang, own in counts.items():
-                suffixes, n = list(own), list(own.values())
+                # In order, what is exchanged and written compresses well.
+                suffixes = sorted(own)
+                n = [own[x] for x in suffixes]
                 for a in range(0, len(n), 1 << 16):
                     part = n[a : a + (1 << 16)]
                     yield _batch(schema, [lang] * len(part), suffixes[a : a + (1 << 16)], part)
@@ -273,6 +280,7 @@ def count_phrases(docs: DataFrame, depth: int = 4, least: int = 30) -> tuple[Dat
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (size // 24).bit_length()))
+    texts = texts.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, size // (READ << bits)))
     counted = written(_count_words(texts, bits, depth, least), "phrase-counters")
     sizes = cut(counted.where("slice is null").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"))
     frequent = _frequent_bits(counted, bits, least)
@@ -293,7 +301,9 @@ def count_phrases(docs: DataFrame, depth: int = 4, least: int = 30) -> tuple[Dat
         routed = routed.withColumn("depth", F.when(F.col("prefix").isNotNull(), d + 1).otherwise(F.col("depth"))).drop("_lang", "prefix")
     groups = max(1, -(-2 * total // budget))
     routed = routed.withColumn("group", F.pmod(F.xxhash64("lang", F.slice("words", F.lit(1), F.col("depth"))), F.lit(groups)))
-    ordered = routed.select("group", "lang", "words", "n", "depth").repartition("group").sortWithinPartitions("group", "lang", "words")
+    # Words of an array take 8 bytes and more each in a row: they are exchanged joined.
+    sent = routed.select("group", "lang", F.array_join("words", " ").alias("suffix"), "n", "depth").repartition("group")
+    ordered = sent.select("group", "lang", F.split("suffix", " ").alias("words"), "n", "depth").sortWithinPartitions("group", "lang", "words")
     found = _subtrees(ordered, least)
     for d, large in enumerate(divided, 1):
         found = found.unionByName(large.where(F.col("f") >= least).where(F.size("prefix") == d).select("lang", F.array_join("prefix", " ").alias("phrase"), F.lit(d).alias("words"), "f"))
