@@ -100,6 +100,20 @@ def test_what_is_exchanged_does_not_follow_the_splits(spark, monkeypatch):
     assert made["phrase-counters"] <= cores * ((1 << P.LEAST_BITS - P.SLICE_BITS) + len(sizes))
 
 
+def test_rare_phrases_do_not_fill_few_counters(spark, monkeypatch):
+    """Text that outgrows the counters: pairs are frequent, longer phrases rare, and suffixes end before these."""
+    monkeypatch.setattr(P, "MOST_BITS", 12)
+    rng, made, kept = random.Random(7), {}, P.written
+    monkeypatch.setattr(P, "written", lambda df, name: made.setdefault(name, []).append(out := kept(df, name)) or (name == "suffixes" and made.update(rows=out.count())) or out)
+    rows = [("en", " ".join(f"wordword{rng.randrange(30)}" for _ in range(1000))) for _ in range(20)]
+    found, n = P.count_phrases(frame(spark, rows), 4, 12)
+    counts, _ = brute_counts(rows)
+    assert sorted((tuple(r.phrase.split(" ")), r.f) for r in found.collect()) == sorted((w, f) for (_, w), f in counts.items() if f >= 12)
+    assert n.first().n == 20_000
+    # One counting of all lengths lets nearly every suffix of four words through.
+    assert made["rows"] <= 15_000
+
+
 def test_scores_beyond_64_bits(spark):
     one = spark.sql("select 9000000000000000000 as a, 9000000000000000001 as l, 9000000000000000002 as r")
     assert one.selectExpr("cast(a as decimal(20,0)) * 2000000 div (cast(l as decimal(20,0)) + r) as s").first().s == 2000000 * 9000000000000000000 // (9000000000000000001 + 9000000000000000002)

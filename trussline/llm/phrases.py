@@ -1,7 +1,8 @@
 """Phrase collocation mining over depth-truncated suffix subtrees, built in groups of prefixes.
 
 1. One reading counts all phrases in counters chosen by hash. A phrase whose counter stays under the least count is rare for
-   certain; a counter that several phrases share only lets more through.
+   certain; a counter that several phrases share only lets more through. Where the text outgrows the counters, longer phrases
+   are counted in readings of their own, and only those whose parts may be frequent: else rare ones would fill all counters.
 2. Another reading writes the suffix at every word, cut before it gets rare or longer than the depth, equal ones of a task once.
    Both read in as few tasks as keep the cores busy: what a task hands on is its counters and different suffixes, whatever the
    text it read, so that small splits of the input would multiply them.
@@ -127,19 +128,34 @@ def _counters(w: Words, lang: int, depth: int, bits: int) -> list[np.ndarray]:
     return out
 
 
+def _lengths(w: Words, counters: list[np.ndarray], frequent: list[np.ndarray]) -> np.ndarray:
+    """How many words from every word on may be a frequent phrase, as the bits for 1, 2, ... words tell."""
+    size = np.zeros(len(w.begin), np.int64)
+    for m, (at, bitmap) in enumerate(zip(counters, frequent, strict=False), 1):
+        fits = (at >= 0) & (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) & (size == m - 1)
+        # The phrase without its first word has at least its count.
+        if m > 1:
+            fits[:-1] &= before[1:]
+        size += fits
+        before = fits
+    return size
+
+
 def _batch(schema: str, *columns: list) -> pa.RecordBatch:
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     fields = [f.split(" ") for f in schema.split(", ")]
     return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _count_words(texts: DataFrame, bits: int, depth: int, least: int) -> DataFrame:
-    """lang, n (words) of every task, and its counters (slice, counters), each at most `least`, compressed."""
+def _count_words(texts: DataFrame, bits: int, depth: int, least: int, lengths: range, frequent: list[np.ndarray]) -> DataFrame:
+    """lang, n (words) of every task, and its counters (slice, counters) of phrases of so many words, each at most `least`,
+    compressed. frequent: the bits of all shorter phrases; those with a rare part are not counted."""
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
     schema = "lang string, n long, slice int, counters binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, waiting, size = Counter(), [], 0
-        counters = np.zeros(1 << bits, np.uint8)
+        counters, frequent = np.zeros(1 << bits, np.uint8), shared.value
 
         def add() -> None:
             at, n = np.unique(np.concatenate(waiting), return_counts=True)
@@ -148,9 +164,13 @@ def _count_words(texts: DataFrame, bits: int, depth: int, least: int) -> DataFra
 
         for lang, w in chunks(batches, depth - 1):
             total[lang] += w.count
-            for at in _counters(w, xxhash.xxh64_intdigest(lang), depth, bits):
-                at = at[: w.count]
-                waiting.append(at[at >= 0].astype(np.uint32))
+            counted = _counters(w, xxhash.xxh64_intdigest(lang), lengths[-1], bits)
+            whole = _lengths(w, counted, frequent) == len(frequent)
+            for at in counted[lengths[0] - 1 :]:
+                fits = at >= 0
+                if frequent:
+                    fits &= whole & np.append(whole[1:], False)
+                waiting.append(at[: w.count][fits[: w.count]].astype(np.uint32))
                 size += len(waiting[-1])
             if size > 1 << 21:
                 add()
@@ -186,14 +206,13 @@ def _frequent_bits(counted: DataFrame, bits: int, least: int) -> np.ndarray:
     return out
 
 
-def _suffixes(texts: DataFrame, frequent: np.ndarray, bits: int, depth: int) -> DataFrame:
+def _suffixes(texts: DataFrame, frequent: list[np.ndarray], bits: int, depth: int) -> DataFrame:
     """lang, suffix (words joined by a space), n: the suffixes that may begin a frequent phrase, each as long as it may be
     one; equal ones of a task are counted together."""
     shared, schema = texts.sparkSession.sparkContext.broadcast(frequent), "lang string, suffix string, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = defaultdict(Counter)
-        bitmap = shared.value
 
         def rows() -> Iterator[pa.RecordBatch]:
             for lang, own in counts.items():
@@ -206,14 +225,7 @@ def _suffixes(texts: DataFrame, frequent: np.ndarray, bits: int, depth: int) ->
             counts.clear()
 
         for lang, w in chunks(batches, depth - 1):
-            size = np.zeros(len(w.begin), np.int64)
-            for m, at in enumerate(_counters(w, xxhash.xxh64_intdigest(lang), depth, bits), 1):
-                fits = (at >= 0) & (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) & (size == m - 1)
-                # The phrase without its first word has at least its count.
-                if m > 1:
-                    fits[:-1] &= before[1:]
-                size += fits
-                before = fits
+            size = _lengths(w, _counters(w, xxhash.xxh64_intdigest(lang), depth, bits), shared.value)
             at = np.flatnonzero(size[: w.count])
             text = w.text
             counts[lang].update([text[a:b] for a, b in zip(w.begin[at].tolist(), w.end[at + size[at] - 1].tolist(), strict=True)])
@@ -281,10 +293,15 @@ def count_phrases(docs: DataFrame, depth: int = 4, least: int = 30) -> tuple[Dat
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (size // 24).bit_length()))
     texts = texts.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, size // (READ << bits)))
-    counted = written(_count_words(texts, bits, depth, least), "phrase-counters")
-    sizes = cut(counted.where("slice is null").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"))
-    frequent = _frequent_bits(counted, bits, least)
-    discard(counted)
+    # Counters in proportion to the text tell all lengths at once. At their most, shorter phrases come first.
+    full = (size // 24).bit_length() > MOST_BITS
+    frequent: list[np.ndarray] = []
+    for lengths in [range(1, min(depth, 2) + 1), *(range(m, m + 1) for m in range(3, depth + 1))] if full else [range(1, depth + 1)]:
+        counted = written(_count_words(texts, bits, depth, least, lengths, frequent), "phrase-counters")
+        if lengths[0] == 1:
+            sizes = cut(counted.where("slice is null").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"))
+        frequent = frequent + [_frequent_bits(counted, bits, least)] * len(lengths)
+        discard(counted)
     suffixes = written(_suffixes(texts, frequent, bits, depth).withColumn("words", F.split("suffix", " ")).drop("suffix"), "suffixes")
 
     # Vertical partitioning. Suffixes under a divided prefix go on with one more word; those it ends go on whole.
