@@ -140,3 +140,37 @@ def test_all_rows_are_compared_where_probes_do_not_suffice(spark, monkeypatch):
     rows = [(i, [float(a) for a in rng.normal(size=32)]) for i in range(400)]
     got, want = found(spark, rows), exact(rows, 20)
     assert {q: [j for j, _ in v] for q, v in got.items()} == {q: [j for j, _ in v] for q, v in want.items()}
+
+
+def test_rows_far_from_each_other_are_scored_once_at_most(spark):
+    n = 1500
+    x = np.random.default_rng(10).normal(size=(n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0).toPandas()
+    assert got.groupby("query_id")["scored"].first().mean() <= n and len(got) == 20 * n // 20
+
+
+def test_scores_chosen_in_single_precision_are_those_of_double(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BUFFER", 50)
+    monkeypatch.setattr(ann, "PRODUCT", (3, 16), raising=False)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 6)) * 10.0 ** rng.integers(-4, 7, 300)[:, None]
+    x[100:200] = x[0] * (1 + 1e-12 * rng.integers(0, 50, 100))[:, None]  # equal in single precision
+    x[7, 0] = -0.0
+    q = np.r_[x[:3], rng.normal(size=(8, 6))]
+    classes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cid long, vec array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query long, vec array<double>")
+    got = {}
+    for r in ann._exact(classes, queries, 6, 9).collect():
+        got.setdefault(r.query, []).append((-r.score, r.cid))
+    for i, v in enumerate(q):
+        score = ann.exact_scores(np.repeat(v[None], len(x), 0), x)
+        assert sorted(got[i])[:9] == sorted(zip((-score).tolist(), range(len(x)), strict=True))[:9]
+
+
+def test_zeros_of_either_sign_and_doubles(spark):
+    rows = [(i, [-0.0 if i % 2 else 0.0, 1.0]) for i in range(5)] + [(20, [3.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 4).orderBy("query_id", "rank").collect()]
+    assert got == [(0, j) for j in (1, 2, 3, 4)] + [(20, j) for j in (0, 1, 2, 3)]
