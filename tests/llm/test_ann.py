@@ -142,6 +142,23 @@ def test_all_rows_are_compared_where_probes_do_not_suffice(spark, monkeypatch):
     assert {q: [j for j, _ in v] for q, v in got.items()} == {q: [j for j, _ in v] for q, v in want.items()}
 
 
+def test_no_join_is_broadcast_by_an_estimate(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(ann, "BROADCAST_BUCKETS", 0, raising=False)
+    plans, cut = [], ann.cut
+
+    def told(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(ann, "cut", told)
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, [float(a) for a in rng.normal(size=8)]) for i in range(300)], "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/vectors")  # a file has a size, which estimates start from
+    df = spark.read.parquet(f"{tmp_path}/vectors")
+    told(ann.nearest(df, F.col("vec_id") % 20 == 0, 5))
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+
+
 def test_rows_far_from_each_other_are_scored_once_at_most(spark):
     n = 1500
     x = np.random.default_rng(10).normal(size=(n, 64)).astype(np.float32)

@@ -7,7 +7,8 @@ merged and ranked by the exact inner product. Tables, projections, cell width an
 the layouts that find RECALL of true neighbours, the one of least cost in rows scored, visits and copies of the rows. A
 vector goes only where a query visits its bucket.
 
-Vectors travel as their bytes.
+Vectors travel as their bytes, and no join is left to Spark's estimate of a size, which knows neither what a Python step
+makes of a row nor what a list holds: what is broadcast is counted before.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ RECALL, SAMPLE, SAMPLE_ROWS = 0.96, 64, 4000
 VISIT_COST, TABLE_COST, HANDED_COST = 100.0, 0.01, 300.0
 #: Bytes of vectors that meet in one task, and queries that meet a part of a bucket at once; both at most.
 BIN_BYTES, QUERIES_PER_BLOCK = 32 << 20, 32_000
+#: Buckets whose numbers of rows are broadcast; more of them are joined by an exchange.
+BROADCAST_BUCKETS = 50_000
 #: Candidates a task gathers before it keeps the best of each query, and queries and rows of one product.
 BUFFER, PRODUCT = 130_000, (512, 4096)
 
@@ -220,6 +223,11 @@ def _bin_rows(dimensions: int) -> int:
     return max(256, BIN_BYTES // (4 * dimensions))
 
 
+def _counted(df: DataFrame, n: int) -> DataFrame:
+    """A table of n buckets for a join: broadcast if they are few, never by an estimate."""
+    return F.broadcast(df) if n <= BROADCAST_BUCKETS else df.hint("merge")
+
+
 def _meet(index: DataFrame, visits: DataFrame, queries: DataFrame, dimensions: int, k: int) -> DataFrame:
     """query, cid, score, scored: the k best of every bin for the queries that visit it. `index`: bucket, cid, vec;
     `visits`: bucket, query, a visit once; `queries`: query, vec.
@@ -229,8 +237,9 @@ def _meet(index: DataFrame, visits: DataFrame, queries: DataFrame, dimensions: i
     fewer than the tasks, rows and queries are both dealt out more finely."""
     tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     occupied = cut(index.groupBy("bucket").agg(F.count("*").alias("rows")))
-    visits = cut(visits.join(occupied.select("bucket"), "bucket").select("bucket", "query"))
-    parts = cut(visits.groupBy("bucket").agg(F.count("*").alias("visits")).join(occupied, "bucket"))
+    n = occupied.count()
+    visits = cut(visits.join(_counted(occupied.select("bucket"), n), "bucket").select("bucket", "query"))
+    parts = cut(visits.groupBy("bucket").agg(F.count("*").alias("visits")).join(_counted(occupied, n), "bucket"))
     n_rows, n_queries = parts.agg(F.sum("rows")).first()[0] or 0, queries.count()
     per_bin, per_block = _bin_rows(dimensions), QUERIES_PER_BLOCK
     found = max(1, n_rows / per_bin) * max(1, n_queries / per_block)
@@ -249,11 +258,11 @@ def _meet(index: DataFrame, visits: DataFrame, queries: DataFrame, dimensions: i
     # The parts of a large bucket have bins of their own, small buckets share them; where copies of the rows cost less than
     # those of the queries, a bin's queries are dealt out to blocks too.
     to_bin = F.xxhash64(F.when(F.col("large"), F.xxhash64("bucket", "split")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(bins))), F.when(F.col("dealt"), F.col("block")).otherwise(-1)).alias("bin")
-    rows = index.join(parts, "bucket").withColumn("split", F.pmod(F.xxhash64("cid"), "splits").cast("int")).withColumn("block", each("blocks"))
+    rows = index.join(_counted(parts, n), "bucket").withColumn("split", F.pmod(F.xxhash64("cid"), "splits").cast("int")).withColumn("block", each("blocks"))
     rows = rows.select(to_bin, unit.alias("unit"), "cid", "vec").repartition(tasks, "bin")
-    asks = visits.join(parts, "bucket").withColumn("block", F.pmod(F.xxhash64("query"), "blocks").cast("int")).withColumn("split", each("splits"))
+    asks = visits.join(_counted(parts, n), "bucket").withColumn("block", F.pmod(F.xxhash64("query"), "blocks").cast("int")).withColumn("split", each("splits"))
     asks = asks.select(to_bin, unit.alias("unit"), "query").groupBy("bin", "query").agg(F.collect_list("unit").alias("units"))
-    asks = asks.join(queries, "query").repartition(tasks, "bin")
+    asks = asks.join(queries.hint("merge"), "query").repartition(tasks, "bin")
     return rows.groupBy("bin").cogroup(asks.groupBy("bin")).applyInArrow(_rank(k, dimensions), FOUND)
 
 
@@ -390,7 +399,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     rows = rows.where(F.octet_length("vec") == sizes["d"])
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     classes = cut(ranked.groupBy("vec").agg(F.min("vec_id").alias("cid"), F.sort_array(F.collect_list("vec_id")).alias("members")))
-    asking = cut(rows.where("asks").join(classes.select("vec", "cid"), "vec").select(F.col("vec_id").alias("query_id"), F.col("cid").alias("query"), "vec"))
+    asking = cut(rows.where("asks").hint("merge").join(classes.select("vec", "cid"), "vec").select(F.col("vec_id").alias("query_id"), F.col("cid").alias("query"), "vec"))
     queries = cut(asking.select("query", "vec").dropDuplicates(["query"]))
     n_queries, n = queries.count(), classes.count()
     if not n_queries:
@@ -401,13 +410,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         found = cut(found)
         merged = found.groupBy("query", "cid").agg(F.max("score").alias("score"))
         merged = merged.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cid"))).where(F.col("n") <= k + 1)
-        near = merged.join(classes.select("cid", "members"), "cid").select("query", "score", F.explode("members").alias("vec_id"))
+        near = merged.hint("merge").join(classes.select("cid", "members"), "cid").select("query", "score", F.explode("members").alias("vec_id"))
         # A class of queries gets one list of k + 1 rows, and each query leaves itself out.
         near = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1).drop("n")
-        own = asking.select("query_id", "query").join(near, "query").where("vec_id <> query_id")
+        own = asking.select("query_id", "query").hint("merge").join(near.hint("merge"), "query").where("vec_id <> query_id")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         told = found.groupBy("query").agg(F.sum("scored").alias("scored"))
-        return own.withColumn("rank", rank).where(F.col("rank") <= k).join(told, "query").select("query_id", "rank", "vec_id", "score", "scored")
+        return own.withColumn("rank", rank).where(F.col("rank") <= k).join(told.hint("merge"), "query").select("query_id", "rank", "vec_id", "score", "scored")
 
     hasher = calibrated(classes, queries, n, n_queries, dimensions, norm, k)
     if hasher is None:
@@ -435,13 +444,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     near = cut(lists(_meet(indexed, visits, queries, dimensions, k + 1), asking))
     # Candidates of a query: all rows but those of its own id.
     had = near.groupBy("query_id").agg(F.count("*").alias("had"))
-    same = rows.select("vec_id").join(asking.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi").groupBy(F.col("vec_id").alias("query_id")).agg(F.count("*").alias("same"))
-    few = same.join(had, "query_id", "left").where(F.coalesce("had", F.lit(0)) < F.least(F.lit(k), F.lit(rows.count()) - F.col("same"))).select("query_id")
-    short = cut(asking.join(few, "query_id", "left_semi"))
+    same = rows.select("vec_id").join(asking.select(F.col("query_id").alias("vec_id")).distinct().hint("merge"), "vec_id", "left_semi").groupBy(F.col("vec_id").alias("query_id")).agg(F.count("*").alias("same"))
+    few = same.join(had.hint("merge"), "query_id", "left").where(F.coalesce("had", F.lit(0)) < F.least(F.lit(k), F.lit(rows.count()) - F.col("same"))).select("query_id")
+    short = cut(asking.join(few.hint("merge"), "query_id", "left_semi"))
     left = short.select("query", "vec").dropDuplicates(["query"])
     if short.isEmpty():
         return near
-    return near.join(short.select("query_id"), "query_id", "left_anti").select(near.columns).unionByName(lists(_exact(classes, left, dimensions, k + 1), short))
+    return near.join(short.select("query_id").hint("merge"), "query_id", "left_anti").select(near.columns).unionByName(lists(_exact(classes, left, dimensions, k + 1), short))
 
 
 def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
